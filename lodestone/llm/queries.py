@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import ngram_join, suffix_dedup
 
-QUERIES = {"op6_ngram_jaccard": ngram_join.op6}
+QUERIES = {
+    "op6_ngram_jaccard": ngram_join.op6,
+    "op10_suffix_array_dedup": suffix_dedup.op10,
+}
 ORACLE_SQL: dict[str, str] = {}
