@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ngram_join, suffix_dedup
+from . import embedding_dedup, ngram_join, suffix_dedup
 
 QUERIES = {
+    "op3_embedding_near_dedup": embedding_dedup.op3,
     "op6_ngram_jaccard": ngram_join.op6,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_dedup": embedding_dedup.ORACLE}
