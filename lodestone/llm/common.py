@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,3 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("id", "c")
         if not new.where("moved").take(1):
             return label.select("id", F.col("c").alias("component_id"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: a checkpoint of which later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

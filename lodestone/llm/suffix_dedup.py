@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, chunks, ensure_checkpoint_dir, mix64, table, text_bytes
+from .common import BYTE_CODE, chunks, mix64, stored, table, text_bytes
 
 LENGTH, ANCHOR = 400, 96
 #: Kinds of segments of one anchor that one tile holds, and kinds that a group of anchors holds, about.
@@ -88,16 +89,12 @@ def _text_key(raw: np.ndarray, a: int, b: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _key_columns(text: str) -> list:
-    """The same key by Spark's own functions."""
-    digest = F.md5(F.col(text).cast("binary"))
-    return [F.conv(F.substring(digest, at, 16), 16, -10).cast("long").alias(name) for name, at in (("t1", 1), ("t2", 17))]
-
-
 _SEGMENT = "t1 long, t2 long, lo int, hi int, p int, h long, g long"
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of each text; a text that a task meets more than twice is passed over from then on, as two copies tell that it repeats."""
+    met: dict[tuple[int, int], int] = {}
     for x in batches:
         raw, off = text_bytes(x.column(0))
         for a, b in chunks(off):
@@ -106,8 +103,15 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if not len(row):
                 continue
             keys = np.zeros((b - a, 2), np.int64)
+            more = np.ones(b - a, bool)
             for i in np.unique(row).tolist():
-                keys[i] = _text_key(raw, off[a + i], off[a + i + 1])
+                key = _text_key(raw, off[a + i], off[a + i + 1])
+                keys[i] = key
+                times = met.get(key, 0) + 1
+                more[i] = times <= 2
+                if times <= 2 and len(met) < 500_000:
+                    met[key] = times
+            row, lo, hi, place, h, g = (v[more[row]] for v in (row, lo, hi, place, h, g))
             start = rel[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[row, 0]), pa.array(keys[row, 1])] + [pa.array((v - start).astype(np.int32)) for v in (lo, hi, place)] + [pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
@@ -115,6 +119,52 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+_KIND = "full boolean, first boolean, " + _SEGMENT
+
+
+def _kind_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by (h, g): marks segments that another equals as full, and one of each kind as first."""
+    carry: pa.RecordBatch | None = None
+    open_key: tuple[int, int] | None = None
+    for x in batches:
+        t = x if carry is None else pa.Table.from_batches([carry, x]).combine_chunks().to_batches()[0]
+        carry = None
+        h, g = t.column(5).to_numpy(), t.column(6).to_numpy()
+        if not len(h):
+            continue
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(h)))
+        full, first = np.repeat(size > 1, size), new
+        if open_key == (int(h[0]), int(g[0])):
+            full[: size[0]], first[0] = True, False
+        alone = size[-1] == 1 and not full[-1]
+        open_key = None if alone else (int(h[-1]), int(g[-1]))
+        if alone:  # the next batch tells
+            carry, t, full, first = t.slice(len(h) - 1), t.slice(0, len(h) - 1), full[:-1], first[:-1]
+        keep = full | first
+        t = t.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([pa.array(full[keep]), pa.array(first[keep]), *t.columns], ["full", "first", *t.schema.names])
+    if carry is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([True]), *carry.columns], ["full", "first", *carry.schema.names])
+
+
+def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, key of the text, the text compressed): what shuffles of texts carry."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for x in batches:
+        raw, off = text_bytes(x.column(1))
+        keys = np.array([_text_key(raw, off[k], off[k + 1]) for k in range(len(x))], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([x.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([pack.compress(raw[off[k] : off[k + 1]].tobytes()) for k in range(len(x))], pa.binary())], ["doc_id", "t1", "t2", "z"])
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    for z in column.to_pylist():
+        yield unpack.decompress(z)
+
+
 def column_repeats(group: np.ndarray, segments: list[bytes], anchor: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each segment and each of its first starts[i] places: does the string of that length there also start elsewhere in its group?
 
@@ -204,19 +254,18 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(text, t1, t2, list of segments) -> a row per segment with its bytes; a text that comes again in the task is passed over."""
     seen: set[tuple[int, int]] = set()
     for x in batches:
-        raw, off = text_bytes(x.column(0))
         t1, t2, lists = x.column(1).to_numpy(), x.column(2).to_numpy(), x.column(3)
         parts, inner = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         lo, hi, p, h, tile_u, tiles = (parts.field(k).to_numpy(zero_copy_only=False) for k in range(6))
         out = {k: [] for k in ("t1", "t2", "h", "lo", "hi", "p", "i", "j", "bytes")}
-        for k in range(len(x)):
+        for k, data in enumerate(_unpacked(x.column(0))):
             key = (int(t1[k]), int(t2[k]))
             if key in seen:
                 continue
             if len(seen) < 500_000:
                 seen.add(key)
             for m in range(inner[k], inner[k + 1]):
-                text = raw[off[k] + lo[m] : off[k] + hi[m] + LENGTH].tobytes()
+                text = data[lo[m] : hi[m] + LENGTH]
                 mine, all_tiles = int(tile_u[m]), int(tiles[m])
                 for other in range(all_tiles) if all_tiles > 1 else (mine,):
                     if all_tiles > 1 and other == mine:
@@ -249,11 +298,9 @@ def removed_spans(lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> list[
 def _finish(with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            raw, off = text_bytes(x.column(1))
             lists = x.column(2)
             got: list[list] = [[], [], [], [], [], []]
-            for k in range(len(x)):
-                data = raw[off[k] : off[k + 1]].tobytes()
+            for k, data in enumerate(_unpacked(x.column(1))):
                 spans = []
                 if lists[k].is_valid:
                     parts = lists[k].values
@@ -282,24 +329,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty: all zeros and the digest of no bytes. Texts under 400 bytes lose nothing. Copies, also under equal or null ids,
     are other places of the same strings. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = rows.where(F.octet_length("text") >= LENGTH)
-    folder = f"{ensure_checkpoint_dir(spark)}/segments-{spark.sparkContext.applicationId}-{spark.sql('select uuid()').first()[0]}"
-    long.select("text").mapInArrow(_segment_batches, _SEGMENT).write.parquet(folder)
-    seg = spark.read.parquet(folder)
-    kinds = seg.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "lo", "hi", "p")).alias("one"))
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    full = seg.join(kinds.where("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("t1", "t2", "lo", "hi")
-    probes = kinds.join(anchors, "h").select("h", "one.*", F.greatest(F.lit(1), F.ceil(F.col("kinds") / TILE)).cast("int").alias("tiles"))
+    seg = long.select("text").mapInArrow(_segment_batches, _SEGMENT)
+    kinds = stored(seg.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(_kind_batches, _KIND))
+    full = kinds.where("full").select("t1", "t2", "lo", "hi")
+    firsts = kinds.where("first").select("h", "t1", "t2", "lo", "hi", "p")
+    anchors = firsts.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    probes = firsts.join(anchors, "h").withColumn("tiles", F.ceil(F.col("kinds") / TILE).cast("int"))
     probes = probes.withColumn("tile", F.pmod(F.xxhash64("t1", "t2", "lo"), F.col("tiles")).cast("int"))
     wanted = probes.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi", "p", "h", "tile", "tiles")).alias("parts"))
-    keyed = long.select("text", *_key_columns("text"))
-    cuts = keyed.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "parts").mapInArrow(_cut_segments, "t1 long, t2 long, h long, lo int, hi int, p int, i int, j int, bytes binary")
+    packed = "doc_id long, t1 long, t2 long, z binary"
+    keyed = long.mapInArrow(_packed_texts, packed)
+    cuts = keyed.join(wanted, ["t1", "t2"]).select("z", "t1", "t2", "parts").mapInArrow(_cut_segments, "t1 long, t2 long, h long, lo int, hi int, p int, i int, j int, bytes binary")
     groups = max(16, math.ceil((rows.count() or 1) / 4000))
     partial = cuts.groupBy(F.pmod(F.xxhash64("h"), F.lit(groups)).alias("k"), "i", "j").applyInPandas(_group_repeats, "t1 long, t2 long, lo int, hi int")
     found = full.unionByName(partial).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    last = rows.select("doc_id", "text", *_key_columns("text")).join(found, ["t1", "t2"], "left").select("doc_id", "text", "found")
+    last = rows.mapInArrow(_packed_texts, packed).join(found, ["t1", "t2"], "left").select("doc_id", "z", "found")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start: long, stop: long>>" if with_text else "")
     return last.mapInArrow(_finish(with_text), kind).withColumnRenamed("doc_id", id_col)
 
