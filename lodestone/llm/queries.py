@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, ngram_join, quality, suffix_dedup
+from . import embedding_dedup, language_id, ngram_join, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op3_embedding_near_dedup": embedding_dedup.op3,
     "op8_language_id": language_id.op8,
     "op9_quality_classifier": quality.op9,
+    "op5_toxicity": toxicity.op5,
     "op6_ngram_jaccard": ngram_join.op6,
     "op10_suffix_array_dedup": suffix_dedup.op10,
 }
