@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, ngram_join, pii, quality, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, language_id, ngram_join, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontamination.op1,
     "op2_pii_pseudonyms": pii.op2,
     "op3_embedding_near_dedup": embedding_dedup.op3,
     "op8_language_id": language_id.op8,
