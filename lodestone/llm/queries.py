@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_extraction, language_id, ngram_join, pii, quality, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, html_extraction, language_id, ngram_join, pii, quality, sentencepiece_codec, suffix_dedup, toxicity
 
 QUERIES = {
+    "op4_sentencepiece": sentencepiece_codec.op4,
     "op7_html_extraction": html_extraction.op7,
     "op1_benchmark_decontamination": decontamination.op1,
     "op2_pii_pseudonyms": pii.op2,
