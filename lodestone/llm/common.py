@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a numpy kernel takes at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -219,3 +221,36 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _packer(at: int, names: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for x in batches:
+            packed = pa.array([None if t is None else pack.compress(t.encode()) for t in x.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*x.columns[:at], packed, *x.columns[at + 1 :]], names)
+
+    return rows
+
+
+def _unpacker(at: int, names: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for x in batches:
+            texts = pa.array([None if z is None else unpack.decompress(z).decode() for z in x.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*x.columns[:at], texts, *x.columns[at + 1 :]], names)
+
+    return rows
+
+
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a text column compressed to binary, for a shuffle that carries whole rows."""
+    at = df.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if i == at else f.dataType) for i, f in enumerate(df.schema)])
+    return df.mapInArrow(_packer(at, df.columns), schema)
+
+
+def unpacked(df: DataFrame, column: str = "text") -> DataFrame:
+    at = df.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if i == at else f.dataType) for i, f in enumerate(df.schema)])
+    return df.mapInArrow(_unpacker(at, df.columns), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, chunks, components, cut, set_digest, shingle_sets, table, text_bytes
+from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, stored, table, text_bytes, unpacked
 
 PERCENT, WIDTH = 75, 5
 #: Documents of one component that meet in one task, at most (twice this for a pair of tiles).
@@ -311,7 +311,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the row with the smallest doc_id (of repeated ids one row)."""
-    group = ngram_jaccard(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(group, docs["doc_id"].eqNullSafe(group["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps of each group the row with the smallest doc_id (of rows with one id one)."""
+    found = stored(ngram_jaccard(docs))
+    group = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    rows = packed(docs)
+    kept = rows.join(group, rows["doc_id"].eqNullSafe(group["keep_id"]), "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id"])
+    return unpacked(kept)
