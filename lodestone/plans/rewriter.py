@@ -1,0 +1,126 @@
+"""Spellings of other SQL dialects, rewritten as text to what Spark reads. What is not surely understood is left as it is, for Spark to report."""
+
+from __future__ import annotations
+
+import re
+
+_PARTS = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", re.S)
+_RENAMED = {r"\bstdev\s*\(": "stddev_samp(", r"\bvar\s*\(": "var_samp(", r"\bunnest\s*\(": "explode(", r"\blength_bytes\s*\(": "octet_length("}
+_SCALAR_BITS = {"bit_and": "&", "bit_or": "|", "bit_xor": "^"}
+
+
+def _outside(sql: str, change) -> str:
+    """change applied to what is not a literal, quoted name or comment."""
+    return "".join(p if k % 2 else change(p) for k, p in enumerate(_PARTS.split(sql)))
+
+
+def _closing(s: str, at: int) -> int:
+    """Place of the parenthesis that closes the one at `at`; -1 if none does."""
+    depth, quote = 0, ""
+    for k in range(at, len(s)):
+        c = s[k]
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return k
+    return -1
+
+
+def arguments(s: str) -> list[str]:
+    """Top-level arguments of the text between two parentheses."""
+    out, depth, quote, last = [], 0, "", 0
+    for k, c in enumerate(s):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "," and not depth:
+            out.append(s[last:k].strip())
+            last = k + 1
+    return [*out, s[last:].strip()] if s.strip() else []
+
+
+def _calls(sql: str, name: str, change) -> str:
+    """Calls of a function by this name, as change(arguments) says; None leaves the call."""
+    at = 0
+    while m := re.compile(rf"\b{name}\s*\(", re.I).search(sql, at):
+        before = _PARTS.split(sql[: m.start()])
+        stop = _closing(sql, m.end() - 1)
+        inside = sum(len(p) for p in before) != m.start() or sql[: m.start()].count("'") % 2
+        new = None if stop < 0 or inside else change(arguments(sql[m.end() : stop]))
+        if new is None:
+            at = m.end()
+        else:
+            sql, at = sql[: m.start()] + new + sql[stop + 1 :], m.start() + len(new)
+    return sql
+
+
+def _quantile(kind: str):
+    return lambda a: f"percentile_{kind}({a[1]}) WITHIN GROUP (ORDER BY {a[0]})" if len(a) == 2 else None
+
+
+_READERS = {"read_csv": "csv", "read_parquet": "parquet", "read_json": "json"}
+
+
+def _distinct_on(sql: str) -> str:
+    """SELECT DISTINCT ON (keys) list FROM ... [ORDER BY ...]: the first row of each key in that order."""
+    m = re.match(r"\s*SELECT\s+DISTINCT\s+ON\s*\(", sql, re.I)
+    if not m:
+        return sql
+    stop = _closing(sql, m.end() - 1)
+    keys = sql[m.end() : stop]
+    rest = re.match(r"(?P<list>.*?)\bFROM\b(?P<body>.*?)(?P<order>\bORDER\s+BY\b(?P<by>.*?))?(?P<limit>\bLIMIT\b.*)?$", sql[stop + 1 :], re.I | re.S)
+    if not rest:
+        return sql
+    by = (rest["by"] or keys).strip()
+    names = ", ".join(re.sub(r".*\bAS\s+", "", x, flags=re.I | re.S).split(".")[-1] for x in arguments(rest["list"]))
+    inner = f"SELECT {rest['list'].strip()}, row_number() OVER (PARTITION BY {keys} ORDER BY {by}) AS __first FROM {rest['body'].strip()}"
+    names = "* EXCEPT (__first)" if rest["list"].strip() == "*" else names
+    return f"SELECT {names} FROM ({inner}) WHERE __first = 1" + (f" ORDER BY {by}" if rest["by"] else "") + (f" {rest['limit'].strip()}" if rest["limit"] else "")
+
+
+def rewrite(sql: str) -> str:
+    sql = sql.strip().rstrip(";")
+    sql = _distinct_on(sql)
+    sql = _outside(sql, lambda s: re.sub(r"\*\s*EXCLUDE\s*\(", "* EXCEPT (", s, flags=re.I))
+    for a, b in _RENAMED.items():
+        sql = _outside(sql, lambda s, a=a, b=b: re.sub(a, b, s, flags=re.I))
+    sql = _calls(sql, "quantile_cont", _quantile("cont"))
+    sql = _calls(sql, "quantile_disc", _quantile("disc"))
+    for name, op in _SCALAR_BITS.items():  # with two arguments they are no aggregates
+        sql = _calls(sql, name, lambda a, op=op: f"({a[0]} {op} {a[1]})" if len(a) == 2 else None)
+    for name, kind in _READERS.items():
+        sql = _calls(sql, name, lambda a, kind=kind: f"{kind}.`{a[0][1:-1]}`" if len(a) == 1 and a[0][:1] == "'" and "`" not in a[0] else None)
+    operand = r"([\w.]+|\([^()]*\))"
+    sql = _outside(sql, lambda s: re.sub(operand + r"\s*//\s*" + operand, r"CAST(floor(\1 / \2) AS BIGINT)", s))
+    sql = re.sub(operand + r"\s*\^@\s*('(?:[^']|'')*'|[\w.]+)", r"startswith(\1, \2)", sql)
+    sql = re.sub(r"([\w.]+)\s+!~\s+('(?:[^']|'')*')", r"NOT (\1 RLIKE \2)", sql)
+    return re.sub(r"([\w.]+)\s+~\s+('(?:[^']|'')*')", r"\1 RLIKE \2", sql)
+
+
+def union_by_name(sql: str) -> list[str] | None:
+    """Parts of a query that is a UNION [ALL] BY NAME of SELECTs, or None."""
+    parts = re.split(r"\bUNION\s+(?:ALL\s+)?BY\s+NAME\b", sql, flags=re.I)
+    return [p.strip() for p in parts] if len(parts) > 1 else None
+
+
+#: What is often typed, and what was meant.
+TYPOS = {"SELCT": "SELECT", "FORM": "FROM", "WHER": "WHERE", "GROPU BY": "GROUP BY", "GROUPBY": "GROUP BY", "ODER BY": "ORDER BY", "ORDERBY": "ORDER BY", "LIMT": "LIMIT"}
+
+
+def typo_hint(sql: str) -> tuple[str, str] | None:
+    """(hint, query as it may have been meant) for the first slip found, whatever its case."""
+    for wrong, right in TYPOS.items():
+        if re.search(rf"\b{wrong}\b", sql, re.I) and not re.search(rf"\b{right}\b", sql, re.I):
+            return f"did you mean {right} instead of {wrong}?", re.sub(rf"\b{wrong}\b", right, sql, flags=re.I)
+    return None
