@@ -1,0 +1,188 @@
+"""Command line: process, find, index, search, schema, sample, query, peek, watch, history, config, bench, tools."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+import time
+
+from lodestone import tools
+from lodestone.config import Config, configure_logging
+from lodestone.engine import Engine
+from lodestone.errors import LodestoneError
+from lodestone.operators import export, history, profiling
+from lodestone.session import get_session
+from lodestone.sources.readers import extension, read_any
+
+
+def parser() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="lodestone")
+    p.add_argument("-q", "--quiet", action="store_true")
+    p.add_argument("-v", "--verbose", action="store_true")
+    sub = p.add_subparsers(dest="command", required=True)
+    c = sub.add_parser("process", aliases=["p"], help="SQL, conversion, quality check or preview of a file")
+    c.add_argument("file")
+    c.add_argument("sql", nargs="?")
+    c.add_argument("-o", "--output")
+    c.add_argument("-f", "--format")
+    c.add_argument("--quality-check", action="store_true")
+    c = sub.add_parser("find", aliases=["f"], help="files by path and filters")
+    c.add_argument("text", nargs="?")
+    c.add_argument("--root", default=".")
+    for o in ("size", "mtime", "type"):
+        c.add_argument(f"--{o}")
+    c.add_argument("--depth", type=int)
+    c.add_argument("--hidden", action="store_true")
+    c.add_argument("--no-ignore", action="store_true")
+    c.add_argument("--semantic", action="store_true")
+    c = sub.add_parser("index", help="index the texts of a folder")
+    c.add_argument("root")
+    c.add_argument("folder")
+    c = sub.add_parser("search", help="search an index")
+    c.add_argument("folder")
+    c.add_argument("text")
+    c.add_argument("--type")
+    c.add_argument("--limit", type=int)
+    for name in ("schema", "sample", "query"):
+        c = sub.add_parser(name)
+        c.add_argument("file")
+        if name == "sample":
+            c.add_argument("-n", type=int, default=5)
+            c.add_argument("--strategy", default="smart")
+            c.add_argument("--seed", type=int)
+        if name == "query":
+            c.add_argument("sql")
+            c.add_argument("--limit", type=int, default=Config().limits.agent_rows)
+            c.add_argument("--format", choices=["json", "csv", "table"], default="json")
+    c = sub.add_parser("explain", help="the plan of a query")
+    c.add_argument("file")
+    c.add_argument("sql")
+    c = sub.add_parser("peek")
+    c.add_argument("root")
+    c.add_argument("--depth", type=int, default=5)
+    c.add_argument("--style", choices=["json", "tree", "md"], default="tree")
+    c = sub.add_parser("config")
+    c.add_argument("action", choices=["show", "get", "set", "reset"])
+    c.add_argument("key", nargs="?")
+    c.add_argument("value", nargs="?")
+    c.add_argument("--file", default="~/.lodestone/config.json")
+    c = sub.add_parser("history")
+    c.add_argument("action", choices=["recent", "top", "recommend", "clear"])
+    c.add_argument("text", nargs="?", default="")
+    c = sub.add_parser("benchmark", aliases=["bench"], help="time a query on a file")
+    c.add_argument("file")
+    c.add_argument("sql", nargs="?", default="SELECT COUNT(*) AS n FROM this")
+    c.add_argument("--runs", type=int, default=5)
+    sub.add_parser("tools", help="descriptions of the tools as JSON")
+    return p
+
+
+def run(args: argparse.Namespace, out=None) -> None:
+    out = out or sys.stdout
+    say = lambda x: out.write((x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)) + "\n")
+    command = {"p": "process", "f": "find", "bench": "benchmark"}.get(args.command, args.command)
+    if command == "tools":
+        return say(tools.describe_tools())
+    if command == "config":
+        return _config(args, say)
+    config = Config.load()
+    spark = get_session(f"local[{config.threads or '*'}]")
+    if command == "process":
+        return _process(spark, args, say)
+    if command == "find":
+        if args.semantic:
+            return say(tools.semantic_search(spark, args.root, args.text or ""))
+        began = time.time()
+        found = tools.find_files(spark, args.root, args.text, args.size, args.mtime, args.type, limit=10_000, depth=args.depth, hidden=args.hidden, ignore=not args.no_ignore)
+        history.History(_home(config.paths.history)).record(history.Entry(args.text or "", args.root, args.type, "path", len(found), int(1000 * (time.time() - began))))
+        return [say(r["path"]) for r in found] and None
+    if command == "history":
+        h = history.History(_home(config.paths.history))
+        if args.action == "clear":
+            return h.clear()
+        frame = h.frame(spark)
+        df = {"recent": history.recent, "top": history.frequencies}[args.action](frame) if args.action != "recommend" else history.recommend(frame, args.text)
+        return say(export.render(df))
+    if command == "benchmark":
+        engine = Engine(spark)
+        engine.open(args.file)
+        each = []
+        for _ in range(args.runs):
+            began = time.perf_counter()
+            engine.sql(args.sql).collect()
+            each.append(time.perf_counter() - began)
+        each.sort()
+        return say({"runs": args.runs, "first": each[0], "median": each[len(each) // 2], "p95": each[min(args.runs * 95 // 100, args.runs - 1)]})
+    if command == "query" and args.format != "json":
+        engine = Engine(spark)
+        engine.open(args.file)
+        df = engine.sql(args.sql, args.limit)
+        return say(export.render(df)) if args.format == "table" else [say(x) for x in export.lines(df)] and None
+    if command == "explain":
+        engine = Engine(spark)
+        engine.open(args.file)
+        return say(engine.explain(args.sql))
+    done = {
+        "index": lambda: tools.index_files(spark, args.root, args.folder),
+        "search": lambda: tools.search_index(spark, args.folder, args.text, args.type, args.limit),
+        "schema": lambda: tools.get_schema(spark, args.file),
+        "sample": lambda: tools.sample_data(spark, args.file, args.n, args.strategy, args.seed),
+        "query": lambda: tools.query_data(spark, args.file, args.sql, args.limit),
+        "peek": lambda: tools.peek_folder(spark, args.root, args.depth, args.style),
+    }[command]()
+    say(done)
+
+
+def _home(path: str) -> str:
+    import os
+
+    return os.path.expanduser(path)
+
+
+def _config(args, say) -> None:
+    path = _home(args.file)
+    config = Config() if args.action == "reset" else Config.load(path)
+    if args.action in ("set", "reset"):
+        if args.action == "set":
+            config.set(args.key, args.value)
+        config.save(path)
+    elif args.action == "get":
+        say({args.key: config.get(args.key)})
+    else:
+        say(json.dumps(config, default=lambda x: x.__dict__, indent=2))
+
+
+def _process(spark, args, say) -> None:
+    if args.quality_check:
+        return say(profiling.report(read_any(spark, args.file)))
+    if extension(args.file) in ("json",) and not args.sql and not args.output:
+        with open(args.file, encoding="utf-8") as f:
+            return [say(" | ".join(r)) for r in export.preview_json(f.read())] and None
+    if not args.sql and args.output:
+        return say({"bytes": export.convert(spark, args.file, args.output, export.ExportOptions(args.format, single=True))})
+    engine = Engine(spark)
+    engine.open(args.file)
+    if not args.sql:
+        df = engine.tables["this"]
+        say(export.render(df, 10))
+        return say(f"{df.count()} rows, {len(df.columns)} columns")
+    df = engine.sql(args.sql)
+    if args.output:
+        return say({"bytes": export.export(df, args.output, export.ExportOptions(args.format, single=True))})
+    return say(export.render(df)) if args.format in (None, "table") else [say(x) for x in export.lines(df, args.format)] and None
+
+
+def main(argv: list[str] | None = None) -> int:
+    args = parser().parse_args(argv)
+    configure_logging(quiet=args.quiet, verbose=args.verbose)
+    try:
+        run(args)
+    except LodestoneError as e:
+        sys.stderr.write(f"{e}\n")
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())
