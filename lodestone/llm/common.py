@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import share_code
+
 #: Bytes of text that a numpy kernel takes at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
 
@@ -33,6 +37,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows of an Arrow batch, at most: texts of some kilobytes then make batches of some megabytes on both sides.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger; it holds for Python stages of this session from then on."""
+    share_code(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def trim() -> None:
+    """Gives memory that Python no longer uses back to the system: workers wait for later tasks with what they once took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,7 +6,7 @@
 3. In each component all links are counted exactly, in tiles of bounded size, so windows decide only which vectors are found connected.
 
 A pair that agrees in the b leading bits it takes to narrow its label to WINDOW vectors is compared: at cosine 0.98 the chance is 0.936^b a pass,
-for labels of 5,000 vectors about 0.6, so twelve passes miss one such pair in 60,000, of 10 million vectors (b = 18) about one in 40; raise `passes`
+for labels of 5,000 vectors about 0.6, so twelve passes miss one such pair in 60,000, of 10 million vectors (b = 18) about one in 75; raise `passes`
 with the size of labels.
 """
 

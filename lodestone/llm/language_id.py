@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, table, text_bytes
+from .common import chunks, mix64, small_batches, table, text_bytes, trim
 from .quality import held_out
 
 BUCKETS, GRAMS, TRAIN_ROWS, SWITCH = 1 << 16, 4, 4000, 8.0
@@ -59,6 +59,8 @@ class Words:
         begin = ~space
         begin[1:] &= space[:-1]
         self.start = np.flatnonzero(begin)
+        self.word = np.cumsum(begin, dtype=np.int32) - 1  # of each place, or the word before it
+        self.place = np.arange(len(low))
         self.stop = np.flatnonzero(space)[np.searchsorted(np.flatnonzero(space), self.start)] if len(self.start) else self.start
         self.text = np.searchsorted(self.first_of, self.start, "right") - 1
         self.space, self.low, self.size = space, np.where(space, np.uint32(32), low), size
@@ -85,9 +87,8 @@ class Words:
 
     def word_of(self, n: int, count: int) -> np.ndarray:
         """The word of each n-gram: that of its last place, or of the place before where that is a space."""
-        at = np.arange(count) + n - 1
-        at = at - (self.space[at] if n > 1 else 0)
-        return np.searchsorted(self.start, at, "right") - 1
+        at = self.place[n - 1 : n - 1 + count]
+        return np.where(self.space[n - 1 : n - 1 + count], self.word[np.maximum(at - 1, 0)], self.word[at]) if n > 1 else self.word[at]
 
 
 class Model:
@@ -106,18 +107,18 @@ class Model:
         grams = np.zeros(len(w.start))
         for n, (bucket, ok) in enumerate(w.gram_buckets(), 1):
             at = np.flatnonzero(ok)
+            if not len(at):
+                continue
             of = w.word_of(n, len(bucket))[at]
-            got = self.logp[n - 1][bucket[at]]
-            for j in range(k):
-                total[:, j] += np.bincount(of, got[:, j], len(w.start))
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # places go up, and so do words
+            total[of[first]] += np.add.reduceat(self.logp[n - 1][bucket[at]], first, axis=0)
             grams += np.bincount(of, minlength=len(w.start))
         length = w.stop - w.start
         ends = np.concatenate([[0], np.cumsum(w.script > 0)])
         letters = ends[w.stop] - ends[w.start]
         # scripts: a language stays if it uses the script of most of the word's letters, or if none does
-        inside = np.zeros((len(w.start), SCRIPTS), np.int64)
         place = np.flatnonzero(w.script > 0)
-        np.add.at(inside, (np.searchsorted(w.start, place, "right") - 1, w.script[place]), 1)
+        inside = np.bincount(w.word[place] * np.int64(SCRIPTS) + w.script[place], minlength=len(w.start) * SCRIPTS).reshape(-1, SCRIPTS)
         fits = self.uses[:, inside.argmax(1)].T
         fits |= ~fits.any(1, keepdims=True)
         # a word counts by its letters, so long words and their overlapping n-grams do not drown the rest
@@ -125,12 +126,10 @@ class Model:
         words = np.where(fits | (letters == 0)[:, None], words, words.min(1, keepdims=True) - 30.0)
         words[letters == 0] = 0.0
         path = self._viterbi(words, w.text, n_texts)
-        held = np.zeros((n_texts, k))
-        np.add.at(held, (w.text, path), letters)
+        held = np.bincount(w.text * k + path, letters, n_texts * k).reshape(n_texts, k)
         every = held.sum(1)
         top = held.argmax(1)
-        gain = np.zeros((n_texts, k))
-        np.add.at(gain, w.text, words)
+        gain = np.stack([np.bincount(w.text, words[:, j], n_texts) for j in range(k)], 1)
         gap = gain[np.arange(n_texts), top][:, None] - gain
         sure = 1 / np.exp(-np.clip(gap, -50, 50)).sum(1)
         for i in range(n_texts):
@@ -235,7 +234,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col), 4, 2).alias("held_out"), F.col(text_col).alias("text"))
     kind = "doc_id long, held_out boolean, lang_pred string, score double" + (", spans array<struct<start: long, stop: long, lang: string>>" if with_spans else "")
     return rows.mapInArrow(batches, kind).withColumnRenamed("doc_id", id_col)

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, trim
 
-BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 8, 6, 0.5, 3000
+BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 8, 6, 0.5, 2500
 #: Words whose features a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def _features(word: str) -> list[int]:
@@ -136,9 +136,14 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int) -> Dat
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    found = sample(docs, labels, label_col, rows).mapInArrow(_feature_batches, "label int, f binary, n binary").collect()
-    rows_ = sorted(((r.label, bytes(r.f), bytes(r.n)) for r in found))[: 4 * rows]
-    return fit([(a, np.frombuffer(f, np.int32), np.frombuffer(n, np.float32)) for a, f, n in rows_])
+    small_batches(docs.sparkSession)
+    found = sample(docs, labels, label_col, rows).mapInArrow(_feature_batches, "label int, f binary, n binary").toArrow()
+    views = [(label, np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.float32)) for label, f, n in zip(found["label"].to_pylist(), found["f"], found["n"], strict=True)]
+    views.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:64], r[2].tobytes()[:64]))  # the order of the tasks does not matter
+    model = fit(views[: 4 * rows])
+    del views, found
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -149,6 +154,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for x in it:
             s = np.array([of(t) for t in x.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        of = None
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, held_out boolean, score double, predicted int").withColumnRenamed("doc_id", id_col)
@@ -170,5 +177,7 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         at = columns.index("text")
         for x in it:
             yield x.filter(pa.array([of(t) >= 0.5 for t in x.column(at).to_pylist()], pa.bool_()))
+        of = None
+        trim()
 
     return docs.mapInArrow(batches, schema)

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, table, text_bytes
+from .common import chunks, mix64, small_batches, table, text_bytes, trim
 
 BLANK = 0x2581
 #: Words of more code points are folded with a heap, one by one.
 LONG = 48
 #: Bytes of text in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NONE = np.int32(1 << 30)
 
@@ -37,7 +37,7 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The piece table: hash -> (rank of the score, id), bytes of each id."""
+    """The piece table: hash -> id, rank of the score and bytes of each id."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,27 +63,29 @@ class Pieces:
         self.id = dict(zip(names, ids, strict=True))
         self.longest = max(map(len, names))
         key = np.array([piece_hash(p) for p in names], np.uint64)
-        self.bits = 21
+        self.bits = 18
         size = 1 << self.bits
-        self.slot_key, self.slot_rank, self.slot_id = np.zeros(size, np.uint64), np.full(size, _NONE), np.full(size, -1, np.int32)
-        for k, r, i in zip(key.tolist(), rank.tolist(), ids, strict=True):
+        self.slot_key, self.slot_id = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.rank_of = np.full(sp.vocab_size() + 1, _NONE)  # the last is that of -1, no piece
+        self.rank_of[ids] = rank
+        for k, i in zip(key.tolist(), ids, strict=True):
             at = k >> (64 - self.bits)
             while self.slot_id[at] >= 0:
                 at = (at + 1) % size
-            self.slot_key[at], self.slot_rank[at], self.slot_id[at] = k, r, i
+            self.slot_key[at], self.slot_id[at] = k, i
 
-    def join(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of the pieces with these hashes; (_NONE, -1) where there is none."""
+    def join(self, key: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes; -1 where there is none."""
         at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
-        rank, ident = np.full(len(key), _NONE), np.full(len(key), -1, np.int32)
+        ident = np.full(len(key), -1, np.int32)
         left = np.arange(len(key))
         while len(left):
             taken = self.slot_id[at] >= 0
             hit = taken & (self.slot_key[at] == key[left])
-            rank[left[hit]], ident[left[hit]] = self.slot_rank[at[hit]], self.slot_id[at[hit]]
+            ident[left[hit]] = self.slot_id[at[hit]]
             more = taken & ~hit
             left, at = left[more], (at[more] + 1) % len(self.slot_id)
-        return rank, ident
+        return ident
 
 
 def piece_hash(p: str) -> int:
@@ -127,17 +129,17 @@ def fold_words(points: np.ndarray, start: np.ndarray, stop: np.ndarray, pieces:
     at = np.arange(total) - np.repeat(first[:-1], size) + np.repeat(start, size)
     code = points[at].astype(np.uint64) + np.uint64(1)
     room = np.repeat(first[1:], size) - np.arange(total)  # characters from each place to the end of its word
-    # the lattice: edges[l][i] is the rank of the piece of l + 1 characters from place i
-    edges = np.full((pieces.longest, total), _NONE, np.int32)
-    idents = np.full((pieces.longest, total), -1, np.int32)
+    # the lattice: edges[i * longest + l] is the piece of l + 1 characters from place i
+    longest = pieces.longest
+    edges = np.full(total * longest, -1, np.int32)
     h = np.zeros(total, np.uint64)
     places = np.arange(total)
-    for width in range(1, pieces.longest + 1):
+    for width in range(1, longest + 1):
         places = places[room[places] >= width]
         if not len(places):
             break
         h[places] = h[places] * np.uint64(_BASE) + code[places + width - 1]
-        edges[width - 1, places], idents[width - 1, places] = pieces.join(mix64(h[places]))
+        edges[places * longest + width - 1] = pieces.join(mix64(h[places]))
     # the fold: a symbol begins at each place; every word merges its best neighbours once a round
     begins = np.arange(total)
     word = np.repeat(np.arange(len(size)), size)
@@ -148,9 +150,9 @@ def fold_words(points: np.ndarray, start: np.ndarray, stop: np.ndarray, pieces:
         end[last] = first[word[last] + 1]
         after = np.append(end[1:], 0)
         width = after - begins
-        ok = ~last & (width <= pieces.longest)
+        ok = np.flatnonzero(~last & (width <= longest))
         rank = np.full(len(begins), _NONE, np.int32)
-        rank[ok] = edges[width[ok] - 1, begins[ok]]
+        rank[ok] = pieces.rank_of[edges[begins[ok] * longest + width[ok] - 1]]
         head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         best = np.minimum.reduceat(rank, head)
         per = np.diff(np.append(head, len(begins)))
@@ -166,7 +168,7 @@ def fold_words(points: np.ndarray, start: np.ndarray, stop: np.ndarray, pieces:
     begins = np.sort(np.concatenate(done_begin)) if done_begin else np.zeros(0, np.int64)
     word = np.searchsorted(first, begins, "right") - 1
     end = np.append(begins[1:], total)
-    ident = idents[np.minimum(end - begins, pieces.longest) - 1, begins] if len(begins) else np.zeros(0, np.int32)
+    ident = edges[begins * longest + np.minimum(end - begins, longest) - 1] if len(begins) else np.zeros(0, np.int32)
     counts = np.bincount(word, minlength=len(size))
     odd = np.flatnonzero(ident < 0)
     if not len(odd):
@@ -238,6 +240,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     round_trip: do the ids decode to the text again (all do but those that hold U+2581, which the model takes for a blank)? Repeated rows give one row
     each; other columns are not looked at.
     """
+    small_batches(docs.sparkSession)
     pieces = Pieces(model or default_model())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +256,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), mask=np.append(missing, False))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a), lists, pa.array(size), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("doc_id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, text_bytes
+from .common import chunks, small_batches, table, text_bytes, trim
 from .language_id import code_points
 from .quality import held_out
 
@@ -75,6 +75,7 @@ def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts of letter classes over all texts, [before last, last, next]."""
+    small_batches(docs.sparkSession)
     parts = docs.select(text_col).mapInArrow(_count_batches, "part int, counts binary").groupBy("part").applyInPandas(_add, "part int, counts binary").collect()
     out = np.zeros(SYMBOLS**3, np.int64)
     step = SYMBOLS**3 // PARTS
@@ -254,6 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, label_col: str =
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(_word_batches(decoder), "label int, words string").distinct().collect()
     said = sorted((r.words, r.label) for r in found)
     share = n.get(1, 0) / max(1, sum(n.values()))
+    del found
+    trim()
     return fit([(label, words.split("\n") if words else []) for words, label in said], share)
 
 
