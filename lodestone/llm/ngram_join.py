@@ -1,13 +1,12 @@
 """Operator 6, n-gram Jaccard self-join by prefix trees.
 
 1. Each document becomes its set of five-word shingles (64-bit hashes); documents with equal sets form one class, so copies never meet as pairs.
-2. Shingles go, as packed arrays, to ranges of the hash; a range counts in how many classes a shingle occurs (df) and sends back those with df >= 2.
-   A class of which fewer than 75 % of the shingles occur anywhere else links with nothing.
-3. The global order of shingles is (df, hash). Classes that link share a shingle among the first n - ceil(0.75 n) + 1 of both (prefix bound); stars on
+2. Of three eighths of the hash space, shingles go, as packed arrays, to ranges of the hash, which tell how many of each document's occur elsewhere (df >= 2).
+   A set that links misses at most a quarter of its shingles, so one that misses more in this share alone links with nothing; most documents end here.
+3. The sets of the others are dealt whole in the same way, and come back with the df of each shingle. The global order of shingles is (df, hash). Classes that link share a shingle among the first n - ceil(0.75 n) + 1 of both (prefix bound); stars on
    those shingles give candidate components.
 4. In a candidate component the sets, most common shingle first, go into a path-compressed trie. A set walks it once: overlaps of shared paths are
-   computed once, subtrees are left when overlap + what can still come is under the need. Large components are cut into tiles of bounded size, all
-   pairs of tiles being joined.
+   computed once, subtrees are left when overlap + what can still come is under the need. Large components are cut into tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -18,18 +17,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, stored, table, text_bytes, unpacked
+from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, small_batches, stored, table, text_bytes, trim, unpacked
 
 PERCENT, WIDTH = 75, 5
 #: Documents of one component that meet in one task, at most (twice this for a pair of tiles).
 TILE = 2048
 #: Shingle entries that one range of hashes holds, about.
 RANGE_ENTRIES = 1_500_000
-#: A shingle in more classes of one block than this is known to be common: its df counts as this and its entries skip the count.
-COMMON = 1024
+#: Entries of a block of documents, about.
+BLOCK_ENTRIES = 500_000
+#: A shingle in more sets of one block than this is known to be common: its df counts as this and its entries skip the count.
+COMMON = 256
+#: Eighths of the hash space that tell which documents can link at all.
+PART = 3
 
 
 def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,98 +45,202 @@ def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for i, s in enumerate(shingle_sets(raw, off[a : b + 1], WIDTH), a):
                 size[i], digest[i] = len(s), set_digest(s)
         yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(digest)], ["doc_id", "n_shingles", "digest"])
+    trim()
 
 
-def _range_rows(bits: int):
-    ranges, shift = 1 << bits, np.uint64(64 - bits)
+class Blocks:
+    """Gathers sets to blocks and deals their entries to ranges of the hash, packed to eight bytes: six of the hash, two of the set's place in its block.
 
+    part: of 8, the share of the hash space whose entries are dealt. A row of the block's own, its key beyond those of the ranges, holds what is
+    known of its sets: id, size, entries in the share, and how many of these are so common in the block that they skip the count.
+    """
+
+    names = ("r", "block", "owner", "h", "hh", "hn", "id", "n", "s", "known")
+    schema = "r int, block long, owner binary, h binary, hh binary, hn binary, id binary, n binary, s binary, known binary"
+
+    def __init__(self, bits: int, part: int):
+        self.bits, self.part, self.count = bits, part, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.sizes, self.sets, self.held = [], [], [], 0
+
+    def add(self, ident: int, size: int, s: np.ndarray) -> bool:
+        """True if the block is full."""
+        s = s[(s >> np.uint64(61)) < self.part] if self.part < 8 else s
+        self.ids.append(ident)
+        self.sizes.append(size)
+        self.sets.append(s)
+        self.held += len(s)
+        return self.held >= BLOCK_ENTRIES or len(self.ids) >= 60_000
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.ids:
+            return
+        ranges = 1 << self.bits
+        block = ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32) + self.count
+        self.count += 1
+        s = np.array([len(x) for x in self.sets], np.int32)
+        owner = np.repeat(np.arange(len(s), dtype=np.uint16), s)
+        h = np.concatenate(self.sets)
+        uniq, inv, times = np.unique(h, return_inverse=True, return_counts=True)
+        heavy = times > COMMON
+        common = heavy[inv]
+        known = np.bincount(owner[common], minlength=len(s)).astype(np.int32)
+        kept = h[common]
+        rows: list[dict] = [{"r": ranges + block % ranges, "block": block, "id": np.array(self.ids, np.int64).tobytes(), "n": np.array(self.sizes, np.int32).tobytes(), "s": s.tobytes(), "known": known.tobytes(), "owner": owner[common].tobytes(), "h": kept.tobytes()}]
+        owner, h = owner[~common], h[~common]
+        r = ((h >> np.uint64(48)) & np.uint64(ranges - 1)).astype(np.uint16)
+        order = np.argsort(r, kind="stable")
+        owner, h, r = owner[order], h[order], r[order]
+        low = h.view(np.uint16).reshape(-1, 4)[:, :3]
+        edge = np.searchsorted(r, np.arange(ranges + 1))
+        hh, hn = uniq[heavy], times[heavy].astype(np.int64)
+        hr = ((hh >> np.uint64(48)) & np.uint64(ranges - 1)).astype(np.int64)
+        for k in range(ranges):
+            mine = hr == k
+            if edge[k] < edge[k + 1] or mine.any():
+                rows.append({"r": k, "block": block, "owner": owner[edge[k] : edge[k + 1]].tobytes(), "h": low[edge[k] : edge[k + 1]].tobytes(), "hh": hh[mine].tobytes(), "hn": hn[mine].tobytes()})
+        self.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([x.get(k) for x in rows], pa.int32() if k == "r" else pa.int64() if k == "block" else pa.binary()) for k in self.names], list(self.names))
+
+
+def _text_blocks(bits: int, part: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        block = 0
+        blocks = Blocks(bits, part)
         for x in batches:
             raw, off = text_bytes(x.column(0))
             for a, b in chunks(off):
-                sets: dict[int, np.ndarray] = {}
                 for s in shingle_sets(raw, off[a : b + 1], WIDTH):
                     if len(s) and (d := set_digest(s)) not in seen:
-                        sets[d] = s
                         if len(seen) < 200_000:
                             seen.add(d)
-                if not sets:
-                    continue
-                block += 1
-                digest = np.fromiter(sets, np.int64, len(sets))
-                owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets.values()])
-                h = np.concatenate(list(sets.values()))
-                uniq, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-                heavy = n > COMMON
-                out = {k: [] for k in ("r", "digest", "n", "h", "hh", "hn")}
-
-                def add(r, own, hashes, hh=b"", hn=b"", digest=digest, out=out):
-                    d, c = np.unique(own, return_counts=True)
-                    for k, v in zip(out, (r, digest[d].tobytes(), c.astype(np.int32).tobytes(), hashes.tobytes(), hh, hn), strict=True):
-                        out[k].append(v)
-
-                if heavy.any():
-                    known = heavy[inv]
-                    add(ranges + block % ranges, owner[known], h[known])
-                    owner, h = owner[~known], h[~known]
-                r = (h >> shift).astype(np.uint16)
-                order = np.argsort(r, kind="stable")
-                owner, h, r = owner[order], h[order], r[order]
-                edge = np.searchsorted(r, np.arange(ranges + 1))
-                hr = (uniq[heavy] >> shift).astype(np.int64)
-                low = np.stack([(h & np.uint64(0xFFFFFFFFFFFF)).view(np.uint16).reshape(-1, 4)[:, i] for i in range(3)], 1)
-                for k in range(ranges):
-                    mine = hr == k
-                    if edge[k] < edge[k + 1] or mine.any():
-                        add(k, owner[edge[k] : edge[k + 1]], low[edge[k] : edge[k + 1]], uniq[heavy][mine].tobytes(), n[heavy][mine].astype(np.int64).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out["r"], pa.int32())] + [pa.array(out[k], pa.binary()) for k in ("digest", "n", "h", "hh", "hn")], ["r", "digest", "n", "h", "hh", "hn"])
+                        if blocks.add(d, len(s), s):
+                            yield from blocks.flush()
+                            trim()
+        yield from blocks.flush()
+        trim()
+
+    return rows
+
+
+def _set_blocks(bits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(bits, 8)
+        for x in batches:
+            for node, n, h in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
+                if blocks.add(node, n, np.frombuffer(h, np.uint64)):
+                    yield from blocks.flush()
+        yield from blocks.flush()
+        trim()
 
     return rows
 
 
-_RANGE = "r int, digest binary, n binary, h binary, hh binary, hn binary"
+_COUNTED = "block long, owner binary, live binary, h binary, df binary, id binary, n binary, s binary, known binary"
 
 
-def _live_of(bits: int):
+def _counted(bits: int, whole: bool):
+    """Of a range, what is live (df of two or more) in each block: how many entries of each set, or with `whole` the entries with their df."""
     ranges = 1 << bits
 
-    def live(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r = int(key[0])
-        digest = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n in zip(rows["digest"], rows["n"], strict=True)])
+        none = [None] * len(rows)
         if r >= ranges:
-            h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h"]])
-            df = np.full(len(h), COMMON, np.int32)
-        else:
-            low = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["h"]]).reshape(-1, 3).astype(np.uint64)
-            # 48 low bits under the bits of the range: what lies between is left out of the hash
-            h = low[:, 0] | (low[:, 1] << np.uint64(16)) | (low[:, 2] << np.uint64(32)) | np.uint64(r << 48)
-            mask = np.uint64(0xFFFFFFFFFFFF)
-            order = np.lexsort((digest, h))
-            h, digest = h[order], digest[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])
-            h, digest = h[new], digest[new]  # one class in several blocks counts once
-            uniq, inv, df = np.unique(h, return_inverse=True, return_counts=True)
-            hh = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hh"]] or [np.zeros(0, np.uint64)]) & mask | np.uint64(r << 48)
-            if len(hh) and len(uniq):
-                hn = np.concatenate([np.frombuffer(x, np.int64) for x in rows["hn"]])
-                at = np.minimum(np.searchsorted(uniq, hh), len(uniq) - 1)
-                ok = uniq[at] == hh
-                np.add.at(df, at[ok], hn[ok])
-            df = np.minimum(df, COMMON)[inv].astype(np.int32)
-            keep = df >= 2
-            h, digest, df = h[keep], digest[keep], df[keep]
-        if r >= ranges:  # the same form as above
-            h = (h & np.uint64(0xFFFFFFFFFFFF)) | ((h >> np.uint64(64 - bits)) << np.uint64(48))
-        order = np.argsort(digest, kind="stable")
-        h, digest, df = h[order], digest[order], df[order]
-        d, start = np.unique(digest, return_index=True)
-        stop = np.append(start, len(digest))[1:]
-        return pd.DataFrame({"digest": d, "h": [h[a:b].tobytes() for a, b in zip(start, stop, strict=True)], "df": [df[a:b].tobytes() for a, b in zip(start, stop, strict=True)], "live": (stop - start).astype(np.int64)})
-
-    return live
+            h, df = none, none
+            if whole:
+                h = [_short(np.frombuffer(x, np.uint64), ranges).tobytes() for x in rows["h"]]
+                df = [np.full(len(x) // 8, COMMON, np.int32).tobytes() for x in h]
+            return pd.DataFrame({"block": rows["block"], "owner": rows["owner"], "live": none, "h": h, "df": df, "id": rows["id"], "n": rows["n"], "s": rows["s"], "known": rows["known"]})
+        size = np.array([len(x) // 2 for x in rows["owner"]])
+        owner = np.frombuffer(b"".join(rows["owner"]), np.uint16)
+        low = np.frombuffer(b"".join(rows["h"]), np.uint16).reshape(-1, 3).astype(np.uint64)
+        h = low[:, 0] | (low[:, 1] << np.uint64(16)) | (low[:, 2] << np.uint64(32)) | np.uint64(r << 48)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        order = np.argsort(h, kind="stable")
+        ordered = h[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(h) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(h)))
+        heavy = _short(np.frombuffer(b"".join(rows["hh"]), np.uint64), ranges)
+        if len(heavy) and len(first):
+            at = np.minimum(np.searchsorted(ordered[first], heavy), len(first) - 1)
+            ok = ordered[first][at] == heavy
+            np.add.at(times, at[ok], np.frombuffer(b"".join(rows["hn"]), np.int64)[ok])
+        df = np.empty(len(h), np.int32)
+        df[order] = np.repeat(np.minimum(times, COMMON), np.diff(np.append(first, len(h))))
+        live = df >= 2
+        out: dict[str, list] = {"block": [], "owner": [], "live": [], "h": [], "df": []}
+        edge = np.searchsorted(row[live], np.arange(len(rows) + 1))
+        o, hs, ds = owner[live], h[live], df[live]
+        for k, block in enumerate(rows["block"].tolist()):
+            a, b = edge[k], edge[k + 1]
+            if a < b:
+                out["block"].append(block)
+                which, n = (o[a:b], None) if whole else np.unique(o[a:b], return_counts=True)
+                out["owner"].append(which.tobytes())
+                out["live"].append(None if whole else n.astype(np.int32).tobytes())
+                out["h"].append(hs[a:b].tobytes() if whole else None)
+                out["df"].append(ds[a:b].tobytes() if whole else None)
+        done = pd.DataFrame(out)
+        for c in ("id", "n", "s", "known"):
+            done[c] = None
+        del low, order, ordered, row
+        trim()
+        return done
+
+    return count
+
+
+def _short(h: np.ndarray, ranges: int) -> np.ndarray:
+    """What an entry keeps of a hash: 48 bits and those of its range."""
+    return h & np.uint64((ranges << 48) - 1)
+
+
+def _survivors(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block, the sets of which so much is live that they may link: at most n - need(n) shingles of a set may be missing in the other."""
+    own = rows[rows["id"].notna()].iloc[0]
+    ids, n, s = np.frombuffer(own["id"], np.int64), np.frombuffer(own["n"], np.int32), np.frombuffer(own["s"], np.int32)
+    live = np.frombuffer(own["known"], np.int32).astype(np.int64)
+    for o, c in zip(rows["owner"], rows["live"], strict=True):
+        if c is not None:
+            live[np.frombuffer(o, np.uint16)] += np.frombuffer(c, np.int32)
+    return pd.DataFrame({"digest": ids[live >= s - (n - (PERCENT * n.astype(np.int64) + 99) // 100)]})
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block, its sets' live shingles in the global order (df, hash), with those of the prefix."""
+    own = rows[rows["id"].notna()].iloc[0]
+    ids, size = np.frombuffer(own["id"], np.int64), np.frombuffer(own["n"], np.int32)
+    owner = np.frombuffer(b"".join(rows["owner"]), np.uint16)
+    h, df = np.frombuffer(b"".join(rows["h"]), np.uint64), np.frombuffer(b"".join(rows["df"]), np.int32)
+    order = np.lexsort((h, df, owner))
+    owner, h = owner[order], h[order]
+    edge = np.searchsorted(owner, np.arange(len(ids) + 1))
+    out: dict[str, list] = {"node": [], "n": [], "h": [], "prefix": []}
+    for k, (node, n) in enumerate(zip(ids.tolist(), size.tolist(), strict=True)):
+        part = h[edge[k] : edge[k + 1]]
+        if len(part) >= need(n):
+            out["node"].append(node)
+            out["n"].append(n)
+            out["h"].append(part.tobytes())
+            out["prefix"].append(part[: max(0, n - need(n) + 1 - (n - len(part)))].view(np.int64))
+    return pd.DataFrame(out)
+
+
+def _sets_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, digest, packed text) -> (node, n, h) where the text has the digest."""
+    unpack = zstandard.ZstdDecompressor()
+    for x in batches:
+        texts = pa.array([unpack.decompress(z).decode() for z in x.column(2).to_pylist()], pa.string())
+        raw, off = text_bytes(texts)
+        node, digest = x.column(0).to_pylist(), x.column(1).to_pylist()
+        out: list[tuple[int, int, bytes]] = []
+        for a, b in chunks(off):
+            out += [(node[i], len(s), s.tobytes()) for i, s in enumerate(shingle_sets(raw, off[a : b + 1], WIDTH), a) if set_digest(s) == digest[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["node", "n", "h"])
+    trim()
 
 
 def need(n: int) -> int:
@@ -139,20 +248,6 @@ def need(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Joins the parts of each class, in the global order, with the live shingles of its prefix."""
-    for x in batches:
-        sets, prefix = [], []
-        for n, hs, dfs in zip(x["n_shingles"], x["h"], x["df"], strict=True):
-            h, df = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(dfs), np.int32)
-            h, at = np.unique(h, return_index=True)
-            df = df[at]
-            h = h[np.lexsort((h, df))]
-            sets.append(h.tobytes())
-            prefix.append(h[: max(0, n - need(n) + 1 - (n - len(h)))].view(np.int64))
-        yield pd.DataFrame({"node": x["node"], "n": x["n_shingles"], "h": sets, "prefix": prefix})
-
-
 class Trie:
     """Path-compressed prefix tree over integer sets in one order; nodes in depth-first order."""
 
@@ -275,32 +370,67 @@ def _tile(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": node[left] if len(left) else np.zeros(0, np.int64), "b": node[right] if len(right) else np.zeros(0, np.int64)})
 
 
+def _bits(entries: float | None) -> int:
+    """Bits that name a range, so that a range has about RANGE_ENTRIES."""
+    return min(13, max(4, math.ceil(math.log2(max(1.0, (entries or 0) / RANGE_ENTRIES)))))
+
+
+def link_members(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what links connect inside each candidate component; members: (node, of).
+
+    A component of up to TILE members is one group. A larger one is dealt to tiles; each is joined with itself, then one member of each part of each tile
+    stands for the part and these are linked in the same way. Most large groups are connected by now; of those that are not, all pairs of
+    tiles are joined. So a group of near copies costs about its size, and no task holds more than two tiles.
+    """
+    size = members.groupBy("of").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    placed = stored(members.join(size, "of").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
+    large = placed.where("tiles > 1")
+    kind = "a long, b long"
+
+    def joined(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.join(sets, "node").groupBy("of", *key).applyInPandas(_tile, kind)
+
+    own = joined(placed.select("of", "t", "node"), "t")
+    if not large.take(1):
+        return own
+    own = stored(own)
+    part = components(own).withColumnRenamed("id", "node").withColumnRenamed("component_id", "c")
+    standing = large.join(part, "node", "left").groupBy("of", "t", F.coalesce("c", "node").alias("c")).agg(F.min("node").alias("node")).select("node", "of")
+    if standing.count() <= 0.5 * large.count():
+        own = stored(own.unionByName(link_members(standing, sets)))
+        part = components(own).withColumnRenamed("id", "node").withColumnRenamed("component_id", "c")
+    labels = large.join(part, "node", "left").groupBy("of").agg(F.min(F.coalesce("c", "node")).alias("lo"), F.max(F.coalesce("c", "node")).alias("hi"))
+    apart = large.join(labels.where("lo <> hi").select("of"), "of", "left_semi")
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: k != F.col("t"))
+    pairs = apart.withColumn("u", F.explode(others)).select("of", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node")
+    return own.unionByName(joined(pairs, "i", "j"))
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id = smallest id reachable by links).
 
     Null or wordless text: n_shingles 0, component_id its own id. Repeated ids or texts: a row each, texts linked. Null id: component_id
     is the smallest id that is not null, null if there is none. Other columns of docs, whatever their names, are not looked at.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kinds = cut(rows.mapInArrow(_class_batches, "doc_id long, n_shingles long, digest long"))
     classes = kinds.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"))
-    entries = kinds.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = min(14, max(4, math.ceil(math.log2(max(1, entries / RANGE_ENTRIES)))))
-    ranged = rows.select("text").mapInArrow(_range_rows(bits), _RANGE)
-    live = ranged.groupBy("r").applyInPandas(_live_of(bits), "digest long, h binary, df binary, live long")
-    per = live.groupBy("digest").agg(F.collect_list("h").alias("h"), F.collect_list("df").alias("df"), F.sum("live").alias("live"))
-    some = per.join(classes, "digest").where(f"100 * live >= {PERCENT} * n_shingles and node is not null").select("node", "n_shingles", "h", "df")
-    sets = cut(some.mapInPandas(_ordered, "node long, n long, h binary, prefix array<long>"))
+    bits = _bits((kinds.agg(F.sum("n_shingles")).first()[0] or 0) * PART / 8)
+    dealt = rows.select("text").mapInArrow(_text_blocks(bits, PART), Blocks.schema)
+    counted = dealt.groupBy("r").applyInPandas(_counted(bits, False), _COUNTED)
+    alive = counted.groupBy("block").applyInPandas(_survivors, "digest long").distinct()
+    nodes = cut(alive.join(classes, "digest").where("node is not null").select("node", "digest", "n_shingles"))
+    named = packed(rows).join(nodes.select("node", "digest"), F.col("doc_id") == F.col("node")).where("text is not null").select("node", "digest", "text")
+    whole = stored(named.mapInArrow(_sets_of_nodes, "node long, n long, h binary"))
+    bits = _bits(nodes.agg(F.sum("n_shingles")).first()[0])
+    dealt = whole.mapInArrow(_set_blocks(bits), Blocks.schema)
+    counted = dealt.groupBy("r").applyInPandas(_counted(bits, True), _COUNTED)
+    sets = cut(counted.groupBy("block").applyInPandas(_ordered, "node long, n long, h binary, prefix array<long>"))
     keys = sets.select("node", F.explode("prefix").alias("g"))
     star = keys.groupBy("g").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1")
     near = components(keys.join(star, "g").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
-    size = near.groupBy("component_id").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = near.withColumnRenamed("id", "node").join(size, "component_id").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # a component of one tile joins it with itself; of more, each pair of tiles is a group
-    placed = placed.withColumn("u", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: k != F.col("t")))))
-    placed = placed.select("component_id", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node")
-    edges = placed.join(sets.select("node", "n", "h"), "node").groupBy("component_id", "i", "j").applyInPandas(_tile, "a long, b long")
+    edges = link_members(near.select(F.col("id").alias("node"), F.col("component_id").alias("of")), sets.select("node", "n", "h"))
     linked = components(edges)
     final = classes.join(linked.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component_id", "node").alias("c"))
     return kinds.join(final, "digest", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

@@ -52,6 +52,25 @@ def test_small_cases(spark, monkeypatch, tile):
     assert got == brute(rows)
 
 
+def test_large_components_by_tiles(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr("lodestone.llm.ngram_join.TILE", 8)
+    r = random.Random(5)
+    rows = []
+    for g in range(3):  # chains of slowly changing texts, and one group of near copies
+        words = [f"g{g}w{i}" for i in range(40)]
+        for k in range(45):
+            if g < 2:
+                words[(3 * k) % 40] = f"g{g}x{k}"
+                rows.append((1000 * g + r.randrange(500) * 2 + k % 2, " ".join(words)))
+            else:
+                rows.append((1000 * g + k, " ".join(w if i != k % 40 else "y" for i, w in enumerate(words))))
+    rows = list(dict(rows).items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard(df).collect()} == brute(rows)
+
+
 def test_empty_null_ids_and_repeats(spark):
     kind = "doc_id long, text string"
     assert ngram_jaccard(spark.createDataFrame([], kind)).collect() == []
