@@ -25,3 +25,12 @@ def get_session(master: str | None = None, app: str = "lodestone", **conf: str)
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the session began in another folder; a cluster is given the package by spark.submit.pyFiles as usual."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
