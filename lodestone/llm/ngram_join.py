@@ -183,9 +183,9 @@ def _counted(bits: int, whole: bool):
                 out["live"].append(None if whole else n.astype(np.int32).tobytes())
                 out["h"].append(hs[a:b].tobytes() if whole else None)
                 out["df"].append(ds[a:b].tobytes() if whole else None)
-        done = pd.DataFrame(out)
+        done = pd.DataFrame({"block": np.array(out["block"], np.int64)} | {c: pd.Series(v, dtype=object) for c, v in out.items() if c != "block"})
         for c in ("id", "n", "s", "known"):
-            done[c] = None
+            done[c] = pd.Series([None] * len(done), dtype=object)
         del low, order, ordered, row
         trim()
         return done
@@ -226,7 +226,8 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
             out["n"].append(n)
             out["h"].append(part.tobytes())
             out["prefix"].append(part[: max(0, n - need(n) + 1 - (n - len(part)))].view(np.int64))
-    return pd.DataFrame(out)
+    # no row at all must still have columns of the right kinds
+    return pd.DataFrame({"node": np.array(out["node"], np.int64), "n": np.array(out["n"], np.int64), "h": pd.Series(out["h"], dtype=object), "prefix": pd.Series(out["prefix"], dtype=object)})
 
 
 def _sets_of_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

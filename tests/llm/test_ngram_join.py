@@ -77,6 +77,8 @@ def test_empty_null_ids_and_repeats(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "A b c d e f"), (None, None)]
     got = sorted(map(tuple, ngram_jaccard(spark.createDataFrame(rows, kind)).collect()), key=str)
     assert got == sorted([(None, 2, 5), (5, 2, 5), (5, 2, 5), (7, 2, 5), (None, 0, None)], key=str)
+    few = spark.createDataFrame([(1, "the dog " * 40), (2, "x")], kind)  # only sets that nothing can link with are left at the end
+    assert sorted(map(tuple, ngram_jaccard(few).collect())) == [(1, 2, 1), (2, 1, 2)]
     kept = pipeline_stage(spark, spark.createDataFrame(rows, kind), "")
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 5]
 
