@@ -23,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, chunks, mix64, stored, table, text_bytes
+from .common import BYTE_CODE, chunks, mix64, small_batches, stored, table, text_bytes, trim
 
 LENGTH, ANCHOR = 400, 96
 #: Kinds of segments of one anchor that one tile holds, and kinds that a group of anchors holds, about.
@@ -89,11 +90,15 @@ def _text_key(raw: np.ndarray, a: int, b: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-_SEGMENT = "t1 long, t2 long, lo int, hi int, p int, h long, g long"
+_SEGMENT = "t1 long, t2 long, lo int, hi int, p int, h long, g long, known boolean"
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of each text; a text that a task meets more than twice is passed over from then on, as two copies tell that it repeats."""
+    """Segments of each text; a text that a task meets more than twice is passed over from then on, as two copies tell that it repeats.
+
+    Of equal segments of one chunk the first two go to their group; the others are known to repeat and are dealt at random, so that a common
+    passage does not make one large group.
+    """
     met: dict[tuple[int, int], int] = {}
     for x in batches:
         raw, off = text_bytes(x.column(0))
@@ -112,11 +117,18 @@ def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if times <= 2 and len(met) < 500_000:
                     met[key] = times
             row, lo, hi, place, h, g = (v[more[row]] for v in (row, lo, hi, place, h, g))
+            order = np.lexsort((g, h))
+            begin = np.ones(len(h), bool)
+            begin[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+            known = np.zeros(len(h), bool)
+            known[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0)) >= 2
+            h = np.where(known, mix64(keys[row, 0].view(np.uint64) + lo.astype(np.uint64)), h)
             start = rel[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[row, 0]), pa.array(keys[row, 1])] + [pa.array((v - start).astype(np.int32)) for v in (lo, hi, place)] + [pa.array(h.view(np.int64)), pa.array(g.view(np.int64))],
-                ["t1", "t2", "lo", "hi", "p", "h", "g"],
+                [pa.array(keys[row, 0]), pa.array(keys[row, 1])] + [pa.array((v - start).astype(np.int32)) for v in (lo, hi, place)] + [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(known)],
+                ["t1", "t2", "lo", "hi", "p", "h", "g", "known"],
             )
+    trim()
 
 
 _KIND = "full boolean, first boolean, " + _SEGMENT
@@ -127,6 +139,10 @@ def _kind_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     carry: pa.RecordBatch | None = None
     open_key: tuple[int, int] | None = None
     for x in batches:
+        sure = x.filter(x.column(7))
+        if len(sure):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(sure), bool)), pa.array(np.zeros(len(sure), bool)), *sure.columns], ["full", "first", *sure.schema.names])
+            x = x.filter(pc.invert(x.column(7)))
         t = x if carry is None else pa.Table.from_batches([carry, x]).combine_chunks().to_batches()[0]
         carry = None
         h, g = t.column(5).to_numpy(), t.column(6).to_numpy()
@@ -329,6 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty: all zeros and the digest of no bytes. Texts under 400 bytes lose nothing. Copies, also under equal or null ids,
     are other places of the same strings. Other columns of docs are not looked at.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long = rows.where(F.octet_length("text") >= LENGTH)
     seg = long.select("text").mapInArrow(_segment_batches, _SEGMENT)

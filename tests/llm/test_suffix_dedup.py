@@ -47,6 +47,7 @@ def test_small_cases(spark, monkeypatch, tile):
     rows = [(1, word(300) + p + word(200)), (2, word(10) + p[100:700] + word(10)), (3, None), (4, ""), (5, "x" * 1500), (6, word(3000))]
     rows += [(7, p[:399]), (8, word(500) + p[300:] + word(50) + p[:420]), (None, word(20) + p), (6, p[5:]), (9, "ab" * 300 + word(100)), (10, "q" + p[200:640])]
     rows += [(20 + k, word(60) + p[k * 11 : k * 11 + 480] + word(60)) for k in range(8)]
+    rows += [(40 + k, word(30) + p[:600] + word(30)) for k in range(9)] + [(60, p), (61, p), (62, p), (63, p)]
     df = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, n_bytes string")
     assert got_of(remove_repeats(df)) == brute(rows)
 
