@@ -28,7 +28,7 @@ class Engine:
         for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
             if (v := spark.conf.get(k, None)) is not None:
                 self.session.conf.set(k, v)
-        self.functions = aliases.register(self.session)
+        self.functions: set[str] = set()
         self.tables: dict[str, DataFrame] = {}
 
     def register(self, name: str, source: str | DataFrame, options: CsvOptions | None = None) -> DataFrame:
@@ -52,6 +52,7 @@ class Engine:
 
     def sql(self, query: str, limit: int | None = None) -> DataFrame:
         """The result of a query; limit goes into the plan."""
+        self._define(query)
         try:
             parts = union_by_name(query)
             if parts:
@@ -65,7 +66,13 @@ class Engine:
             raise QueryError(str(e).split("\n")[0], hint[0] if hint else None) from e
         return df if limit is None else df.limit(limit)
 
+    def _define(self, query: str) -> None:
+        """Function aliases are created when a query first calls them."""
+        new = [x for x in aliases.used(query) if x not in self.functions]
+        self.functions.update(aliases.register(self.session, new))
+
     def explain(self, query: str) -> str:
+        self._define(query)
         return self.session.sql(rewrite(query))._jdf.queryExecution().explainString(self.session._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def names(self) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 _DEG = "DEGREES({}(x))"
@@ -42,10 +44,15 @@ def _pattern_sql() -> str:
     return out
 
 
-def register(session: SparkSession) -> list[str]:
-    """Creates the aliases in a session; names that Spark has are left alone."""
-    names = []
-    for name, (params, kind, body) in ALIASES.items():
+def used(sql: str) -> list[str]:
+    """Aliases that a query may call."""
+    return [name for name in ALIASES if re.search(rf"\b{name}\s*\(", sql, re.I)]
+
+
+def register(session: SparkSession, names: list[str] | None = None) -> list[str]:
+    """Creates the aliases (all, or some) in a session; names that Spark has are left alone."""
+    names = list(ALIASES) if names is None else names
+    for name in names:
+        params, kind, body = ALIASES[name]
         session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body.replace('{f}', _pattern_sql())}")
-        names.append(name)
     return names
