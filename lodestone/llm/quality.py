@@ -22,6 +22,8 @@ from .common import small_batches, table, trim
 BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 8, 6, 0.5, 2500
 #: Words whose features a worker remembers.
 REMEMBERED = 250_000
+#: Characters of a word up to which its features are a list and remembered; those of a longer one are hashed by numpy, PIECE characters at once.
+SHORT, PIECE = 60, 1 << 16
 
 
 def _features(word: str) -> list[int]:
@@ -29,10 +31,37 @@ def _features(word: str) -> list[int]:
     n = len(data)
     out = [zlib.crc32(word.encode()) % BUCKETS]
     for k in (3, 4, 5):
-        out += [zlib.crc32(data[i : i + k].encode(), k) % BUCKETS for i in range(min(n - k + 1, 60))] if n >= k else []
+        out += [zlib.crc32(data[i : i + k].encode(), k) % BUCKETS for i in range(n - k + 1)]
     return out
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t.astype(np.uint32)
+
+
+_CRC = _crc_table()
+
+
+def _long_features(word: str) -> Iterator[np.ndarray]:
+    """What _features gives, for a word of any length in arrays of bounded size."""
+    yield np.array([zlib.crc32(word.encode()) % BUCKETS])
+    data = f"<{word}>"
+    for a in range(0, len(data), PIECE):
+        raw = np.frombuffer(data[a : a + PIECE + 4].encode(), np.uint8)
+        edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        for k in (3, 4, 5):
+            first = edge[: min(PIECE, max(0, len(edge) - k))]
+            size = edge[k : k + len(first)] - first
+            crc = np.full(len(first), k ^ 0xFFFFFFFF, np.uint32)
+            for j in range(int(size.max(initial=0))):
+                more = np.flatnonzero(size > j)
+                crc[more] = _CRC[(crc[more] ^ raw[first[more] + j]) & 0xFF] ^ (crc[more] >> 8)
+            yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
+
+
 _SAME, _OTHER = zlib.crc32(b"\x00same") % BUCKETS, zlib.crc32(b"\x00other") % BUCKETS
 
 
@@ -46,6 +75,12 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     out: Counter = Counter()
     for w, n in Counter(words).items():
+        if len(w) > SHORT:
+            for part in _long_features(w):
+                f, times = np.unique(part, return_counts=True)
+                for x, m in zip(f.tolist(), times.tolist(), strict=True):
+                    out[x] += n * m
+            continue
         for f in _features(w):
             out[f] += n
     same, other = _pairs(words)
@@ -79,7 +114,10 @@ class Model:
             total, count = 0.0, 0
             for w, n in Counter(words).items():
                 got = known.get(w)
-                if got is None:
+                if got is None and len(w) > SHORT:
+                    parts = [(float(folded[f].sum(dtype=np.float64)), len(f)) for f in _long_features(w)]
+                    got = (sum(p for p, _ in parts), sum(m for _, m in parts))
+                elif got is None:
                     f = _features(w)
                     got = (float(folded[f].sum()), len(f))
                     if len(known) > REMEMBERED:

@@ -30,3 +30,24 @@ def test_folded_scores_equal_the_network(spark):
         want = 1 / (1 + np.exp(-((model.folded[f] * n).sum() / n.sum() + model.bias)))
         assert abs(of(text) - want) < 1e-5
     assert of("spam! spam!") > 0.9 > 0.1 > of("fine prose")
+
+
+def test_every_part_of_a_long_word_counts():
+    import zlib
+    from collections import Counter
+
+    def every(word):
+        data = f"<{word}>"
+        return Counter([zlib.crc32(word.encode()) % quality.BUCKETS] + [zlib.crc32(data[i : i + k].encode(), k) % quality.BUCKETS for k in (3, 4, 5) for i in range(len(data) - k + 1)])
+
+    for word in ("x" * 61, "aé中🙂" * 50, "0123456789abcdef" * 9000, "ก" * 70_000 + "z"):
+        f, n = quality.document_features(word)
+        assert dict(zip(f.tolist(), n.tolist(), strict=True)) == every(word)
+    rows = [(k % 2, *quality.document_features("x" * 70 + ("spam" if k % 2 else "fine") * (20 + k))) for k in range(40)]
+    model = quality.fit(rows)
+    of = model.scorer()
+    for tail in ("spam", "fine"):
+        text = "x" * 70 + tail * 45
+        f, n = quality.document_features(text)
+        assert abs(of(text) - 1 / (1 + np.exp(-((model.folded[f] * n).sum() / n.sum() + model.bias)))) < 1e-5
+    assert of("x" * 70 + "spam" * 45) > 0.9 > 0.1 > of("x" * 70 + "fine" * 45)
