@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, small_batches, stored, table, text_bytes, trim, unpacked
@@ -44,7 +44,7 @@ def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for a, b in chunks(off):
             for i, s in enumerate(shingle_sets(raw, off[a : b + 1], WIDTH), a):
                 size[i], digest[i] = len(s), set_digest(s)
-        yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(digest)], ["doc_id", "n_shingles", "digest"])
+        yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(digest), x.column(2)], ["doc_id", "n_shingles", "digest", "rid"])
     trim()
 
 
@@ -407,23 +407,30 @@ def link_members(members: DataFrame, sets: DataFrame) -> DataFrame:
     return own.unionByName(joined(pairs, "i", "j"))
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id = smallest id reachable by links).
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Hash of a row's id and text: rows of one key are copies of each other."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
 
-    Null or wordless text: n_shingles 0, component_id its own id. Repeated ids or texts: a row each, texts linked. Null id: component_id
-    is the smallest id that is not null, null if there is none. Other columns of docs, whatever their names, are not looked at.
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest, rid) of each row, and (digest, c, component_id) of each class of rows with equal sets of shingles.
+
+    A class is named by its digest, never by an id, so ids that are null or occur twice join nothing. c names the classes that links connect,
+    component_id is the smallest id in them, null if all are null. Rows without words are in no class.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = cut(rows.mapInArrow(_class_batches, "doc_id long, n_shingles long, digest long"))
-    classes = kinds.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("rid"))
+    kinds = cut(rows.mapInArrow(_class_batches, "doc_id long, n_shingles long, digest long, rid long"))
+    classes = kinds.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n_shingles").alias("n_shingles"))
     bits = _bits((kinds.agg(F.sum("n_shingles")).first()[0] or 0) * PART / 8)
     dealt = rows.select("text").mapInArrow(_text_blocks(bits, PART), Blocks.schema)
     counted = dealt.groupBy("r").applyInPandas(_counted(bits, False), _COUNTED)
     alive = counted.groupBy("block").applyInPandas(_survivors, "digest long").distinct()
-    nodes = cut(alive.join(classes, "digest").where("node is not null").select("node", "digest", "n_shingles"))
-    named = packed(rows).join(nodes.select("node", "digest"), F.col("doc_id") == F.col("node")).where("text is not null").select("node", "digest", "text")
+    nodes = cut(alive.join(classes, "digest").select("rid", "digest", "n_shingles"))
+    named = packed(rows.select("rid", "text")).join(nodes.select("rid", "digest"), "rid").where("text is not null").select(F.col("digest").alias("node"), "digest", "text")
     whole = stored(named.mapInArrow(_sets_of_nodes, "node long, n long, h binary"))
+    if whole.groupBy("node").count().where("count > 1").take(1):  # rows with one id and text
+        whole = whole.dropDuplicates(["node"])
     bits = _bits(nodes.agg(F.sum("n_shingles")).first()[0])
     dealt = whole.mapInArrow(_set_blocks(bits), Blocks.schema)
     counted = dealt.groupBy("r").applyInPandas(_counted(bits, True), _COUNTED)
@@ -432,9 +439,22 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = keys.groupBy("g").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1")
     near = components(keys.join(star, "g").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
     edges = link_members(near.select(F.col("id").alias("node"), F.col("component_id").alias("of")), sets.select("node", "n", "h"))
-    linked = components(edges)
-    final = classes.join(linked.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component_id", "node").alias("c"))
-    return kinds.join(final, "digest", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    linked = components(edges).select(F.col("id").alias("digest"), F.col("component_id").alias("c"))
+    lowest = linked.join(classes.select("digest", "least"), "digest").groupBy("c").agg(F.min("least").alias("component_id"))
+    of_linked = linked.join(lowest, "c").withColumn("linked", F.lit(True))
+    final = classes.join(of_linked, "digest", "left")
+    return kinds, final.select("digest", F.coalesce("c", "digest").alias("c"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: (id, n_shingles, component_id = smallest id reachable by links).
+
+    Null or wordless text: n_shingles 0, component_id its own id. Repeated ids or texts: a row each, texts linked; rows are not linked by
+    their ids. Null id: component_id is the smallest id that is not null, null if there is none. Other columns of docs, whatever their names,
+    are not looked at.
+    """
+    kinds, final = link_classes(docs, id_col, text_col)
+    return kinds.join(final, "digest", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -442,11 +462,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the row with the smallest doc_id (of rows with one id one)."""
-    found = stored(ngram_jaccard(docs))
-    group = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    rows = packed(docs)
-    kept = rows.join(group, rows["doc_id"].eqNullSafe(group["keep_id"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return unpacked(kept)
+    """Keeps of each group of linked rows one, and every row that links with nothing, those without words too.
+
+    Of a group the row with the smallest doc_id stays, one with a null id only where all ids are null; then the smallest hash of id and text decides.
+    Of rows with one id and one text any may stay.
+    """
+    kinds, final = link_classes(docs)
+    found = stored(kinds.join(final, "digest", "left").select("doc_id", "rid", "c", "component_id"))
+    first = found.where("c is not null and doc_id <=> component_id").groupBy("c").agg(F.min("rid").alias("rid"), F.first("doc_id").alias("id"))
+    keep = first.select("rid", F.col("id").alias("keep_id"), F.lit(True).alias("one")).unionByName(found.where("c is null").select("rid", F.col("doc_id").alias("keep_id"), F.lit(False).alias("one")).distinct())
+    keep = cut(keep.withColumnRenamed("rid", "keep_rid"))
+    rows = packed(docs.withColumn("__rid", row_key(F.col("doc_id"), F.col("text"))))
+    kept = rows.join(keep, (F.col("__rid") == F.col("keep_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")))
+    if found.where("c is not null").groupBy("doc_id", "rid").count().where("count > 1").take(1):
+        kept = kept.where("one").dropDuplicates(["__rid", "doc_id"]).unionByName(kept.where("not one"))
+    return unpacked(kept.select(*docs.columns))

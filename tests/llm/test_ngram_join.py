@@ -111,3 +111,19 @@ def test_trie_links_what_brute_force_links():
 
     every = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))]
     assert groups(zip(left.tolist(), right.tolist(), strict=True)) == groups(every)
+
+
+def test_stage_keeps_what_links_with_nothing_whatever_its_id(spark):
+    first = [f"a{i}" for i in range(30)]
+    rows = [(None, f"alone n{k} m{k} o{k} p{k} q{k}") for k in range(4)] + [(None, None), (None, ""), (None, "")]
+    rows += [(3, "one id of its own here"), (3, "and another text under it"), (3, "and another text under it")]
+    rows += [(None, " ".join(first)), (9, " ".join([*first[:29], "x"])), (9, "quite something else than that is"), (None, "only null ids have this"), (None, "Only null ids have this")]
+    kind = "doc_id long, text string"
+    found = {(r.doc_id, r.component_id) for r in ngram_jaccard(spark.createDataFrame(rows, kind)).where("n_shingles > 20").collect()}
+    assert found == {(None, 9), (9, 9)}  # a class without ids is linked too
+    kept = [tuple(r) for r in pipeline_stage(spark, spark.createDataFrame(rows, kind), "").collect()]
+    want = [*rows[:8], rows[8], rows[11], rows[12]]
+    assert sorted((r for r in kept if r[1] not in (rows[13][1], rows[14][1])), key=str) == sorted(want, key=str)
+    assert sum(t in (rows[13][1], rows[14][1]) for _, t in kept) == 1
+    one_null = [(None, "a b c d e f"), (5, "a b c d e f")]
+    assert [r.doc_id for r in pipeline_stage(spark, spark.createDataFrame(one_null, kind), "").collect()] == [5]
