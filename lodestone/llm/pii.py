@@ -2,7 +2,8 @@
 
 Found and validated: payment cards (13 to 19 digits, Luhn), phone numbers (+ and 8 to 15 digits), IPv4 addresses (octets under 256), dates of 1900 to 2099
 (real days; yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, else mm/dd/yyyy), US social security numbers (issuable ones), IBANs (mod 97), e-mail addresses,
-and secrets (named passwords, tokens and keys). What does not validate stays as it is.
+and secrets (named passwords, tokens and keys: the value, of six characters or more, runs to the next white space or quote, whatever its length
+and signs, so a comma or stop right behind it is taken for a part of it). What does not validate stays as it is.
 
 A number is permuted by a keyed Feistel network over the halves of its digits, within its format: a card keeps its length, signs and a right check digit,
 an address stays one of four octets, a day becomes another day of the range, an issuable number another (values that leave the range walk on through the
@@ -20,7 +21,7 @@ from .common import table
 ROUNDS = 8
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"',;*%&$#!]{6,200}",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}+",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?" + _E,
     "phone": r"(?<![\p{L}\p{N}+])\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{8,15}|(?!1[^0-9])[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-][0-9]{2,5}){2,4})(?![\p{L}\p{N}]|\.[0-9])",
@@ -121,7 +122,9 @@ def replacement(m: Column, key: str) -> Column:
     n = F.length(d)
     head = F.regexp_extract(m, r"(?i)^([^=:]+[=:]\s*[\"']?)", 1)
     value = F.substring(m, F.length(head) + 1, F.length(m))
-    hashed = F.substring(F.concat(*[F.sha2(F.concat(F.lit(f"{key}|secret|{i}|"), value), 256) for i in range(4)]), F.lit(1), F.length(value))
+    parts = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int"))
+    digests = F.transform(parts, lambda i: F.sha2(F.concat(F.lit(f"{key}|secret|"), i.cast("string"), F.lit("|"), value), 256))
+    hashed = F.substring(F.array_join(digests, ""), F.lit(1), F.length(value))
     secret = out("secret", F.concat(head, F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(hashed)).otherwise(hashed)))
     email = out("email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid")))
     bare = F.regexp_replace(m, " ", "")

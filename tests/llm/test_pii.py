@@ -148,3 +148,16 @@ def test_no_python_and_empty(spark):
     plan = pii.op2(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_secrets_of_any_length_and_with_signs(spark):
+    token = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(8))[:500]
+    values = [token, "Pa$$w0rd123", "Tr0ub4dor&3", "a,b;c*d%e#f!g", "!!$$##%%", token * 20]
+    texts = [f"{name}{v}{end}" for v in values for name, end in (("token=", " is it"), ('password: "', '" and more'), ("pwd=", "\nnext line"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, KEY).collect()}
+    for i, (v, (name, end)) in enumerate((v, x) for v in values for x in (("token=", " is it"), ('password: "', '" and more'), ("pwd=", "\nnext line"))):
+        new = got[i].text
+        assert new.startswith(name) and new.endswith(end) and len(new) == len(texts[i]) and got[i].pii_kinds == ["secret"]
+        digest = "".join(hashlib.sha256(f"{KEY}|secret|{k}|{v}".encode()).hexdigest() for k in range(len(v) // 64 + 1))[: len(v)]
+        assert new[len(name) : len(new) - len(end)].lower() == digest
