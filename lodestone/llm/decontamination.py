@@ -3,6 +3,7 @@
 1. Five-word shingles of all documents meet the shingles of the benchmark items (broadcast after a count). An item and a text stay together if they share
    enough shingles anywhere for a similarity of 75 %.
 2. In such texts every item-sized window that an aligned shared shingle names, and those between two near ones, gets a 64-bit SimHash of its shingles.
+   A text with fewer words than the item is one window as a whole.
    Windows and items meet on any of BLOCKS equal blocks of the fingerprints: two fingerprints that differ in at most RADIUS = BLOCKS - 1 bits agree in a block.
 3. Pairs within the radius are verified: similarity is the weighted Jaccard index of the shingles, a shingle weighing as often as it occurs.
 
@@ -83,11 +84,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for width in sorted({r.width for r in facts} | {WIDTH}):
         part = cut.select("doc_id", "k", "len", F.lit(width).alias("width"), F.size("w").alias("words"), F.posexplode(shingles(F.col("w"), width)).alias("p", "h"))
         seen = part if seen is None else seen.unionByName(part)
-    hits = seen.join(sought, ["width", "h"]).where("words >= m")
+    hits = seen.join(sought, ["width", "h"])
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("words") - F.col("m")))
-    # overlap / (2 n - overlap) >= 0.75 with n shingles on either side
-    need = F.ceil((F.col("m") - F.col("width") + 1) * 2 * PERCENT / (100 + PERCENT))
-    near = hits.groupBy("k", "len", "item_id", "m", "width").agg(F.count("*").alias("shared"), F.sort_array(F.collect_set(start)).alias("starts"), F.min("doc_id").alias("one")).where(F.col("shared") >= need)
+    # overlap / (n + n' - overlap) >= 0.75 with n shingles of the item and n' of the window, which is the whole of a text with fewer words
+    both = F.col("m") + F.least("m", "words") - 2 * F.col("width") + 2
+    need = F.ceil(both * PERCENT / (100 + PERCENT))
+    near = hits.groupBy("k", "len", "item_id", "m", "width", "words").agg(F.count("*").alias("shared"), F.sort_array(F.collect_set(start)).alias("starts"), F.min("doc_id").alias("one")).where(F.col("shared") >= need)
     between = F.flatten(F.transform("starts", lambda s, i: F.sequence(s, F.greatest(s, F.least(F.coalesce(F.get(F.col("starts"), i + 1) - 1, s), s + F.floor(F.col("m") / 4).cast("int"))))))
     windows = near.select("k", "len", "one", "m", "width", F.explode(F.array_distinct(between)).alias("start")).distinct()
     wanted = windows.groupBy(F.col("k").alias("k2"), F.col("len").alias("len2"), "one").agg(F.collect_list(F.struct("m", "width", "start")).alias("windows"))
@@ -103,7 +105,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     pairs = probes.join(targets, ["m", "block"]).withColumn("distance", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))))
     pairs = pairs.where(F.col("distance") <= RADIUS).select("k", "len", "item_id", "start", "distance", "own", "its").distinct()
     common = F.size(F.array_intersect(occurrences(F.col("own")), occurrences(F.col("its"))))
-    scored = pairs.withColumn("common", common).withColumn("all", 2 * F.size("its") - F.col("common")).where(F.col("common") * 100 >= F.col("all") * PERCENT)
+    scored = pairs.withColumn("common", common).withColumn("all", F.size("own") + F.size("its") - F.col("common")).where(F.col("common") * 100 >= F.col("all") * PERCENT)
     best = scored.groupBy("k", "len", "item_id").agg(F.max(F.struct((F.col("common") / F.col("all")).alias("similarity"), (-F.col("start")).alias("back"), F.col("distance"))).alias("b"))
     best = best.select("k", "len", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.distance").cast("long").alias("distance"))
     return keyed.select("doc_id", "k", "len").distinct().join(best, ["k", "len"]).groupBy(F.col("doc_id").alias(id_col), "item_id").agg(F.max("similarity").alias("similarity"), F.max_by("start_word", "similarity").alias("start_word"), F.max_by("distance", "similarity").alias("distance"))

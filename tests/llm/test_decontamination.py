@@ -82,3 +82,24 @@ def test_fingerprints_within_the_radius_share_a_block(spark):
         pairs.append((a - 2**63, (a ^ sum(1 << j for j in r.sample(range(64), D.RADIUS))) - 2**63))
     df = spark.createDataFrame(pairs, "a long, b long")
     assert df.select(D.F.size(D.F.array_intersect(D.blocks(D.F.col("a")), D.blocks(D.F.col("b")))).alias("n")).where("n < 1").count() == 0
+
+
+def test_texts_shorter_than_the_item(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(item[:38])), (2, " ".join(item[2:])), (3, " ".join(item[:18] + item[19:])), (4, " ".join(item[:31])), (5, " ".join(item[:30])), (6, " ".join(item[:4])), (7, " ".join(item[:38]) + " w38 w39")]
+    docs += [(8, "x y x y x y x y x y x"), (9, "just four short"), (10, " ".join(item[:20] + ["q"] + item[21:39]))]
+    items = [(1, " ".join(item)), (2, "x y x y x y x y x y x y"), (3, "just four short words")]
+    want = {}
+    for d, t in docs:
+        for i, u in items:
+            w, v = split(t), split(u)
+            k, size = min(5, len(v)), min(len(w), len(v))
+            bag = Counter(tuple(v[j : j + k]) for j in range(len(v) - k + 1))
+            for s in range(len(w) - size + 1):
+                own = Counter(tuple(w[j : j + k]) for j in range(s, s + size - k + 1))
+                c = sum((own & bag).values())
+                if 100 * c >= 75 * (sum(own.values()) + sum(bag.values()) - c):
+                    want[d, i] = max(want.get((d, i), 0), c / (sum(own.values()) + sum(bag.values()) - c))
+    assert {(1, 1), (2, 1), (4, 1), (7, 1), (8, 2)} <= want.keys() and not {5, 6, 9} & {d for d, _ in want} and want[1, 1] == 34 / 36
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got_of(D.contaminated(d, spark.createDataFrame(items, "item_id long, text string"))) == pytest.approx(want)
