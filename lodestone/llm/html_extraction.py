@@ -37,6 +37,10 @@ _ENDS_P = set("address article aside blockquote center details div dl fieldset f
 _ENDS_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+#: Elements that may stand in a head; what else begins ends an open one, as shown text does.
+_IN_HEAD = set("base basefont bgsound head html link meta noscript script style template title".split())
+
+
 class Block:
     __slots__ = ("linked", "path", "tag", "text")
 
@@ -47,7 +51,7 @@ class Block:
 def _names(rest: str) -> list[str]:
     out = []
     for m in _ATTR.finditer(rest):
-        out += ["c:" + w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")[:12]]
+        out += ["c:" + w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
     return out
 
 
@@ -77,6 +81,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
+        if m.start() > at and hidden and stack[-1][0] == "head" and not page[at : m.start()].isspace():
+            pop(len(stack) - 1)
         if m.start() > at and not hidden:
             text = page[at : m.start()]
             parts.append(text)
@@ -92,6 +98,11 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
         elif m["open"]:
             tag = m["open"].lower()
+            if hidden and stack[-1][0] == "head":
+                if tag == "head":
+                    continue
+                if tag not in _IN_HEAD:
+                    pop(len(stack) - 1)
             if tag == "br":
                 parts.append(" ")
                 continue
@@ -117,6 +128,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 stack.append((tag, path))
                 links += tag == "a"
                 hidden += tag in HIDDEN
+    if at < len(page) and hidden and stack[-1][0] == "head" and not page[at:].isspace():
+        pop(len(stack) - 1)
     if at < len(page) and not hidden:
         parts.append(page[at:])
         linked += len(page) - at if links else 0

@@ -58,3 +58,17 @@ def test_whole_table_and_edges(spark):
     assert H.extract(spark.createDataFrame([], kind)).collect() == []
     rows = [(None, None, None, "c"), (1, "u", "", "c"), (1, "u", "<article><p>" + "long " * 50_000 + "</p></article>", "c")]
     assert sorted(r.n_chars for r in H.extract(spark.createDataFrame(rows, kind)).collect()) == [0, 0, 249_999]
+
+
+@pytest.mark.parametrize("begin", ["<body>", "", "<BODY class=x>", "<svg><text>no</text></svg>"])
+def test_head_without_its_end(begin):
+    head = "<!doctype html><html><head><meta charset=utf-8><title>Site title</title><link rel=icon href=x><style>p{}</style><script>var a='<p>no</p>'</script><noscript>none</noscript>\n"
+    page = head + begin + "<article><h1>Head line</h1><p>Body text goes here, long enough.</p></article>"
+    assert H.main_text(page, H.trained()) == "Head line\n\nBody text goes here, long enough."
+    assert [b.text for b in H.leaf_blocks("<head><title>T</title>Text right behind it<p>More")] == ["Text right behind it", "More"]
+    assert H.leaf_blocks("<head><title>T</title> <meta name=a> </head> ") == []
+
+
+def test_all_names_of_an_attribute():
+    classes = " ".join(f"u{chr(97 + k)}" for k in range(12))
+    assert "c:sidebar" in H.leaf_blocks(f'<div class="{classes} sidebar"><p>x</p></div>')[0].path
