@@ -7,6 +7,7 @@ its terms become one filter on postings, the tree one boolean expression over th
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Callable
@@ -237,17 +238,15 @@ class TextIndex:
             p = p.where(F.col("bucket").isin(buckets))
         return p
 
-    def expand(self, node: Node, limit: int = 1000) -> list[tuple[str, int]]:
-        """Vocabulary terms of a prefix or fuzzy leaf with their distance; the nearest first."""
+    def expand(self, node: Node) -> DataFrame:
+        """(term, distance) of all vocabulary terms of a prefix or fuzzy leaf."""
         word = node.words[0]
         if node.kind == "prefix":
-            found = self.postings.where(F.col("term").startswith(word)).select("term").distinct().withColumn("distance", F.lit(0))
-        else:
-            # a transposition costs at most two edits, so two of them at most four
-            close = self.postings.where(F.levenshtein(F.col("term"), F.lit(word), 4) >= 0).select("term").distinct()
-            far = F.udf(lambda t: damerau(t, word, 2), T.IntegerType())
-            found = close.withColumn("distance", far("term")).where("distance <= 2")
-        return [(r.term, r.distance) for r in found.orderBy("distance", "term").limit(limit).collect()]
+            return self.postings.where(F.col("term").startswith(word)).select("term").distinct().withColumn("distance", F.lit(0))
+        # a transposition costs at most two edits, so two of them at most four
+        close = self.postings.where(F.levenshtein(F.col("term"), F.lit(word), 4) >= 0).select("term").distinct()
+        far = F.udf(lambda t: damerau(t, word, 2), T.IntegerType())
+        return close.withColumn("distance", far("term")).where("distance <= 2")
 
     def search(self, query: str | Node, k: int = 100, file_type: str | None = None) -> DataFrame:
         """(doc_id, score, path, file_type, content): the best k documents. Fuzzy matches are ordered by their distance first."""
@@ -255,32 +254,37 @@ class TextIndex:
         spark = self.docs.sparkSession
         if node is None:
             return self.docs.select("doc_id", F.lit(0.0).alias("score"), "path", "file_type", "content").limit(0)
-        groups = {id(x): dict(self.expand(x)) if x.kind in ("prefix", "fuzzy") else {} for x in leaves(node)}
-        words = sorted({w for x in leaves(node) for w in (groups[id(x)] or x.words)})
+        every = leaves(node)
+        names = {id(x): k for k, x in enumerate(every)}
+        open_ended = [x for x in every if x.kind in ("prefix", "fuzzy")]
+        words = sorted({w for x in every if x.kind not in ("prefix", "fuzzy") for w in x.words})
+        # (term, leaves that it matches, distance to the nearest fuzzy leaf)
+        sought = [spark.createDataFrame([(w, names[id(x)], None) for x in every if x.kind not in ("prefix", "fuzzy") for w in x.words], "term string, leaf int, distance int")]
+        sought += [self.expand(x).select("term", F.lit(names[id(x)]).alias("leaf"), F.col("distance") if x.kind == "fuzzy" else F.lit(None).cast("int").alias("distance")) for x in open_ended]
+        terms = functools.reduce(DataFrame.unionByName, sought).groupBy("term").agg(F.collect_set("leaf").alias("leaves"), F.min("distance").alias("distance"))
         n, average = self.stats
-        hits = self._terms(words)
+        hits = (self.postings if open_ended else self._terms(words)).join(terms, "term")
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        scored = hits.join(F.broadcast(df), "term").join(self.docs.select("doc_id", "length"), "doc_id")
-        forbidden = {w for x in _negated(node) for w in (groups[id(x)] or x.words)} - {w for x in _wanted(node) for w in (groups[id(x)] or x.words)}
+        scored = hits.join(df, "term").join(self.docs.select("doc_id", "length"), "doc_id")
+        of = lambda nodes: F.arrays_overlap("leaves", F.array(*[F.lit(names[id(x)]) for x in nodes]).cast("array<int>"))
         score = bm25(F.col("tf"), F.col("df"), F.col("length"), F.lit(float(n)), F.lit(float(average) or 1.0))
-        score = F.when(F.col("term").isin(sorted(forbidden)), 0.0).otherwise(score) if forbidden else score
-        per = scored.groupBy("doc_id").agg(F.sum(score).alias("score"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("has"))
-        if any(x.kind == "fuzzy" for x in leaves(node)):
-            near = {t: d for x in leaves(node) if x.kind == "fuzzy" for t, d in groups[id(x)].items()}
-            dist = F.array_min(F.transform(F.map_keys("has"), lambda t: F.coalesce(F.create_map(*[y for a, b in near.items() for y in (F.lit(a), F.lit(b))])[t], F.lit(0)) if near else F.lit(0)))
-            per = per.withColumn("score", F.col("score") - dist * 1000.0)
-        per = per.where(self._matches(node, groups))
+        score = F.when(of(_negated(node)) & ~of(_wanted(node)), 0.0).otherwise(score) if _negated(node) else score
+        placed = F.when(F.col("term").isin(words), F.struct("term", "positions"))  # collect_list leaves nulls out
+        per = scored.groupBy("doc_id").agg(F.sum(score).alias("score"), F.map_from_entries(F.collect_list(placed)).alias("has"), F.array_distinct(F.flatten(F.collect_set("leaves"))).alias("leaves"), F.min(F.coalesce("distance", F.lit(0))).alias("distance"))
+        if any(x.kind == "fuzzy" for x in every):
+            per = per.withColumn("score", F.col("score") - F.col("distance") * 1000.0)
+        per = per.where(self._matches(node, names))
         out = per.select("doc_id", "score").join(self.docs, "doc_id")
         if file_type is not None:
             out = out.where(F.col("file_type") == file_type)
         return out.select("doc_id", "score", "path", "file_type", "content").orderBy(F.desc("score"), "doc_id").limit(k)
 
-    def _matches(self, node: Node, groups: dict[int, dict]) -> Column:
+    def _matches(self, node: Node, names: dict[int, int]) -> Column:
         has = F.col("has")
         if node.kind == "term":
             return F.map_contains_key(has, node.words[0])
         if node.kind in ("prefix", "fuzzy"):
-            return F.arrays_overlap(F.map_keys(has), F.array(*[F.lit(w) for w in groups[id(node)]])) if groups[id(node)] else F.lit(False)
+            return F.array_contains("leaves", names[id(node)])
         if node.kind == "phrase":
             present = F.lit(True)
             for w in node.words:
@@ -289,7 +293,7 @@ class TextIndex:
             for k, w in enumerate(node.words[1:], 1):
                 at = F.array_intersect(at, _shifted(has[w], k))
             return present & (F.size(at) > 0)
-        parts = [self._matches(p, groups) for p in node.parts]
+        parts = [self._matches(p, names) for p in node.parts]
         if node.kind == "not":
             return ~parts[0]
         if node.kind == "maybe":

@@ -100,3 +100,12 @@ def test_damerau_is_a_metric(a, b):
     d = X.damerau(a, b, 20)
     assert d == X.damerau(b, a, 20) and (d == 0) == (a == b) and d <= max(len(a), len(b))
     assert X.damerau("abcd", "badc", 9) == 2 and X.damerau("ca", "abc", 9) == 2 and X.damerau("ab", "ba", 9) == 1
+
+
+def test_every_term_of_a_prefix_or_fuzzy_leaf_counts(spark):
+    docs = [(f"{k:04d}", f"pre{k:04d} rest") for k in range(1200)] + [("z", "prezzz rest"), ("other", "rest only")]
+    docs += [(f"f{a}{b}", f"wor{a}{b} filler") for a in "abcdefghijklmnopqrstuvwxyzäöüß0123456789" for b in "abcdefghijklmnopqrstuvwxyzäöüß0123456789"]
+    i = X.TextIndex.build(spark.createDataFrame(docs, "path string, content string"))
+    assert len(found(i, "pre*", k=5000)) == 1201 and found(i, "+pre* +prezzz", k=5000) == ["z"]
+    assert found(i, "rest NOT pre*", k=5000) == ["other"]
+    assert len(found(i, "~world", k=5000)) == sum(X.damerau(c.split()[0], "world", 2) <= 2 for _, c in docs) > 1000
