@@ -139,17 +139,46 @@ def disguised(word: str) -> bool:
     return bool(_INNER.search(word) or _RUN.search(word) or len(_DOUBLES.findall(word)) >= 3)
 
 
+#: Runs of one character up to which a disguised token is decoded at once.
+WHOLE = 40
+
+
+def _pieces(shape: str) -> Iterator[str]:
+    """Windows of 2 * WHOLE runs that can say something, at every WHOLE of them, with the signs between them."""
+    said = [m.start() for m in re.finditer(r"(.)\1*", shape, re.S) if symbol(m[1]) or m[1] in STANDS_FOR or m[1] == "*"]
+    for k in range(0, len(said), WHOLE):
+        yield shape[said[k] : said[k + 2 * WHOLE] if k + 2 * WHOLE < len(said) else len(shape)]
+        if k + 2 * WHOLE >= len(said):
+            break
+
+
+def _shapes(low: str) -> set[str]:
+    return {s for s in (low.strip(".,;:?\"'()[]{}<>…«»“”„’‘"), low.strip(ENDS)) if len(s) >= 3 and disguised(s)}
+
+
+def _fits(shape: str) -> bool:
+    return len(shape) <= WHOLE or sum(1 for _ in re.finditer(r"(.)\1*", shape, re.S)) <= WHOLE
+
+
 def readings(token: str, decoder: Decoder) -> list[str]:
-    """What a token of a text may say, in lower case."""
+    """What a token of a text may say, in lower case; part_readings has what one of over WHOLE runs says."""
     low = token.lower()
     plain = low.strip(ENDS)
     out = [plain] if plain else []
-    for shape in {low.strip(".,;:?\"'()[]{}<>…«»“”„’‘"), plain}:
-        if 3 <= len(shape) <= 40 and disguised(shape):
+    for shape in _shapes(low):
+        if _fits(shape):
             out += [s for s in decoder.decode(shape) if s]
     return out
 
 
+def part_readings(token: str, decoder: Decoder) -> Iterator[str]:
+    """All parts of four letters or more of what the windows of a disguised token of over WHOLE runs say."""
+    for shape in _shapes(token.lower()) if len(token) > WHOLE else ():
+        for piece in () if _fits(shape) else _pieces(shape):
+            for s in decoder.decode(piece)[:2]:
+                yield from {s[i:j] for i in range(len(s)) for j in range(i + 4, min(len(s), i + 20) + 1)}
+
+
 def spaced_readings(text: str, decoder: Decoder) -> list[str]:
     """Readings of letters set apart by spaces, with all their parts of four letters or more."""
     out: list[str] = []
@@ -261,12 +290,19 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, label_col: str =
 
 
 def scorer(decoder: Decoder, lexicon: Lexicon, remembered: int = 400_000) -> Callable[[str | None], float]:
-    known: dict[str, float] = {}
+    known: dict[str, list[float]] = {}
 
-    def weight(token: str) -> float:
+    def weights_of(token: str) -> list[float]:
+        """The weight of a token, or of the two heaviest words of a long one, neither of which is in the other."""
         got = known.get(token)
         if got is None:
-            got = max(map(lexicon.of_word, readings(token, decoder)), default=0.0)
+            got = [max(map(lexicon.of_word, readings(token, decoder)), default=0.0)]
+            parts = {s: w for s in part_readings(token, decoder) if (w := lexicon.of_word(s))}
+            if parts:
+                first = min(parts, key=lambda s: (-parts[s], len(s), s))
+                second = max((w for s, w in parts.items() if s not in first and first not in s), default=0.0)
+                got = sorted([*got, parts[first]])[1:] + [second]
+            got = [w for w in got if w]
             if len(known) > remembered:
                 known.clear()
             known[token] = got
@@ -274,7 +310,7 @@ def scorer(decoder: Decoder, lexicon: Lexicon, remembered: int = 400_000) -> Cal
 
     def score(text: str | None) -> float:
         text = text or ""
-        weights = [w for w in map(weight, set(text.split())) if w]
+        weights = [w for token in set(text.split()) for w in weights_of(token)]
         weights += [w for w in (lexicon.of_word(s) for s in set(spaced_readings(text, decoder))) if w]
         return lexicon.probability(weights)
 

@@ -53,3 +53,14 @@ def test_edge_rows(spark):
         for marks in (labels, labels.limit(0)):
             got = T.score(some, decoder, T.train(some, marks, decoder)).collect()
             assert len(got) == some.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+
+
+def test_long_tokens_are_decoded(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    decoder = T.Decoder(T.character_counts(docs))
+    of = T.scorer(decoder, T.train(docs, labels, decoder))
+    plain = of("the thing an idiot and a moron said")
+    noise = "/".join(f"{a}.{b}" for a in "bcdfgh" for b in "klmnpq")
+    for text in (f"an i{'d' * 40}iot and a mo{'r' * 50}on said", "i.d.i.o.t/m.o.r.o.n/" * 4, f"{noise}/i.d.i.o.t/{noise}/m-o-r-o-n/{noise}"):
+        assert of(text) >= plain - 1e-9, text
+    assert of(noise * 3) < 0.5
