@@ -7,18 +7,26 @@ and signs, so a comma or stop right behind it is taken for a part of it). What d
 
 A number is permuted by a keyed Feistel network over the halves of its digits, within its format: a card keeps its length, signs and a right check digit,
 an address stays one of four octets, a day becomes another day of the range, an issuable number another (values that leave the range walk on through the
-permutation). So equal values get equal pseudonyms in all documents, and different values of a kind different ones. Letters of addresses and
-secrets are no numbers: they become keyed digests of the same kind.
+permutation). So equal values get equal pseudonyms in all documents, and different values of a kind different ones. An IBAN keeps its country and its shape:
+its digits and its letters are permuted apart, a lone one is moved by a keyed step. Letters of addresses and secrets are no numbers: they become keyed
+digests of the same kind.
+
+Whoever knows the key can undo the permutations, so it has no default: the query takes it from the setting KEY_SETTING of the session and, where that is unset,
+draws one for the application, which nobody learns (equal values are then linked within it, not with those of other runs).
 """
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 ROUNDS = 8
+KEY_SETTING = "spark.lodestone.pii.key"
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}+",
@@ -54,6 +62,30 @@ def permuted(digits: Column, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), v, "0")))
 
 
+def moved(signs: Column, base: int, first: str, key: str, tweak: str) -> Column:
+    """A string of signs of one alphabet (base signs from `first` on) of any length through a Feistel network that adds to its halves in turn, sign by sign."""
+    n = F.length(signs)
+    u = F.floor(n / 2).cast("int")
+
+    def added(s: Column, other: Column, i: Column) -> Column:
+        h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), n.cast("string"), other), 256)
+        code = ord(first)
+
+        def sign(c: Column, j: Column) -> Column:
+            step = F.conv(F.substring(h, j * 2 % 62 + 1, F.lit(3)), 16, 10).cast("int")
+            return F.char(F.lit(code) + (F.ascii(c) - code + step) % base)
+
+        return F.when(F.length(s) > 0, F.array_join(F.transform(F.split(s, ""), sign), "")).otherwise(s)
+
+    start = F.struct(F.substring(signs, F.lit(1), u).alias("a"), F.substring(signs, u + 1, n).alias("b"))
+
+    def step(s: Column, i: Column) -> Column:
+        left = F.when(i % 2 == 0, added(s["a"], s["b"], i)).otherwise(s["a"])
+        return F.struct(left.alias("a"), F.when(i % 2 == 0, s["b"]).otherwise(added(s["b"], s["a"], i)).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
+
+
 def permuted_below(x: Column, bound: int, key: str, tweak: str) -> Column:
     """x in 0 .. bound - 1 permuted in that range, by walking on while the digits leave it."""
     width = len(str(bound - 1))
@@ -66,12 +98,12 @@ def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
-def refit(shape: Column, digits: Column) -> Column:
-    """shape with its digits, one after the other, replaced by digits."""
+def refit(shape: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """shape with its digits (or other signs of that kind), one after the other, replaced by digits."""
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("s"))
 
     def step(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
+        is_digit = c.rlike(f"^{kind}$")
         return F.struct(F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.concat(acc["s"], F.when(is_digit, F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(c)).alias("s"))
 
     return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["s"])
@@ -128,9 +160,13 @@ def replacement(m: Column, key: str) -> Column:
     secret = out("secret", F.concat(head, F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(hashed)).otherwise(hashed)))
     email = out("email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid")))
     bare = F.regexp_replace(m, " ", "")
-    body = F.concat(F.substring(bare, 1, 2), F.lit("00"), F.substring(refit(bare, F.concat(F.lit("00"), permuted(F.substring(d, F.lit(3), n), key, "iban"))), F.lit(5), F.length(bare)))
+    own = F.substring(bare, F.lit(5), F.length(bare))
+    own_digits, own_letters = _digits(own), F.regexp_replace(own, "[^A-Z]", "")
+    new_digits = F.when(F.length(own_digits) > 1, permuted(own_digits, key, "iban")).otherwise(moved(own_digits, 10, "0", key, "iban"))
+    new_letters = moved(own_letters, 26, "A", key, "iban")
+    body = F.concat(F.substring(bare, 1, 2), F.lit("00"), refit(refit(own, new_digits), new_letters, "[A-Z]"))
     checked = F.lpad((98 - _mod97(body)).cast("string"), 2, "0")
-    iban = out("iban", refit(m, F.concat(checked, F.substring(_digits(body), F.lit(3), n))))
+    iban = out("iban", refit(refit(m, F.concat(checked, new_digits)), F.concat(F.substring(bare, 1, 2), new_letters), "[A-Z]"))
     code = F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[^0-9])", 1))
     code = F.when(code == 0, 2).otherwise(code)
     phone = out("phone", refit(m, F.concat(F.substring(d, F.lit(1), code), permuted(F.substring(d, code + 1, n), key, "phone"))))
@@ -163,11 +199,13 @@ def replacement(m: Column, key: str) -> Column:
     return F.coalesce(found, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("s")))
 
 
-def pseudonymize(docs: DataFrame, key: str = "lodestone", text_col: str = "text", counts: bool = True) -> DataFrame:
-    """docs with the text column rewritten and, if counts, n_pii (matches replaced) and pii_kinds (their kinds in order; array<string>).
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the text column rewritten under a key that is not empty and, if counts, n_pii (matches replaced) and pii_kinds (their kinds in order; array<string>).
 
     Null text stays null, with n_pii 0; empty text stays empty. Other columns pass through; existing columns n_pii and pii_kinds are replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(f"`{text_col}`")
     likely = text.rlike("[0-9@=:]")
     found = F.when(likely, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -182,11 +220,21 @@ def pseudonymize(docs: DataFrame, key: str = "lodestone", text_col: str = "text"
     return done.drop("__found", "__new")
 
 
+@lru_cache(maxsize=1)
+def _drawn_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting names, else one drawn for this application."""
+    return spark.conf.get(KEY_SETTING, None) or _drawn_key()
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewritten rows with the columns of docs; n_chars follows the text."""
-    done = pseudonymize(docs, counts=False)
+    done = pseudonymize(docs, session_key(spark), counts=False)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

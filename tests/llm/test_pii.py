@@ -1,6 +1,7 @@
 import hashlib
 from datetime import date, timedelta
 
+import pytest
 import regex
 from lodestone.llm import pii
 
@@ -29,9 +30,21 @@ def luhn(s):
     return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10
 
 
-def refit(shape, digits):
+def refit(shape, digits, kind="0123456789"):
     it = iter(digits)
-    return "".join(next(it) if c in "0123456789" else c for c in shape)
+    return "".join(next(it) if c in kind else c for c in shape)
+
+
+def moved(signs, base, first, tweak):
+    n = len(signs)
+    halves = [signs[: n // 2], signs[n // 2 :]]
+    for i in range(pii.ROUNDS):
+        h = hashlib.sha256("|".join(map(str, (KEY, tweak, i, n, halves[1 - i % 2]))).encode()).hexdigest()
+        halves[i % 2] = "".join(chr(ord(first) + (ord(c) - ord(first) + int(h[j * 2 % 62 : j * 2 % 62 + 3], 16)) % base) for j, c in enumerate(halves[i % 2]))
+    return "".join(halves)
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def mod97(s):
@@ -52,9 +65,10 @@ def brute(m):
     if regex.match("[A-Z]{2}[0-9]{2}", m) and 15 <= len(bare) <= 34:
         if mod97(bare) != 1:
             return None
-        rest = feistel(d[2:], "iban")
-        body = bare[:2] + "00" + refit(bare, "00" + rest)[4:]
-        return refit(m, str(98 - mod97(body)).zfill(2) + rest)
+        rest = feistel(d[2:], "iban") if len(d) > 3 else moved(d[2:], 10, "0", "iban")
+        letters = moved(regex.sub("[^A-Z]", "", bare[4:]), 26, "A", "iban")
+        body = bare[:2] + "00" + refit(refit(bare[4:], rest), letters, LETTERS)
+        return refit(refit(m, str(98 - mod97(body)).zfill(2) + rest), bare[:2] + letters, LETTERS)
     if m[0] == "+" and 8 <= len(d) <= 15:
         code = regex.match(r"\+([0-9]{1,3})(?=[^0-9])", m)
         code = len(code[1]) if code else 2
@@ -136,7 +150,7 @@ def test_pseudonyms_keep_their_format(spark):
     cards = [c[:-1] + str(-luhn(c[:-1] + "0") % 10) for c in cards]
     days = [str(date(1950, 1, 1) + timedelta(k)) for k in range(3000)]
     ips = [f"{k % 256}.{k // 256}.7.9" for k in range(3000)]
-    got = pii.pseudonymize(spark.createDataFrame([(f"{a} {b} {c} {a}",) for a, b, c in zip(cards, days, ips, strict=True)], "text string")).collect()
+    got = pii.pseudonymize(spark.createDataFrame([(f"{a} {b} {c} {a}",) for a, b, c in zip(cards, days, ips, strict=True)], "text string"), KEY).collect()
     parts = [r.text.split(" ") for r in got]
     assert all(r.n_pii == 4 for r in got) and all(p[0] == p[3] and luhn(p[0]) == 0 and len(p[0]) == 16 for p in parts)
     for k, old in ((0, cards), (1, days), (2, ips)):
@@ -147,7 +161,7 @@ def test_pseudonyms_keep_their_format(spark):
 def test_no_python_and_empty(spark):
     plan = pii.op2(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert pii.pseudonymize(spark.createDataFrame([], "doc_id long, text string"), KEY).collect() == []
 
 
 def test_secrets_of_any_length_and_with_signs(spark):
@@ -161,3 +175,35 @@ def test_secrets_of_any_length_and_with_signs(spark):
         assert new.startswith(name) and new.endswith(end) and len(new) == len(texts[i]) and got[i].pii_kinds == ["secret"]
         digest = "".join(hashlib.sha256(f"{KEY}|secret|{k}|{v}".encode()).hexdigest() for k in range(len(v) // 64 + 1))[: len(v)]
         assert new[len(name) : len(new) - len(end)].lower() == digest
+
+
+def test_ibans_of_any_letters_and_digits(spark):
+    import numpy as np
+
+    rng, given = np.random.default_rng(4), []
+    for n in range(11, 31):
+        for digits in sorted({0, 1, 2, n // 2, n - 1, n}):
+            own = [LETTERS[k] for k in rng.integers(0, 26, n)]
+            for k in rng.choice(n, digits, replace=False):
+                own[k] = str(rng.integers(0, 10))
+            code = LETTERS[rng.integers(0, 26)] + LETTERS[rng.integers(0, 26)]
+            bare = code + str(98 - mod97(code + "00" + "".join(own))).zfill(2) + "".join(own)
+            given.append(bare if n % 2 else " ".join(bare[k : k + 4] for k in range(0, len(bare), 4)))
+    given += ["GB21 ABCD EFGH IJKL", "GB37 ABCD EFGH IJK5"]
+    got = [r.text for r in pii.pseudonymize(spark.createDataFrame([(k, f"at {t} now") for k, t in enumerate(given)], "doc_id int, text string"), KEY).orderBy("doc_id").collect()]
+    assert got == [f"at {brute(t) or t} now" for t in given]
+    for old, new in zip(given, got, strict=True):
+        new = new[3:-4]
+        assert new[:2] == old[:2] and [c.isdigit() for c in new] == [c.isdigit() for c in old] and [c == " " for c in new] == [c == " " for c in old]
+        assert mod97(new.replace(" ", "")) == 1 or new == old
+
+
+def test_key_of_the_session(spark):
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(spark.range(1).selectExpr("'x' as text"), "")
+    assert len(pii.session_key(spark)) >= 32 and pii.session_key(spark) == pii.session_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "set")
+    try:
+        assert pii.session_key(spark) == "set"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
