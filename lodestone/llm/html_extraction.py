@@ -21,10 +21,12 @@ from .common import small_batches, table
 
 #: Elements that do not break a line of text.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that show their content in the line, if not always and everywhere: what they hold is text like other text.
+INLINE |= set("noscript object audio video canvas math mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown, or only in a control.
-HIDDEN = ("script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "select", "button", "head", "math", "canvas", "audio", "video")
-_RAW = "script|style|noscript|template|iframe|svg|textarea|select|canvas|title"
+HIDDEN = ("script", "style", "template", "iframe", "svg", "textarea", "select", "button", "head", "annotation", "annotation-xml")
+_RAW = "script|style|template|iframe|svg|textarea|select|title"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + _RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)"
     r"|</(?P<close>[a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<(?P<open>[a-zA-Z][^\s>/]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z!?][^>]*(?:>|\Z)|</?\Z",
@@ -44,7 +46,7 @@ _IN_HEAD = set("base basefont bgsound head html link meta noscript script style
 class Block:
     __slots__ = ("linked", "path", "tag", "text")
 
-    def __init__(self, text: str, linked: int, tag: str, path: frozenset[str]):
+    def __init__(self, text: str, linked: int, tag: str, path: tuple[str, ...]):
         self.text, self.linked, self.tag, self.path = text, linked, tag, path
 
 
@@ -58,7 +60,7 @@ def _names(rest: str) -> list[str]:
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks of shown text; character references are decoded, white space is one blank."""
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]  # names around in order, so that sums over them do not depend on the hash seed
     parts: list[str] = []
     linked, links, hidden = 0, 0, 0
 
@@ -124,7 +126,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in VOID and not m["rest"].endswith("/"):
                 path = stack[-1][1]
                 if tag not in INLINE:
-                    path = path | {"t:" + tag, *_names(m["rest"])}
+                    path = tuple(sorted({*path, "t:" + tag, *_names(m["rest"])}))
                 stack.append((tag, path))
                 links += tag == "a"
                 hidden += tag in HIDDEN
@@ -276,6 +278,8 @@ def labelled_page(rng: np.random.Generator) -> tuple[str, list[str]]:
         return f'<{(t := pick("div", "div", "aside", "p", "section"))} class="{pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad", "ad-slot", "adsbox")}">{say(2, 25)}</{t}>'
 
     def notice() -> str:
+        if chance(0.08):
+            return f"<noscript>{say(3, 12)}</noscript>"
         return f'<{(t := pick("div", "div", "section", "p"))} {pick("class", "id", "role")}="{pick("cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "banner", "popup", "modal", "notification", "cookies", "disclaimer", "paywall", "subscribe")}"><p>{say(4, 25)}</p></{t}>'
 
     def sidebar() -> str:
@@ -361,7 +365,7 @@ def labels_of(page: str, main: list[str]) -> tuple[list[Block], list[int]]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 900, seed: int = 3) -> Field:
+def trained(pages: int = 1500, seed: int = 3) -> Field:
     rng = np.random.default_rng(seed)
     return Field().train([labels_of(*labelled_page(rng)) for _ in range(pages)])
 

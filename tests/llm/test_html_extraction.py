@@ -36,6 +36,7 @@ def test_decoding_and_likelihood_against_enumeration():
         ("<nav><a href=/>Home</a></nav><article><h1>T &amp; t</h1><p><b>One\n two.<br><p>Th&eacute;&nbsp;end.</p></article><footer>&copy; x</footer>", "T & t\n\nOne two.\n\nThé end."),
         ('<div class="cookie-notice"><p>We use.</p></div><main><p>Body text goes here, long enough.</p><div class="ad">Buy now.</div><p>More.</p></main><section id="comments"><p>Me too.</p></section>', "Body text goes here, long enough.\n\nMore."),
         ("<article><p>Kept <script>var t='</p>';</script>whole <!-- no --> text.</p><form><p>Sign up now.</p></form><p>End</p></article><aside><p>Side words here.</p></aside>", "Kept whole text.\n\nEnd"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given here.</p><noscript><p>Shown without scripts, it says.</p></noscript><p>A <object>drawn</object> thing.</p></article>", "Let x=2 be given here.\n\nShown without scripts, it says.\n\nA drawn thing."),
         ("<article><p>Cut off here and th", "Cut off here and th"),
         ("", ""),
         (None, ""),
@@ -62,7 +63,7 @@ def test_whole_table_and_edges(spark):
 
 @pytest.mark.parametrize("begin", ["<body>", "", "<BODY class=x>", "<svg><text>no</text></svg>"])
 def test_head_without_its_end(begin):
-    head = "<!doctype html><html><head><meta charset=utf-8><title>Site title</title><link rel=icon href=x><style>p{}</style><script>var a='<p>no</p>'</script><noscript>none</noscript>\n"
+    head = "<!doctype html><html><head><meta charset=utf-8><title>Site title</title><link rel=icon href=x><style>p{}</style><script>var a='<p>no</p>'</script><noscript><link href=y></noscript>\n"
     page = head + begin + "<article><h1>Head line</h1><p>Body text goes here, long enough.</p></article>"
     assert H.main_text(page, H.trained()) == "Head line\n\nBody text goes here, long enough."
     assert [b.text for b in H.leaf_blocks("<head><title>T</title>Text right behind it<p>More")] == ["Text right behind it", "More"]
