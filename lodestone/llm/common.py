@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import contextlib
 import ctypes
 import tempfile
@@ -37,16 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Rows of an Arrow batch, at most: texts of some kilobytes then make batches of some megabytes on both sides.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, at most: texts of some kilobytes then make batches of some megabytes on both sides; a longer text is one alone.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS where they are larger; it holds for Python stages of this session from then on."""
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger; it holds for Python stages of this session from then on."""
     share_code(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def trim() -> None:
@@ -95,6 +97,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def code_points(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes, one row at least."""
     n, a = len(offsets) - 1, 0
@@ -131,6 +137,93 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix64(np.add.reduceat(code, starts)), before, counts
 
 
+#: Code points of one word, at most: a longer run without white space is several words of this length.
+WORD_POINTS = 1 << 16
+_BREAKS = np.array([c for c in range(0x3001) if chr(c).isspace()])
+
+
+def is_space(points: np.ndarray) -> np.ndarray:
+    """White space by Unicode."""
+    out = (points <= 32) & (((points >= 9) & (points <= 13)) | (points >= 28))
+    high = np.flatnonzero(points >= 0x85)
+    if len(high):
+        out[high] = np.isin(points[high], _BREAKS)
+    return out
+
+
+class WordBlock:
+    """Words of some rows, or of a part of one long row.
+
+    points: code points, each row ended by a blank; start, stop: places of the words; row: the row of each; key: a hash of each; follows: the first word comes
+    right after the last word of the block before; first: place of each row's first code point.
+    """
+
+    def __init__(self, points: np.ndarray, rows: np.ndarray, first: np.ndarray, follows: bool):
+        self.points, self.first, self.follows = points, first, follows
+        gap = is_space(points)
+        begin = ~gap
+        begin[1:] &= gap[:-1]
+        start = np.flatnonzero(begin)
+        ends = np.flatnonzero(gap)
+        stop = ends[np.searchsorted(ends, start)] if len(start) else start
+        if len(start) and int((stop - start).max()) > WORD_POINTS:
+            parts = -(-(stop - start) // WORD_POINTS)
+            nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            last = np.repeat(stop, parts)
+            start = np.repeat(start, parts) + nth * WORD_POINTS
+            stop = np.minimum(last, start + WORD_POINTS)
+        self.start, self.stop = start, stop
+        self.row = rows[np.searchsorted(first, start, "right") - 1] if len(start) else np.zeros(0, np.int64)
+        width = stop - start
+        if len(start):
+            heads = np.zeros(len(points), np.int32)
+            heads[start] = 1
+            place = np.arange(len(points)) - start[np.maximum(np.cumsum(heads) - 1, 0)]
+            code = mix64(points.astype(np.uint64) + np.uint64(7)) * powers(0x9FB21C651E98DF25, int(width.max()) + 1)[np.clip(place, 0, int(width.max()))]
+            code[gap] = 0
+            self.key = mix64(np.add.reduceat(code, start) + width.astype(np.uint64))
+        else:
+            self.key = np.zeros(0, np.uint64)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words as one array of code points with a mark (0x20) before and after each; where each begins in it (its first mark) and its length
+        without marks; and the distinct word of each word."""
+        _, one, which = np.unique(self.key, return_index=True, return_inverse=True)
+        size = self.stop[one] - self.start[one]
+        at = np.concatenate([[0], np.cumsum(size + 2)])
+        inner = np.arange(int(at[-1])) - np.repeat(at[:-1], size + 2) - 1
+        flat = np.full(int(at[-1]), 32, np.uint32)
+        real = (inner >= 0) & (inner < np.repeat(size, size + 2))
+        flat[real] = self.points[(inner + np.repeat(self.start[one], size + 2))[real]]
+        return flat, at[:-1], size, which
+
+
+def word_blocks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[WordBlock]:
+    """Blocks of about limit bytes of the texts of a column; null counts as empty. A longer text comes in several blocks, cut between words."""
+    raw, off = text_bytes(column)
+    for a, b in chunks(off, limit):
+        if off[b] - off[a] <= limit:
+            texts = [raw[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in range(a, b)]
+            size = np.array([len(t) + 1 for t in texts], np.int64)
+            points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "replace"), np.uint32)
+            yield WordBlock(points, np.arange(a, b), np.cumsum(size) - size, False)
+            continue
+        decoder, carry, follows = codecs.getincrementaldecoder("utf-8")("replace"), "", False
+        for s in range(int(off[a]), int(off[b]), limit):
+            last = s + limit >= off[b]
+            piece = carry + decoder.decode(raw[s : min(s + limit, int(off[b]))].tobytes(), last)
+            points = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
+            cut = len(points)
+            if not last:
+                gaps = np.flatnonzero(is_space(points))
+                begun = int(gaps[-1]) + 1 if len(gaps) else 0
+                cut = begun + (cut - begun) // WORD_POINTS * WORD_POINTS  # whole words, and whole parts of one that goes on
+            carry = piece[cut:]
+            if cut:
+                yield WordBlock(np.append(points[:cut], np.uint32(32)), np.array([a]), np.zeros(1, np.int64), follows)
+                follows = True
+
+
 #: Odd multipliers of the places of a shingle.
 _PLACE = mix64(_SEED[1024:1088]) | np.uint64(1)
 

@@ -1,93 +1,86 @@
 """Operator 9, quality classifier: supervised subword embeddings.
 
-A document's vector is the mean of learned vectors of its words, the 3- to 5-character n-grams of each word and its pairs of neighbouring
-words (equal or not), all hashed into BUCKETS rows. A softmax layer gives the probability of each label. Vectors and layer are trained together by
-stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled rows (the smallest hashes of their ids), whose features, bounded by BUCKETS for each
-row, the executors count. For scoring, the layer is folded into the vectors, one number a bucket.
+A document's vector is the mean of learned vectors of its words, the 3- to 5-character n-grams of each word (with a mark before and after it), its pairs of
+neighbouring words, and whether such two are equal, all hashed into BUCKETS rows. A softmax layer gives the probability of each label. Vectors and layer are
+trained together by stochastic gradient descent in numpy, on at most TRAIN_ROWS labelled rows (the smallest hashes of their ids), whose features, bounded
+by BUCKETS for each row, the executors count. For scoring, the layer is folded into the vectors, one number a bucket.
+
+N-grams are hashed once for each distinct word of a block of texts, so the cost of a block is about that of finding its words.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, trim
+from .common import WordBlock, mix64, small_batches, table, trim, word_blocks
 
 BUCKETS, DIM, EPOCHS, RATE, TRAIN_ROWS = 1 << 16, 8, 6, 0.5, 2500
-#: Words whose features a worker remembers.
-REMEMBERED = 250_000
-#: Characters of a word up to which its features are a list and remembered; those of a longer one are hashed by numpy, PIECE characters at once.
-SHORT, PIECE = 60, 1 << 16
-
-
-def _features(word: str) -> list[int]:
-    data = f"<{word}>"
-    n = len(data)
-    out = [zlib.crc32(word.encode()) % BUCKETS]
-    for k in (3, 4, 5):
-        out += [zlib.crc32(data[i : i + k].encode(), k) % BUCKETS for i in range(n - k + 1)]
-    return out
-
-
-def _crc_table() -> np.ndarray:
-    t = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
-    return t.astype(np.uint32)
-
-
-_CRC = _crc_table()
-
-
-def _long_features(word: str) -> Iterator[np.ndarray]:
-    """What _features gives, for a word of any length in arrays of bounded size."""
-    yield np.array([zlib.crc32(word.encode()) % BUCKETS])
-    data = f"<{word}>"
-    for a in range(0, len(data), PIECE):
-        raw = np.frombuffer(data[a : a + PIECE + 4].encode(), np.uint8)
-        edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        for k in (3, 4, 5):
-            first = edge[: min(PIECE, max(0, len(edge) - k))]
-            size = edge[k : k + len(first)] - first
-            crc = np.full(len(first), k ^ 0xFFFFFFFF, np.uint32)
-            for j in range(int(size.max(initial=0))):
-                more = np.flatnonzero(size > j)
-                crc[more] = _CRC[(crc[more] ^ raw[first[more] + j]) & 0xFF] ^ (crc[more] >> 8)
-            yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
-
-
-_SAME, _OTHER = zlib.crc32(b"\x00same") % BUCKETS, zlib.crc32(b"\x00other") % BUCKETS
-
-
-def _pairs(words: list[str]) -> tuple[int, int]:
-    same = sum(map(str.__eq__, words, words[1:]))
-    return same, max(0, len(words) - 1) - same
+GRAMS = (3, 4, 5)
+#: How often each pair of neighbours counts as equal or not.
+SAME_WEIGHT = 4
+_MULT = mix64(np.arange(3000, 3016, dtype=np.uint64)) | np.uint64(1)
+_SAME, _OTHER = 0, 1
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """The row of each hash; the first two rows are those of equal and other neighbours."""
+    return (mix64(h) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
+
+
+class Features:
+    """Buckets of a block: of each distinct word (flat, with how many each word has), of each pair of neighbours, and which of these are equal."""
+
+    def __init__(self, block: WordBlock, before: np.ndarray):
+        """before: the key of the word before a block that follows another of its row."""
+        flat, at, size, self.which = block.distinct()
+        code = flat.astype(np.uint64) + np.uint64(1)
+        word = np.repeat(np.arange(len(size)), size + 2)
+        stop = (at + size + 2)[word] if len(size) else np.zeros(0, np.int64)
+        one = np.zeros(len(size), np.uint64)
+        one[self.which] = block.key
+        buckets, of = [_bucket(one ^ _MULT[9])], [np.arange(len(size))]
+        for k in GRAMS:
+            if len(code) >= k:
+                places = np.flatnonzero(np.arange(len(code)) + k <= stop)
+                h = np.full(len(places), k, np.uint64)
+                for j in range(k):
+                    h = h * _MULT[j] + code[places + j]
+                buckets.append(_bucket(h))
+                of.append(word[places])
+        bucket, of_word = np.concatenate(buckets), np.concatenate(of)
+        order = np.argsort(of_word, kind="stable")
+        self.bucket, self.per_word = bucket[order], np.bincount(of_word, minlength=len(size))
+        key, row = block.key, block.row
+        if len(before) and len(key):
+            key, row = np.concatenate([before, key]), np.concatenate([row[:1], row])
+        near = np.flatnonzero(row[1:] == row[:-1]) if len(key) else np.zeros(0, np.int64)
+        self.pair_row, self.equal = row[near], key[near] == key[near + 1] if len(key) else np.zeros(0, bool)
+        self.pair = _bucket(key[near] * _MULT[10] + key[near + 1] * _MULT[11])
+
+
+def blocks_of(column: pa.Array) -> Iterator[tuple[WordBlock, Features]]:
+    before = np.zeros(0, np.uint64)
+    for block in word_blocks(column):
+        before = before if block.follows else before[:0]
+        yield block, Features(block, before)
+        before = block.key[-1:] if len(block.key) else before
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
-    words = (text or "").split()
-    out: Counter = Counter()
-    for w, n in Counter(words).items():
-        if len(w) > SHORT:
-            for part in _long_features(w):
-                f, times = np.unique(part, return_counts=True)
-                for x, m in zip(f.tolist(), times.tolist(), strict=True):
-                    out[x] += n * m
-            continue
-        for f in _features(w):
-            out[f] += n
-    same, other = _pairs(words)
-    out[_SAME] += 4 * same
-    out[_OTHER] += 4 * other
-    out = {k: v for k, v in out.items() if v}
-    return np.fromiter(out.keys(), np.int32, len(out)), np.fromiter(out.values(), np.float32, len(out))
+    total = np.zeros(BUCKETS, np.float64)
+    for _, f in blocks_of(pa.array([text], pa.string())):
+        times = np.bincount(f.which, minlength=len(f.per_word))
+        total += np.bincount(f.bucket, np.repeat(times, f.per_word), BUCKETS) + np.bincount(f.pair, minlength=BUCKETS)
+        total[_SAME] += SAME_WEIGHT * int(f.equal.sum())
+        total[_OTHER] += SAME_WEIGHT * int((~f.equal).sum())
+    at = np.flatnonzero(total)
+    return at.astype(np.int32), total[at].astype(np.float32)
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,35 +95,29 @@ class Model:
     def __init__(self, folded: np.ndarray, bias: float):
         self.folded, self.bias = folded, bias
 
-    def scorer(self) -> Callable[[str | None], float]:
-        known: dict[str, tuple[float, int]] = {}
-        folded, bias = self.folded, self.bias
-        same_w, other_w = 4 * float(folded[_SAME]), 4 * float(folded[_OTHER])
-
-        def score(text: str | None) -> float:
-            words = (text or "").split()
-            if not words:
-                return float(1 / (1 + np.exp(-bias)))
-            total, count = 0.0, 0
-            for w, n in Counter(words).items():
-                got = known.get(w)
-                if got is None and len(w) > SHORT:
-                    parts = [(float(folded[f].sum(dtype=np.float64)), len(f)) for f in _long_features(w)]
-                    got = (sum(p for p, _ in parts), sum(m for _, m in parts))
-                elif got is None:
-                    f = _features(w)
-                    got = (float(folded[f].sum()), len(f))
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[w] = got
-                total += n * got[0]
-                count += n * got[1]
-            same, other = _pairs(words)
-            total += same * same_w + other * other_w
-            count += 4 * (same + other)
-            return float(1 / (1 + np.exp(-np.clip(total / count + bias, -40, 40))))
-
-        return score
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """The probability of label 1 of each text of a column; a text without words gets the prior."""
+        total, count = np.zeros(len(column)), np.zeros(len(column))
+        folded = self.folded.astype(np.float64)
+        n = len(column)
+        for block, f in blocks_of(column):
+            if not len(block.key):
+                continue
+            first = np.cumsum(f.per_word) - f.per_word
+            each = np.add.reduceat(folded[f.bucket], first)
+            total += np.bincount(block.row, each[f.which], n) + np.bincount(f.pair_row, folded[f.pair] + SAME_WEIGHT * np.where(f.equal, folded[_SAME], folded[_OTHER]), n)
+            count += np.bincount(block.row, f.per_word[f.which], n) + (1 + SAME_WEIGHT) * np.bincount(f.pair_row, minlength=n)
+        return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -40, 40)))
+
+
+def gradients(vectors: np.ndarray, share: np.ndarray, layer: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the softmax loss of one document by its vectors, the layer and its bias."""
+    hidden = (vectors * share).sum(0)
+    z = layer @ hidden + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    return share * (layer.T @ p), np.outer(p, hidden), p
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
@@ -148,16 +135,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
             label, f, n = rows[k]
             if not len(f):
                 continue
-            share = (n / n.sum())[:, None]
-            hidden = (vectors[f] * share).sum(0)
-            z = layer @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = layer.T @ p
-            layer -= rate * np.outer(p, hidden)
-            bias -= rate * 0.1 * p
-            vectors[f] -= rate * len(f) ** 0.5 * share * back
+            of_vectors, of_layer, of_bias = gradients(vectors[f], (n / n.sum())[:, None], layer, bias, label)
+            layer -= rate * of_layer
+            bias -= rate * 0.1 * of_bias
+            vectors[f] -= rate * len(f) ** 0.5 * of_vectors
     return Model(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]))
 
 
@@ -188,11 +169,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: (id, held_out, score, predicted). Null and wordless texts get the prior; other columns are not looked at."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
         for x in it:
-            s = np.array([of(t) for t in x.column(2).to_pylist()], np.float64)
+            s = model.scores(x.column(2))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-        of = None
         trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
@@ -211,11 +190,9 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     columns, schema = docs.columns, docs.schema
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
         at = columns.index("text")
         for x in it:
-            yield x.filter(pa.array([of(t) >= 0.5 for t in x.column(at).to_pylist()], pa.bool_()))
-        of = None
+            yield x.filter(pa.array(model.scores(x.column(at)) >= 0.5))
         trim()
 
     return docs.mapInArrow(batches, schema)

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, table, text_bytes, trim
-from .language_id import code_points
+from .common import chunks, code_points, small_batches, table, text_bytes, trim
 from .quality import held_out
 
 SYMBOLS, TRAIN_ROWS, PARTS = 64, 2500, 64
