@@ -1,210 +1,274 @@
 """Operator 8, language identification of mixed texts.
 
-Words are the runs between white space. The script of a word's letters leaves the languages whose training text uses that script. Each word is scored under the
-others by its character n-grams (1 to 4, hashed, log probabilities with add-one smoothing), and a Viterbi pass over the words of a
-document, with a penalty for each switch, labels spans of one language. The document's language is the one whose spans hold most letters.
+Words are the runs between white space. The script of a word's letters leaves the languages whose training text uses that script. Each distinct word is scored
+under the others by its character n-grams (1 to 4, with a blank before and after it, hashed, log probabilities with add-half smoothing), and a Viterbi pass over
+the words of a document, with a penalty for each switch, labels spans of one language. The document's language is the one whose spans hold most letters.
 
-Counts are learned from at most TRAIN_ROWS documents (those whose ids have the smallest hashes); counts of all of them are arrays of fixed size.
+The pass runs in segments of SEGMENT words at once: one sweep finds the best value of every way through each segment, a scan over the segments joins them, and a
+second sweep keeps the choices. So a document of millions of words takes as many array steps as one of some hundreds, plus one for each segment.
+
+Counts are learned from at most TRAIN_ROWS documents (those whose ids have the smallest hashes), added up by language over the cluster.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, small_batches, table, text_bytes, trim
+from .common import WordBlock, mix64, small_batches, table, trim, word_blocks
 from .quality import held_out
 
-BUCKETS, GRAMS, TRAIN_ROWS, SWITCH = 1 << 16, 4, 4000, 8.0
-#: First code points of ranges and the script from there on; 0 is no letter's script. Fixed values, from the public Unicode block chart.
-SCRIPT_STARTS = [0x0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0xD7, 0xD8, 0xF7, 0xF8, 0x2B0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0x20000, 0x30000]
-SCRIPT_OF = [0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 2, 3, 4, 5, 6, 0, 7, 8, 9, 0, 10, 11, 0, 1, 2, 0, 12, 0, 13, 0, 11, 0, 13, 0]
-SCRIPTS = max(SCRIPT_OF) + 1
-_BELOW = 0x30000
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    script = np.zeros(_BELOW, np.int8)
-    for a, b, s in zip(SCRIPT_STARTS, [*SCRIPT_STARTS[1:], _BELOW], SCRIPT_OF, strict=True):
-        script[a:b] = s
-    lower = np.arange(0x530, dtype=np.uint32)
-    for c in range(0x530):
-        if len(x := chr(c).lower()) == 1 and ord(x) < 0x530:
-            lower[c] = ord(x)
-    return script, lower
-
-
-SCRIPT, LOWER = _tables()
-
-
-def code_points(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-
-
-class Words:
-    """The words of some texts: where they start, to which text each belongs, their letters by script, and the n-gram buckets of all places."""
-
-    def __init__(self, texts: list[bytes]):
-        parts = [code_points(t) for t in texts]
-        size = np.array([len(p) for p in parts], np.int64)
-        joined = np.concatenate([x for p in parts for x in (p, np.array([32], np.uint32))]) if parts else np.zeros(0, np.uint32)
-        self.first_of = np.concatenate([[0], np.cumsum(size + 1)])
-        low = np.where(joined < 0x530, LOWER[np.minimum(joined, 0x52F)], joined)
-        space = (joined <= 32) | (joined == 0xA0) | (joined == 0x3000)
-        self.script = np.where(joined < _BELOW, SCRIPT[np.minimum(joined, _BELOW - 1)], 0)
-        begin = ~space
-        begin[1:] &= space[:-1]
-        self.start = np.flatnonzero(begin)
-        self.word = np.cumsum(begin, dtype=np.int32) - 1  # of each place, or the word before it
-        self.place = np.arange(len(low))
-        self.stop = np.flatnonzero(space)[np.searchsorted(np.flatnonzero(space), self.start)] if len(self.start) else self.start
-        self.text = np.searchsorted(self.first_of, self.start, "right") - 1
-        self.space, self.low, self.size = space, np.where(space, np.uint32(32), low), size
-
-    def gram_buckets(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each n, (bucket of the n-gram that ends at a place, is it inside one word with at most one space before or after)."""
-        low, letter = self.low.astype(np.uint64), self.script > 0
-        h = np.zeros(len(low), np.uint64)
-        inner = np.zeros(len(low), bool)
-        for n in range(1, GRAMS + 1):
-            if len(low) < n:
-                return
-            h = h[1:] if n > 1 else h
-            h = h * np.uint64(0x9E3779B97F4A7C15) + low[n - 1 :] + np.uint64(n) if n > 1 else low + np.uint64(1)
-            bucket = (mix64(h) >> np.uint64(48)).astype(np.int64)
-            # spaces only at the ends, and something of a letter in it
-            middle = np.zeros(len(h), bool)
-            for k in range(1, n - 1):
-                middle |= self.space[k : k + len(h)]
-            inner = np.zeros(len(h), bool)
-            for k in range(n):
-                inner |= letter[k : k + len(h)]
-            yield bucket, inner & ~middle
-
-    def word_of(self, n: int, count: int) -> np.ndarray:
-        """The word of each n-gram: that of its last place, or of the place before where that is a space."""
-        at = self.place[n - 1 : n - 1 + count]
-        return np.where(self.space[n - 1 : n - 1 + count], self.word[np.maximum(at - 1, 0)], self.word[at]) if n > 1 else self.word[at]
+BUCKETS, GRAMS, TRAIN_ROWS, SWITCH, SEGMENT = 1 << 16, 4, 4000, 8.0, 64
+_LETTERS_BELOW = 0x32400
+
+
+@lru_cache(maxsize=1)
+def scripts() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Script of each code point (0: no letter), its lower case, and the names of the scripts, which are the first words of the names of their letters."""
+    names, script, lower = [""], np.zeros(_LETTERS_BELOW, np.int16), np.arange(_LETTERS_BELOW, dtype=np.uint32)
+    at = {"": 0}
+    for c in range(_LETTERS_BELOW):
+        x = chr(c)
+        if not x.isalpha():
+            continue
+        words = unicodedata.name(x, "OTHER").split(" ", 2)
+        # forms of other letters are named after them
+        name = words[1] if words[0] in ("FULLWIDTH", "HALFWIDTH", "MODIFIER", "MATHEMATICAL") and len(words) > 1 else words[0].split("-")[0]
+        name = "LATIN" if name in ("FEMININE", "MASCULINE", "MICRO") else name
+        if name not in at:
+            at[name] = len(names)
+            names.append(name)
+        script[c] = at[name]
+        low = x.lower()
+        if len(low) == 1:
+            lower[c] = ord(low)
+    return script, lower, names
+
+
+def script_of(points: np.ndarray) -> np.ndarray:
+    return np.where(points < _LETTERS_BELOW, scripts()[0][np.minimum(points, _LETTERS_BELOW - 1)], 0)
+
+
+def lowered(points: np.ndarray) -> np.ndarray:
+    return np.where(points < _LETTERS_BELOW, scripts()[1][np.minimum(points, _LETTERS_BELOW - 1)], points)
+
+
+class Distinct:
+    """Distinct words of a block: how often each occurs, its letters, the script of most of them, and the n-gram buckets of all."""
+
+    def __init__(self, block: WordBlock):
+        flat, self.at, self.size, self.which = block.distinct()
+        script = script_of(flat)
+        n = len(self.size)
+        self.word = np.repeat(np.arange(n), self.size + 2)
+        self.stop = (self.at + self.size + 2)[self.word] if n else np.zeros(0, np.int64)
+        self.low, self.letter = lowered(flat).astype(np.uint64), script > 0
+        self.letters = np.bincount(self.word[self.letter], minlength=n)
+        kinds = len(scripts()[2])
+        pair, self.pair_n = np.unique(self.word[self.letter] * np.int64(kinds) + script[self.letter], return_counts=True)
+        self.pair_word, self.pair_script = pair // kinds, pair % kinds
+        self.script = np.zeros(n, np.int64)
+        order = np.argsort(self.pair_n, kind="stable")  # the most common script of a word is written last
+        self.script[self.pair_word[order]] = self.pair_script[order]
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each n from 1: (n - 1, word and bucket of each n-gram that lies in a word and its two blanks and holds a letter)."""
+        h, inner = np.zeros(len(self.low), np.uint64), np.zeros(len(self.low), bool)
+        for n in range(1, min(GRAMS, len(self.low)) + 1):
+            m = len(self.low) - n + 1
+            h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + self.low[n - 1 :] + np.uint64(n)
+            inner = inner[:m] | self.letter[n - 1 :]
+            at = np.flatnonzero(inner & (np.arange(m) + n <= self.stop[:m]))
+            yield n - 1, self.word[at], (mix64(h[at]) >> np.uint64(48)).astype(np.int64)
+
+
+def best_path(words: np.ndarray, count: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
+    """The best language of each word; words[i, j]: score of word i in language j; count: words of each text, one text after the other."""
+    n, k = words.shape
+    if not n:
+        return np.zeros(0, np.int64)
+    count = count[count > 0]
+    parts = -(-count // SEGMENT)
+    text_of = np.repeat(np.arange(len(count)), parts)  # of each segment
+    nth = np.arange(len(text_of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(np.cumsum(count) - count, parts) + nth * SEGMENT
+    size = np.minimum(SEGMENT, np.repeat(count, parts) - nth * SEGMENT)
+    order = np.argsort(-size, kind="stable")  # those still going are always the first
+    at, length = first[order], size[order]
+    going = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+    # 1. through[s, i, j]: the best way through segment s that is at i before its first word and ends at j
+    through = np.full((len(at), k, k), -np.inf)
+    through[:, np.arange(k), np.arange(k)] = 0.0
+    for t, m in enumerate(going.tolist()):
+        old = through[:m]
+        through[:m] = np.maximum(old, old.max(2, keepdims=True) - penalty) + words[at[:m] + t][:, None, :]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    through = through[back]
+    # 2. values before each segment, all texts a segment a step
+    begin = np.cumsum(parts) - parts
+    by_size = np.argsort(-parts, kind="stable")
+    begin, many = begin[by_size], parts[by_size]
+    live = np.searchsorted(-many, -np.arange(int(many[0])), "left")
+    entry = np.zeros((len(text_of), k))
+    value = np.zeros((len(count), k))
+    for t, m in enumerate(live.tolist()):
+        entry[begin[:m] + t] = value[:m]
+        value[:m] = (value[:m, :, None] + through[begin[:m] + t]).max(1)
+    # 3. the choices inside each segment, then its way back from each last language
+    choice = np.zeros((n, k), np.int8 if k < 128 else np.int16)
+    now = entry[order]
+    for t, m in enumerate(going.tolist()):
+        old = now[:m]
+        top = old.argmax(1)
+        jump = old[np.arange(m), top][:, None] - penalty
+        stay = old >= jump
+        choice[at[:m] + t] = np.where(stay, np.arange(k), top[:, None])
+        now[:m] = np.where(stay, old, jump) + words[at[:m] + t]
+    reach = np.tile(np.arange(k), (len(at), 1))  # the language before a segment for each at its end
+    for t in range(len(going) - 1, -1, -1):
+        m = going[t]
+        reach[:m] = np.take_along_axis(choice[at[:m] + t].astype(np.int64), reach[:m], 1)
+    reach = reach[back]
+    # 4. the language at the end of each segment, from the last one back
+    end = np.zeros(len(text_of), np.int64)
+    state = value.argmax(1)
+    state = state.copy()
+    for t in range(len(live) - 1, -1, -1):
+        m = live[t]
+        end[begin[:m] + t] = state[:m]
+        state[:m] = reach[begin[:m] + t, state[:m]]
+    path = np.zeros(n, np.int64)
+    lang = end[order]
+    for t in range(len(going) - 1, -1, -1):
+        m = going[t]
+        path[at[:m] + t] = lang[:m]
+        lang[:m] = choice[at[:m] + t, lang[:m]]
+    return path
 
 
 class Model:
     def __init__(self, languages: list[str], logp: np.ndarray, uses: np.ndarray):
         self.languages, self.logp, self.uses = languages, logp, uses
 
-    def label(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
-        """Language and score of each text, and its spans (first and last code point, language)."""
-        k, n_texts = len(self.languages), len(texts)
-        spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        w = Words(texts)
+    def word_scores(self, d: Distinct) -> np.ndarray:
+        """Score of each distinct word in each language."""
+        n, k = len(d.size), len(self.languages)
+        total, grams = np.zeros((n, k)), np.zeros(n)
+        for g, word, bucket in d.grams():
+            if len(word):
+                first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                total[word[first]] += np.add.reduceat(self.logp[g][bucket], first, axis=0)
+                grams += np.bincount(word, minlength=n)
+        # a language stays if it uses the script of most of the word's letters, or if none does
+        fits = self.uses[:, d.script].T
+        fits = fits | ~fits.any(1, keepdims=True)
+        # a word counts by its letters, so long words and their overlapping n-grams do not drown the rest
+        words = np.where(grams[:, None] > 0, total / np.maximum(grams, 1)[:, None] * np.sqrt(np.minimum(d.size, 40))[:, None], 0.0)
+        words = np.where(fits | (d.letters == 0)[:, None], words, words.min(1, keepdims=True) - 30.0)
+        words[d.letters == 0] = 0.0
+        return words.astype(np.float32)
+
+    def label(self, column: pa.Array, with_spans: bool = False) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+        """Language and score of each text of a column, and its spans (first and last code point, language) if asked for."""
+        k, n_texts = len(self.languages), len(column)
+        spans: list[list[tuple[int, int, str]]] = [[] for _ in range(n_texts)]
         best, score = ["und"] * n_texts, np.zeros(n_texts)
-        if not len(w.start) or not k:
+        if not k:
             return best, score, spans
-        total = np.zeros((len(w.start), k), np.float64)
-        grams = np.zeros(len(w.start))
-        for n, (bucket, ok) in enumerate(w.gram_buckets(), 1):
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            of = w.word_of(n, len(bucket))[at]
-            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # places go up, and so do words
-            total[of[first]] += np.add.reduceat(self.logp[n - 1][bucket[at]], first, axis=0)
-            grams += np.bincount(of, minlength=len(w.start))
-        length = w.stop - w.start
-        ends = np.concatenate([[0], np.cumsum(w.script > 0)])
-        letters = ends[w.stop] - ends[w.start]
-        # scripts: a language stays if it uses the script of most of the word's letters, or if none does
-        place = np.flatnonzero(w.script > 0)
-        inside = np.bincount(w.word[place] * np.int64(SCRIPTS) + w.script[place], minlength=len(w.start) * SCRIPTS).reshape(-1, SCRIPTS)
-        fits = self.uses[:, inside.argmax(1)].T
-        fits |= ~fits.any(1, keepdims=True)
-        # a word counts by its letters, so long words and their overlapping n-grams do not drown the rest
-        words = np.where(grams[:, None] > 0, total / np.maximum(grams, 1)[:, None] * np.sqrt(np.minimum(length, 40))[:, None], 0.0)
-        words = np.where(fits | (letters == 0)[:, None], words, words.min(1, keepdims=True) - 30.0)
-        words[letters == 0] = 0.0
-        path = self._viterbi(words, w.text, n_texts)
-        held = np.bincount(w.text * k + path, letters, n_texts * k).reshape(n_texts, k)
-        every = held.sum(1)
-        top = held.argmax(1)
-        gain = np.stack([np.bincount(w.text, words[:, j], n_texts) for j in range(k)], 1)
-        gap = gain[np.arange(n_texts), top][:, None] - gain
-        sure = 1 / np.exp(-np.clip(gap, -50, 50)).sum(1)
-        for i in range(n_texts):
-            if every[i] > 0:
-                best[i] = self.languages[top[i]]
-                score[i] = min(1.0, float(held[i, top[i]] / every[i] * sure[i]))
-        cut = np.ones(len(path), bool)
-        cut[1:] = (path[1:] != path[:-1]) | (w.text[1:] != w.text[:-1])
-        first = np.flatnonzero(cut)
-        last = np.append(first, len(path))[1:] - 1
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            t = int(w.text[a])
-            if every[t] > 0:
-                spans[t].append((int(w.start[a] - w.first_of[t]), int(w.stop[b] - w.first_of[t]), self.languages[path[a]]))
+        parts: list[tuple[np.ndarray, ...]] = []
+        base = 0
+
+        def close() -> None:
+            nonlocal parts
+            if parts:
+                self._close(*(np.concatenate([p[i] for p in parts]) for i in range(5)), best, score, spans, with_spans)
+            parts = []
+
+        for block in word_blocks(column):
+            base = base if block.follows else 0
+            if not block.follows:
+                close()
+            if len(block.key):
+                d = Distinct(block)
+                offset = block.first[np.searchsorted(block.first, block.start, "right") - 1] - base
+                parts.append((block.row, self.word_scores(d)[d.which], d.letters[d.which], block.start - offset, block.stop - offset))
+            base += len(block.points) - 1
+        close()
         return best, score, spans
 
-    @staticmethod
-    def _viterbi(words: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
-        """Best language of each word; all texts take a step at once, longest first, so that those still going are a prefix."""
-        count = np.bincount(text, minlength=n_texts)
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        order = np.argsort(-count, kind="stable")
-        first, count = first[order], count[order]
-        steps, k = int(count[0]), words.shape[1]
-        back = np.zeros(words.shape, np.int8)
-        value = np.zeros((n_texts, k))
-        going = np.searchsorted(-count, -np.arange(steps), "left")  # texts with more words than the step
-        rows = np.arange(n_texts)
-        for t in range(steps):
-            m = going[t]
-            if t == 0:
-                value[:m] = words[first[:m]]
-                continue
-            old = value[:m]
-            top = old.argmax(1)
-            jump = old[rows[:m], top][:, None] - SWITCH
-            stay = old >= jump
-            back[first[:m] + t] = np.where(stay, np.arange(k), top[:, None])
-            value[:m] = np.where(stay, old, jump) + words[first[:m] + t]
-        path = np.zeros(len(words), np.int64)
-        now = value.argmax(1)
-        for t in range(steps - 1, -1, -1):
-            m = going[t]
-            path[first[:m] + t] = now[:m]
-            now[:m] = back[first[:m] + t][rows[:m], now[:m]]
-        return path
+    def _close(self, row: np.ndarray, words: np.ndarray, letters: np.ndarray, start: np.ndarray, stop: np.ndarray, best: list[str], score: np.ndarray, spans: list, with_spans: bool) -> None:
+        """Labels the texts whose words these are."""
+        k = len(self.languages)
+        low = int(row[0])
+        text, n = row - low, int(row[-1]) - low + 1
+        path = best_path(words, np.bincount(text, minlength=n))
+        held = np.bincount(text * k + path, letters, n * k).reshape(n, k)
+        every, top = held.sum(1), held.argmax(1)
+        gain = np.stack([np.bincount(text, words[:, j], n) for j in range(k)], 1)
+        gap = gain[np.arange(n), top][:, None] - gain
+        sure = 1 / np.exp(-np.clip(gap, -50, 50)).sum(1)
+        for i in np.flatnonzero(every > 0).tolist():
+            best[low + i] = self.languages[top[i]]
+            score[low + i] = min(1.0, float(held[i, top[i]] / every[i] * sure[i]))
+        if with_spans:
+            first = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (text[1:] != text[:-1])]))
+            last = np.append(first, len(path))[1:] - 1
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                if every[text[a]] > 0:
+                    spans[int(row[a])].append((int(start[a]), int(stop[b]), self.languages[path[a]]))
+
+
+#: Parts of the counts of one language, so that they are added up in several tasks.
+PARTS = 16
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> counts of n-gram buckets and letters of scripts of each language."""
+    """(lang, text) -> counts of n-gram buckets and of letters of scripts of each language, in parts."""
     counts: dict[str, np.ndarray] = {}
+    kinds = len(scripts()[2])
+    size = -(-(GRAMS * BUCKETS + kinds) // PARTS) * PARTS
     for x in batches:
-        for lang, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-            c = counts.setdefault(lang, np.zeros(GRAMS * BUCKETS + SCRIPTS, np.int64))
-            w = Words([text.encode()])
-            for n, (bucket, ok) in enumerate(w.gram_buckets()):
-                c[n * BUCKETS : (n + 1) * BUCKETS] += np.bincount(bucket[ok], minlength=BUCKETS)
-            c[GRAMS * BUCKETS :] += np.bincount(w.script, minlength=SCRIPTS)
+        langs = np.array(x.column(0).to_pylist(), object)
+        for lang in sorted(set(langs)):
+            c = counts.setdefault(lang, np.zeros(size, np.int64))
+            for block in word_blocks(x.column(1).filter(pa.array(langs == lang))):
+                d = Distinct(block)
+                times = np.bincount(d.which, minlength=len(d.size))
+                for n, word, bucket in d.grams():
+                    c[n * BUCKETS : (n + 1) * BUCKETS] += np.bincount(bucket, times[word], BUCKETS).astype(np.int64)
+                np.add.at(c, GRAMS * BUCKETS + d.pair_script, d.pair_n * times[d.pair_word])
     if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["lang", "counts"])
+        cuts = [(lang, k, v[k * (size // PARTS) : (k + 1) * (size // PARTS)].tobytes()) for lang, v in counts.items() for k in range(PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts]), pa.array([c[1] for c in cuts], pa.int32()), pa.array([c[2] for c in cuts], pa.binary())], ["lang", "part", "counts"])
+
+
+def _add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"lang": [key[0]], "part": [key[1]], "counts": [sum(np.frombuffer(x, np.int64) for x in rows["counts"]).tobytes()]})
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and lang of rows that are not held out; null languages and texts and empty language names teach nothing."""
+    small_batches(docs.sparkSession)
     chosen = docs.where("lang is not null and lang <> '' and lang <> 'und' and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "lang", "text")
     # the bounded sample: the ids are found first, without their texts
     ids = chosen.select("doc_id", F.xxhash64("doc_id").alias("k")).orderBy("k", "doc_id").limit(rows).select("doc_id").distinct()
-    found = chosen.join(F.broadcast(ids), "doc_id").select("lang", "text").coalesce(4).mapInArrow(_count_batches, "lang string, counts binary").collect()
-    sums: dict[str, np.ndarray] = {}
-    for r in found:
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(bytes(r.counts), np.int64)
+    counted = chosen.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(_count_batches, "lang string, part int, counts binary")
+    kinds = len(scripts()[2])
+    sums: dict[str, list] = {}
+    for r in counted.groupBy("lang", "part").applyInPandas(_add, "lang string, part int, counts binary").collect():  # one array of fixed size a language
+        sums.setdefault(r.lang, [None] * PARTS)[r.part] = np.frombuffer(bytes(r.counts), np.int64)
     languages = sorted(sums)
     if not languages:
-        return Model([], np.zeros((GRAMS, BUCKETS, 0)), np.zeros((0, SCRIPTS), bool))
-    c = np.stack([sums[x] for x in languages], 1).astype(np.float64)
+        return Model([], np.zeros((GRAMS, BUCKETS, 0)), np.zeros((0, kinds), bool))
+    c = np.stack([np.concatenate(sums[x])[: GRAMS * BUCKETS + kinds] for x in languages], 1).astype(np.float64)
     grams = c[: GRAMS * BUCKETS].reshape(GRAMS, BUCKETS, -1) + 0.5
     letters = c[GRAMS * BUCKETS :].copy()
     letters[0] = 0
@@ -221,14 +285,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in it:
-            raw, off = text_bytes(x.column(2))
-            langs, scores, spans = [], [], []
-            for a, b in chunks(off):
-                lang, score, span = model.label([raw[off[k] : off[k + 1]].tobytes() for k in range(a, b)])
-                langs += lang
-                scores.append(score)
-                spans += [[{"start": s, "stop": e, "lang": g} for s, e, g in p] for p in span] if with_spans else []
-            columns = [x.column(0), x.column(1), pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))]
+            langs, scores, span = model.label(x.column(2), with_spans)
+            spans = [[{"start": s, "stop": e, "lang": g} for s, e, g in p] for p in span]
+            columns = [x.column(0), x.column(1), pa.array(langs, pa.string()), pa.array(scores)]
             names = ["doc_id", "held_out", "lang_pred", "score"]
             if with_spans:
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))))
