@@ -1,13 +1,15 @@
 """Operator 3, embedding near-duplicates by sorted projection passes.
 
 1. Equal vectors of a label form one class.
-2. In each of PASSES passes every class gets 64 random sign hashes, concatenated; classes are ordered by (pass, label, hashes) over the cluster
-   and each is compared, by cosine in double precision, with the WINDOW next ones. The verified pairs of all passes are united into components.
-3. In each component all links are counted exactly, in tiles of bounded size, so windows decide only which vectors are found connected.
-
-A pair that agrees in the b leading bits it takes to narrow its label to WINDOW vectors is compared: at cosine 0.98 the chance is 0.936^b a pass,
-for labels of 5,000 vectors about 0.6, so twelve passes miss one such pair in 60,000, of 10 million vectors (b = 18) about one in 75; raise `passes`
-with the size of labels.
+2. In each pass every class gets 64 random sign hashes, concatenated; classes are ordered by (pass, label, hashes) over the cluster and each is compared, by
+   cosine in double precision, with the WINDOW next ones. The verified pairs of all passes are united into components.
+3. Passes come in rounds of PASSES, with new hashes each, until a round unites nothing that was apart. So the number of passes follows from the data: sparse
+   labels end after the second round, dense ones, in which a window is narrow, go on as long as that finds links.
+4. In each component all links are counted exactly, in tiles of bounded size, so windows decide only which vectors are found connected.
+
+A pair that agrees in the b leading bits it takes to narrow its label to WINDOW vectors is compared: at cosine 0.98 the chance is 0.936^b a pass. If a pair is
+apart after a round in which its chance to be found was q, the next one finds it with q again, so the round that ends the search tells that what is still
+apart is rare against what q would find. README has the recall measured against all pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql.types import BinaryType
 from .common import components, cut, spanning, table
 
 PASSES, WINDOW, TILE = 12, 32, 2048
+#: Linked vectors that one group of small components holds, about.
+GROUP = 4000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -31,7 +35,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _hash_rows(passes: int):
+def _hash_rows(passes: int, turn: int = 0):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for x in batches:
@@ -44,7 +48,7 @@ def _hash_rows(passes: int):
                 m = m / np.abs(m).max(1, keepdims=True)  # no overflow in squares
                 data = pa.array([r.tobytes() for r in m], pa.binary())
                 if w not in planes:
-                    planes[w] = np.random.default_rng(20240229).standard_normal((passes, w, 64))
+                    planes[w] = np.random.default_rng((20240229, turn)).standard_normal((passes, w, 64))
                 for k in range(passes):
                     bits = np.packbits(m @ planes[w][k] > 0, axis=1).view(">u8").astype(np.uint64)[:, 0]
                     key = (bits ^ np.uint64(1 << 63)).view(np.int64)
@@ -105,31 +109,46 @@ def _count_links(least: float):
     return count
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW, rounds: int | None = None) -> DataFrame:
     """One row per row of vectors: (id, n_links, component_id, kept).
 
     Vectors are compared when their labels are equal and not null and their lengths are equal. Null, empty and zero vectors and those with null
     or non-finite components have no links, their own id as component and kept true. Repeated rows are linked with each other. A null id
-    gives kept false where its component has another id, else component_id and kept null. Other columns are not looked at.
+    gives kept false where its component has another id, else component_id and kept null. Other columns are not looked at. rounds: of passes, if it is to
+    be fixed; else they go on until one unites nothing.
     """
     label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), v.alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("node", F.when(F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)), F.xxhash64("label", "v")))
-    classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = cut(classes)
-    hashed = classes.select("node", "label", F.size("v").cast("long").alias("width"), "v").mapInArrow(_hash_rows(passes), "pass int, label long, width long, key long, node long, v binary")
+    usable = F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))
+    classes, seed = None, 0
+    while classes is None or classes.where("other <> again").take(1):  # two classes of one name: all get other names
+        seed += 1
+        rows = rows.withColumn("node", F.when(usable, F.xxhash64(F.lit(seed), "label", "v")))
+        check = F.xxhash64(F.lit(-seed), "v", "label")
+        classes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"), F.min(check).alias("other"), F.max(check).alias("again"))
+        classes = cut(classes)
     order = ["pass", "label", "width", "key", "node"]
-    pairs = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_window_rows(window, cosine), "a long, b long")
-    linked = components(pairs).withColumnRenamed("id", "node").withColumnRenamed("component_id", "c")
+    pairs, linked, united, turn = None, None, -1, 0
+    while True:
+        hashed = classes.select("node", "label", F.size("v").cast("long").alias("width"), "v").mapInArrow(_hash_rows(passes, turn), "pass int, label long, width long, key long, node long, v binary")
+        found = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_window_rows(window, cosine), "a long, b long")
+        pairs = found if pairs is None else found.unionByName(linked.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+        linked = components(pairs)
+        turn += 1
+        now = linked.where("id <> component_id").count()
+        if turn == rounds or now == united or not now:
+            break
+        united = now
+    linked = linked.withColumnRenamed("id", "node").withColumnRenamed("component_id", "c")
+    groups = max(16, -(-linked.count() // GROUP))
     size = linked.groupBy("c").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     member = linked.join(size, "c").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = member.select("node", "c", "tile", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"))
     tiles = member.join(classes.select("node", "n", _doubles("v").alias("v")), "node")
-    links = tiles.groupBy(F.pmod(F.xxhash64("c"), F.lit(256)).alias("k"), "i", "j").applyInPandas(_count_links(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    groups = linked.join(classes.select("node", "least"), "node")
-    lowest = groups.groupBy("c").agg(F.min("least").alias("component_id"))
+    links = tiles.groupBy(F.pmod(F.xxhash64("c"), F.lit(groups)).alias("k"), "i", "j").applyInPandas(_count_links(cosine), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    lowest = linked.join(classes.select("node", "least"), "node").groupBy("c").agg(F.min("least").alias("component_id"))
     facts = classes.select("node", "n", "least").join(links, "node", "left").join(linked.join(lowest, "c").select("node", "component_id"), "node", "left")
     facts = facts.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.select("vec_id", "node").join(facts, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
