@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, chunks, mix64, small_batches, stored, table, text_bytes, trim
+from .common import BYTE_CODE, CHUNK_BYTES, chunks, mix64, small_batches, stored, table, text_bytes, trim
 
 LENGTH, ANCHOR = 400, 96
 #: Kinds of segments of one anchor that one tile holds, and kinds that a group of anchors holds, about.
@@ -93,37 +93,77 @@ def _text_key(raw: np.ndarray, a: int, b: int) -> tuple[int, int]:
 _SEGMENT = "t1 long, t2 long, lo int, hi int, p int, h long, g long, known boolean"
 
 
+class Sightings:
+    """How often a task has met each kind of segment, up to two: a table of fixed size, in which a later kind may take the place of an earlier one.
+
+    What is forgotten only sends more rows to a group; what is remembered twice is known to repeat.
+    """
+
+    def __init__(self, bits: int = 20):
+        self.kind, self.times = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int8)
+        self.shift = np.uint64(64 - bits)
+
+    def known(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Which of these segments come after two equal ones."""
+        kind = mix64(h ^ mix64(g))
+        uniq, inv, times = np.unique(kind, return_inverse=True, return_counts=True)
+        slot = (uniq >> self.shift).astype(np.int64)
+        before = np.where(self.kind[slot] == uniq, self.times[slot], 0)
+        order = np.argsort(inv, kind="stable")
+        nth = np.empty(len(kind), np.int64)
+        nth[order] = np.arange(len(kind)) - np.repeat(np.cumsum(times) - times, times)
+        self.kind[slot], self.times[slot] = uniq, np.minimum(before + times, 2)
+        return nth + before[inv] >= 2
+
+
+def _windows(off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, first byte, last byte) of chunks of rows; a row of over CHUNK_BYTES comes in windows that share LENGTH - 1 bytes, so that
+    each of its strings is in one of them."""
+    for a, b in chunks(off):
+        first, last = int(off[a]), int(off[b])
+        if last - first <= CHUNK_BYTES:
+            yield a, b, first, last
+            continue
+        for s in range(first, max(last - LENGTH + 1, first + 1), CHUNK_BYTES):
+            yield a, b, s, min(last, s + CHUNK_BYTES + LENGTH - 1)
+
+
 def _segment_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of each text; a text that a task meets more than twice is passed over from then on, as two copies tell that it repeats.
 
-    Of equal segments of one chunk the first two go to their group; the others are known to repeat and are dealt at random, so that a common
+    Of equal segments of one task the first two go to their group; the others are known to repeat and are dealt at random, so that a common
     passage does not make one large group.
     """
     met: dict[tuple[int, int], int] = {}
+    sightings = Sightings()
     for x in batches:
         raw, off = text_bytes(x.column(0))
-        for a, b in chunks(off):
-            rel = off[a : b + 1] - off[a]
-            row, lo, hi, place, h, g = _segments(raw[off[a] : off[b]], rel)
+        of_long: tuple[int, tuple[int, int], bool] = (-1, (0, 0), True)
+        for a, b, s, e in _windows(off):
+            rel = np.clip(off[a : b + 1], s, e) - s
+            row, lo, hi, place, h, g = _segments(raw[s:e], rel)
             if not len(row):
                 continue
             keys = np.zeros((b - a, 2), np.int64)
             more = np.ones(b - a, bool)
             for i in np.unique(row).tolist():
+                if of_long[0] == a:  # a later window of the same text
+                    keys[i], more[i] = of_long[1:]
+                    continue
                 key = _text_key(raw, off[a + i], off[a + i + 1])
                 keys[i] = key
                 times = met.get(key, 0) + 1
                 more[i] = times <= 2
                 if times <= 2 and len(met) < 500_000:
                     met[key] = times
+                if off[a + i + 1] - off[a + i] > CHUNK_BYTES:
+                    of_long = (a, key, bool(more[i]))
             row, lo, hi, place, h, g = (v[more[row]] for v in (row, lo, hi, place, h, g))
-            order = np.lexsort((g, h))
-            begin = np.ones(len(h), bool)
-            begin[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-            known = np.zeros(len(h), bool)
-            known[order] = np.arange(len(h)) - np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0)) >= 2
-            h = np.where(known, mix64(keys[row, 0].view(np.uint64) + lo.astype(np.uint64)), h)
-            start = rel[row]
+            if not len(row):
+                continue
+            known = sightings.known(h, g)
+            h = np.where(known, mix64(keys[row, 0].view(np.uint64) + lo.astype(np.uint64) + np.uint64(s)), h)
+            start = off[a:b][row] - s
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[row, 0]), pa.array(keys[row, 1])] + [pa.array((v - start).astype(np.int32)) for v in (lo, hi, place)] + [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(known)],
                 ["t1", "t2", "lo", "hi", "p", "h", "g", "known"],
@@ -288,9 +328,9 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         continue
                     for name, v in zip(out, (*key, h[m], lo[m], hi[m], p[m], min(mine, other), max(mine, other), text), strict=True):
                         out[name].append(v)
-            if len(out["h"]) > 5000:
-                yield _packed(out)
-                out = {k: [] for k in out}
+                if len(out["h"]) > 5000:
+                    yield _packed(out)
+                    out = {k: [] for k in out}
         if out["h"]:
             yield _packed(out)
 
@@ -343,7 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: (id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes and removed spans if with_text.
 
     Null text counts as empty: all zeros and the digest of no bytes. Texts under 400 bytes lose nothing. Copies, also under equal or null ids,
-    are other places of the same strings. Other columns of docs are not looked at.
+    are other places of the same strings. Texts of any length are taken in windows of CHUNK_BYTES. Other columns of docs are not looked at.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
