@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, small_batches, stored, table, text_bytes, trim, unpacked
 
 PERCENT, WIDTH = 75, 5
-#: Documents of one component that meet in one task, at most (twice this for a pair of tiles).
-TILE = 2048
+#: Documents, and shingle entries, of one component that meet in one task, about (twice this for a pair of tiles; one set may be larger).
+TILE, TILE_ENTRIES = 2048, 1_000_000
 #: Shingle entries that one range of hashes holds, about.
 RANGE_ENTRIES = 1_500_000
 #: Entries of a block of documents, about.
@@ -379,11 +379,12 @@ def _bits(entries: float | None) -> int:
 def link_members(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what links connect inside each candidate component; members: (node, of).
 
-    A component of up to TILE members is one group. A larger one is dealt to tiles; each is joined with itself, then one member of each part of each tile
+    A component of up to TILE members and TILE_ENTRIES shingles is one group. A larger one is dealt to tiles; each is joined with itself, then one member of each part of each tile
     stands for the part and these are linked in the same way. Most large groups are connected by now; of those that are not, all pairs of
     tiles are joined. So a group of near copies costs about its size, and no task holds more than two tiles.
     """
-    size = members.groupBy("of").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.least(F.ceil(F.sum("n") / TILE_ENTRIES), F.count("*")))
+    size = members.join(sets.select("node", "n"), "node").groupBy("of").agg(tiles.cast("int").alias("tiles"))
     placed = stored(members.join(size, "of").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")))
     large = placed.where("tiles > 1")
     kind = "a long, b long"
@@ -434,7 +435,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = _bits(nodes.agg(F.sum("n_shingles")).first()[0])
     dealt = whole.mapInArrow(_set_blocks(bits), Blocks.schema)
     counted = dealt.groupBy("r").applyInPandas(_counted(bits, True), _COUNTED)
-    sets = cut(counted.groupBy("block").applyInPandas(_ordered, "node long, n long, h binary, prefix array<long>"))
+    sets = stored(counted.groupBy("block").applyInPandas(_ordered, "node long, n long, h binary, prefix array<long>"))
     keys = sets.select("node", F.explode("prefix").alias("g"))
     star = keys.groupBy("g").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1")
     near = components(keys.join(star, "g").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
