@@ -5,7 +5,6 @@ from __future__ import annotations
 import codecs
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import share_code
+from lodestone.session import share_code, shared_folder
 
 #: Bytes of text that a numpy kernel takes at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -27,14 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset and the session is local (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named or shared_folder(spark, "checkpoints"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
