@@ -1,9 +1,11 @@
-"""Command line: process, find, index, search, schema, sample, query, peek, watch, history, config, bench, tools."""
+"""Command line: process, find, index, search, schema, sample, query, peek, watch, history, config, bench, tools, init, context."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
+import subprocess
 import sys
 import time
 
@@ -14,6 +16,8 @@ from lodestone.errors import LodestoneError
 from lodestone.operators import export, history, profiling
 from lodestone.session import get_session
 from lodestone.sources.readers import extension, read_any
+from lodestone.streaming.incremental import IncrementalIndex, StreamRegistry
+from lodestone.streaming.watch import watch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -63,7 +67,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--depth", type=int, default=5)
     c.add_argument("--style", choices=["json", "tree", "md"], default="tree")
     c = sub.add_parser("config")
-    c.add_argument("action", choices=["show", "get", "set", "reset"])
+    c.add_argument("action", choices=["show", "get", "set", "reset", "edit"])
     c.add_argument("key", nargs="?")
     c.add_argument("value", nargs="?")
     c.add_argument("--file", default="~/.lodestone/config.json")
@@ -75,6 +79,22 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("sql", nargs="?", default="SELECT COUNT(*) AS n FROM this")
     c.add_argument("--runs", type=int, default=5)
     sub.add_parser("tools", help="descriptions of the tools as JSON")
+    c = sub.add_parser("init", help="what an agent is told of the tools")
+    c.add_argument("kind", choices=["mcp", "openai", "openapi", "langchain", "gpt", "claude"])
+    c = sub.add_parser("context", help="what was done in this session")
+    c.add_argument("action", choices=["get", "clear", "export", "set"])
+    c.add_argument("key", nargs="?")
+    c.add_argument("value", nargs="?")
+    c.add_argument("--short", action="store_true")
+    c = sub.add_parser("watch", help="keep an index as its folder changes; logs: what the watch said")
+    c.add_argument("action", choices=["run", "status", "logs", "stop"])
+    c.add_argument("root", nargs="?")
+    c.add_argument("folder", nargs="?")
+    c.add_argument("--name", default="watch")
+    c.add_argument("--exclude", action="append")
+    c.add_argument("--include", action="append")
+    c.add_argument("--seconds", type=float, help="end after so long; else when asked to stop")
+    c.add_argument("-n", type=int, default=50)
     return p
 
 
@@ -86,8 +106,16 @@ def run(args: argparse.Namespace, out=None) -> None:
         return say(tools.describe_tools())
     if command == "config":
         return _config(args, say)
+    if command == "init":
+        return say(tools.init_text(args.kind))
     config = Config.load()
+    if command == "context":
+        return _context(args, say, config)
+    if command == "watch" and args.action != "run":
+        return _watched(args, say, config)
     spark = get_session(f"local[{config.threads or '*'}]")
+    if command == "watch":
+        return _watch(spark, args, say, config)
     if command == "process":
         return _process(spark, args, say)
     if command == "find":
@@ -135,14 +163,17 @@ def run(args: argparse.Namespace, out=None) -> None:
 
 
 def _home(path: str) -> str:
-    import os
-
     return os.path.expanduser(path)
 
 
 def _config(args, say) -> None:
     path = _home(args.file)
     config = Config() if args.action == "reset" else Config.load(path)
+    if args.action == "edit":
+        if not os.path.exists(path):
+            config.save(path)
+        subprocess.run([*os.environ.get("EDITOR", "vi").split(), path], check=True)
+        return say(json.dumps(Config.load(path), default=lambda x: x.__dict__, indent=2))
     if args.action in ("set", "reset"):
         if args.action == "set":
             config.set(args.key, args.value)
@@ -153,6 +184,58 @@ def _config(args, say) -> None:
         say(json.dumps(config, default=lambda x: x.__dict__, indent=2))
 
 
+def _context(args, say, config) -> None:
+    session = history.SessionContext(_home(config.paths.session))
+    if args.action == "get":
+        say(session.get(args.short))
+    elif args.action == "export":
+        say(session.export())
+    elif args.action == "set":
+        session.set(args.key, args.value)
+    else:
+        session.clear()
+
+
+def _watch_folder(config) -> str:
+    return os.path.join(_home(config.paths.home), "watch")
+
+
+def _watch(spark, args, say, config) -> None:
+    """Runs until the time is over or a stop file is there; what it is doing is in its status file and its log."""
+    home = _watch_folder(config)
+    os.makedirs(home, exist_ok=True)
+    registry = StreamRegistry(home)
+    index = IncrementalIndex(spark, args.folder, tools.contents_of)
+    at = os.path.join(home, args.name)
+    events = watch(spark, args.root, f"{at}-state")
+    query = index.run(events, f"{at}-checkpoint", f"{config.watch.debounce_ms} milliseconds", ignore=args.exclude, include=args.include, processingTime=f"{config.watch.poll_ms} milliseconds")
+    registry.add(args.name, query)
+    ends = time.time() + args.seconds if args.seconds else None
+    while query.isActive and not os.path.exists(f"{at}.stop") and (ends is None or time.time() < ends):
+        with open(f"{at}.json", "w", encoding="utf-8") as f:
+            json.dump({"name": args.name, "pid": os.getpid(), "root": args.root, **{k: str(v) if k == "last_update" else v for k, v in index.stats.items()}}, f)
+        time.sleep(config.watch.poll_ms / 1000)
+    registry.stop(args.name)
+    for end in (".stop", ".json"):
+        if os.path.exists(at + end):
+            os.remove(at + end)
+    say(index.stats | {"last_update": str(index.stats["last_update"])})
+
+
+def _watched(args, say, config) -> None:
+    at = os.path.join(_watch_folder(config), args.name)
+    if args.action == "logs":
+        return [say(x) for x in StreamRegistry(_watch_folder(config)).logs(args.name, args.n)] and None
+    if not os.path.exists(f"{at}.json"):
+        return say({"name": args.name, "active": False})
+    if args.action == "stop":
+        with open(f"{at}.stop", "w"):
+            pass
+        return say({"name": args.name, "stopping": True})
+    with open(f"{at}.json", encoding="utf-8") as f:
+        say(json.load(f) | {"active": True})
+
+
 def _process(spark, args, say) -> None:
     if args.quality_check:
         return say(profiling.report(read_any(spark, args.file)))

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.errors import QueryError
 from lodestone.functions import aliases
-from lodestone.plans.rewriter import rewrite, typo_hint, union_by_name
-from lodestone.sources.readers import CsvOptions, read_any
+from lodestone.plans.rewriter import clauses, inner_unions, ipc_view, rewrite, star_parts, typo_hint, union_by_name
+from lodestone.sources.readers import CsvOptions, read_any, read_arrow
 
 
 def table_name(path: str) -> str:
@@ -29,6 +27,7 @@ class Engine:
             if (v := spark.conf.get(k, None)) is not None:
                 self.session.conf.set(k, v)
         self.functions: set[str] = set()
+        self.made: list[str] = []
         self.tables: dict[str, DataFrame] = {}
 
     def register(self, name: str, source: str | DataFrame, options: CsvOptions | None = None) -> DataFrame:
@@ -51,23 +50,80 @@ class Engine:
         return self.register("this", df)
 
     def sql(self, query: str, limit: int | None = None) -> DataFrame:
-        """The result of a query; limit goes into the plan."""
+        """The result of a query; limit goes into the plan. CREATE TABLE ... AS, DROP TABLE, TRUNCATE TABLE and SHOW TABLES act on this engine's tables."""
         self._define(query)
         try:
-            parts = union_by_name(query)
-            if parts:
-                frames = [self.session.sql(rewrite(p)) for p in parts]
-                df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-                df = df if re.search(r"UNION\s+ALL\s+BY", query, re.I) else df.distinct()
-            else:
-                df = self.session.sql(rewrite(query))
+            df = self._statement(query)
+            df = self._select(query) if df is None else df
         except (ParseException, AnalysisException) as e:
             hint = typo_hint(query)
             raise QueryError(str(e).split("\n")[0], hint[0] if hint else None) from e
         return df if limit is None else df.limit(limit)
 
+    def _statement(self, query: str) -> DataFrame | None:
+        """What a statement on tables gives; None for queries."""
+        text = query.strip().rstrip(";")
+        if m := re.fullmatch(r"CREATE\s+(OR\s+REPLACE\s+)?TABLE\s+(\w+)\s+AS\s+(.+)", text, re.I | re.S):
+            if m[2] in self.tables and not m[1]:
+                raise QueryError(f"there is a table {m[2]}")
+            self.register(m[2], self._select(m[3]))
+            return self._told(m[2])
+        if m := re.fullmatch(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?(\w+)", text, re.I):
+            if self.tables.pop(m[2], None) is None and not m[1]:
+                raise QueryError(f"no table {m[2]}")
+            self.session.catalog.dropTempView(m[2])
+            return self._told(m[2])
+        if m := re.fullmatch(r"TRUNCATE\s+TABLE\s+(\w+)", text, re.I):
+            if m[1] not in self.tables:
+                raise QueryError(f"no table {m[1]}")
+            self.register(m[1], self.tables[m[1]].limit(0))
+            return self._told(m[1])
+        if re.fullmatch(r"SHOW\s+TABLES", text, re.I):
+            return self.session.createDataFrame([(x,) for x in self.names()], "name string")
+        return None
+
+    def _told(self, name: str) -> DataFrame:
+        return self.session.createDataFrame([(name,)], "name string")
+
+    def _select(self, query: str) -> DataFrame:
+        for a, b in reversed(inner_unions(query)):  # a subquery that is a union by name becomes a view
+            name = f"__union_{len(self.made)}"
+            self.made.append(name)
+            self._select(query[a + 1 : b]).createOrReplaceTempView(name)
+            query = f"{query[:a]}(SELECT * FROM {name}){query[b + 1 :]}"
+        parts = union_by_name(query)
+        if not parts:
+            return self.session.sql(rewrite(self._stars(query)))
+        out = self._select(parts[0][0])
+        for part, joint in zip(parts[0][1:], parts[1], strict=True):
+            out = out.unionByName(self._select(part), allowMissingColumns=True)
+            out = out if joint == "ALL" else out.distinct()
+        return out
+
+    def _stars(self, query: str) -> str:
+        """* REPLACE (...) and COLUMNS('...') as lists of columns."""
+        found = star_parts(query)
+        if not found:
+            return query
+        head, rest, new, pattern = found
+        c = clauses(query)
+        source = " ".join(c[k] for k in ("FROM",))
+        columns = self.session.sql(rewrite(f"SELECT * {source}")).columns
+        if pattern is not None:
+            picked = [f"`{x}`" for x in columns if re.search(pattern, x)]
+            if not picked:
+                raise QueryError(f"no column matches {pattern}")
+        else:
+            lower = {k.lower(): v for k, v in new.items()}
+            if unknown := lower.keys() - {x.lower() for x in columns}:
+                raise QueryError(f"no column {min(unknown)}")
+            picked = [f"{lower[x.lower()]} AS `{x}`" if x.lower() in lower else f"`{x}`" for x in columns]
+        return f"SELECT {head.replace(chr(0), ', '.join(picked))} {rest}"
+
     def _define(self, query: str) -> None:
         """Function aliases are created when a query first calls them."""
+        for m in re.finditer(r"\bread_ipc\s*\(\s*'([^']+)'\s*\)", query, re.I):
+            read_arrow(self.session, m[1]).createOrReplaceTempView(ipc_view(m[1]))
         new = [x for x in aliases.used(query) if x not in self.functions]
         self.functions.update(aliases.register(self.session, new))
 

@@ -41,3 +41,56 @@ class ExportError(LodestoneError):
 
 class ConfigError(LodestoneError):
     code = "E007"
+
+
+class IndexFailed(LodestoneError):
+    code, hint = "E008", "build the index again"
+
+
+class SearchFailed(LodestoneError):
+    code = "E009"
+
+
+class ProcessFailed(LodestoneError):
+    code = "E010"
+
+
+class ReadFailed(LodestoneError):
+    code, hint = "E011", "is the file there, and may it be read?"
+
+
+class ParseFailed(LodestoneError):
+    code, hint = "E012", "check the options of the reader"
+
+
+class Invalid(LodestoneError):
+    code = "E013"
+
+
+class HistoryFailed(LodestoneError):
+    code, hint = "E014", "clear the history"
+
+
+class TimedOut(LodestoneError):
+    code, hint = "E015", "ask for less, or raise the limit"
+
+
+class NotPermitted(LodestoneError):
+    code, hint = "E016", "check the rights of the file"
+
+
+class OverLimit(LodestoneError):
+    code = "E017"
+
+    def __init__(self, what: str, current: int, most: int):
+        super().__init__(f"{what}: {current} is over {most}")
+
+
+class ModelFailed(LodestoneError):
+    code, hint = "E018", "check the model and tokenizer files"
+
+
+def from_os(e: OSError) -> LodestoneError:
+    """Errors of the system as ours."""
+    kind = NotFound if isinstance(e, FileNotFoundError) else NotPermitted if isinstance(e, PermissionError) else TimedOut if isinstance(e, TimeoutError) else ReadFailed
+    return kind(f"{e.strerror}: {e.filename}")

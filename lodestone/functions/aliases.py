@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _DEG = "DEGREES({}(x))"
 #: name -> (parameters, return type, body)
@@ -21,15 +24,8 @@ ALIASES: dict[str, tuple[str, str, str]] = {
     "tand": ("x DOUBLE", "DOUBLE", "TAN(RADIANS(x))"),
     "cotd": ("x DOUBLE", "DOUBLE", "COT(RADIANS(x))"),
     "bit_not": ("x BIGINT", "BIGINT", "~x"),
-    "array_length": ("a ARRAY<STRING>", "INT", "size(a)"),
     "array_sum": ("a ARRAY<DOUBLE>", "DOUBLE", "aggregate(filter(a, x -> x IS NOT NULL), 0D, (s, x) -> s + x)"),
     "array_mean": ("a ARRAY<DOUBLE>", "DOUBLE", "aggregate(filter(a, x -> x IS NOT NULL), 0D, (s, x) -> s + x) / nullif(size(filter(a, x -> x IS NOT NULL)), 0)"),
-    "array_to_string": ("a ARRAY<STRING>, sep STRING", "STRING", "array_join(a, sep)"),
-    "array_get": ("a ARRAY<STRING>, i INT", "STRING", "get(a, i)"),
-    "array_unique": ("a ARRAY<STRING>", "ARRAY<STRING>", "array_distinct(a)"),
-    "array_reverse": ("a ARRAY<STRING>", "ARRAY<STRING>", "reverse(a)"),
-    "array_lower": ("a ARRAY<DOUBLE>", "DOUBLE", "array_min(a)"),
-    "array_upper": ("a ARRAY<DOUBLE>", "DOUBLE", "array_max(a)"),
     "strftime": ("t TIMESTAMP, f STRING", "STRING", "date_format(t, {f})"),
     "strptime": ("s STRING, f STRING", "TIMESTAMP", "try_to_timestamp(s, {f})"),
 }
@@ -44,15 +40,26 @@ def _pattern_sql() -> str:
     return out
 
 
+def _normalize(texts: pd.Series, form: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize(f or "NFC", t) for t, f in zip(texts, form, strict=True)])
+
+
+#: name -> (function of columns in batches, return type): what Catalyst has no expression for.
+PYTHON = {"normalize": (_normalize, "string")}
+
+
 def used(sql: str) -> list[str]:
     """Aliases that a query may call."""
-    return [name for name in ALIASES if re.search(rf"\b{name}\s*\(", sql, re.I)]
+    return [name for name in [*ALIASES, *PYTHON] if re.search(rf"\b{name}\s*\(", sql, re.I)]
 
 
 def register(session: SparkSession, names: list[str] | None = None) -> list[str]:
     """Creates the aliases (all, or some) in a session; names that Spark has are left alone."""
-    names = list(ALIASES) if names is None else names
+    names = [*ALIASES, *PYTHON] if names is None else names
     for name in names:
+        if name in PYTHON:
+            session.udf.register(name, F.pandas_udf(*PYTHON[name]))
+            continue
         params, kind, body = ALIASES[name]
         session.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {kind} RETURN {body.replace('{f}', _pattern_sql())}")
     return names

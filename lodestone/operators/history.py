@@ -7,10 +7,13 @@ import os
 import tempfile
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.errors import HistoryFailed
+
 SCHEMA = "id bigint, query string, path string, file_type string, search_type string, results bigint, ms bigint, timestamp timestamp"
 KEPT = 1000
 #: Extensions that a query may name.
@@ -46,26 +49,64 @@ def _advice(df: DataFrame, kind: str, value: str, confidence: Column) -> DataFra
     return df.select(F.lit(kind).alias("kind"), F.col(value).alias("value"), confidence.cast("double").alias("confidence"))
 
 
-def recommend(h: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """(kind, value, confidence): queries, file types, paths and search types that fit, the surest first."""
+def recommend_queries(h: DataFrame, query: str) -> DataFrame:
+    """Of the ten most frequent queries those that contain this one or are in it; without such, the most frequent one if it was asked three times."""
     q = query.lower()
     top = frequencies(h, 10)
     sure = F.least(F.col("count") / 10, F.lit(1.0))
     near = top.where((F.col("query") != q) & (F.contains("query", F.lit(q)) | F.contains(F.lit(q), F.col("query"))))
     first = top.orderBy(F.desc("count"), "query").limit(1).where(F.col("count") >= 3)
     lonely = first.join(near.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_anti")
-    out = _advice(near, "query", "query", sure).unionByName(_advice(lonely, "query", "query", sure * 0.7))
-    named = next((x for x in NAMED if x in q), None)
-    if named:
-        by_path = h.where("file_type is not null").groupBy("path").agg(modal(F.col("file_type")).alias("t")).where(F.col("t") != named)
-        every = h.where("file_type is not null").groupBy("file_type").count().where("count >= 3").orderBy(F.desc("count"), "file_type").limit(1)
-        out = out.unionByName(_advice(by_path.select("t").distinct(), "file_type", "t", F.lit(0.6))).unionByName(_advice(every, "file_type", "file_type", F.lit(0.5)))
+    return _advice(near, "query", "query", sure).unionByName(_advice(lonely, "query", "query", sure * 0.7))
+
+
+def recommend_types(h: DataFrame, query: str) -> DataFrame | None:
+    """Where a query names an extension: the usual types of the paths where it is not that one, and the usual type of all; None if it names none."""
+    named = next((x for x in NAMED if x in query.lower()), None)
+    if not named:
+        return None
+    typed = h.where("file_type is not null")
+    by_path = typed.groupBy("path").agg(modal(F.col("file_type")).alias("t")).where(F.col("t") != named)
+    every = typed.groupBy("file_type").count().where("count >= 3").orderBy(F.desc("count"), "file_type").limit(1)
+    return _advice(by_path.select("t").distinct(), "file_type", "t", F.lit(0.6)).unionByName(_advice(every, "file_type", "file_type", F.lit(0.5)))
+
+
+def recommend_paths(h: DataFrame) -> DataFrame:
+    """The most frequent path of the last 20 entries, if it is there three times."""
     places = recent(h, 20).groupBy("path").count().where("count >= 3 and path <> '' and path <> '.'").orderBy(F.desc("count"), "path").limit(1)
+    return _advice(places, "path", "path", F.lit(0.7))
+
+
+def recommend_search_types(h: DataFrame) -> DataFrame:
     kinds = h.groupBy("search_type").count().where("count >= 2 and search_type is not null").orderBy(F.desc("count"), "search_type").limit(1)
-    out = out.unionByName(_advice(places, "path", "path", F.lit(0.7))).unionByName(_advice(kinds, "search_type", "search_type", F.lit(0.6)))
+    return _advice(kinds, "search_type", "search_type", F.lit(0.6))
+
+
+def recommend(h: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """(kind, value, confidence): queries, file types, paths and search types that fit, the surest first."""
+    parts = [recommend_queries(h, query), recommend_types(h, query), recommend_paths(h), recommend_search_types(h)]
+    out = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
     return out.groupBy("kind", "value").agg(F.max("confidence").alias("confidence")).orderBy(F.desc("confidence"), "kind", "value").limit(k)
 
 
+class Recommender:
+    """Recommendations from a history, kept per query until something is recorded."""
+
+    def __init__(self, history: History, spark: SparkSession):
+        self.history, self.spark = history, spark
+        self.kept: dict[tuple[str, int], list[dict]] = {}
+
+    def of(self, query: str, k: int = 5) -> list[dict]:
+        key = (query.lower(), k)
+        if self.kept_for != self.history.version:
+            self.kept, self.kept_for = {}, self.history.version
+        if key not in self.kept:
+            self.kept[key] = [r.asDict() for r in recommend(self.history.frame(self.spark), query, k).collect()]
+        return self.kept[key]
+
+    kept_for = -1
+
+
 def time_ago(then: Column, now: Column) -> Column:
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
     return F.when(s < 60, F.concat(s, F.lit("s ago"))).when(s < 3600, F.concat(F.floor(s / 60), F.lit("min ago"))).when(s < 86400, F.concat(F.floor(s / 3600), F.lit("h ago"))).otherwise(F.concat(F.floor(s / 86400), F.lit("d ago")))
@@ -97,13 +138,20 @@ class History:
     """A JSON file of at most KEPT entries; a damaged file is an error."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.entries = [Entry(**e) for e in json.load(open(path, encoding="utf-8"))] if os.path.exists(path) else []
+        self.path, self.version = path, 0
+        try:
+            with open(path, encoding="utf-8") as f:
+                self.entries = [Entry(**e) for e in json.load(f)]
+        except FileNotFoundError:
+            self.entries = []
+        except (ValueError, TypeError) as e:
+            raise HistoryFailed(f"damaged: {path}: {e}") from e
         self.next = max((e.id for e in self.entries), default=0) + 1
 
     def record(self, entry: Entry) -> int:
         entry.id, entry.timestamp = self.next, entry.timestamp or datetime.now(UTC).isoformat()
         self.next += 1
+        self.version += 1
         self.entries = [*self.entries, entry][-KEPT:]
         _write(self.path, [asdict(e) for e in self.entries])
         return entry.id
@@ -114,6 +162,7 @@ class History:
 
     def clear(self) -> None:
         self.entries = []
+        self.version += 1
         if os.path.exists(self.path):
             os.remove(self.path)
 
@@ -162,7 +211,7 @@ class SessionContext:
 
 
 def token_savings(source_bytes: int, output_chars: int) -> dict:
-    """Half a token a byte or character: (before, after, saved), and what they cost at 0.15 dollars a million."""
+    """Half a token a byte or character: (before, after, saved), and what they cost at 0.15 dollars a million, and in yuan at 7.2 a dollar."""
     before, after = int(source_bytes * 0.5), int(output_chars * 0.5)
     saved = max(0, before - after)
-    return {"before": before, "after": after, "saved": saved, "usd": saved * 0.15 / 1e6}
+    return {"before": before, "after": after, "saved": saved, "usd": saved * 0.15 / 1e6, "cny": saved * 0.15 / 1e6 * 7.2}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import checkpointed
+
+#: approx_percentile is off by at most 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+
 
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,7 +46,31 @@ def maximum(c: str | Column) -> Column:
     return F.max(_no_nan(c))
 
 
-def percentile_rank(values: Column, p: float) -> Column:
-    """Of an array: the sorted value at min(n * p div 100, n - 1)."""
-    n = F.size(values)
-    return F.get(F.sort_array(values), F.least(F.floor(n * p / 100), n - 1).cast("int"))
+def percentile_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str = "value") -> DataFrame:
+    """(keys, name): of each group the sorted value at min(n * p div 100, n - 1), exactly; nulls come first, as in a sorted array.
+
+    A sketch brackets the rank of each group, the rows under the bracket are counted and the distinct values in it (about 4 / ACCURACY of the group) ranked, so
+    no group is gathered. A bracket that misses its rank is found out and widened to the whole group.
+    """
+    v, n = F.col(f"`{value}`"), F.col("__n")
+    share = p / 100
+    sketch = F.percentile_approx(v, [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)], ACCURACY)
+    facts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count(v).alias("__k"), sketch.alias("__b"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    rank = F.least(F.floor(n * p / 100), n - 1) - (n - F.col("__k"))
+    facts = checkpointed(facts.withColumn("__rank", rank).withColumn("__from", F.get("__b", 0)).withColumn("__to", F.get("__b", 1)))
+    out = facts.where("__rank < 0").select(*keys, F.lit(None).cast(df.schema[value].dataType).alias(name))
+    todo = facts.where("__rank >= 0")
+    for whole in (False, True):
+        lo, hi = (F.col("__lo"), F.col("__hi")) if whole else (F.col("__from"), F.col("__to"))
+        at = [F.col(f"__g{i}").eqNullSafe(F.col(f"`{k}`")) for i, k in enumerate(keys)]
+        ends = todo.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], lo.alias("__a"), hi.alias("__z"), "__rank")
+        rows = df.where(v.isNotNull()).join(ends, at)
+        where = F.when(v < F.col("__a"), F.lit(None)).otherwise(v)
+        counts = rows.where(v <= F.col("__z")).groupBy(*keys, where.alias("__v"), "__rank").agg(F.count("*").alias("__c"))
+        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
+        found = checkpointed(counts.withColumn("__upto", upto).where((F.col("__upto") > F.col("__rank")) & (F.col("__upto") - F.col("__c") <= F.col("__rank")) & F.col("__v").isNotNull()).select(*keys, F.col("__v").alias(name)))
+        out = out.unionByName(found)
+        todo = todo.join(found.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]), at, "left_anti")
+        if whole or not todo.take(1):
+            return out
+    return out

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +12,12 @@ from lodestone.sources.files import extension_of
 
 #: Extensions of each kind; all others are binary.
 KINDS = {
-    "code": ["rs", "py", "js", "ts", "jsx", "tsx", "go", "java", "c", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "kt", "scala", "sh"],
-    "config": ["toml", "yaml", "yml", "json", "ini", "cfg", "conf", "xml", "env"],
-    "text": ["md", "txt", "rst", "text"],
+    "code": ["rs", "py", "js", "ts", "go", "c", "cpp", "h", "hpp", "java", "cs", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh", "fish"],
+    "config": ["toml", "yaml", "yml", "json", "ini", "xml", "conf", "config", "env", "properties"],
+    "text": ["md", "txt", "rst", "text", "adoc", "org"],
 }
+#: Names that a peek passes over wherever they stand in a path.
+IGNORED = [".git", "node_modules", "target", "__pycache__", "venv"]
 #: How the lines of an outline begin.
 OUTLINE = {
     "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|mod|use|type|const)\b",
@@ -100,3 +105,35 @@ def tree(peeked: DataFrame, limit: int = 1000) -> str:
             last = folder
         out.append(f"  {name}  {r.summary}")
     return "\n".join(out)
+
+
+def wanted(path: Column, exclude: list[str] | None = None, include: list[str] | None = None) -> Column:
+    """Paths that a peek shows: none that contains an ignored token; of the extensions asked for (*.py, .py and py are one), if any."""
+    keep = F.lit(True)
+    for token in [*IGNORED, *[x for x in exclude or [] if x]]:
+        keep = keep & ~path.contains(token)
+    names = [x.removeprefix("*").lstrip(".").lower() for x in include or [] if x]
+    return keep & F.coalesce(extension_of(path).isin(names), F.lit(False)) if names else keep
+
+
+def find_file(paths: DataFrame, name: str) -> DataFrame:
+    """The first file, by depth and path, whose path is or ends in this name."""
+    hit = (F.col("path") == name) | F.col("path").endswith("/" + name.lstrip("/"))
+    depth = F.size(F.split("path", "/"))
+    return paths.where(~F.col("is_dir") & hit).orderBy(F.col("path") != name, depth, "path").limit(1)
+
+
+class PeekCache:
+    """Views of folders by path and the folder's time of change, kept for `seconds` in this process."""
+
+    def __init__(self, seconds: float = 300.0, clock=time.monotonic):
+        self.seconds, self.clock = seconds, clock
+        self.kept: dict[tuple[str, int], tuple[float, object]] = {}
+
+    def get(self, folder: str, make):
+        key = (folder, os.stat(folder).st_mtime_ns)
+        now = self.clock()
+        self.kept = {k: v for k, v in self.kept.items() if now - v[0] <= self.seconds}
+        if key not in self.kept:
+            self.kept[key] = (now, make())
+        return self.kept[key][1]

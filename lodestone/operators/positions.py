@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import checkpointed
+
 
 def with_positions(df: DataFrame, order_by: list[str] | None = None, name: str = "_pos") -> DataFrame:
     """df with a dense position from 0. Rows are sorted over the cluster by order_by, or stay as their partitions have them.
 
-    Each partition numbers its rows; the counts of the partitions (one number each) give the offsets. Rows are kept between the two passes,
-    so that both see the same partitions.
+    Each partition numbers its rows; the counts of the partitions (one number each) give the offsets. Rows are checkpointed between the two passes,
+    so that both see the same partitions whatever executors are lost.
     """
     if name in df.columns:
         df = df.drop(name)
     rows = df.orderBy(*order_by) if order_by else df
-    rows = rows.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = checkpointed(rows.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()))
     counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
     offset, offsets = 0, []
     for part in sorted(counts):

@@ -1,27 +1,34 @@
 """Full-text search: documents -> postings -> BM25, with phrases, boolean operators, prefixes and typo-tolerant terms.
 
-An index is a folder of Parquet tables: docs (path, content, file_type, size, modified, doc_id, length), postings (term, doc_id, tf, positions,
-bucket; partitioned by a hash of the term, so a query reads the folders of its terms), terms (term, df). A query is an expression tree on the driver;
-its terms become one filter on postings, the tree one boolean expression over the terms that a document has.
+An index is a folder of Parquet tables: docs (path, content, file_type, size, modified, doc_id, length), postings (term, doc_id, tf, positions, length and
+file_type of the document, bucket; partitioned by a hash of the term, so a query reads the folders of its terms), terms (term, df), stats. A query is an
+expression tree on the driver; its terms become one filter on postings, the tree one boolean expression over the terms that a document has. Scores need
+postings and terms only; contents are fetched for the best k.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import SearchSyntax
 
-#: Code points of the scripts that are written without blanks, as ranges of a character class.
-CJK = "一-鿿㐀-䶿豈-﫿぀-ゟ゠-ヿ가-힯　-〿＀-￯"
-_RUNS = re.compile(rf"([{CJK}]+)|([^{CJK}]+)")
+#: First and last code points of the ideographs that are written without blanks.
+CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
+#: The same as the inside of a character class, of regular expressions here and of Spark.
+CJK_HERE = "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES)
+CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES)
+_RUNS = re.compile(rf"([{CJK_HERE}]+)|([^{CJK_HERE}]+)")
 _LATIN = re.compile(r"[^\W]+", re.U)
 K1, B = 1.2, 0.75
 BUCKETS = 32
@@ -44,8 +51,7 @@ def tokenize(text: str, segment: Callable[[str], list[str]] = bigrams) -> list[s
 def tokens(text: Column) -> Column:
     """Tokens of a text in order: words of letters, digits and _ in lower case, bigrams of runs without blanks."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    latin = r"[\p{L}\p{N}_&&[^" + CJK + r"]]+"
-    runs = F.regexp_extract_all(low, F.lit(rf"{latin}|[\p{{L}}\p{{N}}&&[{CJK}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(rf"(?:(?![{CJK}])[\p{{L}}\p{{N}}_])+|(?:(?=[{CJK}])[\p{{L}}\p{{N}}])+"), F.lit(0))
     pairs = lambda r: F.when(F.length(r) > 1, F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r))
     mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{CJK}]"), pairs(r)).otherwise(F.array(r))))
     return F.when(low.rlike(rf"[{CJK}]"), mixed).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
@@ -152,6 +158,15 @@ def leaves(node: Node) -> list[Node]:
     return [node] if not node.parts else [x for p in node.parts for x in leaves(p)]
 
 
+def _distances(word: str, most: int):
+    """Distances of terms from a word, in batches."""
+
+    def of(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: damerau(t, word, most)).astype("int32")
+
+    return F.pandas_udf(of, T.IntegerType())
+
+
 def damerau(a: str, b: str, most: int) -> int:
     """Unrestricted Damerau-Levenshtein distance; most + 1 if over most."""
     if abs(len(a) - len(b)) > most:
@@ -178,106 +193,172 @@ def damerau(a: str, b: str, most: int) -> int:
 # ---------------------------------------------------------------- index
 
 
-def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content") -> DataFrame:
-    """(term, doc_id, tf, positions) of each document, positions from 0."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-    return each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, tf, positions, ...) of each document, positions from 0. A document is one row, so its terms are grouped inside the row: no shuffle."""
+    each = docs.select(F.col(id_col).alias("doc_id"), *keep, F.array_sort(F.transform(tokens(F.col(text_col)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
+    other = lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"])
+    starts = F.when(F.size("s") > 0, F.filter(F.sequence(F.lit(0), F.size("s") - 1), other)).otherwise(F.array().cast("array<int>"))
+    each = each.select("doc_id", *keep, "s", starts.alias("starts"))
+
+    def entry(a: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("starts", k + 1), F.size("s")) - a
+        return F.struct(F.get("s", a)["t"].alias("term"), n.cast("bigint").alias("tf"), F.transform(F.slice("s", a + 1, n), lambda x: x["i"]).alias("positions"))
+
+    out = each.select("doc_id", *keep, F.explode(F.transform("starts", entry)).alias("e"))
+    return out.select("e.term", "doc_id", "e.tf", "e.positions", *keep)
 
 
 def bm25(tf: Column, df: Column, length: Column, docs: Column, average: Column) -> Column:
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def bucket_of(term: str) -> int:
+    """The folder of a term: what the column expression of bucket() gives."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+
+
+def bucket(term: Column | str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def indexed(docs: DataFrame, path_col: str = "path", text_col: str = "content", type_col: str | None = None, max_bytes: int = 100 << 20) -> DataFrame:
+    """(path, content, file_type, [size, modified,] doc_id, length) of the documents that are indexed: of rows with one path the last modified; no texts over
+    max_bytes and none with NUL in the first 8000 characters."""
+    kind = F.col(type_col) if type_col else F.lower(F.regexp_extract(F.col(path_col).cast("string"), r"\.([^./]+)$", 1))
+    extra = [c for c in ("size", "modified") if c in docs.columns]
+    rows = docs.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"), kind.alias("file_type"), *extra)
+    rows = rows.where(F.col("content").isNotNull() & (F.octet_length("content") <= max_bytes) & (F.instr(F.substring("content", 1, 8000), "\x00") == 0))
+    if "modified" in extra:
+        rows = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "modified").alias("x")).select("path", "x.*")
+    return rows.withColumn("doc_id", F.col("path")).withColumn("length", F.size(tokens(F.col("content"))).cast("bigint"))
+
+
 class TextIndex:
     """Search over postings; build() makes the tables in memory, save() and open() keep them in a folder."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stats: tuple[int, float]):
+    def __init__(self, docs: DataFrame, postings: DataFrame, stats: tuple[int, float], terms: DataFrame | None = None):
         self.docs, self.postings, self.stats = docs, postings, stats
+        self.terms = postings.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms
 
     @staticmethod
     def build(docs: DataFrame, path_col: str = "path", text_col: str = "content", type_col: str | None = None, max_bytes: int = 100 << 20) -> TextIndex:
-        """docs: one row a document; of rows with one path the last modified counts. Texts over max_bytes and with NUL in the first 8000 characters are not indexed."""
-        kind = F.col(type_col) if type_col else F.lower(F.regexp_extract(F.col(path_col).cast("string"), r"\.([^./]+)$", 1))
-        extra = [c for c in ("size", "modified") if c in docs.columns]
-        rows = docs.select(F.col(path_col).alias("path"), F.col(text_col).alias("content"), kind.alias("file_type"), *extra)
-        rows = rows.where(F.col("content").isNotNull() & (F.octet_length("content") <= max_bytes) & (F.instr(F.substring("content", 1, 8000), "\x00") == 0))
-        if "modified" in extra:
-            rows = rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "modified").alias("x")).select("path", "x.*")
-        rows = rows.withColumn("doc_id", F.col("path"))
-        lengths = rows.withColumn("length", F.size(tokens(F.col("content"))).cast("bigint"))
-        n, average = lengths.agg(F.count("*"), F.avg("length")).first()
-        return TextIndex(lengths, postings_of(rows), (n, average or 0.0))
-
-    def save(self, folder: str) -> str:
+        """docs: one row a document; what is left out: see indexed()."""
+        return TextIndex._of(indexed(docs, path_col, text_col, type_col, max_bytes))
+
+    @staticmethod
+    def _of(rows: DataFrame) -> TextIndex:
+        n, average = rows.agg(F.count("*"), F.avg("length")).first()
+        return TextIndex(rows, postings_of(rows, keep=("length", "file_type")), (n, average or 0.0))
+
+    def delete(self, paths: DataFrame) -> TextIndex:
+        """Without the documents of these paths (path); paths that are not there change nothing."""
+        gone = paths.select(F.col("path").alias("gone")).distinct()
+        rows = self.docs.join(gone, F.col("path") == F.col("gone"), "left_anti")
+        n, average = rows.agg(F.count("*"), F.avg("length")).first()
+        return TextIndex(rows, self.postings.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), (n, average or 0.0))
+
+    def save(self, folder: str, name: str | None = None) -> str:
         """A new generation beside earlier ones; CURRENT names it once it is whole."""
         spark = self.docs.sparkSession
-        name = f"gen-{uuid.uuid4().hex}"
-        self.docs.write.parquet(f"{folder}/{name}/docs")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
-        self.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}/postings")
+        name = name or f"gen-{uuid.uuid4().hex}"
+        write_tables(self.docs, self.postings, f"{folder}/{name}")
+        kept = spark.read.schema(placed_schema(self.postings)).parquet(f"{folder}/{name}/postings")
+        kept.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms")
         spark.createDataFrame([self.stats], "docs bigint, average double").write.parquet(f"{folder}/{name}/stats")
-        _point(spark, folder, name)
+        point(spark, folder, name)
         return name
 
     @staticmethod
     def open(spark: SparkSession, folder: str) -> TextIndex:
-        at = f"{folder}/{current(spark, folder)}"
-        s = spark.read.parquet(f"{at}/stats").first()
-        return TextIndex(spark.read.parquet(f"{at}/docs"), spark.read.parquet(f"{at}/postings"), (s.docs, s.average))
+        """The generation that CURRENT names, with the deltas that it lists: of a path the rows of its last delta count."""
+        base, *deltas = current(spark, folder).split()
+        s = spark.read.parquet(f"{folder}/{deltas[-1] if deltas else base}/stats").first()
+        tables = []
+        last = None
+        if deltas:
+            each = [spark.read.parquet(f"{folder}/{d}/ops").select("path", F.lit(n).alias("n")) for n, d in enumerate(deltas)]
+            last = functools.reduce(DataFrame.unionByName, each).groupBy(F.col("path").alias("changed")).agg(F.max("n").alias("last"))
+        for name, key in (("docs", "path"), ("postings", "doc_id")):
+            parts = []
+            if base != NO_BASE:
+                whole = spark.read.parquet(f"{folder}/{base}/{name}")
+                parts.append(whole.join(last, F.col(key) == F.col("changed"), "left_anti") if deltas else whole)
+            for n, d in enumerate(deltas):
+                parts.append(spark.read.parquet(f"{folder}/{d}/{name}").join(last.where(F.col("last") == n), F.col(key) == F.col("changed"), "left_semi"))
+            tables.append(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+        return TextIndex(tables[0], tables[1], (s.docs, s.average), None if deltas else spark.read.parquet(f"{folder}/{base}/terms"))
 
     def doc_count(self) -> int:
         return self.stats[0]
 
     def vocabulary(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
-
-    def _terms(self, words: list[str]) -> DataFrame:
-        p = self.postings.where(F.col("term").isin(words))
-        if "bucket" in self.postings.columns:  # only the folders of these terms
-            buckets = sorted({r[0] for r in self.docs.sparkSession.createDataFrame([(w,) for w in words], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).collect()})
-            p = p.where(F.col("bucket").isin(buckets))
-        return p
+        return self.terms
 
     def expand(self, node: Node) -> DataFrame:
         """(term, distance) of all vocabulary terms of a prefix or fuzzy leaf."""
         word = node.words[0]
         if node.kind == "prefix":
-            return self.postings.where(F.col("term").startswith(word)).select("term").distinct().withColumn("distance", F.lit(0))
+            return self.terms.where(F.col("term").startswith(word)).select("term").withColumn("distance", F.lit(0))
         # a transposition costs at most two edits, so two of them at most four
-        close = self.postings.where(F.levenshtein(F.col("term"), F.lit(word), 4) >= 0).select("term").distinct()
-        far = F.udf(lambda t: damerau(t, word, 2), T.IntegerType())
-        return close.withColumn("distance", far("term")).where("distance <= 2")
+        close = self.terms.where(F.levenshtein(F.col("term"), F.lit(word), 4) >= 0).select("term")
+        return close.withColumn("distance", _distances(word, 2)("term")).where("distance <= 2")
 
-    def search(self, query: str | Node, k: int = 100, file_type: str | None = None) -> DataFrame:
-        """(doc_id, score, path, file_type, content): the best k documents. Fuzzy matches are ordered by their distance first."""
+    def scores(self, query: str | Node, file_type: str | None = None) -> DataFrame | None:
+        """(doc_id, score) of all documents that match; None if nothing in the query can be searched."""
         node = parse(query) if isinstance(query, str) else query
         spark = self.docs.sparkSession
         if node is None:
-            return self.docs.select("doc_id", F.lit(0.0).alias("score"), "path", "file_type", "content").limit(0)
+            return None
         every = leaves(node)
         names = {id(x): k for k, x in enumerate(every)}
         open_ended = [x for x in every if x.kind in ("prefix", "fuzzy")]
-        words = sorted({w for x in every if x.kind not in ("prefix", "fuzzy") for w in x.words})
-        # (term, leaves that it matches, distance to the nearest fuzzy leaf)
-        sought = [spark.createDataFrame([(w, names[id(x)], None) for x in every if x.kind not in ("prefix", "fuzzy") for w in x.words], "term string, leaf int, distance int")]
-        sought += [self.expand(x).select("term", F.lit(names[id(x)]).alias("leaf"), F.col("distance") if x.kind == "fuzzy" else F.lit(None).cast("int").alias("distance")) for x in open_ended]
-        terms = functools.reduce(DataFrame.unionByName, sought).groupBy("term").agg(F.collect_set("leaf").alias("leaves"), F.min("distance").alias("distance"))
+        fixed = [x for x in every if x.kind not in ("prefix", "fuzzy")]
+        words = sorted({w for x in fixed for w in x.words})
+        hits = self.postings if file_type is None else self.postings.where(F.col("file_type") == file_type)
         n, average = self.stats
-        hits = (self.postings if open_ended else self._terms(words)).join(terms, "term")
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        scored = hits.join(df, "term").join(self.docs.select("doc_id", "length"), "doc_id")
+        if open_ended:
+            # (term, leaves that it matches, distance to the nearest fuzzy leaf), over the vocabulary
+            sought = [self.expand(x).select("term", F.lit(names[id(x)]).alias("leaf"), F.col("distance") if x.kind == "fuzzy" else F.lit(None).cast("int").alias("distance")) for x in open_ended]
+            sought += [spark.createDataFrame([(w, names[id(x)], None) for x in fixed for w in x.words], "term string, leaf int, distance int")] if fixed else []
+            terms = functools.reduce(DataFrame.unionByName, sought).groupBy("term").agg(F.collect_set("leaf").alias("leaves"), F.min("distance").alias("distance"))
+            hits = hits.join(terms.join(self.terms, "term"), "term")
+        else:
+            of_word = {w: sorted({names[id(x)] for x in fixed if w in x.words}) for w in words}
+            hits = hits.where(F.col("term").isin(words))
+            if "bucket" in hits.columns:  # only the folders of these terms
+                hits = hits.where(F.col("bucket").isin(sorted({bucket_of(w) for w in words})))
+            counts = {r.term: r.df for r in self.terms.where(F.col("term").isin(words)).collect()}  # one number for each word of the query
+            case = F.create_map(*[x for w in words for x in (F.lit(w), F.struct(F.lit(counts.get(w, 0)).cast("bigint").alias("df"), F.array(*map(F.lit, of_word[w])).alias("leaves")))])
+            hits = hits.withColumn("x", case[F.col("term")]).select("*", "x.df", "x.leaves", F.lit(None).cast("int").alias("distance"))
         of = lambda nodes: F.arrays_overlap("leaves", F.array(*[F.lit(names[id(x)]) for x in nodes]).cast("array<int>"))
         score = bm25(F.col("tf"), F.col("df"), F.col("length"), F.lit(float(n)), F.lit(float(average) or 1.0))
         score = F.when(of(_negated(node)) & ~of(_wanted(node)), 0.0).otherwise(score) if _negated(node) else score
         placed = F.when(F.col("term").isin(words), F.struct("term", "positions"))  # collect_list leaves nulls out
-        per = scored.groupBy("doc_id").agg(F.sum(score).alias("score"), F.map_from_entries(F.collect_list(placed)).alias("has"), F.array_distinct(F.flatten(F.collect_set("leaves"))).alias("leaves"), F.min(F.coalesce("distance", F.lit(0))).alias("distance"))
+        per = hits.groupBy("doc_id").agg(F.sum(score).alias("score"), F.map_from_entries(F.collect_list(placed)).alias("has"), F.array_distinct(F.flatten(F.collect_set("leaves"))).alias("leaves"), F.min(F.coalesce("distance", F.lit(0))).alias("distance"))
         if any(x.kind == "fuzzy" for x in every):
             per = per.withColumn("score", F.col("score") - F.col("distance") * 1000.0)
-        per = per.where(self._matches(node, names))
-        out = per.select("doc_id", "score").join(self.docs, "doc_id")
-        if file_type is not None:
-            out = out.where(F.col("file_type") == file_type)
-        return out.select("doc_id", "score", "path", "file_type", "content").orderBy(F.desc("score"), "doc_id").limit(k)
+        return per.where(self._matches(node, names)).select("doc_id", "score")
+
+    def search(self, query: str | Node, k: int = 100, file_type: str | None = None, offset: int = 0) -> DataFrame:
+        """(doc_id, score, path, file_type, content): the best k documents after the first `offset`. Fuzzy matches are ordered by their distance first."""
+        found = self.scores(query, file_type)
+        if found is None:
+            return self.docs.select("doc_id", F.lit(0.0).alias("score"), "path", "file_type", "content").limit(0)
+        best = found.orderBy(F.desc("score"), "doc_id")
+        best = best.offset(offset).limit(k) if offset else best.limit(k)
+        # contents of the best only
+        best = F.broadcast(best) if k <= 10_000 else best
+        return best.join(self.docs, "doc_id").select("doc_id", "score", "path", "file_type", "content").orderBy(F.desc("score"), "doc_id")
+
+    def pages(self, query: str | Node, size: int = 50, file_type: str | None = None) -> Iterator[list]:
+        """The hits in order, page after page, each asked for when it is wanted; the order is total, so no hit is on two pages."""
+        at = 0
+        while rows := self.search(query, size, file_type, at).collect():
+            yield rows
+            at += size
+            if len(rows) < size:
+                return
 
     def _matches(self, node: Node, names: dict[int, int]) -> Column:
         has = F.col("has")
@@ -316,11 +397,26 @@ def _wanted(node: Node) -> list[Node]:
     return [node] if not node.parts else [y for p in node.parts if p.kind != "not" for y in _wanted(p)]
 
 
+def write_tables(docs: DataFrame, postings: DataFrame, folder: str) -> None:
+    docs.write.parquet(f"{folder}/docs")
+    placed = postings.drop("bucket").withColumn("bucket", bucket())
+    placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+
+
+def placed_schema(postings: DataFrame) -> T.StructType:
+    """The kinds of saved postings: a folder without rows has no files to tell."""
+    return T.StructType([f for f in postings.schema if f.name != "bucket"]).add("bucket", T.IntegerType())
+
+
+#: Stands for the generation of an index that has deltas only.
+NO_BASE = "none"
+
+
 def current(spark: SparkSession, folder: str) -> str:
     return spark.read.text(f"{folder}/CURRENT").first()[0]
 
 
-def _point(spark: SparkSession, folder: str, name: str) -> None:
+def point(spark: SparkSession, folder: str, name: str) -> None:
     """CURRENT is replaced by a rename."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
@@ -333,6 +429,12 @@ def _point(spark: SparkSession, folder: str, name: str) -> None:
     fs.rename(new, target)
 
 
+def index_location(given: str | None = None, project: str = ".", home: str = "~/.lodestone/index") -> str:
+    """Where an index is: the folder given, else that of the project if there is one, else the one at home."""
+    own = os.path.join(project, ".lodestone", "index")
+    return given or (own if os.path.isdir(own) else os.path.expanduser(home))
+
+
 def snippet(text: Column, words: list[str], width: int = 150, before: str = "<b>", after: str = "</b>") -> Column:
     """The surroundings of the first hit, hits marked."""
     pattern = "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) or "(?!)"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
 from lodestone.operators import history, kernels, peek, profiling, sampling, text_index, vectors
+from lodestone.plans import coverage
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
@@ -39,7 +40,7 @@ SHARED: dict[str, str] = {
     "inner_join_agg": "SELECT n.n_name, COUNT(*) AS orders, ROUND(SUM(o.o_totalprice), 2) AS total FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey INNER JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
     "left_join": "SELECT c.c_custkey, COUNT(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey",
     "right_join": "SELECT s.s_suppkey, n.n_name FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000",
-    "full_join": "SELECT a.p_partkey AS a_key, b.s_suppkey AS b_key FROM (SELECT * FROM part WHERE p_partkey < 60) a FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 30) b ON a.p_partkey = b.s_suppkey",
+    "full_join": "SELECT a.p_partkey AS a_key, b.s_suppkey AS b_key FROM part a FULL JOIN supplier b ON a.p_partkey = b.s_suppkey",
     "cross_join": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "natural_using_join": "SELECT n_name, r_name FROM nation JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r USING (n_regionkey)",
     "theta_join": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -137,9 +138,11 @@ def missing_values(spark, sf_dir):
     return profiling.missing_values(_holey(spark, sf_dir)).withColumn("percentage", F.col("percentage").cast("double"))
 
 
-@query("SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicates FROM (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity, l_discount HAVING COUNT(*) > 1)")
+@query("SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicates FROM (SELECT COUNT(*) AS n FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity > 40) GROUP BY ALL HAVING COUNT(*) > 1)".replace("SELECT COUNT(*) AS n FROM (", "SELECT COUNT(*) AS n, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM ("))
 def duplicate_rows(spark, sf_dir):
-    return profiling.duplicate_rows(_t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
+    """Over all columns of lineitem, of which a part comes twice."""
+    rows = _t(spark, sf_dir, "lineitem")
+    return profiling.duplicate_rows(rows.unionByName(rows.where("l_quantity > 40")))
 
 
 _QUARTILES = """WITH r AS (SELECT {key}, {col} AS v, row_number() OVER (ORDER BY {col} ASC NULLS FIRST, {key}) - 1 AS k, COUNT(*) OVER () AS n FROM {table}),
@@ -148,16 +151,18 @@ q AS (SELECT MAX(CASE WHEN k = n // 4 THEN v END) AS q1, MAX(CASE WHEN k = 3 * n
 
 @query(_QUARTILES.format(key="c_custkey", col="c_acctbal", table="customer") + """,
 p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row FROM customer)
-SELECT 'c_acctbal' AS "column", p.row, r.v AS value FROM r JOIN p USING (c_custkey), q WHERE NOT isnan(r.v) AND (r.v < q1 - 0.25 * (q3 - q1) OR r.v > q3 + 0.25 * (q3 - q1))""")
+SELECT 'c_acctbal' AS "column", p.row, r.v AS value FROM r JOIN p USING (c_custkey), q WHERE NOT isnan(r.v) AND (r.v < q1 - 1.5 * (q3 - q1) OR r.v > q3 + 1.5 * (q3 - q1))""")
 def iqr_outliers(spark, sf_dir):
-    return profiling.outliers(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], ["c_custkey"], factor=0.25)
+    return profiling.outliers(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], ["c_custkey"])
 
 
-@query(_QUARTILES.format(key="l_orderkey", col="l_extendedprice", table="lineitem") + """
-SELECT 'l_extendedprice' AS "column", COUNT(*) AS outliers, ROUND(COUNT(*) * 100.0 / MAX(q.n), 6) AS percentage, ROUND(MAX(q1 - 0.1 * (q3 - q1)), 4) AS low, ROUND(MAX(q3 + 0.1 * (q3 - q1)), 4) AS high
-FROM r, q WHERE r.v < q1 - 0.1 * (q3 - q1) OR r.v > q3 + 0.1 * (q3 - q1) HAVING COUNT(*) > 0""")
+_LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_QUARTILES.format(key='l_orderkey', col=c, table='lineitem')} SELECT '{c}' AS \"column\", COUNT(*) AS outliers, ROUND(COUNT(*) * 100.0 / MAX(q.n), 6) AS percentage, ROUND(MAX(q1 - 0.1 * (q3 - q1))::DOUBLE, 4) AS low, ROUND(MAX(q3 + 0.1 * (q3 - q1))::DOUBLE, 4) AS high FROM r, q WHERE r.v < q1 - 0.1 * (q3 - q1) OR r.v > q3 + 0.1 * (q3 - q1) HAVING COUNT(*) > 0)" for c in _LINE_NUMBERS))
 def outlier_summary(spark, sf_dir):
-    out = profiling.outlier_summary(_t(spark, sf_dir, "lineitem").select("l_extendedprice"), factor=0.1, positions=False)
+    """Of all numeric columns; a small factor, as these columns have nothing far out."""
+    out = profiling.outlier_summary(_t(spark, sf_dir, "lineitem"), factor=0.1, positions=False)
     return out.select("column", "outliers", F.round("percentage", 6).alias("percentage"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
@@ -199,11 +204,6 @@ def sample_smart(spark, sf_dir):
     return sampling.smart(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 11, ["o_orderkey"])
 
 
-@query(None)
-def sample_random(spark, sf_dir):
-    return sampling.random(_t(spark, sf_dir, "orders").select("o_orderkey"), 20, 7, ["o_orderkey"])
-
-
 @query("SELECT ROUND(SUM(l_extendedprice), 2) AS total, ROUND(AVG(l_extendedprice), 6) AS mean, ROUND(var_samp(l_quantity), 6) AS variance, ROUND(stddev_samp(l_quantity), 6) AS std_dev, MIN(l_tax) AS lo, MAX(l_tax) AS hi FROM lineitem")
 def numeric_kernels(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(F.round(kernels.total("l_extendedprice"), 2).alias("total"), F.round(kernels.mean("l_extendedprice"), 6).alias("mean"), F.round(kernels.variance("l_quantity"), 6).alias("variance"), F.round(kernels.std_dev("l_quantity"), 6).alias("std_dev"), kernels.minimum("l_tax").alias("lo"), kernels.maximum("l_tax").alias("hi"))
@@ -211,7 +211,7 @@ def numeric_kernels(spark, sf_dir):
 
 @query("SELECT event_type, v[least(len(v) * 95 // 100, len(v) - 1) + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
 def percentile_rank(spark, sf_dir):
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(kernels.percentile_rank(F.collect_list("value"), 95).alias("p95"))
+    return kernels.percentile_rank(_t(spark, sf_dir, "events"), ["event_type"], "value", 95, "p95")
 
 
 # ---------------------------------------------------------------- text
@@ -221,12 +221,10 @@ _POST = f"tok AS (SELECT doc_id, lang, unnest({_TOK}) AS term FROM documents), t
 _SCORE = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / av))"
 
 
-def _index(spark, sf_dir):
-    return text_index.TextIndex.build(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
-
-
-def _found(spark, sf_dir, q, k=10_000_000, **how):
-    return _index(spark, sf_dir).search(q, k, **how).select("doc_id", F.round("score", 6).alias("score"))
+def _found(spark, sf_dir, q, k=None, **how):
+    """Hits in the saved index: the best k, or all."""
+    i = coverage.index_of(spark, sf_dir)
+    return (i.scores(q, **how) if k is None else i.search(q, k, **how)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT term, COUNT(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term")
@@ -379,7 +377,7 @@ def preview_head_tail(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", peek.preview(F.col("text")).alias("preview"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(a) for k, (a, _) in PAIRS.items()} | {k: f for k, (f, _) in OTHER.items()}
-ORACLE_SQL: dict[str, str] = SHARED | {k: b for k, (_, b) in PAIRS.items()} | {k: s for k, (_, s) in OTHER.items() if s}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _sql(v) for k, v in SHARED.items()} | {k: _sql(a) for k, (a, _) in PAIRS.items()} | {k: f for k, (f, _) in OTHER.items()} | coverage.QUERIES
+ORACLE_SQL: dict[str, str] = SHARED | {k: b for k, (_, b) in PAIRS.items()} | {k: s for k, (_, s) in OTHER.items() if s} | coverage.ORACLE
 #: DuckDB's names of the semi and anti joins.
 ORACLE_SQL |= {k: ORACLE_SQL[k].replace("LEFT SEMI JOIN", "SEMI JOIN").replace("LEFT ANTI JOIN", "ANTI JOIN") for k in ("semi_join", "anti_join")}

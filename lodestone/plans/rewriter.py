@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 _PARTS = re.compile(r"('(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)", re.S)
-_RENAMED = {r"\bstdev\s*\(": "stddev_samp(", r"\bvar\s*\(": "var_samp(", r"\bunnest\s*\(": "explode(", r"\blength_bytes\s*\(": "octet_length("}
+_RENAMED = {
+    r"\bstdev\s*\(": "stddev_samp(", r"\bvar\s*\(": "var_samp(", r"\bunnest\s*\(": "explode(", r"\blength_bytes\s*\(": "octet_length(",
+    # arrays of any element type
+    r"\barray_length\s*\(": "size(", r"\barray_get\s*\(": "get(", r"\barray_unique\s*\(": "array_distinct(", r"\barray_reverse\s*\(": "reverse(",
+    r"\barray_lower\s*\(": "array_min(", r"\barray_upper\s*\(": "array_max(", r"\barray_to_string\s*\(": "array_join(",
+}
 _SCALAR_BITS = {"bit_and": "&", "bit_or": "|", "bit_xor": "^"}
 
 
@@ -69,6 +75,7 @@ def _quantile(kind: str):
     return lambda a: f"percentile_{kind}({a[1]}) WITHIN GROUP (ORDER BY {a[0]})" if len(a) == 2 else None
 
 
+#: read_ipc is a table that the engine makes.
 _READERS = {"read_csv": "csv", "read_parquet": "parquet", "read_json": "json"}
 
 
@@ -91,7 +98,7 @@ def _distinct_on(sql: str) -> str:
 
 def rewrite(sql: str) -> str:
     sql = sql.strip().rstrip(";")
-    sql = _distinct_on(sql)
+    sql = qualify(_distinct_on(sql))
     sql = _outside(sql, lambda s: re.sub(r"\*\s*EXCLUDE\s*\(", "* EXCEPT (", s, flags=re.I))
     for a, b in _RENAMED.items():
         sql = _outside(sql, lambda s, a=a, b=b: re.sub(a, b, s, flags=re.I))
@@ -101,26 +108,124 @@ def rewrite(sql: str) -> str:
         sql = _calls(sql, name, lambda a, op=op: f"({a[0]} {op} {a[1]})" if len(a) == 2 else None)
     for name, kind in _READERS.items():
         sql = _calls(sql, name, lambda a, kind=kind: f"{kind}.`{a[0][1:-1]}`" if len(a) == 1 and a[0][:1] == "'" and "`" not in a[0] else None)
+    sql = _calls(sql, "read_ipc", lambda a: ipc_view(a[0][1:-1]) if len(a) == 1 and a[0][:1] == "'" else None)
     operand = r"([\w.]+|\([^()]*\))"
     sql = _outside(sql, lambda s: re.sub(operand + r"\s*//\s*" + operand, r"CAST(floor(\1 / \2) AS BIGINT)", s))
-    sql = re.sub(operand + r"\s*\^@\s*('(?:[^']|'')*'|[\w.]+)", r"startswith(\1, \2)", sql)
-    sql = re.sub(r"([\w.]+)\s+!~\s+('(?:[^']|'')*')", r"NOT (\1 RLIKE \2)", sql)
-    return re.sub(r"([\w.]+)\s+~\s+('(?:[^']|'')*')", r"\1 RLIKE \2", sql)
+    # operators whose right side may be a literal: literals are numbered while their surroundings change
+    sql = _held(sql, lambda s: re.sub(operand + r"\s*\^@\s*([\w.\x00]+)", r"startswith(\1, \2)", s))
+    sql = _held(sql, lambda s: re.sub(r"([\w.\x00]+)\s+!~\s+([\w.\x00]+)", r"NOT (\1 RLIKE \2)", s))
+    return _held(sql, lambda s: re.sub(r"([\w.\x00]+)\s+~\s+([\w.\x00]+)", r"\1 RLIKE \2", s))
+
+
+def ipc_view(path: str) -> str:
+    """The name of the view of an Arrow file."""
+    return "__ipc_" + hashlib.md5(path.encode()).hexdigest()[:16]
+
+
+def _held(sql: str, change) -> str:
+    """change applied to the whole text, in which each literal, quoted name and comment is one sign with its number."""
+    parts = _PARTS.split(sql)
+    text = "".join(f"\x00{k}\x00" if k % 2 else p for k, p in enumerate(parts))
+    return re.sub("\x00(\\d+)\x00", lambda m: parts[int(m[1])], change(text))
+
+
+def _words(sql: str) -> list[tuple[str, int, int, int]]:
+    """(word in upper case, first and last place, depth of parentheses) of the words outside literals and comments."""
+    out, at, depth = [], 0, 0
+    for k, p in enumerate(_PARTS.split(sql)):
+        if not k % 2:
+            for m in re.finditer(r"[A-Za-z_]\w*|[()]", p):
+                if m[0] == "(":
+                    depth += 1
+                elif m[0] == ")":
+                    depth -= 1
+                else:
+                    out.append((m[0].upper(), at + m.start(), at + m.end(), depth))
+        at += len(p)
+    return out
+
+
+def clauses(sql: str) -> dict[str, str] | None:
+    """Parts of one SELECT at the outermost level by their first words: SELECT, FROM, ... ORDER, LIMIT, with QUALIFY; None for set operations and the like."""
+    names = {"SELECT", "FROM", "WHERE", "GROUP", "HAVING", "WINDOW", "QUALIFY", "ORDER", "LIMIT", "OFFSET"}
+    found = [(w, a) for w, a, _, d in _words(sql) if not d and w in names | {"UNION", "INTERSECT", "EXCEPT", "WITH"}]
+    top = [w for w, _ in found]
+    if not top or top[0] != "SELECT" or len(set(top)) != len(top) or not set(top) <= names:
+        return None
+    ends = [a for _, a in found[1:]] + [len(sql)]
+    return {w: sql[a:b].strip() for (w, a), b in zip(found, ends, strict=True)}
+
+
+def qualify(sql: str) -> str:
+    """QUALIFY as a filter over the query without it; names of the select list may stand in it."""
+    c = clauses(sql)
+    if not c or "QUALIFY" not in c:
+        return sql
+    order = " ".join(c[k] for k in ("ORDER", "LIMIT", "OFFSET") if k in c)
+    inner = " ".join(c[k] for k in ("FROM", "WHERE", "GROUP", "HAVING", "WINDOW") if k in c)
+    return f"SELECT * EXCEPT (__keep) FROM ({c['SELECT']}, ({c['QUALIFY'][7:].strip()}) AS __keep {inner}) WHERE __keep {order}".strip()
+
+
+def star_parts(sql: str) -> tuple[str, str, dict[str, str], str | None] | None:
+    """Of SELECT ... with * REPLACE (e AS c, ...) or COLUMNS('re') in it: (select list, the rest, what is replaced, pattern)."""
+    c = clauses(sql)
+    if not c or "FROM" not in c:
+        return None
+    head = c["SELECT"]
+    rest = sql.strip()[len(head) :].strip()
+    items = arguments(head[6:].strip())
+    for k, x in enumerate(items):
+        if m := re.match(r"\*\s*REPLACE\s*\(", x, re.I):
+            inner = x[m.end() : _closing(x, m.end() - 1)]
+            new = {re.split(r"\s+AS\s+", e, flags=re.I)[-1].strip(' `"'): re.split(r"\s+AS\s+", e, flags=re.I)[0] for e in arguments(inner)}
+            return ", ".join([*items[:k], "\x00", *items[k + 1 :]]), rest, new, None
+        if m := re.fullmatch(r"COLUMNS\s*\(\s*'((?:[^']|'')*)'\s*\)", x, re.I):
+            return ", ".join([*items[:k], "\x00", *items[k + 1 :]]), rest, {}, m[1].replace("''", "'")
+    return None
+
+
+def union_by_name(sql: str) -> tuple[list[str], list[str]] | None:
+    """(parts, joints) of a query that is SELECTs joined by UNION [ALL] BY NAME at its outermost level, or None. Joints are ALL or nothing."""
+    w = _words(sql)
+    cuts = []
+    for k, (name, a, _, d) in enumerate(w):
+        if name == "UNION" and not d:
+            tail = [x[0] for x in w[k + 1 : k + 4] if x[3] == 0]
+            if tail[:2] == ["BY", "NAME"]:
+                cuts.append((a, w[k + 2][2], ""))
+            elif tail[:3] == ["ALL", "BY", "NAME"]:
+                cuts.append((a, w[k + 3][2], "ALL"))
+    if not cuts:
+        return None
+    starts, ends = [0] + [c[1] for c in cuts], [c[0] for c in cuts] + [len(sql)]
+    return [sql[a:b].strip() for a, b in zip(starts, ends, strict=True)], [c[2] for c in cuts]
 
 
-def union_by_name(sql: str) -> list[str] | None:
-    """Parts of a query that is a UNION [ALL] BY NAME of SELECTs, or None."""
-    parts = re.split(r"\bUNION\s+(?:ALL\s+)?BY\s+NAME\b", sql, flags=re.I)
-    return [p.strip() for p in parts] if len(parts) > 1 else None
+def inner_unions(sql: str) -> list[tuple[int, int]]:
+    """Places of parentheses that hold a UNION BY NAME at their own level, the innermost ones only."""
+    out = []
+    for k, c in enumerate(sql):
+        if c == "(" and not sum(len(p) for p in _PARTS.split(sql[:k])[1::2] if p.count("'") % 2):
+            stop = _closing(sql, k)
+            if stop > 0 and re.match(r"\s*SELECT\b", sql[k + 1 : stop], re.I) and union_by_name(sql[k + 1 : stop]) and not inner_unions(sql[k + 1 : stop]):
+                out.append((k, stop))
+    return out
 
 
-#: What is often typed, and what was meant.
-TYPOS = {"SELCT": "SELECT", "FORM": "FROM", "WHER": "WHERE", "GROPU BY": "GROUP BY", "GROUPBY": "GROUP BY", "ODER BY": "ORDER BY", "ORDERBY": "ORDER BY", "LIMT": "LIMIT"}
+#: What is often typed, and what was meant.
+TYPOS = {"FORM": "FROM", "WHRER": "WHERE", "SELEC": "SELECT", "GROPU BY": "GROUP BY", "ODER BY": "ORDER BY"}
+
+
+#: More slips that are easily made.
+MORE_TYPOS = {"SELCT": "SELECT", "WHER": "WHERE", "GROUPBY": "GROUP BY", "ORDERBY": "ORDER BY", "LIMT": "LIMIT"}
 
 
 def typo_hint(sql: str) -> tuple[str, str] | None:
-    """(hint, query as it may have been meant) for the first slip found, whatever its case."""
-    for wrong, right in TYPOS.items():
-        if re.search(rf"\b{wrong}\b", sql, re.I) and not re.search(rf"\b{right}\b", sql, re.I):
+    """(hint, query as it may have been meant) for the first slip found, whatever its case: the slip is in the query, and what was meant is not.
+
+    A word that only begins like a slip (SELECTED) is none.
+    """
+    for wrong, right in (TYPOS | MORE_TYPOS).items():
+        if re.search(rf"\b{wrong}\b", sql, re.I) and right.lower() not in sql.lower():
             return f"did you mean {right} instead of {wrong}?", re.sub(rf"\b{wrong}\b", right, sql, flags=re.I)
     return None

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.errors import ConfigError
 
 
 def get_session(master: str | None = None, app: str = "lodestone", **conf: str) -> SparkSession:
@@ -27,6 +31,30 @@ def get_session(master: str | None = None, app: str = "lodestone", **conf: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name in the one that spark.checkpoint.dir names, which all executors see. Where that is unset a folder of this machine serves, which is
+    right for local sessions only: a cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("a cluster needs spark.checkpoint.dir", "name a folder that all executors see")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/{name}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df in the shared folder, partition by partition: they survive the loss of executors, and stay in their partitions."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lodestone-")
+
+
 def share_code(spark: SparkSession) -> None:
     """Lets Python workers find this package where the session began in another folder; a cluster is given the package by spark.submit.pyFiles as usual."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import os
 import re
 import stat as stat_
@@ -16,12 +17,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lodestone.errors import FilterSyntax
 
 SCHEMA = "path string, size bigint, modified timestamp, is_dir boolean"
+#: With the option errors=true: what could not be read is a row with its reason.
+SCHEMA_ERRORS = SCHEMA + ", error string"
 #: Names of type groups and their extensions.
 TYPES = {
     "csv": ["csv", "tsv"],
     "json": ["json", "jsonl", "ndjson"],
     "log": ["log", "logs"],
-    "code": ["rs", "py", "js", "ts", "jsx", "tsx", "go", "java", "c", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "kt", "scala"],
+    "code": ["rs", "py", "js", "ts", "go", "java", "c", "cpp", "h", "hpp", "rb", "php", "swift", "kt", "scala", "sh", "bash", "zsh"],
     "text": ["txt", "md", "rst", "text"],
     "parquet": ["parquet", "pq"],
 }
@@ -122,54 +125,87 @@ def _glob(path: str, pattern: str) -> bool:
     return re.fullmatch(p, path) is not None
 
 
-def walk(root: str, hidden: bool = False, ignore: bool = True, depth: int | None = None, links: bool = False) -> Iterator[tuple]:
-    """(path, size, modified, is_dir) of what is under root, rules of .gitignore, .ignore and our own file honoured."""
+def _rules(folder: str, names: tuple[str, ...] = (".gitignore", ".ignore", OWN_IGNORE)) -> list[Ignore]:
+    out = []
+    for n in names:
+        if os.path.isfile(f := os.path.join(folder, n)):
+            with open(f, encoding="utf-8", errors="replace") as lines:
+                out.append(Ignore(lines.readlines(), folder))
+    return out
+
+
+def outer_rules(root: str, env: dict[str, str] | None = None) -> list[Ignore]:
+    """Rules that hold from outside: the user's global ignore file, then the repository's own exclude file."""
+    env = dict(os.environ) if env is None else env
+    config = env.get("XDG_CONFIG_HOME") or os.path.join(env.get("HOME", os.path.expanduser("~")), ".config")
+    out = []
+    for f in (os.path.join(config, "git", "ignore"), os.path.join(root, ".git", "info", "exclude")):
+        if os.path.isfile(f):
+            with open(f, encoding="utf-8", errors="replace") as lines:
+                out.append(Ignore(lines.readlines(), root))
+    return out
+
+
+def walk(root: str, hidden: bool = False, ignore: bool = True, depth: int | None = None, links: bool = False, errors: bool = False, above: list[Ignore] | None = None) -> Iterator[tuple]:
+    """(path, size, modified, is_dir) of what is under root, rules of .gitignore, .ignore, our own file and those above honoured.
+
+    errors: each row ends in a reason, null for what was read; folders and files that cannot be looked at are rows of their own. Else they are left out.
+    """
+    end = (None,) if errors else ()
+
+    def failed(path: str, is_dir: bool, e: OSError) -> Iterator[tuple]:
+        if errors:
+            yield path, None, None, is_dir, f"{type(e).__name__}: {e.strerror}"
 
     def rows(folder: str, level: int, rules: list[Ignore]) -> Iterator[tuple]:
-        if ignore:
-            rules = rules + [Ignore(open(f, encoding="utf-8", errors="replace").readlines(), folder) for n in (".gitignore", ".ignore", OWN_IGNORE) if os.path.isfile(f := os.path.join(folder, n))]
         try:
             names = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
+            rules = rules + _rules(folder) if ignore else rules
+        except OSError as x:
+            yield from failed(folder, True, x)
             return
         for e in names:
             if not hidden and e.name.startswith("."):
                 continue
             try:
                 is_dir, s = e.is_dir(follow_symlinks=links), e.stat(follow_symlinks=links)
-            except OSError:
+            except OSError as x:
+                yield from failed(e.path, False, x)
                 continue
             if not links and stat_.S_ISLNK(s.st_mode):
                 continue
             verdicts = [v for r in rules if (v := r.verdict(e.path, is_dir)) is not None]
             if verdicts and verdicts[-1]:
                 continue
-            yield e.path, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), is_dir
+            yield e.path, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), is_dir, *end
             if is_dir and (depth is None or level < depth):
                 yield from rows(e.path, level + 1, rules)
 
     if os.path.isfile(root):
         s = os.stat(root)
-        yield root, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), False
+        yield root, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC), False, *end
     else:
-        yield from rows(root, 1, [])
+        yield from rows(root, 1, above if above is not None else outer_rules(root) if ignore else [])
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, rules: list, whole: bool):
+    def __init__(self, path: str, upper: tuple[str, ...], depth: int | None):
         super().__init__(path)
-        self.path, self.rules, self.whole = path, rules, whole
+        self.path, self.upper, self.depth = path, upper, depth
 
 
 class FileSource(DataSource):
-    """spark.read.format("files").option("path", folder): options hidden, ignore, depth, links. Each folder under the root is a partition."""
+    """spark.read.format("files").option("path", folder): options hidden, ignore, depth, links, errors, tasks.
+
+    Folders are opened on the driver, level by level, until there are about `tasks` of them; each is then a partition. So one deep folder is many.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "files"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA_ERRORS if str(self.options.get("errors", "false")).lower() == "true" else SCHEMA
 
     def reader(self, schema):
         return FileReader(self.options)
@@ -180,49 +216,46 @@ class FileReader(DataSourceReader):
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
         self.root = options["path"]
         self.settings = {"hidden": flag("hidden", False), "ignore": flag("ignore", True), "links": flag("links", False)}
+        self.errors = flag("errors", False)
         self.depth = int(options["depth"]) if options.get("depth") else None
+        self.tasks = int(options.get("tasks", 64))
+
+    def _above(self, upper: tuple[str, ...]) -> list[Ignore]:
+        """Rules of the folders over one, from the outermost on."""
+        return outer_rules(self.root) + [r for f in upper for r in _rules(f)] if self.settings["ignore"] else []
 
     def partitions(self):
-        top = [r for r in walk(self.root, depth=1, **self.settings)]
-        return [_Part(self.root, [], False)] + [_Part(r[0], [], True) for r in top if r[3] and (self.depth is None or self.depth > 1)]
+        """Opened folders give their own entries (depth 1), the others all that is under them."""
+        parts, level, at = [], [(self.root, ())], 1
+        if os.path.isfile(self.root):
+            return [_Part(self.root, (), 1)]
+        while level and len(level) < self.tasks and (self.depth is None or at < self.depth):
+            below = []
+            for folder, upper in level:
+                parts.append(_Part(folder, upper, 1))
+                below += [(r[0], (*upper, folder)) for r in walk(folder, depth=1, above=self._above(upper), **self.settings) if r[3]]
+            level, at = below, at + 1
+        return parts + [_Part(f, upper, None if self.depth is None else self.depth - at + 1) for f, upper in level]
 
     def read(self, partition):
-        if not partition.whole:
-            yield from walk(partition.path, depth=1, **self.settings)
-            return
-        # rules above the folder hold in it too
-        prefix = partition.path.rstrip("/") + "/"
-        upper = []
-        if self.settings["ignore"]:
-            for n in (".gitignore", ".ignore", OWN_IGNORE):
-                if os.path.isfile(f := os.path.join(self.root, n)):
-                    upper.append(Ignore(open(f, encoding="utf-8", errors="replace").readlines(), self.root))
-        dropped: list[str] = []
-        for row in walk(partition.path, depth=None if self.depth is None else self.depth - 1, **self.settings):
-            verdicts = [v for r in upper if (v := r.verdict(row[0], row[3])) is not None]
-            if any(row[0].startswith(d) for d in dropped):
-                continue
-            if verdicts and verdicts[-1]:
-                if row[3]:
-                    dropped.append(row[0] + "/")
-                continue
-            assert row[0].startswith(prefix)
-            yield row
+        yield from walk(partition.path, depth=partition.depth, errors=self.errors, above=self._above(partition.upper), **self.settings)
 
 
 def scan(spark: SparkSession, root: str, size: str | None = None, mtime: str | None = None, kind: str | None = None, **options) -> DataFrame:
     """Files under root that match all given filters; folders too if no filter is given."""
     spark.dataSource.register(FileSource)
     df = spark.read.format("files").options(path=root, **{k: str(v) for k, v in options.items() if v is not None}).load()
+    # what could not be read matches no filter, and is told all the same
     given = [f for f in (size and size_filter(size), mtime and time_filter(mtime), kind and type_filter(kind)) if f is not None]
-    for f in given:
-        df = df.where(f)
-    return df.where(~F.col("is_dir")) if given else df
+    wanted = functools.reduce(lambda a, b: a & b, given, ~F.col("is_dir")) if given else F.lit(True)
+    return df.where(F.coalesce(wanted, F.lit(False)) | F.col("error").isNotNull() if "error" in df.columns else wanted)
 
 
 def scan_stats(df: DataFrame) -> DataFrame:
-    """(files, folders, total_size, errors) of a scan; the size of folders counts too."""
-    return df.agg(F.count(F.when(~F.col("is_dir"), 1)).alias("files"), F.count(F.when(F.col("is_dir"), 1)).alias("folders"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.lit(0).cast("bigint").alias("errors"))
+    """(files, folders, total_size, errors) of a scan; the size of folders counts too. Errors are told by scans with errors=True."""
+    bad = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
+    one = lambda c: F.count(F.when(c, 1))
+    return df.agg(one(~F.col("is_dir") & ~bad).alias("files"), one(F.col("is_dir") & ~bad).alias("folders"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), one(bad).alias("errors"))
 
 
 def read_contents(files: DataFrame, max_bytes: int = 100 << 20) -> DataFrame:
@@ -245,3 +278,16 @@ def read_contents(files: DataFrame, max_bytes: int = 100 << 20) -> DataFrame:
             yield x.assign(content=pd.Series(out, index=x.index, dtype=object))
 
     return files.mapInPandas(rows, SCHEMA + ", content string")
+
+
+def tail_lines(path: str, n: int = 50, block: int = 1 << 16) -> list[str]:
+    """The last n lines of a file, read from its end in blocks."""
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END)
+        data = b""
+        while at > 0 and data.count(b"\n") <= n:
+            step = min(block, at)
+            at -= step
+            f.seek(at)
+            data = f.read(step) + data
+    return data.decode("utf-8", "replace").splitlines()[-n:] if n > 0 else []

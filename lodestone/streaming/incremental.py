@@ -1,16 +1,24 @@
-"""Incremental indexing: file events are debounced, filtered and applied as idempotent upserts to generations of a folder."""
+"""Incremental indexing: file events are debounced, filtered and applied as idempotent upserts to a folder that TextIndex.open reads.
+
+A micro-batch costs what it changes: it writes a delta (what happened to which paths, the new texts and their postings) and adds its name to CURRENT. After
+COMPACT deltas they are merged with the generation below them; what no reader can name any more is deleted then.
+"""
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.text_index import _point, current
+from lodestone.operators.text_index import NO_BASE, TextIndex, bucket, current, indexed, point, postings_of
+from lodestone.sources.files import extension_of, tail_lines
 
 EVENTS = "kind string, path string, to_path string, event_time timestamp"
 #: What happened to a file; other kinds are passed over.
@@ -34,8 +42,9 @@ def debounce(events: DataFrame, gap: str = "500 milliseconds", delay: str | None
     return out.select("x.kind", "path", "x.to_path", "event_time", "merged")
 
 
-def event_filter(path: Column, ignore: list[str] | None = None, hidden: bool = False) -> Column:
-    """Paths to look at: no hidden names, none that matches a pattern. One * is any middle; without it a pattern matches anywhere."""
+def event_filter(path: Column, ignore: list[str] | None = None, hidden: bool = False, include: list[str] | None = None) -> Column:
+    """Paths to look at: no hidden names, none that matches a pattern. One * is any middle; without it a pattern matches anywhere. include: only these
+    extensions, if there are any."""
     keep = F.lit(True) if hidden else ~F.substring_index(path, "/", -1).startswith(".")
     for p in ignore or []:
         if p.count("*") == 1:
@@ -43,7 +52,8 @@ def event_filter(path: Column, ignore: list[str] | None = None, hidden: bool = F
             keep = keep & ~(path.startswith(a) & path.endswith(b) if a else path.endswith(b))
         else:
             keep = keep & ~path.contains(p)
-    return keep
+    names = [x.lstrip(".").lower() for x in include or []]
+    return keep & F.coalesce(extension_of(path).isin(names), F.lit(False)) if names else keep
 
 
 def operations(events: DataFrame) -> DataFrame:
@@ -66,73 +76,126 @@ def upsert(docs: DataFrame, ops: DataFrame, contents: DataFrame) -> DataFrame:
     return docs.join(last.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+#: Deltas that a folder gathers before they are merged.
+COMPACT = 16
+
+
 class IncrementalIndex:
-    """A folder of document generations. Each micro-batch writes the next one and then moves CURRENT; a batch that comes again changes nothing."""
+    """A folder of a text index that events change. A batch that comes again changes nothing."""
 
-    def __init__(self, spark: SparkSession, folder: str, read: Callable[[DataFrame], DataFrame], keep_log: int = 1000):
+    def __init__(self, spark: SparkSession, folder: str, read: Callable[[DataFrame], DataFrame], keep_log: int = 1000, compact: int = COMPACT):
         """read: paths (path) -> (path, content, ...) of those that exist."""
-        self.spark, self.folder, self.read, self.keep_log = spark, folder, read, keep_log
-        self.stats = {"created": 0, "modified": 0, "deleted": 0, "errors": 0, "last_update": None}
+        self.spark, self.folder, self.read, self.keep_log, self.compact = spark, folder, read, keep_log, compact
+        self.stats = {"created": 0, "modified": 0, "deleted": 0, "renamed": 0, "errors": 0, "pending": 0, "last_update": None}
 
-    def docs(self) -> DataFrame | None:
+    def _names(self) -> list[str]:
+        """The generation and the deltas that CURRENT lists; nothing before the first batch."""
         try:
-            name = current(self.spark, self.folder)
+            return current(self.spark, self.folder).split()
         except Exception as e:  # no generation yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return None
-        return self.spark.read.parquet(f"{self.folder}/{name}/docs")
+            return []
+
+    def index(self) -> TextIndex | None:
+        return TextIndex.open(self.spark, self.folder) if self._names() else None
+
+    def docs(self) -> DataFrame | None:
+        found = self.index()
+        return None if found is None else found.docs.select("path", "content", "file_type")
 
     def batch_done(self) -> int:
-        if self.docs() is None:
-            return -1
-        return self.spark.read.parquet(f"{self.folder}/{current(self.spark, self.folder)}/batch").first()[0]
+        numbers = [int(m[1]) for n in self._names() if (m := re.match(r"(?:gen|delta)-b(\d+)-", n))]
+        return max(numbers, default=-1)
 
     def apply(self, events: DataFrame, batch_id: int) -> bool:
         """False if the batch had been applied."""
         if batch_id <= self.batch_done():
             return False
-        events = events.persist()
-        ops = operations(events)
-        contents = self.read(latest(ops).where("op = 'put'").select("path"))
-        old = self.docs()
-        new = upsert(old if old is not None else contents.limit(0), ops, contents)
-        name = f"gen-{batch_id}-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.folder}/{name}/docs")
-        log = latest(ops).select("op", "path", "event_time")
-        if old is not None:
-            log = self.log().unionByName(log)
-        log.orderBy(F.desc("event_time"), "path").limit(self.keep_log).write.parquet(f"{self.folder}/{name}/log")
-        self.spark.createDataFrame([(batch_id,)], "batch bigint").write.parquet(f"{self.folder}/{name}/batch")
-        _point(self.spark, self.folder, name)
+        spark, name = self.spark, f"delta-b{batch_id}-{uuid.uuid4().hex}"
+        at = f"{self.folder}/{name}"
+        self.stats["pending"] = 1
+        events.write.parquet(f"{at}/events")
+        events = spark.read.schema(events.schema).parquet(f"{at}/events")
+        latest(operations(events)).write.parquet(f"{at}/ops")
+        ops = spark.read.parquet(f"{at}/ops")
+        puts = ops.where("op = 'put'").select("path")
+        indexed(self.read(puts)).write.parquet(f"{at}/docs")
+        fresh = spark.read.parquet(f"{at}/docs")
+        postings_of(fresh, keep=("length", "file_type")).withColumn("bucket", bucket()).write.parquet(f"{at}/postings")
+        docs, words = fresh.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        unread = puts.count() - docs
+        old = self.index()
+        if old is not None:  # only the lengths of what the batch changes are looked up
+            gone = old.docs.select("path", "length").join(ops.select(F.col("path").alias("changed")), F.col("path") == F.col("changed"), "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            docs, words = docs + old.stats[0] - gone[0], words + round(old.stats[0] * old.stats[1]) - gone[1]
+        spark.createDataFrame([(docs, words / docs if docs else 0.0)], "docs bigint, average double").write.parquet(f"{at}/stats")
+        names = self._names() or [NO_BASE]
+        point(spark, self.folder, " ".join([*names, name]))
         for r in events.groupBy("kind").count().collect():
             if r["kind"] in self.stats:
                 self.stats[r["kind"]] += r["count"]
-        self.stats["last_update"] = datetime.now()
-        events.unpersist()
+        self.stats["errors"] += unread
+        self.stats["pending"], self.stats["last_update"] = 0, datetime.now()
+        if len(names) >= self.compact:
+            self._merge(batch_id)
         return True
 
+    def _merge(self, batch_id: int) -> None:
+        """One generation of all deltas. Folders older than those that were current until now are deleted."""
+        before, log, name = self._names(), self.log().limit(self.keep_log), f"gen-b{batch_id}-{uuid.uuid4().hex}"
+        log.write.parquet(f"{self.folder}/{name}/log")
+        self.index().save(self.folder, name)
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(folder):
+            n = f.getPath().getName()
+            if f.isDirectory() and re.match(r"(gen|delta)-", n) and n not in before and n != name:
+                fs.delete(f.getPath(), True)
+
     def log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{current(self.spark, self.folder)}/log")
+        """(op, path, event_time), newest first: at most keep_log of them outlive a merge."""
+        parts = []
+        for n in self._names():
+            if n.startswith("gen-"):
+                parts.append(self.spark.read.parquet(f"{self.folder}/{n}/log"))
+            elif n != NO_BASE:
+                parts.append(self.spark.read.parquet(f"{self.folder}/{n}/ops").select("op", "path", "event_time"))
+        return reduce(DataFrame.unionByName, parts).orderBy(F.desc("event_time"), "path").limit(self.keep_log)
 
     def recent(self, n: int = 10) -> DataFrame:
         """Newest operations first."""
-        return self.log().orderBy(F.desc("event_time"), "path").limit(n)
+        return self.log().limit(n)
 
-    def run(self, events: DataFrame, checkpoint: str, gap: str = "500 milliseconds", delay: str | None = None, ignore: list[str] | None = None, **trigger) -> StreamingQuery:
+    def run(self, events: DataFrame, checkpoint: str, gap: str = "500 milliseconds", delay: str | None = None, ignore: list[str] | None = None, include: list[str] | None = None, **trigger) -> StreamingQuery:
         """Starts the stream: debounce, filter, upsert; every micro-batch commits."""
-        clean = debounce(events.where(event_filter(F.col("path"), ignore)), gap, delay)
+        clean = debounce(events.where(event_filter(F.col("path"), ignore, include=include)), gap, delay)
         return clean.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: self.apply(df.drop("merged"), i)).trigger(**(trigger or {"processingTime": "100 milliseconds"})).start()
 
 
 class StreamRegistry:
-    """Running streams by name: status, last progress, stop."""
+    """Running streams by name: status, last progress, logs, stop."""
 
-    def __init__(self) -> None:
+    def __init__(self, folder: str | None = None) -> None:
+        """folder: where each stream has a log file, <name>.log."""
         self.streams: dict[str, StreamingQuery] = {}
+        self.folder = folder
 
     def add(self, name: str, query: StreamingQuery) -> None:
         self.streams[name] = query
+        self.write(name, f"started {query.id}")
+
+    def write(self, name: str, line: str) -> None:
+        if self.folder:
+            os.makedirs(self.folder, exist_ok=True)
+            with open(os.path.join(self.folder, f"{name}.log"), "a", encoding="utf-8") as f:
+                f.write(f"{datetime.now().isoformat(timespec='seconds')} {line}\n")
+
+    def logs(self, name: str, n: int = 50) -> list[str]:
+        """The last n lines of a stream's log."""
+        at = os.path.join(self.folder or "", f"{name}.log")
+        return tail_lines(at, n) if self.folder and os.path.exists(at) else []
 
     def status(self) -> list[dict]:
         return [{"name": n, "active": q.isActive, "message": q.status["message"], "progress": q.lastProgress} for n, q in self.streams.items()]
@@ -141,4 +204,5 @@ class StreamRegistry:
         q = self.streams.pop(name, None)
         if q is not None:
             q.stop()
+            self.write(name, "stopped")
         return q is not None

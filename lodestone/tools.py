@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import Config
 from lodestone.engine import Engine
+from lodestone.errors import Invalid
 from lodestone.operators import export, peek, profiling, sampling
 from lodestone.operators.text_index import TextIndex, leaves, line_column, parse, snippet
 from lodestone.operators.vectors import VectorIndex
@@ -39,30 +42,46 @@ def index_files(spark: SparkSession, root: str, folder: str, **options) -> dict:
     return {"files": total, "added": index.doc_count(), "skipped": total - index.doc_count()}
 
 
-def search_index(spark: SparkSession, folder: str, query: str, kind: str | None = None, limit: int | None = None) -> list[dict]:
-    """Hits with line, column and a snippet."""
+def contents_of(paths: DataFrame) -> DataFrame:
+    """(path, content) of the paths that can be read now."""
+
+    def rows(it):
+        for x in it:
+            stat = [os.stat(p).st_size if os.path.isfile(p) else -1 for p in x["path"]]
+            yield x.assign(size=stat, is_dir=[s < 0 for s in stat], modified=pd.NaT)[["path", "size", "modified", "is_dir"]]
+
+    return files.read_contents(paths.mapInPandas(rows, files.SCHEMA)).where("content is not null").select("path", "content")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, kind: str | None = None, limit: int | None = None, offset: int = 0) -> list[dict]:
+    """Hits with line, column and a snippet, after the first `offset`."""
     index = TextIndex.open(spark, folder)
     node = parse(query)
     words = sorted({w for x in leaves(node) for w in x.words}) if node else []
     line, column = line_column(F.col("content"), words)
     types = files.extensions(kind) if kind else []
-    hits = index.search(query, limit or Config().limits.search_hits, types[0] if len(types) == 1 else None)
+    hits = index.search(query, limit or Config().limits.search_hits, types[0] if len(types) == 1 else None, offset)
     hits = hits.where(F.col("file_type").isin(types)) if len(types) > 1 else hits
     return _rows(hits.select("path", "score", line.alias("line"), column.alias("column"), snippet(F.col("content"), words).alias("snippet")).orderBy(F.desc("score"), "path"))
 
 
+def semantic_texts(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """(path, content): valid UTF-8 up to 1 MiB that is not blank, the first files by path."""
+    texts = files.read_contents(files.scan(spark, root, size="<1048577"), 1 << 20).where("content is not null and trim(content) <> '' and not contains(content, '�')")
+    return texts.orderBy("path").limit(most or Config().search.semantic_files).select("path", "content")
+
+
 def semantic_search(spark: SparkSession, root: str, query: str, encode: Callable[[list[str]], list[list[float]]] | None = None, limit: int | None = None) -> list[dict]:
-    """Nearest texts by an encoder (a hashing one without a model): valid UTF-8 up to 1 MiB, the first files by path; the order is that of the scores."""
+    """Nearest texts by an encoder, as operators.encoder makes one from model files (a hashing one without); the order is that of the scores."""
     cfg = Config().search
     encode = encode or hashing_encoder()
-    texts = files.read_contents(files.scan(spark, root, size="<1048577"), 1 << 20).where("content is not null and trim(content) <> '' and not contains(content, '�')")
-    texts = texts.orderBy("path").limit(cfg.semantic_files)
+    texts = semantic_texts(spark, root)
 
     def batches(it):
         for x in it:
             yield x[["path"]].assign(embedding=encode(x["content"].tolist()))
 
-    vectors = texts.select("path", "content").mapInPandas(batches, "path string, embedding array<double>")
+    vectors = texts.mapInPandas(batches, "path string, embedding array<double>")
     return _rows(VectorIndex(vectors, "path").search(encode([query])[0], limit or cfg.semantic_limit).select("path", "score"))
 
 
@@ -115,8 +134,29 @@ def get_config(key: str | None = None) -> object:
     return config.get(key) if key else json.loads(json.dumps(config, default=lambda x: x.__dict__))
 
 
-def peek_folder(spark: SparkSession, root: str, depth: int = 5, style: str = "json") -> str:
-    view = peek.peek(files.read_contents(files.scan(spark, root, depth=depth)))
+_PEEKS = peek.PeekCache()
+
+
+def peek_folder(spark: SparkSession, root: str, depth: int = 5, style: str = "json", exclude: list[str] | None = None, include: list[str] | None = None) -> str:
+    """The view of a folder, kept for some minutes while the folder does not change."""
+    key = f"{depth} {style} {exclude} {include}"
+    made = _PEEKS.get(root, dict)
+    if key not in made:
+        made[key] = _peek_folder(spark, root, depth, style, exclude, include)
+    return made[key]
+
+
+def peek_file(spark: SparkSession, root: str, name: str) -> dict | None:
+    """The view of one file: of that path, else the first under root that has this name."""
+    hit = files.read_contents(peek.find_file(files.scan(spark, root, depth=5), name))
+    rows = hit.select("path", "size", peek.kind_of(F.col("path")).alias("kind"), peek.preview(F.coalesce("content", F.lit(""))).alias("preview"))
+    return next(iter(_rows(rows)), None)
+
+
+def _peek_folder(spark: SparkSession, root: str, depth: int, style: str, exclude: list[str] | None, include: list[str] | None) -> str:
+    inside = F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))
+    found = files.scan(spark, root, depth=depth).where(peek.wanted(inside, exclude, include))
+    view = peek.peek(files.read_contents(found))
     return peek.markdown(view) if style == "md" else peek.tree(view) if style == "tree" else json.dumps(_rows(view.orderBy("path")), ensure_ascii=False)
 
 
@@ -142,3 +182,23 @@ def describe_tools() -> list[dict]:
         needed = [k for k, p in inspect.signature(f).parameters.items() if k in params and p.default is p.empty]
         out.append({"name": name, "description": text, "parameters": {"type": "object", "properties": params, "required": needed}})
     return out
+
+
+def init_text(kind: str, name: str = "lodestone") -> str:
+    """How an agent is told of the tools: mcp, openai or openapi as JSON, langchain as code, gpt and claude as a prompt."""
+    found = describe_tools()
+    if kind == "mcp":
+        return json.dumps({"tool": name, "commands": {t["name"]: t["description"] for t in found}, "errors": {"retry": ["IndexFailed", "TimedOut"], "fatal": ["NotFound", "UnsupportedFormat", "QueryError", "NotPermitted"]}, "formats": ["csv", "parquet"]}, indent=2)
+    if kind == "openai":
+        return json.dumps([{"type": "function", "function": t} for t in found], indent=2)
+    if kind == "openapi":
+        paths = {f"/{t['name']}": {"post": {"operationId": t["name"], "summary": t["description"], "requestBody": {"content": {"application/json": {"schema": t["parameters"]}}}, "responses": {"200": {"description": "the result"}}}} for t in found}
+        return json.dumps({"openapi": "3.0.0", "info": {"title": name, "version": "1"}, "paths": paths}, indent=2)
+    if kind == "langchain":
+        made = "\n".join(f"    StructuredTool.from_function(lambda f=tools.{t['name']}, **given: f(spark, **given), name={t['name']!r}, description={t['description']!r})," for t in found)
+        return f"from langchain_core.tools import StructuredTool\nfrom {name} import tools\nfrom {name}.session import get_session\n\nspark = get_session()\nTOOLS = [\n{made}\n]\n"
+    if kind in ("gpt", "claude"):
+        lines = [f"- {t['name']}({', '.join(t['parameters']['properties'])}): {t['description']}" for t in found]
+        head = "You can look into files with these tools. Ask for the schema before you write SQL; in SQL the file is called `this`. Sample before you read."
+        return "\n".join([f"<tools>\n{head}" if kind == "claude" else head, *lines, *(["</tools>"] if kind == "claude" else [])])
+    raise Invalid(f"no such form: {kind}", "mcp, openai, openapi, langchain, gpt, claude")
