@@ -84,6 +84,25 @@ def test_fingerprints_within_the_radius_share_a_block(spark):
     assert df.select(D.F.size(D.F.array_intersect(D.blocks(D.F.col("a")), D.blocks(D.F.col("b")))).alias("n")).where("n < 1").count() == 0
 
 
+def test_one_block_gives_a_pair(spark):
+    import random
+
+    r = random.Random(5)
+    pairs = [(r.getrandbits(64) - 2**63, r.getrandbits(64) - 2**63) for _ in range(200)] + [(5, 5), (-1, 0)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    both = D.F.array_intersect(D.blocks(D.F.col("a")), D.blocks(D.F.col("b")))
+    low = D.F.floor(D.F.array_min(both) / 65536).cast("int")
+    assert df.where(~low.eqNullSafe(D.first_equal(D.F.col("a"), D.F.col("b")))).count() == 0
+
+
+def test_the_stage_judges_rows_by_their_own_texts(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"pre {item} post", "a"), (1, "clean words of another row", "b"), (None, item, "c"), (None, "clean words without an id", "d"), (2, None, "e"), (2, "", "f"), (3, f"pre {item} post", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    assert sorted(r.k for r in D.pipeline_stage(spark, docs, str(tmp_path)).collect()) == ["b", "d", "e", "f"]
+
+
 def test_texts_shorter_than_the_item(spark):
     item = [f"w{i}" for i in range(40)]
     docs = [(1, " ".join(item[:38])), (2, " ".join(item[2:])), (3, " ".join(item[:18] + item[19:])), (4, " ".join(item[:31])), (5, " ".join(item[:30])), (6, " ".join(item[:4])), (7, " ".join(item[:38]) + " w38 w39")]

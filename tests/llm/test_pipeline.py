@@ -1,6 +1,7 @@
 import corpus_pipeline
+import pyarrow as pa
 import sentencepiece
-from lodestone.llm import quality, sentencepiece_codec
+from lodestone.llm import pii, quality, sentencepiece_codec
 from tests.llm.test_decontamination import brute as leaks
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_pii import whole
@@ -9,10 +10,11 @@ SMALL = "/root/testdata/sf0.01"
 
 
 def test_pipeline_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("tests.llm.test_pii.KEY", "lodestone")
+    monkeypatch.setattr("tests.llm.test_pii.KEY", pii.session_key(spark))
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
-    of = quality.train(docs, labels).scorer()
-    rows = {r.doc_id: r.text for r in docs.collect() if of(r.text) >= 0.5}
+    found = docs.select("doc_id", "text").collect()
+    scores = quality.train(docs, labels).scores(pa.array([r.text for r in found]))
+    rows = {r.doc_id: r.text for r, s in zip(found, scores, strict=True) if s >= 0.5}
     assert 0.5 * docs.count() < len(rows) < docs.count()
     first = {c for _, c in groups(rows.items()).values()}
     rows = {d: t for d, t in rows.items() if d in first}
