@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.engine import Engine
 from lodestone.operators import history, kernels, peek, profiling, sampling, text_index, vectors
 from lodestone.plans import coverage
+from lodestone.session import spread
 from lodestone.sources import files
 from lodestone.streaming import incremental
 
@@ -92,13 +94,22 @@ PAIRS: dict[str, tuple[str, str]] = {
 }
 
 
+#: One engine for a session and folder: its tables stay registered, as in a shell that asks one question after the other.
+_ENGINES: WeakKeyDictionary[SparkSession, dict[str, Engine]] = WeakKeyDictionary()
+
+
+def _engine(spark: SparkSession, sf_dir: str, text: str) -> Engine:
+    mine = _ENGINES.setdefault(spark, {})
+    e = mine[sf_dir] = mine.get(sf_dir) or Engine(spark)
+    for t in TABLES:
+        if t not in e.tables and re.search(rf"\b{t}\b", text):
+            e.register(t, f"{sf_dir}/{t}.parquet")
+    return e
+
+
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = Engine(spark)
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", text):
-                e.register(t, f"{sf_dir}/{t}.parquet")
-        return e.sql(text)
+        return _engine(spark, sf_dir, text).sql(text)
 
     return run
 
@@ -229,12 +240,13 @@ def _found(spark, sf_dir, q, k=None, **how):
 
 @query(f"SELECT term, COUNT(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term")
 def tokenize_counts(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(F.explode(text_index.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Terms of all texts, counted inside each partition before they meet."""
+    return spread(_t(spark, sf_dir, "documents").select("text")).select(F.explode(text_index.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_POST} SELECT term, df FROM df")
 def postings_df(spark, sf_dir):
-    return text_index.postings_of(_t(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+    return text_index.postings_of(spread(_t(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {_POST} SELECT doc_id, ROUND(SUM({_SCORE}), 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st WHERE term IN ('idiot', 'license', 'version') GROUP BY doc_id ORDER BY SUM({_SCORE}) DESC, doc_id LIMIT 50")

@@ -12,6 +12,7 @@ import os
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from weakref import WeakKeyDictionary
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -708,7 +709,18 @@ def rename_operations(spark, sf_dir):
     return incremental.operations(_events(o, "renamed", F.col("o_custkey"), to=F.concat(F.lit("new"), "o_custkey"))).select("path", "op")
 
 
+_FOLLOWING: WeakKeyDictionary[SparkSession, dict[str, incremental.IncrementalIndex]] = WeakKeyDictionary()
+
+
 def _followed(spark, sf_dir) -> incremental.IncrementalIndex:
+    """One index for the queries about it."""
+    mine = _FOLLOWING.setdefault(spark, {})
+    if sf_dir not in mine:
+        mine[sf_dir] = _follow(spark, sf_dir)
+    return mine[sf_dir]
+
+
+def _follow(spark, sf_dir) -> incremental.IncrementalIndex:
     """Documents as files: all are created; then every third is modified, every fifth deleted, every seventh renamed; one that never was is modified."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     later = docs.select(F.concat(F.lit("renamed-"), "path").alias("path"), "content").unionByName(docs.withColumn("content", F.concat(F.lit("again "), "content")))
