@@ -60,3 +60,33 @@ def test_columns_find_repeats_in_their_group_only():
     a = b"0123456789abcdef"
     found = column_repeats(np.array([0, 0, 1]), [b"zz" + a, b"yyy" + a, b"zz" + a], np.array([6, 7, 6]), np.array([8, 9, 8]), 10)
     assert [np.flatnonzero(f).tolist() for f in found] == [[2, 3, 4, 5, 6, 7], [3, 4, 5, 6, 7, 8], []]
+
+
+def test_texts_longer_than_a_window(spark):
+    """Repeats across windows, inside one text and between texts, at places that no window begins at."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    p, q = b"<" + letters(5000) + b">", b"[" + letters(450) + b"]"
+    long = letters(1_300_000) + b"1" + p + b"2" + letters(1_700_001) + b"3" + q + b"4" + letters(900_000) + b"5" + p + b"6"
+    at = (1 << 20) - 200
+    other = letters(at) + b"7" + q + b"8" + letters(100)
+    rows = [(1, long), (2, other), (3, letters(2_500_000))]
+    df = spark.createDataFrame([(d, b.decode()) for d, b in rows], "doc_id long, text string")
+    kept = {1: long.replace(p, b"").replace(q, b""), 2: other.replace(q, b""), 3: rows[2][1]}
+    spans = {1: 3, 2: 1, 3: 0}
+    assert got_of(remove_repeats(df)) == sorted(((d, len(b), len(b) - len(kept[d]), spans[d], hashlib.sha256(kept[d]).hexdigest()) for d, b in rows), key=str)
+
+
+def test_windows_and_sightings():
+    from lodestone.llm.suffix_dedup import CHUNK_BYTES, LENGTH, Sightings, _windows
+
+    off = np.array([0, 10, 10 + 3 * CHUNK_BYTES, 20 + 3 * CHUNK_BYTES])
+    starts = [s for a, _, s, e in _windows(off) if a == 1 for s in range(s, e - LENGTH + 1)]
+    assert starts == list(range(10, 10 + 3 * CHUNK_BYTES - LENGTH + 1))
+    seen = Sightings(bits=4)
+    h, g = np.array([1, 1, 2, 1], np.uint64), np.array([5, 5, 5, 6], np.uint64)
+    assert seen.known(h, g).tolist() == [False] * 4 and seen.known(h, g)[:2].tolist() == [True, True]
+    kinds = np.arange(1000, dtype=np.uint64)
+    for _ in range(3):  # a small table forgets, and never tells a kind known that has not been met twice
+        fresh = np.random.default_rng(0).integers(0, 2**60, 1000).astype(np.uint64) + kinds
+        assert not Sightings(bits=4).known(fresh, kinds).any()
