@@ -2,10 +2,11 @@
 
 Texts are cut where no piece can cross: before runs of blanks, and around line ends. Of each block of texts the distinct words form a lattice: all substrings of
 at most the length of the longest piece are exploded, equi-joined by hash to the piece table, and the edges grouped by word. A fold over each word's edges gives
-its pieces. All of this runs on the columns of a block at once, so no word leaves its partition.
+its pieces. `encode` runs all of this on the columns of a block at once, so no word leaves its partition. `encode_words` is the same lattice as Spark joins
+and a Spark higher-order aggregate, for tables of distinct words; the README says what it costs to encode texts that way.
 
 The model of the vocabulary files is of the BPE kind. A Viterbi fold over its scores gives other pieces than the model for 60 % of distinct words (35 % with
-the fewest pieces), so the fold is the model's own rule: merge, again and again, the neighbours whose edge has the best score, the leftmost of equals.
+the fewest pieces), so both folds follow the model's own rule: merge, again and again, the neighbours whose edge has the best score, the leftmost of equals.
 Characters without a piece become their UTF-8 bytes.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, mix64, small_batches, table, text_bytes, trim
@@ -273,6 +274,54 @@ def decode_frame(encoded: DataFrame, model: str | None = None, id_col: str = "do
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>")).mapInArrow(batches, "doc_id long, text string").withColumnRenamed("doc_id", id_col)
 
 
+def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """(piece, id, rank): as many rows as the model has pieces."""
+    return spark.createDataFrame([(p, pieces.id[p], r) for p, r in pieces.rank.items()], "piece string, id int, rank int")
+
+
+def encode_words(words: DataFrame, model: str | None = None, col: str = "word") -> DataFrame:
+    """(word, ids) of distinct words, each a text without line ends and blanks inside whose blanks before it are written as U+2581: the relational lattice.
+
+    Substrings are exploded, equi-joined to the piece table (a broadcast of fixed size), the edges of a word are grouped, and an aggregate over as many steps
+    as the word has signs folds them. A null word gives null ids, an empty one none; a word that comes again gives one row.
+    """
+    spark = words.sparkSession
+    pieces = Pieces(model or default_model())
+    longest, none = pieces.longest, 1 << 30
+    table = F.broadcast(piece_table(spark, pieces))
+    given = words.select(F.col(col).alias("word")).distinct().withColumn("n", F.length("word"))
+    # edges by place and length: number i * longest + l - 1
+    begins = lambda n: F.sequence(F.lit(0), n - 1)
+    spans = F.flatten(F.transform(begins(F.col("n")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - i)), lambda w: F.struct((i * longest + w - 1).alias("at"), F.substring(F.col("word"), i + 1, w).alias("piece")))))
+    edges = given.where("n > 0").select("word", "n", F.explode(spans).alias("e")).select("word", "n", "e.at", "e.piece").join(table, "piece")
+    grouped = edges.groupBy("word", "n").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("rank", "id").alias("x")))).alias("edges"))
+    whole = given.where("n > 0").join(grouped, ["word", "n"], "left").withColumn("edges", F.coalesce("edges", F.expr("cast(map() as map<int, struct<rank: int, id: int>>)")))
+
+    def rank_of(s: Column, k: Column) -> Column:
+        """Rank of the piece of the symbols k and k + 1, none if there is no such piece."""
+        stop = F.coalesce(F.get(s, k + 2), F.col("n"))
+        width = stop - F.get(s, k)
+        return F.when((k + 1 < F.size(s)) & (width <= longest), F.coalesce(F.col("edges")[F.get(s, k) * longest + width - 1]["rank"], F.lit(none))).otherwise(F.lit(none))
+
+    def merged(s: Column, _: Column) -> Column:
+        best = F.array_min(F.transform(s, lambda _b, k: F.struct(rank_of(s, k).alias("rank"), k.alias("k"))))
+        return F.when(best["rank"] < none, F.filter(s, lambda _b, k: k != best["k"] + 1)).otherwise(s)
+
+    symbols = F.aggregate(F.sequence(F.lit(1), F.col("n")), begins(F.col("n")), merged)
+    done = whole.select("word", "n", "edges", symbols.alias("s"))
+    byte_ids = F.array(*[F.lit(int(x)) for x in pieces.byte_id])
+    spelled = lambda c: F.transform(F.sequence(F.lit(0), F.octet_length(c) - 1), lambda j: F.get(byte_ids, F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), j * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+
+    def ids_of(b: Column, k: Column) -> Column:
+        width = F.coalesce(F.get("s", k + 1), F.col("n")) - b
+        i = F.col("edges")[b * longest + width - 1]["id"]
+        return F.when(i.isNotNull(), F.array(i)).otherwise(spelled(F.substring(F.col("word"), b + 1, width)))
+
+    out = done.select("word", F.flatten(F.transform("s", ids_of)).alias("ids"))
+    rest = given.where("n is null or n = 0").select("word", F.when(F.col("n") == 0, F.array().cast("array<int>")).alias("ids"))
+    return out.unionByName(rest)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 

@@ -52,3 +52,20 @@ def test_edge_rows(spark):
     assert len(got) == 5 and all(r.round_trip for r in got)
     assert {(r.doc_id, r.n_tokens, r.ids is None) for r in got if r.n_tokens < 9} == {(1, 0, True), (2, 0, False), (None, 2, False), (3, 2, False)}
     assert S.encode(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_relational_lattice_of_words(spark):
+    words = {"▁" * k + w for d in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect() for k in (0, 1) for w in (d.text or "").split()[:200]}
+    words = sorted(w for w in words if len(w) <= 30) + ["▁▁▁", "🙂é", "\x01", "▁中a", "aaaaaaaaaaaaaaaaaaaaaaaaaa", "▁" + "-" * 25]
+    df = spark.createDataFrame([(w,) for w in words] + [("",), (None,), (words[0],)], "word string")
+    got = {r.word: r.ids for r in S.encode_words(df).collect()}
+    pieces = S.Pieces(S.default_model())
+
+    def want(w):
+        out = []
+        for p in S.fold_long(w, pieces):
+            out += [pieces.id[p]] if p in pieces.id else pieces.byte_id[list(p.encode())].tolist()
+        return out
+
+    assert len(got) == len(words) + 2 and got[""] == [] and got[None] is None
+    assert all(got[w] == want(w) for w in words)
