@@ -8,6 +8,7 @@ on the exact likelihood (forward-backward), on labelled pages that `labelled_pag
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -183,20 +184,22 @@ class Field:
         self.weight = np.zeros((len(self.index), 2))
         squares, step_squares = np.full(self.weight.shape, 1e-2), np.full((2, 2), 1e-2)
         rng = np.random.default_rng(seed)
-        data = [(self._rows(b), np.array(y)) for b, y in pages if b]
+        data = []
+        for b, y in pages:
+            if b:
+                rows = self._rows(b)
+                at, size = np.concatenate(rows), np.array([len(r) for r in rows])
+                uniq, inv = np.unique(at, return_inverse=True)
+                data.append((at, np.cumsum(size) - size, size, uniq, inv, np.array(y)))
         for _ in range(epochs):
             for k in rng.permutation(len(data)).tolist():
-                rows, y = data[k]
-                single, pair = self._marginals(np.array([self.weight[r].sum(0) for r in rows]))
+                at, first, size, uniq, inv, y = data[k]
+                single, pair = self._marginals(np.add.reduceat(self.weight[at], first, axis=0))
                 single[np.arange(len(y)), y] -= 1
                 grad_step = pair.sum(0)
                 np.add.at(grad_step, (y[:-1], y[1:]), -1)
-                at = np.concatenate(rows)
-                each = np.repeat(single, [len(r) for r in rows], axis=0)
-                uniq, inv = np.unique(at, return_inverse=True)
-                grad = np.zeros((len(uniq), 2))
-                np.add.at(grad, inv, each)
-                grad += ridge * self.weight[uniq]
+                each = np.repeat(single, size, axis=0)
+                grad = np.stack([np.bincount(inv, each[:, j], len(uniq)) for j in (0, 1)], 1) + ridge * self.weight[uniq]
                 squares[uniq] += grad**2
                 self.weight[uniq] -= rate * grad / np.sqrt(squares[uniq])
                 step_squares += grad_step**2
@@ -205,16 +208,26 @@ class Field:
 
     def _marginals(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward: P(label of each block), P(labels of each two neighbours)."""
-        n = len(score)
-        fore, back = np.zeros((n, 2)), np.zeros((n, 2))
-        fore[0] = score[0]
-        for t in range(1, n):
-            fore[t] = score[t] + np.logaddexp(fore[t - 1, 0] + self.step[0], fore[t - 1, 1] + self.step[1])
-        for t in range(n - 2, -1, -1):
-            back[t] = np.logaddexp(self.step[:, 0] + score[t + 1, 0] + back[t + 1, 0], self.step[:, 1] + score[t + 1, 1] + back[t + 1, 1])
-        total = np.logaddexp(fore[-1, 0], fore[-1, 1])
-        pair = np.exp(fore[:-1, :, None] + self.step + (score[1:] + back[1:])[:, None, :] - total)
-        return np.exp(fore + back - total), pair
+        (s00, s01), (s10, s11) = self.step.tolist()
+        rows = score.tolist()
+
+        def added(x: float, y: float) -> float:
+            return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+        a, b = rows[0]
+        fore = [(a, b)]
+        for p, q in rows[1:]:
+            a, b = p + added(a + s00, b + s10), q + added(a + s01, b + s11)
+            fore.append((a, b))
+        total = added(a, b)
+        a = b = 0.0
+        back = [(a, b)]
+        for p, q in rows[:0:-1]:
+            a, b = added(s00 + p + a, s01 + q + b), added(s10 + p + a, s11 + q + b)
+            back.append((a, b))
+        f, g = np.array(fore), np.array(back[::-1])
+        pair = np.exp(f[:-1, :, None] + self.step + (score[1:] + g[1:])[:, None, :] - total)
+        return np.exp(f + g - total), pair
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """Viterbi: the likeliest labels of a page together."""
