@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from .common import chunks, code_points, small_batches, table, text_bytes, trim
 from .quality import held_out
 
-SYMBOLS, TRAIN_ROWS, PARTS = 64, 2500, 64
+SYMBOLS, TRAIN_ROWS, PARTS = 128, 2500, 64
 #: Letters that a character may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "#": "h"}
 #: Signs that may stand between letters for nothing.
 APART = set(".-_~'`·|/\\*,:;^=+")
 ANY = "abcdefghijklmnopqrstuvwxyz"
 ENDS = ".,;:!?\"'()[]{}%&*#$~<>|-_=+/\\…«»“”„’‘"
+#: Those of them that stand for no letter.
+SOFT_ENDS = ".,;:?\"'()[]{}<>…«»“”„’‘"
 _RUN = re.compile(r"(.)\1\1", re.S)
 _DOUBLES = re.compile(r"(\w)\1")
 _INNER = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|][^\W\d_]|[^\W\d_][0-9@$!|]")
@@ -36,22 +38,33 @@ _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 BEGINNINGS = (4, 5, 6)
 
 
+#: Classes of letters: a to z, the accented ones of western Europe, Greek and Cyrillic have one each; those of other alphabets share the rest.
+_OTHER = 117
+_LETTERS_FROM = 0x3040
+
+
 def symbol_table() -> np.ndarray:
-    """Class of each code point under 0x3000: 0 is no letter; cases are equal."""
-    out = np.zeros(0x3000, np.uint8)
-    for c in range(0x3000):
+    """Class of each code point under 0x3040: 0 is no letter; cases are equal."""
+    out = np.zeros(_LETTERS_FROM, np.uint8)
+    for c in range(_LETTERS_FROM):
         if (x := chr(c)).isalpha():
-            low = x.lower()[:1]
-            k = ord(low)
-            out[c] = k - 96 if 97 <= k <= 122 else 27 + k - 0xDF if 0xDF <= k <= 0xFE else 59 + k % 5
+            k = ord(x.lower()[:1])
+            own = [(0x61, 0x7A, 1), (0xDF, 0xFE, 27), (0x430, 0x44F, 59), (0x3B1, 0x3C9, 91)]
+            out[c] = next((first + k - a for a, b, first in own if a <= k <= b), _OTHER + k % (SYMBOLS - _OTHER))
     return out
 
 
 SYMBOL = symbol_table()
 
 
+def symbols(points: np.ndarray) -> np.ndarray:
+    """Classes of code points; from kana on all count as letters."""
+    return np.where(points < _LETTERS_FROM, SYMBOL[np.minimum(points, _LETTERS_FROM - 1)], _OTHER + points % (SYMBOLS - _OTHER))
+
+
 def symbol(c: str) -> int:
-    return int(SYMBOL[ord(c)]) if ord(c) < 0x3000 else 0
+    k = ord(c)
+    return int(SYMBOL[k]) if k < _LETTERS_FROM else _OTHER + k % (SYMBOLS - _OTHER)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +73,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         raw, off = text_bytes(x.column(0))
         for a, b in chunks(off):
             cp = code_points(raw[off[a] : off[b]].tobytes())
-            s = np.where(cp < 0x3000, SYMBOL[np.minimum(cp, 0x2FFF)], 0).astype(np.int32)
+            s = symbols(cp).astype(np.int32)
             s = np.concatenate([[0, 0], s, [0]])
             code = s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:]
             total += np.bincount(code, minlength=SYMBOLS**3)
@@ -93,7 +106,7 @@ class Decoder:
         p3 = c / np.maximum(c.sum(2, keepdims=True), 1)
         p2 = pair / np.maximum(pair.sum(1, keepdims=True), 1)
         p1 = (one + 1) / (one.sum() + SYMBOLS)
-        self.logp = np.log(0.7 * p3 + 0.25 * p2 + 0.05 * p1[None, None, :])
+        self.logp = np.log(0.7 * p3 + 0.25 * p2 + 0.05 * p1[None, None, :]).astype(np.float32)
 
     def lattice(self, word: str) -> list[list[str]]:
         """For each run of one character the strings that may stand for it."""
@@ -152,7 +165,7 @@ def _pieces(shape: str) -> Iterator[str]:
 
 
 def _shapes(low: str) -> set[str]:
-    return {s for s in (low.strip(".,;:?\"'()[]{}<>…«»“”„’‘"), low.strip(ENDS)) if len(s) >= 3 and disguised(s)}
+    return {s for s in (low.strip(SOFT_ENDS), low.strip(ENDS)) if len(s) >= 3 and disguised(s)}
 
 
 def _fits(shape: str) -> bool:
@@ -290,9 +303,15 @@ def train(docs: DataFrame, labels: DataFrame, decoder: Decoder, label_col: str =
 
 def scorer(decoder: Decoder, lexicon: Lexicon, remembered: int = 400_000) -> Callable[[str | None], float]:
     known: dict[str, list[float]] = {}
+    heads = {k.removesuffix("~")[:4] for k in lexicon.weight}
+    nothing: list[float] = []
 
     def weights_of(token: str) -> list[float]:
         """The weight of a token, or of the two heaviest words of a long one, neither of which is in the other."""
+        low = token.lower().strip(SOFT_ENDS)
+        if low.isalpha():  # letters only: it says nothing else unless letters are repeated, and weighs nothing unless the lexicon has its beginning
+            if low[:4] not in heads and not _RUN.search(low) and len(_DOUBLES.findall(low)) < 3:
+                return nothing
         got = known.get(token)
         if got is None:
             got = [max(map(lexicon.of_word, readings(token, decoder)), default=0.0)]

@@ -28,7 +28,7 @@ def test_decoding_against_all_readings():
     from itertools import product
 
     rng = np.random.default_rng(0)
-    d = T.Decoder(rng.integers(0, 50, (64, 64, 64)))
+    d = T.Decoder(rng.integers(0, 50, (T.SYMBOLS,) * 3))
 
     def cost(parts):
         a = b = 0
@@ -64,3 +64,18 @@ def test_long_tokens_are_decoded(spark):
     for text in (f"an i{'d' * 40}iot and a mo{'r' * 50}on said", "i.d.i.o.t/m.o.r.o.n/" * 4, f"{noise}/i.d.i.o.t/{noise}/m-o-r-o-n/{noise}"):
         assert of(text) >= plain - 1e-9, text
     assert of(noise * 3) < 0.5
+
+
+def test_plain_words_are_passed_over_rightly():
+    decoder = T.Decoder(np.ones((T.SYMBOLS,) * 3, np.int64))
+    lexicon = T.Lexicon({"idiot": 3.0, "moro~": 2.0, "abc": 1.5}, np.array([1.0, 1.0, -2.0]))
+    of = T.scorer(decoder, lexicon)
+    for text in ("idiot", "a moronic thing", "abc", "abcd", "IDIOT!", "idiooot", "plain words only", "mississippi", "(idiot), plain.", "éàü слово 中文"):
+        tokens = set(text.split())
+        want = [w for t in tokens for w in [max((lexicon.of_word(r) for r in T.readings(t, decoder)), default=0.0)] if w]
+        assert of(text) == lexicon.probability(want)
+
+
+def test_letters_of_other_alphabets():
+    assert len({T.symbol(c) for c in "abcxyzéüабвяαβω"}) == 15 and T.symbol("Я") == T.symbol("я") and T.symbol("1") == T.symbol(" ") == 0
+    assert all(0 < T.symbol(c) < T.SYMBOLS for c in "中かกሰ") and (T.symbols(np.array([ord(c) for c in "aя中1"], np.uint32)) == [T.symbol(c) for c in "aя中1"]).all()
