@@ -10,7 +10,6 @@ from lodestone.operators.text_index import bucket, bucket_of
 from lodestone.plans import rewriter as R
 from lodestone.sources import files
 from lodestone.streaming.watch import WatchReader, changes
-from pyspark.sql import functions as F
 
 
 def test_rewriter_leaves_literals_and_comments():
