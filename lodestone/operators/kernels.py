@@ -46,7 +46,13 @@ def maximum(c: str | Column) -> Column:
     return F.max(_no_nan(c))
 
 
-def percentile_rank(df: DataFrame, keys: list[str], value: str, p: float, name: str = "value") -> DataFrame:
+def percentile_rank(values: Column, p: float) -> Column:
+    """Of an array: the sorted value at min(n * p div 100, n - 1). For groups of a table of any size there is group_percentile."""
+    n = F.size(values)
+    return F.get(F.sort_array(values), F.least(F.floor(n * p / 100), n - 1).cast("int"))
+
+
+def group_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str = "value") -> DataFrame:
     """(keys, name): of each group the sorted value at min(n * p div 100, n - 1), exactly; nulls come first, as in a sorted array.
 
     A sketch brackets the rank of each group, the rows under the bracket are counted and the distinct values in it (about 4 / ACCURACY of the group) ranked, so

@@ -222,7 +222,7 @@ def numeric_kernels(spark, sf_dir):
 
 @query("SELECT event_type, v[least(len(v) * 95 // 100, len(v) - 1) + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
 def percentile_rank(spark, sf_dir):
-    return kernels.percentile_rank(_t(spark, sf_dir, "events"), ["event_type"], "value", 95, "p95")
+    return kernels.group_percentile(_t(spark, sf_dir, "events"), ["event_type"], "value", 95, "p95")
 
 
 # ---------------------------------------------------------------- text

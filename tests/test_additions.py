@@ -47,7 +47,7 @@ def test_ranks_of_groups(spark):
     rows = [(k % 3 if k % 7 else None, None if k % 11 == 0 else float(rng.integers(0, 40))) for k in range(2000)] + [(9, None), (8, 1.5)]
     df = spark.createDataFrame(rows, "g int, v double")
     for p in (0, 50, 95, 100):
-        got = {r.g: r.x for r in kernels.percentile_rank(df, ["g"], "v", p, "x").collect()}
+        got = {r.g: r.x for r in kernels.group_percentile(df, ["g"], "v", p, "x").collect()}
         want = {}
         for g in {r[0] for r in rows}:
             v = sorted((x for k, x in rows if k == g), key=lambda x: (x is not None, x))
