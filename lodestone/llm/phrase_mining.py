@@ -23,6 +23,7 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,8 @@ def passages(data: bytes, words: int, limit: int = CHUNK_BYTES) -> Iterator[tupl
         end = data.rfind(b" ", at + seen, at + limit)
         if end <= at + seen:
             end = data.find(b" ", at + max(seen, limit))
+            if end < 0:
+                break
         yield data[at : end + 1], seen
         back = end
         for _ in range(words):
@@ -280,7 +283,7 @@ def candidates(texts: DataFrame, words: int, least: int) -> DataFrame:
 
 def _scan_rows(shared, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: dict[str, tuple[list[bytes], np.ndarray]] = shared.value
+        patterns: dict[str, tuple[pa.Array, np.ndarray]] = shared.value
         built: dict[str, tuple[ahocorasick.Automaton, np.ndarray]] = {}
         for lang, data, seen in by_language(batches, words - 1):
             if lang not in patterns:
@@ -288,7 +291,7 @@ def _scan_rows(shared, words: int):
             if lang not in built:
                 made = ahocorasick.Automaton()
                 for k, p in enumerate(patterns[lang][0]):
-                    made.add_word(" " + p.decode("latin-1") + " ", k)
+                    made.add_word(" " + p.as_py().decode("latin-1") + " ", k)
                 made.make_automaton()
                 built[lang] = made, np.zeros(len(patterns[lang][0]), np.int64)
             made, counts = built[lang]
@@ -329,12 +332,10 @@ def phrase_counts(texts: DataFrame, found: DataFrame, words: int, shard_bytes: i
     patterns = spark.read.schema(schema).parquet(f"{base}/patterns")
     shards = sorted(r["shard"] for r in patterns.select("shard").distinct().collect())
     for s in shards:
-        held: dict[str, tuple[list[bytes], list[int]]] = {}
-        for r in patterns.where(F.col("shard") == s).select("id", "lang", F.col("phrase").cast("binary").alias("phrase")).collect():
-            got = held.setdefault(r["lang"], ([], []))
-            got[0].append(bytes(r["phrase"]))
-            got[1].append(r["id"])
-        shared = spark.sparkContext.broadcast({k: (p, np.array(i, np.int64)) for k, (p, i) in held.items()})
+        rows = patterns.where(F.col("shard") == s).select("lang", "id", F.col("phrase").cast("binary").alias("phrase")).toArrow()  # about shard_bytes
+        names = rows.column("lang").unique().to_pylist()
+        held = {k: rows.filter(pc.equal(rows.column("lang"), k)).select(["phrase", "id"]).combine_chunks() for k in names}
+        shared = spark.sparkContext.broadcast({k: (t.column("phrase").combine_chunks(), t.column("id").to_numpy()) for k, t in held.items()})
         some = texts.where(F.col("lang").isin(*held)) if len(held) <= 100 else texts
         some.mapInArrow(_scan_rows(shared, words), "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).write.mode("append").parquet(f"{base}/counts")
         shared.destroy()

@@ -1,0 +1,112 @@
+"""Operator 13 against a plain version, and its edge cases."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lodestone.llm import phrase_mining as P
+
+SCHEMA = "doc_id long, text string, lang string, phrase string, n string, f int, w string"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows, least=10, words=3, top=2000, percent=50):
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            w = [x for x in re.split("[\x20\x09]+", piece) if x]
+            n[lang] += len(w)
+            for k in range(1, words + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    c = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    longer = Counter()
+    for (lang, w), a in c.items():
+        for m in range(2, len(w)):
+            for i in range(len(w) - m + 1):
+                longer[lang, w[i : i + m]] = max(longer[lang, w[i : i + m]], a)
+    out = {}
+    for (lang, w), a in c.items():
+        if (lang, w) in longer and 100 * longer[lang, w] >= percent * a:
+            continue
+        score, _, left, right = min((1000000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, x in out.items() for i, (s, a, p, left, right) in enumerate(sorted(x)[:top]))
+
+
+def got(spark, rows, **options):
+    df = spark.createDataFrame([(i, t, lang, "p", "n", 1, "w") for i, (t, lang) in enumerate(rows)], SCHEMA).repartition(3)
+    return sorted(tuple(r) for r in P.collocations(df, **options).collect())
+
+
+def texts(seed, n=120, vocabulary=25):
+    r = random.Random(seed)
+    names = ["Ab", "ab", "ß", "É", "é", "x_y", " z", "1", "日本", "a\x00b"] + [f"w{k}" for k in range(vocabulary)]
+    gaps = [" "] * 12 + ["  ", "\t", " \t ", ". ", ",", "\n", "\r\n", " ! ", "\x0b", "\x0c", " .. ;"]
+    out = []
+    for _ in range(n):
+        out.append(("".join(r.choice(names[: r.choice([4, 12, 40])]) + r.choice(gaps) for _ in range(r.randrange(60))), r.choice(["en", "en", "en", None, "und", "", "d e"])))
+    return [*out, ("", "en"), (None, "en"), (" \t\n.,", "en"), (None, None), ("solo", "one")]
+
+
+@pytest.mark.parametrize("options", [{}, {"min_count": 1, "top": 30}, {"max_words": 5, "min_count": 3}, {"shard_bytes": 100, "min_count": 4}, {"max_words": 2}, {"percent": 10, "min_count": 2}])
+def test_equals_plain_version(spark, options):
+    rows = texts(3)
+    want = brute(rows, options.get("min_count", 10), options.get("max_words", 3), options.get("top", 2000), options.get("percent", 50))
+    assert want
+    assert got(spark, rows, **options) == want
+
+
+def test_long_texts_and_words_in_blocks(spark, monkeypatch):
+    """A text of one piece over many blocks: phrases over a seam count once."""
+    r = random.Random(8)
+    long = " ".join(r.choice(["a", "bb", "ccc", "dddd", "e" * 300]) for _ in range(3000))
+    rows = [(long, "en"), (long.replace("bb", "bb.") + "!", "en"), ("q" * 5000 + " " + "a bb " * 40, None)]
+    blocks = P.by_language
+    monkeypatch.setattr(P, "by_language", lambda batches, words, limit=700: blocks(batches, words, 700))
+    for words in (2, 3, 4):
+        assert got(spark, rows, max_words=words) == brute(rows, words=words)
+
+
+def test_blocks_cover_texts_once():
+    r = random.Random(1)
+    for _ in range(200):
+        data = P.normal("".join(r.choice(["ab", "c", " ", " ", ".", "\n", "d" * 30]) for _ in range(r.randrange(1, 300))).encode())
+        k = r.randrange(1, 4)
+        for words in (1, 2, 3):
+            whole, parts = Counter(), Counter()
+            limit = r.randrange(8, 60)
+            for block, seen in P.passages(data, 3 - 1, limit):
+                g = P.Grams("x", block, seen)
+                parts.update(g.phrase(a, words) for a in g.of(words)[0].tolist())
+            g = P.Grams("x", data, 0)
+            whole.update(g.phrase(a, words) for a in g.of(words)[0].tolist())
+            assert whole == parts, (data, limit, words, k)
+
+
+def test_empty_tables(spark):
+    assert got(spark, [(None, "en")]) == []
+    empty = P.collocations(spark.createDataFrame([], SCHEMA))
+    assert empty.collect() == [] and empty.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_products_beyond_64_bits(spark):
+    rows = [("en", "u", 3_000_000_000_000), ("en", "v", 2_000_000_000_000), ("en", "u v", 1_999_999_999_999)]
+    counts = spark.createDataFrame(rows, "lang string, phrase string, f long")
+    r = P.ranked(counts, spark.createDataFrame([("en", 10**13)], "lang string, n long")).collect()
+    assert [(x["score"], x["l"], x["r"]) for x in r] == [(1000000 * 1_999_999_999_999**2 // (3_000_000_000_000 * 2_000_000_000_000), 3_000_000_000_000, 2_000_000_000_000)]
+
+
+def test_sketch_never_misses(spark):
+    """All cells in use: then every phrase is named, and counts decide."""
+    sketch = P.Sketch(P.MIN_BITS, 3)
+    h = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert not sketch.allows(h, 2).any()
+    for r in range(P.ROWS):
+        for block in range(1 << (P.MIN_BITS - P.BLOCK_BITS)):
+            sketch.put(2, r, block, b"\xff" * (1 << (P.BLOCK_BITS - 3)))
+    assert sketch.allows(h, 2).all() and not sketch.allows(h, 3).any()
