@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_extraction, language_id, ngram_join, phrase_mining, pii, quality, sentencepiece_codec, suffix_dedup, toxicity, vector_codes
+from . import decontamination, embedding_dedup, html_extraction, language_id, ngram_join, packing, phrase_mining, pii, quality, sentencepiece_codec, suffix_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_ngram_jaccard": ngram_join.op6,
     "op10_suffix_array_dedup": suffix_dedup.op10,
+    "op11_best_fit_packing": packing.op11,
     "op12_vector_codes": vector_codes.op12,
     "op13_phrase_collocations": phrase_mining.op13,
 }
