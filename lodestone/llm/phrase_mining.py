@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from .common import CHUNK_BYTES, ensure_checkpoint_dir, mix64, small_batches, stored, table, text_bytes, trim, words_of
 
 MIN_COUNT, MAX_WORDS, TOP, PERCENT = 10, 3, 2000, 50
-#: Bytes of patterns of one scan: an automaton takes some 15 to 20 times as much.
-SHARD_BYTES = 8 << 20
+#: Bytes of patterns of one scan: an automaton takes some 13 times as much.
+SHARD_BYTES = 16 << 20
 #: Sketch rows a phrase length; the least and the largest number of cells a row, as a power of two. A bit map has that many bits.
 ROWS, MIN_BITS, MAX_BITS = 2, 16, 27
 BLOCK_BITS = 16
@@ -241,13 +241,13 @@ def _candidate_rows(shared, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Sketch = shared.value
         totals: dict[str, int] = {}
-        known = np.zeros(0, np.uint64)
+        known = np.zeros(1, np.uint64)  # sorted
         fresh: list[np.ndarray] = []
         for lang, data, seen in by_language(batches, words - 1):
             grams = Grams(lang, data, seen)
             totals[lang] = totals.get(lang, 0) + grams.new_words()
             named = np.ones(len(grams.hash) + 1, bool)  # does the phrase of k - 1 words that begins here stand a chance?
-            found, new = [], []
+            found = []
             for k in range(2, words + 1):
                 at, h = grams.of(k)
                 ok = sketch.allows(h, k)
@@ -257,12 +257,11 @@ def _candidate_rows(shared, words: int):
                     named[at[ok]] = True
                 at, h = at[ok], h[ok]
                 h, one = np.unique(h, return_index=True)
-                unknown = ~np.isin(h, known, assume_unique=True) if len(known) else np.ones(len(h), bool)
+                unknown = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
                 found += [grams.phrase(a, k) for a in at[one][unknown].tolist()]
-                new.append(h[unknown])
-            fresh += new
-            if len(fresh) > 64 or sum(map(len, fresh)) > 1 << 16:
-                known = np.concatenate([known if len(known) < REMEMBERED else known[:0], *fresh])
+                fresh.append(h[unknown])
+            if sum(map(len, fresh)) > 1 << 14:
+                known = np.unique(np.concatenate([known if len(known) < REMEMBERED else known[:1], *fresh]))
                 fresh = []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
