@@ -22,7 +22,7 @@ from lodestone import config, errors, tools
 from lodestone.engine import Engine, table_name
 from lodestone.functions import aliases
 from lodestone.operators import encoder, export, history, peek, profiling, sampling, text_index, vectors
-from lodestone.plans.rewriter import typo_hint
+from lodestone.plans.dialect import typo_hint
 from lodestone.session import shared_folder
 from lodestone.sources import files, readers
 from lodestone.streaming import incremental
@@ -137,7 +137,7 @@ def table_functions(spark, sf_dir):
     export.export(_t(spark, sf_dir, "customer"), a, export.ExportOptions(header=False))
     export.export(_t(spark, sf_dir, "nation"), b)
     export.export(_t(spark, sf_dir, "supplier"), c)
-    return Engine(spark).sql(f"SELECT (SELECT COUNT(*) FROM read_csv('{a}')) AS csv, (SELECT COUNT(*) FROM read_parquet('{sf_dir}/region.parquet')) AS parquet, (SELECT COUNT(*) FROM read_json('{b}')) AS json, (SELECT SUM(s_suppkey) FROM read_ipc('{c}')) AS ipc")
+    return Engine(spark).sql(f"SELECT (SELECT COUNT(*) FROM read_csv('{a}', header = false)) AS csv, (SELECT COUNT(*) FROM read_parquet('{sf_dir}/region.parquet')) AS parquet, (SELECT COUNT(*) FROM read_json('{b}')) AS json, (SELECT SUM(s_suppkey) FROM read_ipc('{c}')) AS ipc")
 
 
 @query("SELECT n_nationkey || ' ' || n_name AS line FROM nation ORDER BY n_nationkey DESC LIMIT 10")

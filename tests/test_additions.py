@@ -7,7 +7,7 @@ from lodestone.engine import Engine
 from lodestone.errors import ModelFailed, NotFound, NotPermitted, QueryError, from_os
 from lodestone.operators import encoder, kernels
 from lodestone.operators.text_index import bucket, bucket_of
-from lodestone.plans import rewriter as R
+from lodestone.plans import dialect as R
 from lodestone.sources import files
 from lodestone.streaming.watch import WatchReader, changes
 
@@ -15,9 +15,9 @@ from lodestone.streaming.watch import WatchReader, changes
 def test_rewriter_leaves_literals_and_comments():
     sql = "SELECT 'a ~ b' AS t FROM x WHERE t ~ 'b.*' AND c ^@ 'q''s' AND d !~ e -- f ~ g"
     assert R.rewrite(sql) == "SELECT 'a ~ b' AS t FROM x WHERE t RLIKE 'b.*' AND startswith(c, 'q''s') AND NOT (d RLIKE e) -- f ~ g"
-    assert R.union_by_name("SELECT 'UNION BY NAME' AS a") is None
-    assert R.union_by_name("SELECT 1 AS a UNION BY NAME SELECT 2 AS b UNION ALL BY NAME SELECT 3 AS c")[1] == ["", "ALL"]
-    assert R.qualify("SELECT a FROM (SELECT b QUALIFY c)") == "SELECT a FROM (SELECT b QUALIFY c)"
+    assert R.rewrite("SELECT 'UNION BY NAME' AS a", lambda q: ["x"]) == "SELECT 'UNION BY NAME' AS a"
+    both = R.rewrite("SELECT 1 AS a UNION BY NAME SELECT 2 AS b UNION ALL BY NAME SELECT 3 AS c", lambda q: ["a"])
+    assert both.count("UNION ALL") == 1 and both.count("UNION") == 2 and "NAME" not in both
     assert R.typo_hint("SELECT selected FROM t") is None and R.typo_hint("selec a from t")[1] == "SELECT a from t"
 
 

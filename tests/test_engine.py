@@ -1,7 +1,7 @@
 import pytest
 from lodestone.engine import Engine, table_name
 from lodestone.errors import NotFound, QueryError, UnsupportedFormat
-from lodestone.plans.rewriter import arguments, rewrite, typo_hint
+from lodestone.plans.dialect import commas, rewrite, text_of, tree, typo_hint
 from lodestone.sources.readers import CsvOptions, read_any, read_csv
 
 
@@ -75,5 +75,5 @@ def test_files(spark, tmp_path):
 
 
 def test_rewriter_pieces():
-    assert arguments("a, f(b, c), 'x,y'") == ["a", "f(b, c)", "'x,y'"]
+    assert [text_of(x).strip() for x in commas(tree("a, f(b, c), 'x,y'"))] == ["a", "f(b, c)", "'x,y'"]
     assert rewrite("SELECT * FROM t;") == "SELECT * FROM t"
