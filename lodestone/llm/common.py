@@ -34,6 +34,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of df, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows and bytes of an Arrow batch, at most: texts of some kilobytes then make batches of some megabytes on both sides; a longer text is one alone.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 

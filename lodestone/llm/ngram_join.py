@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, chunks, components, cut, packed, set_digest, shingle_sets, small_batches, stored, table, text_bytes, trim, unpacked
+from .common import Forest, chunks, components, cut, free_names, packed, set_digest, shingle_sets, small_batches, stored, table, text_bytes, trim, unpacked
 
 PERCENT, WIDTH = 75, 5
 #: Documents, and shingle entries, of one component that meet in one task, about (twice this for a pair of tiles; one set may be larger).
@@ -466,15 +466,16 @@ def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps of each group of linked rows one, and every row that links with nothing, those without words too.
 
     Of a group the row with the smallest doc_id stays, one with a null id only where all ids are null; then the smallest hash of id and text decides.
-    Of rows with one id and one text any may stay.
+    Of rows with one id and one text any may stay. Other columns, whatever their names, pass through.
     """
     kinds, final = link_classes(docs)
     found = stored(kinds.join(final, "digest", "left").select("doc_id", "rid", "c", "component_id"))
     first = found.where("c is not null and doc_id <=> component_id").groupBy("c").agg(F.min("rid").alias("rid"), F.first("doc_id").alias("id"))
-    keep = first.select("rid", F.col("id").alias("keep_id"), F.lit(True).alias("one")).unionByName(found.where("c is null").select("rid", F.col("doc_id").alias("keep_id"), F.lit(False).alias("one")).distinct())
-    keep = cut(keep.withColumnRenamed("rid", "keep_rid"))
-    rows = packed(docs.withColumn("__rid", row_key(F.col("doc_id"), F.col("text"))))
-    kept = rows.join(keep, (F.col("__rid") == F.col("keep_rid")) & F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")))
+    rid, keep_rid, keep_id, one = free_names(docs, "rid", "keep_rid", "keep_id", "one")
+    keep = first.select(F.col("rid").alias(keep_rid), F.col("id").alias(keep_id), F.lit(True).alias(one))
+    keep = cut(keep.unionByName(found.where("c is null").select(F.col("rid").alias(keep_rid), F.col("doc_id").alias(keep_id), F.lit(False).alias(one)).distinct()))
+    rows = packed(docs.withColumn(rid, row_key(F.col("doc_id"), F.col("text"))))
+    kept = rows.join(keep, (F.col(rid) == F.col(keep_rid)) & F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)))
     if found.where("c is not null").groupBy("doc_id", "rid").count().where("count > 1").take(1):
-        kept = kept.where("one").dropDuplicates(["__rid", "doc_id"]).unionByName(kept.where("not one"))
-    return unpacked(kept.select(*docs.columns))
+        kept = kept.where(F.col(one)).dropDuplicates([rid, "doc_id"]).unionByName(kept.where(~F.col(one)))
+    return unpacked(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))

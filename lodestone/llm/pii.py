@@ -12,7 +12,8 @@ its digits and its letters are permuted apart, a lone one is moved by a keyed st
 digests of the same kind.
 
 Whoever knows the key can undo the permutations, so it has no default: the query takes it from the setting KEY_SETTING of the session and, where that is unset,
-draws one for the application, which nobody learns (equal values are then linked within it, not with those of other runs).
+draws one for the application, which nobody learns (equal values are then linked within it, not with those of other runs). Spark masks settings of such a name in logs
+and pages. In a plan the key is the value of a scalar subquery over a local table, whose rows plans do not show.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from __future__ import annotations
 import secrets
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 ROUNDS = 8
-KEY_SETTING = "spark.lodestone.pii.key"
+KEY_SETTING = "spark.lodestone.pii.secret"
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{6,}+",
@@ -47,7 +49,7 @@ def _number(*parts) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]), 256), 1, 15), 16, 10).cast("long")
 
 
-def permuted(digits: Column, key: str, tweak: str) -> Column:
+def permuted(digits: Column, key: Column, tweak: str) -> Column:
     """The digits, 2 to 36, through a Feistel network on their two halves."""
     powers = F.array(*[F.lit(10**k).cast("long") for k in range(19)])
     n = F.length(digits)
@@ -62,13 +64,13 @@ def permuted(digits: Column, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), v, "0")))
 
 
-def moved(signs: Column, base: int, first: str, key: str, tweak: str) -> Column:
+def moved(signs: Column, base: int, first: str, key: Column, tweak: str) -> Column:
     """A string of signs of one alphabet (base signs from `first` on) of any length through a Feistel network that adds to its halves in turn, sign by sign."""
     n = F.length(signs)
     u = F.floor(n / 2).cast("int")
 
     def added(s: Column, other: Column, i: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), n.cast("string"), other), 256)
+        h = F.sha2(F.concat_ws("|", key, F.lit(tweak), i.cast("string"), n.cast("string"), other), 256)
         code = ord(first)
 
         def sign(c: Column, j: Column) -> Column:
@@ -86,7 +88,7 @@ def moved(signs: Column, base: int, first: str, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
 
 
-def permuted_below(x: Column, bound: int, key: str, tweak: str) -> Column:
+def permuted_below(x: Column, bound: int, key: Column, tweak: str) -> Column:
     """x in 0 .. bound - 1 permuted in that range, by walking on while the digits leave it."""
     width = len(str(bound - 1))
     once = lambda y: permuted(F.lpad(y.cast("string"), width, "0"), key, tweak).cast("long")
@@ -147,7 +149,7 @@ def _octet(m: Column, k: int) -> Column:
     return F.element_at(F.split(m, r"\."), k).cast("long")
 
 
-def replacement(m: Column, key: str) -> Column:
+def replacement(m: Column, key: Column) -> Column:
     """(kind, text) for one match of ANY; kind null and the match itself where it does not validate."""
     out = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("s"))
     d = _digits(m)
@@ -155,10 +157,10 @@ def replacement(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"(?i)^([^=:]+[=:]\s*[\"']?)", 1)
     value = F.substring(m, F.length(head) + 1, F.length(m))
     parts = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / 64).cast("int"))
-    digests = F.transform(parts, lambda i: F.sha2(F.concat(F.lit(f"{key}|secret|"), i.cast("string"), F.lit("|"), value), 256))
+    digests = F.transform(parts, lambda i: F.sha2(F.concat(key, F.lit("|secret|"), i.cast("string"), F.lit("|"), value), 256))
     hashed = F.substring(F.array_join(digests, ""), F.lit(1), F.length(value))
     secret = out("secret", F.concat(head, F.when((F.upper(value) == value) & (F.lower(value) != value), F.upper(hashed)).otherwise(hashed)))
-    email = out("email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid")))
+    email = out("email", F.concat(F.lit("u"), F.substring(F.sha2(F.concat(key, F.lit("|email|"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid")))
     bare = F.regexp_replace(m, " ", "")
     own = F.substring(bare, F.lit(5), F.length(bare))
     own_digits, own_letters = _digits(own), F.regexp_replace(own, "[^A-Z]", "")
@@ -202,22 +204,28 @@ def replacement(m: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
     """docs with the text column rewritten under a key that is not empty and, if counts, n_pii (matches replaced) and pii_kinds (their kinds in order; array<string>).
 
-    Null text stays null, with n_pii 0; empty text stays empty. Other columns pass through; existing columns n_pii and pii_kinds are replaced.
+    Null text stays null, with n_pii 0; empty text stays empty. Other columns pass through, whatever their names; existing columns n_pii and pii_kinds are replaced.
     """
     if not key:
         raise ValueError("pseudonyms need a key")
+    own, hits, new = free_names(docs, "key", "found", "new")
     text = F.col(f"`{text_col}`")
     likely = text.rlike("[0-9@=:]")
     found = F.when(likely, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    done = docs.withColumn("__found", found)
-    done = done.withColumn("__new", F.transform("__found", lambda m: replacement(m, key)))
+    done = docs.withColumn(own, _hidden(docs.sparkSession, key)).withColumn(hits, found)
+    done = done.withColumn(new, F.transform(hits, lambda m: replacement(m, F.col(own))))
     pieces = F.split(text, ANY, -1)
-    new = F.when(F.size("__found") > 0, F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(F.col("__new"), i)["s"], F.lit(""))))), "")).otherwise(text)
-    done = done.withColumn(text_col, new)
+    whole = F.when(F.size(hits) > 0, F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(F.col(new), i)["s"], F.lit(""))))), "")).otherwise(text)
+    done = done.withColumn(text_col, whole)
     if counts:
-        kinds = F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull())
+        kinds = F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull())
         done = done.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).withColumn("n_pii", F.size("pii_kinds").cast("long"))
-    return done.drop("__found", "__new")
+    return done.drop(own, hits, new)
+
+
+def _hidden(spark: SparkSession, key: str) -> Column:
+    """The key as a value that neither plans nor event logs spell out."""
+    return spark.createDataFrame(pa.table({"k": [key]})).scalar()
 
 
 @lru_cache(maxsize=1)

@@ -148,10 +148,12 @@ def held_out(doc_id: Column, parts: int = 3, part: int = 1) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int) -> DataFrame:
-    """(label, text) of at most `rows` labelled training rows: those whose ids have the smallest hashes."""
+    """(label, text) of at most `rows` labelled training rows: those whose ids have the smallest hashes. Of documents with one id the text of the smallest hash counts,
+    so the bound holds however often an id comes."""
     chosen = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # bounded, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # bounded, so it may be broadcast
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
     found = sample(docs, labels, label_col, rows).mapInArrow(_feature_batches, "label int, f binary, n binary").toArrow()
     views = [(label, np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.float32)) for label, f, n in zip(found["label"].to_pylist(), found["f"], found["n"], strict=True)]
     views.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:64], r[2].tobytes()[:64]))  # the order of the tasks does not matter
-    model = fit(views[: 4 * rows])
+    model = fit(views)
     del views, found
     trim()
     return model
@@ -184,7 +186,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier accepts, with the columns that they have."""
+    """Rows that the classifier accepts, with the columns that they have.
+
+    Null, empty and wordless texts get the prior and stay or go by it; rows that come again stay or go together; an empty table stays empty; other columns, whatever
+    their names, pass through.
+    """
     of_labels = table(spark, sf_dir, "labels")
     model = train(docs, of_labels)
     columns, schema = docs.columns, docs.schema

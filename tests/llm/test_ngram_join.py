@@ -127,3 +127,12 @@ def test_stage_keeps_what_links_with_nothing_whatever_its_id(spark):
     assert sum(t in (rows[13][1], rows[14][1]) for _, t in kept) == 1
     one_null = [(None, "a b c d e f"), (5, "a b c d e f")]
     assert [r.doc_id for r in pipeline_stage(spark, spark.createDataFrame(one_null, kind), "").collect()] == [5]
+
+
+def test_stage_takes_columns_of_any_name(spark):
+    text = "one two three four five six seven eight"
+    names = ["rid", "keep_id", "keep_rid", "one", "__rid", "c", "component_id", "RID_", "digest"]
+    rows = [(2, text, *names), (1, text, *names), (3, "something else", *names), (None, None, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pipeline_stage(spark, df, "")
+    assert got.columns == df.columns and sorted((r.doc_id or 0, *r[2:]) for r in got.collect()) == [(0, *names), (1, *names), (3, *names)]

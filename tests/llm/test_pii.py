@@ -207,3 +207,20 @@ def test_key_of_the_session(spark):
         assert pii.session_key(spark) == "set"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_key_is_in_no_plan_and_masked_in_settings(spark):
+    key = "0123-a-key-to-find"
+    out = pii.pseudonymize(spark.createDataFrame([(1, "a@b.de 4111111111111111")], "doc_id long, text string"), key)
+    out.collect()
+    plans = out._jdf.queryExecution()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString
+    assert not any(key in x for x in (plans.toString(), *[plans.explainString(mode(m)) for m in ("extended", "codegen", "formatted")]))
+    assert regex.search(r"(?i)secret|password|token|access[.]?key", pii.KEY_SETTING)
+
+
+def test_columns_of_any_name(spark):
+    names = ["key", "found", "new", "key_", "NEW_", "__found", "__new", "k"]
+    df = spark.createDataFrame([(1, "a@b.de", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pii.pipeline_stage(spark, df, "")
+    assert got.columns == df.columns and got.first()[2:] == tuple(names) and got.first().text.endswith("@mail.invalid")

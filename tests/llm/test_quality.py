@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -105,3 +106,13 @@ def test_gradient_against_finite_differences():
             down = loss(vectors, layer, bias)
             x[at] = old
             assert abs((up - down) / 2e-6 - slope[at]) < 1e-5
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    """A labelled id that comes often is one row, and neither label loses rows to it."""
+    docs = spark.createDataFrame([(k % 30, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)] * 3, "doc_id long, quality int")
+    got = quality.sample(docs, labels, "quality", 1000).collect()
+    ids = [k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(got) == len(ids) and sum(r.label for r in got) == sum(k % 2 for k in ids)
+    assert len(quality.sample(docs, labels, "quality", 5).collect()) == 5
