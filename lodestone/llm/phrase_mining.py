@@ -115,6 +115,7 @@ class Grams:
         self.hash, _, counts = words_of(raw, np.concatenate([[0], ends, [len(raw)]]).astype(np.int64))
         self.raw, blank = data, (raw == 32) | (raw == 10)
         self.start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1 if len(raw) > 1 else np.zeros(0, np.int64)
+        self.stop = np.append(np.flatnonzero(~blank[:-1] & blank[1:]) + 1, [len(raw)] * (len(raw) > 0 and not blank[-1])).astype(np.int64)
         last = np.cumsum(counts)
         self.left = np.repeat(last, counts) - np.arange(len(self.hash))
         self.first = int(np.searchsorted(self.start, seen)) if seen else 0
@@ -131,9 +132,29 @@ class Grams:
             h += self.hash[at + j] * _PLACE[j]
         return at, mix64(h)
 
-    def phrase(self, at: int, k: int) -> bytes:
-        end = self.start[at + k] - 1 if at + k < len(self.start) and self.left[at] > k else self.raw.find(b" ", int(self.start[at + k - 1]))
-        return self.raw[int(self.start[at]) : int(end)]
+    def phrases(self, at: np.ndarray, k: int) -> pa.Array:
+        """The bytes of the phrases of k words that begin at some words."""
+        begin, size = self.start[at], self.stop[at + k - 1] - self.start[at]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = np.frombuffer(self.raw, np.uint8)[np.repeat(begin - offsets[:-1], size) + np.arange(int(offsets[-1]))]
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+class Seen:
+    """Hashes that have been seen: a large sorted array and a small one, which is merged into it as it grows. Over REMEMBERED it starts anew."""
+
+    def __init__(self):
+        self.large, self.small = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+
+    def new(self, h: np.ndarray) -> np.ndarray:
+        """Which of the distinct hashes are new; they are seen from now on."""
+        out = np.ones(len(h), bool)
+        for known in (self.large, self.small):
+            out &= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
+        self.small = np.sort(np.concatenate([self.small, h[out]]))
+        if len(self.small) > max(1 << 15, len(self.large) // 4):
+            self.large, self.small = np.sort(np.concatenate([self.large, self.small])) if len(self.large) < REMEMBERED else self.small, np.zeros(1, np.uint64)
+        return out
 
 
 def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -241,13 +262,11 @@ def _candidate_rows(shared, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Sketch = shared.value
         totals: dict[str, int] = {}
-        known = np.zeros(1, np.uint64)  # sorted
-        fresh: list[np.ndarray] = []
+        seen_before = Seen()
         for lang, data, seen in by_language(batches, words - 1):
             grams = Grams(lang, data, seen)
             totals[lang] = totals.get(lang, 0) + grams.new_words()
             named = np.ones(len(grams.hash) + 1, bool)  # does the phrase of k - 1 words that begins here stand a chance?
-            found = []
             for k in range(2, words + 1):
                 at, h = grams.of(k)
                 ok = sketch.allows(h, k)
@@ -255,16 +274,11 @@ def _candidate_rows(shared, words: int):
                     ok &= named[at] & named[at + 1]
                     named[:] = False
                     named[at[ok]] = True
-                at, h = at[ok], h[ok]
-                h, one = np.unique(h, return_index=True)
-                unknown = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
-                found += [grams.phrase(a, k) for a in at[one][unknown].tolist()]
-                fresh.append(h[unknown])
-            if sum(map(len, fresh)) > 1 << 14:
-                known = np.unique(np.concatenate([known if len(known) < REMEMBERED else known[:1], *fresh]))
-                fresh = []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.binary()), pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
+                h, one = np.unique(h[ok], return_index=True)
+                fresh = seen_before.new(h)
+                found = grams.phrases(at[ok][one][fresh], k)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found, pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "n"])
         trim()
 

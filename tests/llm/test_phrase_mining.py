@@ -82,9 +82,9 @@ def test_blocks_cover_texts_once():
             limit = r.randrange(8, 60)
             for block, seen in P.passages(data, 3 - 1, limit):
                 g = P.Grams("x", block, seen)
-                parts.update(g.phrase(a, words) for a in g.of(words)[0].tolist())
+                parts.update(g.phrases(g.of(words)[0], words).to_pylist())
             g = P.Grams("x", data, 0)
-            whole.update(g.phrase(a, words) for a in g.of(words)[0].tolist())
+            whole.update(g.phrases(g.of(words)[0], words).to_pylist())
             assert whole == parts, (data, limit, words, k)
 
 
@@ -110,3 +110,12 @@ def test_sketch_never_misses(spark):
         for block in range(1 << (P.MIN_BITS - P.BLOCK_BITS)):
             sketch.put(2, r, block, b"\xff" * (1 << (P.BLOCK_BITS - 3)))
     assert sketch.allows(h, 2).all() and not sketch.allows(h, 3).any()
+
+
+def test_seen(monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 1 << 30)
+    r, seen, before = np.random.default_rng(1), P.Seen(), set()
+    for _ in range(60):
+        h = np.unique(r.integers(1, 60_000, 3000, dtype=np.uint64))
+        assert seen.new(h).tolist() == [int(x) not in before for x in h]
+        before.update(h.tolist())
