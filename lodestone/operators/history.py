@@ -17,7 +17,7 @@ from lodestone.errors import HistoryFailed
 SCHEMA = "id bigint, query string, path string, file_type string, search_type string, results bigint, ms bigint, timestamp timestamp"
 KEPT = 1000
 #: Extensions that a query may name.
-NAMED = ["rs", "py", "js", "ts", "go", "java", "csv", "json", "log", "md", "txt", "toml", "yaml", "parquet"]
+NAMED = ["rs", "js", "ts", "py", "go", "java", "toml", "json", "yaml", "yml", "md", "log", "csv", "sql"]
 
 
 def modal(c: Column) -> Column:
@@ -60,15 +60,15 @@ def recommend_queries(h: DataFrame, query: str) -> DataFrame:
     return _advice(near, "query", "query", sure).unionByName(_advice(lonely, "query", "query", sure * 0.7))
 
 
-def recommend_types(h: DataFrame, query: str) -> DataFrame | None:
-    """Where a query names an extension: the usual types of the paths where it is not that one, and the usual type of all; None if it names none."""
-    named = next((x for x in NAMED if x in query.lower()), None)
-    if not named:
-        return None
+def recommend_types(h: DataFrame, query: str) -> DataFrame:
+    """Where a query names extensions, the usual types of the paths that are other ones; if there are none, the most frequent type of all, if it came three times."""
+    named = [x for x in NAMED if x in query.lower()]
     typed = h.where("file_type is not null")
-    by_path = typed.groupBy("path").agg(modal(F.col("file_type")).alias("t")).where(F.col("t") != named)
+    other = reduce(lambda a, b: a | b, [F.col("t") != x for x in named], F.lit(False))
+    by_path = typed.groupBy("path").agg(modal(F.col("file_type")).alias("t")).where(other).select("t").distinct()
     every = typed.groupBy("file_type").count().where("count >= 3").orderBy(F.desc("count"), "file_type").limit(1)
-    return _advice(by_path.select("t").distinct(), "file_type", "t", F.lit(0.6)).unionByName(_advice(every, "file_type", "file_type", F.lit(0.5)))
+    lonely = every.join(by_path.limit(1).select(F.lit(1).alias("one")), F.lit(True), "left_anti")
+    return _advice(by_path, "file_type", "t", F.lit(0.6)).unionByName(_advice(lonely, "file_type", "file_type", F.lit(0.5)))
 
 
 def recommend_paths(h: DataFrame) -> DataFrame:
@@ -84,8 +84,7 @@ def recommend_search_types(h: DataFrame) -> DataFrame:
 
 def recommend(h: DataFrame, query: str, k: int = 5) -> DataFrame:
     """(kind, value, confidence): queries, file types, paths and search types that fit, the surest first."""
-    parts = [recommend_queries(h, query), recommend_types(h, query), recommend_paths(h), recommend_search_types(h)]
-    out = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    out = reduce(DataFrame.unionByName, [recommend_queries(h, query), recommend_types(h, query), recommend_paths(h), recommend_search_types(h)])
     return out.groupBy("kind", "value").agg(F.max("confidence").alias("confidence")).orderBy(F.desc("confidence"), "kind", "value").limit(k)
 
 
@@ -210,8 +209,19 @@ class SessionContext:
         _write(self.path, {"operations": self.operations, "variables": self.variables})
 
 
+#: Tokens a byte or character, dollars a million tokens, yuan a dollar.
+TOKENS_EACH, DOLLARS, YUAN = 0.5, 0.15, 7.2
+
+
+def savings(source_bytes: Column, output_chars: Column) -> dict[str, Column]:
+    """Tokens before and after, those saved, and what they cost in dollars and yuan, of columns."""
+    before, after = F.floor(source_bytes * TOKENS_EACH), F.floor(output_chars * TOKENS_EACH)
+    saved = F.greatest(F.lit(0).cast("bigint"), before - after)
+    return {"before": before, "after": after, "saved": saved, "usd": saved * DOLLARS / 1e6, "cny": saved * DOLLARS / 1e6 * YUAN}
+
+
 def token_savings(source_bytes: int, output_chars: int) -> dict:
-    """Half a token a byte or character: (before, after, saved), and what they cost at 0.15 dollars a million, and in yuan at 7.2 a dollar."""
-    before, after = int(source_bytes * 0.5), int(output_chars * 0.5)
+    """The same of two numbers."""
+    before, after = int(source_bytes * TOKENS_EACH), int(output_chars * TOKENS_EACH)
     saved = max(0, before - after)
-    return {"before": before, "after": after, "saved": saved, "usd": saved * 0.15 / 1e6, "cny": saved * 0.15 / 1e6 * 7.2}
+    return {"before": before, "after": after, "saved": saved, "usd": saved * DOLLARS / 1e6, "cny": saved * DOLLARS / 1e6 * YUAN}

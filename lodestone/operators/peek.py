@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import os
 import time
 
@@ -18,13 +20,17 @@ KINDS = {
 }
 #: Names that a peek passes over wherever they stand in a path.
 IGNORED = [".git", "node_modules", "target", "__pycache__", "venv"]
-#: How the lines of an outline begin.
+#: How the lines of an outline begin, by extension.
 OUTLINE = {
-    "rs": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|mod|use|type|const)\b",
-    "py": r"^\s*(?:async\s+def|def|class|import|from)\b",
-    "js": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|const|let|import)\b",
-    "ts": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|import)\b",
+    "rs": ["pub fn ", "fn ", "pub struct ", "struct ", "pub impl ", "impl ", "pub mod ", "mod ", "pub trait ", "trait ", "pub enum ", "enum "],
+    "py": ["def ", "class ", "async def "],
+    "js": ["function ", "class ", "const ", "export ", "async function "],
+    "ts": ["function ", "class ", "const ", "export ", "async function "],
 }
+#: Where the signature on such a line ends.
+ENDS = {"rs": "{", "py": ":", "js": "{", "ts": "{"}
+#: How the lines of a Rust file begin that a compressed view keeps.
+KEPT = {"rs": ["fn ", "struct ", "impl ", "mod ", "pub ", "use ", "trait ", "enum ", "type ", "const ", "let ", "return ", "}"]}
 COMMENT = r"^\s*(?://|#|\*|/\*)"
 BIG, COUNTED = 512 << 10, 1 << 20
 
@@ -47,18 +53,20 @@ def line_count(text: Column) -> Column:
 
 
 def outline(ext: Column, text: Column) -> Column:
-    """Up to eight lines that declare something, or the first five that are no comments, in 150 characters."""
-    lines = lines_of(text)
-    plain = F.slice(F.filter(lines, lambda x: (F.trim(x) != "") & ~x.rlike(COMMENT)), 1, 5)
-    out = plain
-    for k, pattern in OUTLINE.items():
-        names = {"js": ["js", "jsx"], "ts": ["ts", "tsx"]}.get(k, [k])
-        out = F.when(ext.isin(names), F.slice(_matching(lines, pattern), 1, 8)).otherwise(out)
-    return F.substring(F.array_join(F.transform(out, lambda x: F.regexp_replace(F.trim(x), r"\s*\{$", "")), "; "), 1, 150)
+    """Up to eight signatures that declare something; of other languages the first five lines that are no comments; in 150 characters. `[empty]` if there are none."""
+    lines = F.transform(lines_of(text), lambda x: F.trim(x))
+    out = F.slice(F.filter(lines, lambda x: (x != "") & ~x.rlike(COMMENT)), 1, 5)
+    for k, begins in OUTLINE.items():
+        out = F.when(ext == k, _signatures(lines, begins, ENDS[k])).otherwise(out)
+    return F.when(F.size(out) == 0, "[empty]").otherwise(F.substring(F.array_join(out, "; "), 1, 150))
+
+
+def _declares(line: Column, begins: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.ltrim(line).startswith(b) for b in begins])
 
 
-def _matching(lines: Column, pattern: str) -> Column:
-    return F.filter(lines, lambda x: x.rlike(pattern))
+def _signatures(lines: Column, begins: list[str], end: str) -> Column:
+    return F.transform(F.slice(F.filter(lines, lambda x: _declares(x, begins)), 1, 8), lambda x: F.rtrim(F.substring_index(x, end, 1)))
 
 
 def summary(path: Column, size: Column, text: Column) -> Column:
@@ -75,9 +83,9 @@ def preview(text: Column) -> Column:
 
 
 def compress(ext: Column, text: Column) -> Column:
-    """Without blank lines and comments; of Rust files the declaring lines only."""
+    """Without blank lines and comments; of Rust files the lines that give the structure only."""
     kept = F.filter(lines_of(text), lambda x: (F.trim(x) != "") & ~x.rlike(COMMENT))
-    return F.array_join(F.when(ext == "rs", _matching(kept, OUTLINE["rs"])).otherwise(kept), "\n")
+    return F.array_join(F.when(ext == "rs", F.filter(kept, lambda x: _declares(x, KEPT["rs"]))).otherwise(kept), "\n")
 
 
 def peek(files: DataFrame) -> DataFrame:
