@@ -878,7 +878,7 @@ def recommend_search_types(spark, sf_dir):
     return history.recommend_search_types(_searches(spark, sf_dir))
 
 
-@query("WITH f AS (SELECT lower(event_type) AS q, COUNT(*) AS n FROM events GROUP BY 1), a AS (SELECT 'query' AS kind, q AS value, LEAST(n / 10.0, 1.0)::DOUBLE AS confidence FROM f WHERE q <> 'view' AND (contains(q, 'view') OR contains('view', q)) UNION ALL (SELECT 'query', q, LEAST(n / 10.0, 1.0) * 0.7 FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.q <> 'view' AND (contains(g.q, 'view') OR contains('view', g.q))) ORDER BY n DESC, q LIMIT 1)), p AS (SELECT 'path' AS kind, p AS value, 0.7::DOUBLE AS confidence FROM (SELECT 'u' || (user_id % 10) AS p FROM events ORDER BY event_id DESC LIMIT 20) GROUP BY p HAVING COUNT(*) >= 3 ORDER BY COUNT(*) DESC, p LIMIT 1) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM p UNION ALL SELECT 'search_type', 'standard', 0.6) ORDER BY confidence DESC, kind, value LIMIT 5")
+@query("WITH f AS (SELECT lower(event_type) AS q, COUNT(*) AS n FROM events GROUP BY 1), a AS (SELECT 'query' AS kind, q AS value, LEAST(n / 10.0, 1.0)::DOUBLE AS confidence FROM f WHERE q <> 'view' AND (contains(q, 'view') OR contains('view', q)) UNION ALL (SELECT 'query', q, LEAST(n / 10.0, 1.0) * 0.7 FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.q <> 'view' AND (contains(g.q, 'view') OR contains('view', g.q))) ORDER BY n DESC, q LIMIT 1)), p AS (SELECT 'path' AS kind, p AS value, 0.7::DOUBLE AS confidence FROM (SELECT 'u' || (user_id % 10) AS p FROM events ORDER BY event_id DESC LIMIT 20) GROUP BY p HAVING COUNT(*) >= 3 ORDER BY COUNT(*) DESC, p LIMIT 1) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM p UNION ALL SELECT 'search_type', 'standard', 0.6 UNION ALL (SELECT 'file_type', event_type, 0.5 FROM events WHERE event_type <> 'view' GROUP BY 2 HAVING COUNT(*) >= 3 ORDER BY COUNT(*) DESC, 2 LIMIT 1)) ORDER BY confidence DESC, kind, value LIMIT 5")
 def recommendations(spark, sf_dir):
     """Merged, the surest first; asked twice, computed once."""
     h = history.History(_here(_new(spark, ".json")))
