@@ -47,6 +47,10 @@ class IndexFailed(LodestoneError):
     code, hint = "E008", "build the index again"
 
 
+class IndexConflict(IndexFailed):
+    """Another writer was there first."""
+
+
 class SearchFailed(LodestoneError):
     code = "E009"
 

@@ -1,9 +1,13 @@
 """Full-text search: documents -> postings -> BM25, with phrases, boolean operators, prefixes and typo-tolerant terms.
 
 An index is a folder of Parquet tables: docs (path, content, file_type, size, modified, doc_id, length), postings (term, doc_id, tf, positions, length and
-file_type of the document, bucket; partitioned by a hash of the term, so a query reads the folders of its terms), terms (term, df), stats. A query is an
-expression tree on the driver; its terms become one filter on postings, the tree one boolean expression over the terms that a document has. Scores need
-postings and terms only; contents are fetched for the best k.
+file_type of the document, bucket; partitioned by a hash of the term, so a query reads the folders of its terms), terms (term, df; in ranges of terms, so a prefix
+reads its range), near (variant, term, bucket: shortened forms of terms, so a typo-tolerant term reads the folders of its own forms), stats. A query is an expression
+tree on the driver; its terms become one filter on postings, the tree one boolean expression over the terms that a document has. Scores need postings and terms only,
+positions are read for phrases, contents are fetched for the best k.
+
+Which tables count is said by the last of the numbered files in `pointers`. Each is written whole under another name and then renamed to its number, which fails if
+that number is taken; so a writer that dies leaves the last state, and of two writers one is told.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.errors import SearchSyntax
+from lodestone.errors import IndexConflict, SearchSyntax
 from lodestone.session import spread
 
 #: First and last code points of the ideographs that are written without blanks.
@@ -32,7 +37,12 @@ CJK = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES)
 _RUNS = re.compile(rf"([{CJK_HERE}]+)|([^{CJK_HERE}]+)")
 _LATIN = re.compile(r"[^\W]+", re.U)
 K1, B = 1.2, 0.75
-BUCKETS = 32
+#: Folders of postings, at least and at most; words for which there is one more, and documents for which a folder is written by one more task.
+BUCKETS, MOST_BUCKETS, WORDS_EACH, DOCS_EACH = 32, 8192, 20_000_000, 5_000_000
+#: Leading characters of a term whose shortened forms stand for it, and the edits that a typo-tolerant term may have.
+LEAD, EDITS = 10, 2
+#: Terms of prefix and typo-tolerant leaves that are looked up by name; more are joined.
+LISTED = 5000
 
 
 def bigrams(run: str) -> list[str]:
@@ -214,14 +224,42 @@ def bm25(tf: Column, df: Column, length: Column, docs: Column, average: Column)
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def bucket_of(term: str) -> int:
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
     """The folder of a term: what the column expression of bucket() gives."""
     h = xxhash.xxh64_intdigest(term.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+def bucket(term: Column | str = "term", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def buckets_for(words: float) -> int:
+    return int(min(MOST_BUCKETS, max(BUCKETS, words // WORDS_EACH)))
+
+
+def shortened(term: Column) -> Column:
+    """Forms of a term: its first LEAD characters with up to EDITS of them deleted, cut to LEAD - EDITS.
+
+    Two terms within EDITS edits share a form: deleting what the edits touch leaves a common sequence, whose beginning both can be cut to.
+    """
 
+    def less(s: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        return F.when(F.length(s) > 0, each).otherwise(F.array().cast("array<string>"))
 
-def bucket(term: Column | str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    lead = F.substring(term, F.lit(1), F.lit(LEAD))
+    one = less(lead)
+    return F.array_distinct(F.transform(F.concat(F.array(lead), one, F.flatten(F.transform(one, less))), lambda x: F.substring(x, F.lit(1), F.lit(LEAD - EDITS))))
+
+
+def forms(term: str) -> list[str]:
+    """The same of one term on the driver."""
+    out, last = {term[:LEAD]}, {term[:LEAD]}
+    for _ in range(EDITS):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out |= last
+    return sorted({x[: LEAD - EDITS] for x in out})
 
 
 def indexed(docs: DataFrame, path_col: str = "path", text_col: str = "content", type_col: str | None = None, max_bytes: int = 100 << 20) -> DataFrame:
@@ -239,9 +277,11 @@ def indexed(docs: DataFrame, path_col: str = "path", text_col: str = "content",
 class TextIndex:
     """Search over postings; build() makes the tables in memory, save() and open() keep them in a folder."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stats: tuple[int, float], terms: DataFrame | None = None):
+    def __init__(self, docs: DataFrame, postings: DataFrame, stats: tuple[int, float], terms: DataFrame | None = None, near: DataFrame | None = None, fresh: DataFrame | None = None, buckets: int = BUCKETS):
+        """near: the saved forms of terms; fresh: terms (term) that are not in it; buckets: of saved postings."""
         self.docs, self.postings, self.stats = docs, postings, stats
         self.terms = postings.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms
+        self.near, self.fresh, self.buckets = near, fresh, buckets
 
     @staticmethod
     def build(docs: DataFrame, path_col: str = "path", text_col: str = "content", type_col: str | None = None, max_bytes: int = 100 << 20) -> TextIndex:
@@ -260,21 +300,26 @@ class TextIndex:
         n, average = rows.agg(F.count("*"), F.avg("length")).first()
         return TextIndex(rows, self.postings.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), (n, average or 0.0))
 
-    def save(self, folder: str, name: str | None = None) -> str:
-        """A new generation beside earlier ones; CURRENT names it once it is whole."""
+    def save(self, folder: str, name: str | None = None, after: int | None = None) -> str:
+        """A new generation beside earlier ones; a pointer names it once it is whole. after: the number of the pointer that this one replaces."""
         spark = self.docs.sparkSession
         name = name or f"gen-{uuid.uuid4().hex}"
-        write_tables(self.docs, self.postings, f"{folder}/{name}")
+        after = pointed(spark, folder)[0] if after is None else after
+        n, average = self.stats
+        buckets = buckets_for(n * average)
+        write_tables(self.docs, self.postings, f"{folder}/{name}", buckets, n)
         kept = spark.read.schema(placed_schema(self.postings)).parquet(f"{folder}/{name}/postings")
-        kept.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms")
-        spark.createDataFrame([self.stats], "docs bigint, average double").write.parquet(f"{folder}/{name}/stats")
-        point(spark, folder, name)
+        kept.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms")
+        near = spark.read.schema("term string, df bigint").parquet(f"{folder}/{name}/terms").select(F.explode(shortened(F.col("term"))).alias("variant"), "term")
+        near.withColumn("bucket", bucket("variant", buckets)).repartition("bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/{name}/near")
+        spark.createDataFrame([(*self.stats, buckets)], _STATS).write.parquet(f"{folder}/{name}/stats")
+        point(spark, folder, name, after)
         return name
 
     @staticmethod
     def open(spark: SparkSession, folder: str) -> TextIndex:
-        """The generation that CURRENT names, with the deltas that it lists: of a path the rows of its last delta count."""
-        base, *deltas = current(spark, folder).split()
+        """The generation that the last pointer names, with the deltas that it lists: of a path the rows of its last delta count."""
+        base, *deltas = pointed(spark, folder)[1]
         s = spark.read.parquet(f"{folder}/{deltas[-1] if deltas else base}/stats").first()
         tables = []
         last = None
@@ -289,7 +334,13 @@ class TextIndex:
             for n, d in enumerate(deltas):
                 parts.append(spark.read.parquet(f"{folder}/{d}/{name}").join(last.where(F.col("last") == n), F.col(key) == F.col("changed"), "left_semi"))
             tables.append(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
-        return TextIndex(tables[0], tables[1], (s.docs, s.average), None if deltas else spark.read.parquet(f"{folder}/{base}/terms"))
+        terms, near, fresh = None, None, None
+        kept = [spark.read.schema("term string, df bigint").parquet(f"{folder}/{x}/terms") for x in (base, *deltas) if x != NO_BASE]
+        terms = kept[0] if not deltas else functools.reduce(DataFrame.unionByName, kept).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        if base != NO_BASE:
+            near = spark.read.schema("variant string, term string, bucket int").parquet(f"{folder}/{base}/near")
+            fresh = functools.reduce(DataFrame.unionByName, kept[1:]).select("term").distinct() if deltas else None
+        return TextIndex(tables[0], tables[1], (s.docs, s.average), terms, near, fresh, s.buckets)
 
     def doc_count(self) -> int:
         return self.stats[0]
@@ -303,8 +354,14 @@ class TextIndex:
         if node.kind == "prefix":
             return self.terms.where(F.col("term").startswith(word)).select("term").withColumn("distance", F.lit(0))
         # a transposition costs at most two edits, so two of them at most four
-        close = self.terms.where(F.levenshtein(F.col("term"), F.lit(word), 4) >= 0).select("term")
-        return close.withColumn("distance", _distances(word, 2)("term")).where("distance <= 2")
+        close = lambda terms: terms.where(F.levenshtein(F.col("term"), F.lit(word), 2 * EDITS) >= 0).select("term")
+        if self.near is None:
+            found = close(self.terms)
+        else:
+            own = forms(word)
+            found = close(self.near.where(F.col("bucket").isin(sorted({bucket_of(x, self.buckets) for x in own})) & F.col("variant").isin(own)))
+            found = (found if self.fresh is None else found.unionByName(close(self.fresh))).distinct()
+        return found.withColumn("distance", _distances(word, EDITS)("term")).where(F.col("distance") <= EDITS)
 
     def scores(self, query: str | Node, file_type: str | None = None) -> DataFrame | None:
         """(doc_id, score) of all documents that match; None if nothing in the query can be searched."""
@@ -324,24 +381,38 @@ class TextIndex:
             sought = [self.expand(x).select("term", F.lit(names[id(x)]).alias("leaf"), F.col("distance") if x.kind == "fuzzy" else F.lit(None).cast("int").alias("distance")) for x in open_ended]
             sought += [spark.createDataFrame([(w, names[id(x)], None) for x in fixed for w in x.words], "term string, leaf int, distance int")] if fixed else []
             terms = functools.reduce(DataFrame.unionByName, sought).groupBy("term").agg(F.collect_set("leaf").alias("leaves"), F.min("distance").alias("distance"))
-            hits = hits.join(terms.join(self.terms, "term"), "term")
+            listed = terms.limit(LISTED + 1).collect()
+            if len(listed) <= LISTED:  # by name, so that only their folders are read
+                found = [r.term for r in listed]
+                hits = self._hits(hits, found)
+                counts = {r.term: r.df for r in self.terms.where(F.col("term").isin(found)).collect()}
+                rows = [(r.term, counts[r.term], list(r.leaves), r.distance) for r in listed if r.term in counts]
+                hits = hits.join(F.broadcast(spark.createDataFrame(rows, "term string, df bigint, leaves array<int>, distance int")), "term")
+            else:
+                hits = hits.join(terms.join(self.terms, "term"), "term")
         else:
             of_word = {w: sorted({names[id(x)] for x in fixed if w in x.words}) for w in words}
-            hits = hits.where(F.col("term").isin(words))
-            if "bucket" in hits.columns:  # only the folders of these terms
-                hits = hits.where(F.col("bucket").isin(sorted({bucket_of(w) for w in words})))
+            hits = self._hits(hits, words)
             counts = {r.term: r.df for r in self.terms.where(F.col("term").isin(words)).collect()}  # one number for each word of the query
             case = F.create_map(*[x for w in words for x in (F.lit(w), F.struct(F.lit(counts.get(w, 0)).cast("bigint").alias("df"), F.array(*map(F.lit, of_word[w])).alias("leaves")))])
             hits = hits.withColumn("x", case[F.col("term")]).select("*", "x.df", "x.leaves", F.lit(None).cast("int").alias("distance"))
         of = lambda nodes: F.arrays_overlap("leaves", F.array(*[F.lit(names[id(x)]) for x in nodes]).cast("array<int>"))
         score = bm25(F.col("tf"), F.col("df"), F.col("length"), F.lit(float(n)), F.lit(float(average) or 1.0))
         score = F.when(of(_negated(node)) & ~of(_wanted(node)), 0.0).otherwise(score) if _negated(node) else score
-        placed = F.when(F.col("term").isin(words), F.struct("term", "positions"))  # collect_list leaves nulls out
+        phrased = sorted({w for x in fixed if x.kind == "phrase" for w in x.words})
+        nowhere = F.array().cast("array<int>")
+        positions = F.when(F.col("term").isin(phrased), F.col("positions")).otherwise(nowhere) if phrased else nowhere  # not even read without phrases
+        placed = F.when(F.col("term").isin(words), F.struct("term", positions.alias("positions")))  # collect_list leaves nulls out
         per = hits.groupBy("doc_id").agg(F.sum(score).alias("score"), F.map_from_entries(F.collect_list(placed)).alias("has"), F.array_distinct(F.flatten(F.collect_set("leaves"))).alias("leaves"), F.min(F.coalesce("distance", F.lit(0))).alias("distance"))
         if any(x.kind == "fuzzy" for x in every):
             per = per.withColumn("score", F.col("score") - F.col("distance") * 1000.0)
         return per.where(self._matches(node, names)).select("doc_id", "score")
 
+    def _hits(self, postings: DataFrame, words: list[str]) -> DataFrame:
+        """Postings of some terms, from the folders of these terms."""
+        some = postings.where(F.col("term").isin(words))
+        return some.where(F.col("bucket").isin(sorted({bucket_of(w, self.buckets) for w in words}))) if "bucket" in postings.columns else some
+
     def search(self, query: str | Node, k: int = 100, file_type: str | None = None, offset: int = 0) -> DataFrame:
         """(doc_id, score, path, file_type, content): the best k documents after the first `offset`. Fuzzy matches are ordered by their distance first."""
         found = self.scores(query, file_type)
@@ -399,10 +470,12 @@ def _wanted(node: Node) -> list[Node]:
     return [node] if not node.parts else [y for p in node.parts if p.kind != "not" for y in _wanted(p)]
 
 
-def write_tables(docs: DataFrame, postings: DataFrame, folder: str) -> None:
+def write_tables(docs: DataFrame, postings: DataFrame, folder: str, buckets: int = BUCKETS, n: int = 0) -> None:
+    """buckets: folders of postings; n: documents, as a term may be in all of them, so its folder is dealt to as many tasks as that takes."""
     docs.write.parquet(f"{folder}/docs")
-    placed = postings.drop("bucket").withColumn("bucket", bucket())
-    placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    placed = postings.drop("bucket").withColumn("bucket", bucket(buckets=buckets))
+    tasks = max(4, -(-n // DOCS_EACH))
+    placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def placed_schema(postings: DataFrame) -> T.StructType:
@@ -414,21 +487,55 @@ def placed_schema(postings: DataFrame) -> T.StructType:
 NO_BASE = "none"
 
 
-def current(spark: SparkSession, folder: str) -> str:
-    return spark.read.text(f"{folder}/CURRENT").first()[0]
-
-
-def point(spark: SparkSession, folder: str, name: str) -> None:
-    """CURRENT is replaced by a rename."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    new = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT-{uuid.uuid4().hex}")
-    out = fs.create(new, True)
-    out.write(bytearray(name.encode()))
+_STATS = "docs bigint, average double, buckets int"
+#: Pointers that are kept; older ones are deleted.
+POINTERS = 20
+
+
+def pointed(spark: SparkSession, folder: str) -> tuple[int, list[str]]:
+    """(number, names) of the last pointer: the generation and its deltas; (0, []) before the first."""
+    fs, at = _pointers(spark, folder)
+    if not fs.exists(at):
+        return 0, []
+    last = max((int(n) for f in fs.listStatus(at) if (n := f.getPath().getName()).isdigit()), default=0)
+    if not last:
+        return 0, []
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(at, _number(last)))
+    try:
+        return last, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
+def point(spark: SparkSession, folder: str, names: str, after: int) -> None:
+    """Pointer number after + 1: written under another name, then renamed; IndexConflict if there is such a one."""
+    jvm, (fs, at) = spark._jvm, _pointers(spark, folder)
+    fs.mkdirs(at)
+    new, target = jvm.org.apache.hadoop.fs.Path(at, f"new-{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(at, _number(after + 1))
+    out = fs.create(new, False)
+    out.write(bytearray(names.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(new, target)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:  # this rename never replaces
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(new, target, spark.sparkContext._gateway.new_array(rename, 0))
+    except Py4JJavaError as e:
+        fs.delete(new, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            raise IndexConflict(f"the index {folder} has been changed by another writer", "open it again and repeat the change") from e
+        raise
+    for f in fs.listStatus(at):
+        n = f.getPath().getName()
+        if n.isdigit() and int(n) <= after + 1 - POINTERS:
+            fs.delete(f.getPath(), False)
+
+
+def _number(n: int) -> str:
+    return f"{n:012d}"
+
+
+def _pointers(spark: SparkSession, folder: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def index_location(given: str | None = None, project: str = ".", home: str = "~/.lodestone/index") -> str:

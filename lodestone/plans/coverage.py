@@ -568,8 +568,7 @@ def index_of(spark, sf_dir) -> text_index.TextIndex:
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     state = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(at) if fs.getFileStatus(at).isDirectory() else [fs.getFileStatus(at)]))
     folder = shared_folder(spark, "text-index-" + uuid.uuid5(uuid.NAMESPACE_URL, repr(state)).hex)
-    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not text_index.pointed(spark, folder)[0]:
         text_index.TextIndex.build(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang").save(folder)
     return text_index.TextIndex.open(spark, folder)
 

@@ -1,6 +1,6 @@
 """Incremental indexing: file events are debounced, filtered and applied as idempotent upserts to a folder that TextIndex.open reads.
 
-A micro-batch costs what it changes: it writes a delta (what happened to which paths, the new texts and their postings) and adds its name to CURRENT. After
+A micro-batch costs what it changes: it writes a delta (what happened to which paths, the new texts and their postings) and adds its name to the pointer. After
 COMPACT deltas they are merged with the generation below them; what no reader can name any more is deleted then.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.text_index import NO_BASE, TextIndex, bucket, current, indexed, point, postings_of
+from lodestone.operators.text_index import BUCKETS, NO_BASE, TextIndex, bucket, indexed, point, pointed, postings_of
 from lodestone.sources.files import extension_of, tail_lines
 
 EVENTS = "kind string, path string, to_path string, event_time timestamp"
@@ -89,13 +89,8 @@ class IncrementalIndex:
         self.stats = {"created": 0, "modified": 0, "deleted": 0, "renamed": 0, "errors": 0, "pending": 0, "last_update": None}
 
     def _names(self) -> list[str]:
-        """The generation and the deltas that CURRENT lists; nothing before the first batch."""
-        try:
-            return current(self.spark, self.folder).split()
-        except Exception as e:  # no generation yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
+        """The generation and the deltas that the last pointer lists; nothing before the first batch."""
+        return pointed(self.spark, self.folder)[1]
 
     def index(self) -> TextIndex | None:
         return TextIndex.open(self.spark, self.folder) if self._names() else None
@@ -113,6 +108,7 @@ class IncrementalIndex:
         if batch_id <= self.batch_done():
             return False
         spark, name = self.spark, f"delta-b{batch_id}-{uuid.uuid4().hex}"
+        number, names = pointed(spark, self.folder)
         at = f"{self.folder}/{name}"
         self.stats["pending"] = 1
         events.write.parquet(f"{at}/events")
@@ -122,16 +118,22 @@ class IncrementalIndex:
         puts = ops.where("op = 'put'").select("path")
         indexed(self.read(puts)).write.parquet(f"{at}/docs")
         fresh = spark.read.parquet(f"{at}/docs")
-        postings_of(fresh, keep=("length", "file_type")).withColumn("bucket", bucket()).write.parquet(f"{at}/postings")
+        old = self.index()
+        buckets = BUCKETS if old is None else old.buckets
+        postings_of(fresh, keep=("length", "file_type")).withColumn("bucket", bucket(buckets=buckets)).write.parquet(f"{at}/postings")
         docs, words = fresh.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         unread = puts.count() - docs
-        old = self.index()
-        if old is not None:  # only the lengths of what the batch changes are looked up
-            gone = old.docs.select("path", "length").join(ops.select(F.col("path").alias("changed")), F.col("path") == F.col("changed"), "left_semi").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            docs, words = docs + old.stats[0] - gone[0], words + round(old.stats[0] * old.stats[1]) - gone[1]
-        spark.createDataFrame([(docs, words / docs if docs else 0.0)], "docs bigint, average double").write.parquet(f"{at}/stats")
-        names = self._names() or [NO_BASE]
-        point(spark, self.folder, " ".join([*names, name]))
+        more = spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df"))
+        if old is not None:  # only what the batch changes is looked up
+            gone = old.docs.join(ops.select(F.col("path").alias("changed")), F.col("path") == F.col("changed"), "left_semi").select("doc_id", "content", "length")
+            n, length = gone.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            docs, words = docs + old.stats[0] - n, words + round(old.stats[0] * old.stats[1]) - length
+            if n:  # their terms leave the counts
+                more = more.unionByName(postings_of(gone).groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        more.write.parquet(f"{at}/terms")
+        spark.createDataFrame([(docs, words / docs if docs else 0.0, buckets)], "docs bigint, average double, buckets int").write.parquet(f"{at}/stats")
+        names = names or [NO_BASE]
+        point(spark, self.folder, " ".join([*names, name]), number)
         for r in events.groupBy("kind").count().collect():
             if r["kind"] in self.stats:
                 self.stats[r["kind"]] += r["count"]
@@ -143,9 +145,10 @@ class IncrementalIndex:
 
     def _merge(self, batch_id: int) -> None:
         """One generation of all deltas. Folders older than those that were current until now are deleted."""
-        before, log, name = self._names(), self.log().limit(self.keep_log), f"gen-b{batch_id}-{uuid.uuid4().hex}"
+        number, before = pointed(self.spark, self.folder)
+        log, name = self.log().limit(self.keep_log), f"gen-b{batch_id}-{uuid.uuid4().hex}"
         log.write.parquet(f"{self.folder}/{name}/log")
-        self.index().save(self.folder, name)
+        self.index().save(self.folder, name, number)
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
