@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import ExportError
+from lodestone.session import share_code
+from lodestone.sources.arrow_sink import ArrowSink
 from lodestone.sources.readers import extension, read_any
 
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "arrow": "arrow", "ipc": "arrow"}
@@ -52,8 +54,8 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> in
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if kind == "arrow":
-        return _export_arrow(df, path)
+    if kind == "arrow" and o.mode == "errorifexists" and not o.single and fs.exists(target):
+        raise ExportError(f"exists: {path}")
     to = f"{path}.tmp-{uuid.uuid4().hex}" if o.single else path
     rows = df.coalesce(1) if o.single else df
     writer = (_flat(rows) if kind == "csv" else rows).write.mode("errorifexists" if o.single else o.mode)
@@ -61,6 +63,10 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> in
         writer.options(header=o.header, sep=o.separator, escape='"').csv(to)
     elif kind == "json":
         writer.options(ignoreNullFields=False).json(to)
+    elif kind == "arrow":
+        share_code(spark)
+        spark.dataSource.register(ArrowSink)
+        rows.write.format(ArrowSink.name()).mode("overwrite" if o.mode == "overwrite" else "append").option("path", to).save()
     else:
         writer.option("compression", {"none": "uncompressed"}.get(o.compression, o.compression)).parquet(to)
     if not o.single:
@@ -79,25 +85,6 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> in
     return int(fs.getFileStatus(target).getLen())
 
 
-def _export_arrow(df: DataFrame, path: str) -> int:
-    """One Arrow IPC file, partition after partition through the driver."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(df.schema)
-    with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as writer:
-        batch: list[dict] = []
-        for r in df.toLocalIterator(prefetchPartitions=True):
-            batch.append(r.asDict(recursive=True))
-            if len(batch) == 10_000:
-                writer.write_table(pa.Table.from_pylist(batch, schema))
-                batch = []
-        writer.write_table(pa.Table.from_pylist(batch, schema))
-    import os
-
-    return os.path.getsize(path)
-
-
 def convert(spark: SparkSession, source: str, target: str, options: ExportOptions | None = None) -> int:
     return export(read_any(spark, source), target, options)
 

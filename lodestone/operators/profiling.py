@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import checkpointed
+
 from .positions import with_positions
 
 #: approx_percentile is off by at most 1 / ACCURACY of the rows.
@@ -36,9 +38,25 @@ def missing_values(df: DataFrame, only_missing: bool = True) -> DataFrame:
     return out.where("missing > 0") if only_missing else out
 
 
+#: Digests that come more than once and are broadcast to find their rows; more are met by a shuffle.
+REPEATED = 1_000_000
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """(duplicates): rows whose values all occur in another row too, the first of them included; nulls equal nulls."""
-    return df.groupBy(*[_q(c) for c in df.columns]).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicates"))
+    """(duplicates): rows whose values all occur in another row too, the first of them included; nulls equal nulls.
+
+    Rows are counted by a digest of 128 bits, so 16 bytes a row are shuffled. Only rows whose digest comes again are looked at whole.
+    """
+    columns, digest = [_q(c) for c in df.columns], ["__d1", "__d2"]
+    if not columns:
+        return df.agg(F.when(F.count("*") > 1, F.count("*")).otherwise(F.lit(0)).alias("duplicates"))
+    marked = df.select("*", F.xxhash64(F.lit(1), *columns).alias("__d1"), F.xxhash64(F.lit(2), *columns, F.lit(3)).alias("__d2"))
+    repeated = checkpointed(marked.groupBy(*digest).count().where("count > 1").select(*digest))
+    n = repeated.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(0,)], "duplicates bigint")
+    whole = marked.join(F.broadcast(repeated) if n <= REPEATED else repeated, digest, "left_semi")
+    return whole.groupBy(*columns).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicates"))
 
 
 def quartiles(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple | None]:

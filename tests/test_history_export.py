@@ -51,7 +51,7 @@ def test_export(spark, tmp_path):
     assert json.loads((tmp_path / "o.jsonl").read_text().split("\n")[0]) == {"id": 1, "s": "a,b", "x": None, "a": [1]}
     E.export(df, str(tmp_path / "o.parquet"), E.ExportOptions(compression="zstd"))
     assert spark.read.parquet(str(tmp_path / "o.parquet")).count() == 2
-    E.export(df, str(tmp_path / "o.arrow"))
+    E.export(df, str(tmp_path / "o.arrow"), E.ExportOptions(single=True))
     import pyarrow as pa
 
     assert pa.ipc.open_file(str(tmp_path / "o.arrow")).read_all().to_pydict()["s"] == ["a,b", 'q"']
@@ -77,3 +77,28 @@ def test_vectors(spark):
     i = V.VectorIndex(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id int, embedding array<float>"))
     i = i.add(spark.createDataFrame([(3, [1.0, 1.0])], "id int, embedding array<float>"))
     assert [x.id for x in i.search([1.0, 0.1], 2).collect()] == [1, 3] and i.count() == 3 and i.clear().search([1.0]).count() == 0
+
+
+def test_arrow_parts_and_a_failed_task(spark, tmp_path):
+    """Each task writes a file; a job that fails leaves none; nothing is collected."""
+    from lodestone.errors import ExportError
+    from lodestone.sources.readers import read_arrow
+
+    where = str(tmp_path / "parts.arrow")
+    df = spark.range(1000, numPartitions=4).selectExpr("id", "array(id, id + 1) AS a", "named_struct('x', cast(id AS string)) AS s", "timestamp_seconds(id) AS t")
+    assert E.export(df, where) > 0
+    names = sorted(p.name for p in (tmp_path / "parts.arrow").iterdir())
+    assert names[0] == "_SUCCESS" and len([n for n in names if n.endswith(".arrow")]) == 4 and "_temporary" not in names
+    assert sorted(r.id for r in read_arrow(spark, where).where("s.x = cast(id AS string) AND a[1] = id + 1").collect()) == list(range(1000))
+    with pytest.raises(ExportError):
+        E.export(df, where)
+    E.export(df.limit(3), where, E.ExportOptions(mode="overwrite"))
+    assert read_arrow(spark, where).count() == 3
+    bad = str(tmp_path / "bad.arrow")
+    with pytest.raises(Exception, match="boom"):
+        E.export(df.selectExpr("CASE WHEN id = 900 THEN raise_error('boom') ELSE id END AS x"), bad)
+    left = [p for p in (tmp_path / "bad.arrow").rglob("*") if p.is_file()] if (tmp_path / "bad.arrow").exists() else []
+    assert left == []
+    none = str(tmp_path / "none.arrow")
+    E.export(df.where("id < 0"), none)
+    assert read_arrow(spark, none).count() == 0 and read_arrow(spark, none).columns == df.columns

@@ -89,3 +89,15 @@ def test_kernels(spark):
     nan = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
     assert nan.agg(kernels.maximum("x")).first()[0] == 1.0
     assert df.agg(kernels.percentile_rank(F.collect_list("x"), 95)).first()[0] == 9.0
+
+
+def test_duplicates_by_digest(spark, monkeypatch):
+    """Equal rows have equal digests, whatever zeros, nulls and not-a-numbers they hold; digests that meet by chance are told apart."""
+    rows = [(0.0, None, "a"), (-0.0, None, "a"), (float("nan"), 1, None), (float("nan"), 1, None), (1.0, 2, "b"), (1.0, 2, "c"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "x double, y int, z string")
+    assert profiling.duplicate_rows(df).first()[0] == 6
+    assert profiling.duplicate_rows(df.where("x = 1")).first()[0] == 0
+    monkeypatch.setattr(profiling, "REPEATED", 1)
+    assert profiling.duplicate_rows(df).first()[0] == 6
+    monkeypatch.setattr(profiling.F, "xxhash64", lambda *c: profiling.F.lit(1).cast("bigint"))
+    assert profiling.duplicate_rows(df).first()[0] == 6
