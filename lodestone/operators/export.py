@@ -65,7 +65,8 @@ def export(df: DataFrame, path: str, options: ExportOptions | None = None) -> in
         writer.options(ignoreNullFields=False).json(to)
     elif kind == "arrow":
         share_code(spark)
-        spark.dataSource.register(ArrowSink)
+        for session in (spark, SparkSession.getActiveSession() or spark):  # Spark looks sources up in the active one, which may be an engine's
+            session.dataSource.register(ArrowSink)
         rows.write.format(ArrowSink.name()).mode("overwrite" if o.mode == "overwrite" else "append").option("path", to).save()
     else:
         writer.option("compression", {"none": "uncompressed"}.get(o.compression, o.compression)).parquet(to)
