@@ -40,7 +40,7 @@ K1, B = 1.2, 0.75
 #: Folders of postings, at least and at most; words for which there is one more, and documents for which a folder is written by one more task.
 BUCKETS, MOST_BUCKETS, WORDS_EACH, DOCS_EACH = 32, 8192, 20_000_000, 5_000_000
 #: Leading characters of a term whose shortened forms stand for it, and the edits that a typo-tolerant term may have.
-LEAD, EDITS = 10, 2
+LEAD, EDITS = 8, 2
 #: Terms of prefix and typo-tolerant leaves that are looked up by name; more are joined.
 LISTED = 5000
 
