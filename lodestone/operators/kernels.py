@@ -15,6 +15,12 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(c: str | Column, digits: int) -> Column:
+    """Halves away from zero, of the value times 10^digits; the sign stays, that of zero too, as in the ROUND of C++ engines (Spark's own makes 0.0 of -0.000001)."""
+    x, scale = _c(c).cast("double"), 10.0**digits
+    return F.when(F.abs(x) * scale < float("inf"), F.round(F.abs(x) * scale) / scale * F.signum(x)).otherwise(x)
+
+
 def total(c: str | Column) -> Column:
     """Sum; 0 of no rows."""
     return F.coalesce(F.sum(_c(c).cast("double")), F.lit(0.0))

@@ -175,13 +175,13 @@ _LINE_NUMBERS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extend
 def outlier_summary(spark, sf_dir):
     """Of all numeric columns; a small factor, as these columns have nothing far out."""
     out = profiling.outlier_summary(_t(spark, sf_dir, "lineitem"), factor=0.1, positions=False)
-    return out.select("column", "outliers", F.round("percentage", 6).alias("percentage"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return out.select("column", "outliers", kernels.rounded("percentage", 6).alias("percentage"), kernels.rounded("low", 4).alias("low"), kernels.rounded("high", 4).alias("high"))
 
 
 @query(f"""SELECT CASE WHEN p > 50 THEN 'error' WHEN p > 10 THEN 'warning' ELSE 'info' END AS severity, 'missing' AS kind, c AS "column", ROUND(p, 6) AS percentage FROM (
 SELECT 'seg' AS c, (COUNT(*) - COUNT(seg)) * 100.0 / COUNT(*) AS p FROM {_HOLEY} UNION ALL SELECT 'bal', (COUNT(*) - COUNT(bal)) * 100.0 / COUNT(*) FROM {_HOLEY}) WHERE p > 0""")
 def suggestions(spark, sf_dir):
-    return profiling.suggestions(_holey(spark, sf_dir)).select("severity", "kind", "column", F.round("percentage", 6).alias("percentage"))
+    return profiling.suggestions(_holey(spark, sf_dir)).select("severity", "kind", "column", kernels.rounded("percentage", 6).alias("percentage"))
 
 
 @query(f"""SELECT 'seg' AS "column", 'string' AS type, COUNT(DISTINCT seg) + MAX(CASE WHEN seg IS NULL THEN 1 ELSE 0 END) AS "distinct", COUNT(*) - COUNT(seg) AS missing FROM {_HOLEY}
@@ -218,7 +218,7 @@ def sample_smart(spark, sf_dir):
 
 @query("SELECT ROUND(SUM(l_extendedprice), 2) AS total, ROUND(AVG(l_extendedprice), 6) AS mean, ROUND(var_samp(l_quantity), 6) AS variance, ROUND(stddev_samp(l_quantity), 6) AS std_dev, MIN(l_tax) AS lo, MAX(l_tax) AS hi FROM lineitem")
 def numeric_kernels(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").agg(F.round(kernels.total("l_extendedprice"), 2).alias("total"), F.round(kernels.mean("l_extendedprice"), 6).alias("mean"), F.round(kernels.variance("l_quantity"), 6).alias("variance"), F.round(kernels.std_dev("l_quantity"), 6).alias("std_dev"), kernels.minimum("l_tax").alias("lo"), kernels.maximum("l_tax").alias("hi"))
+    return _t(spark, sf_dir, "lineitem").agg(kernels.rounded(kernels.total("l_extendedprice"), 2).alias("total"), kernels.rounded(kernels.mean("l_extendedprice"), 6).alias("mean"), kernels.rounded(kernels.variance("l_quantity"), 6).alias("variance"), kernels.rounded(kernels.std_dev("l_quantity"), 6).alias("std_dev"), kernels.minimum("l_tax").alias("lo"), kernels.maximum("l_tax").alias("hi"))
 
 
 @query("SELECT event_type, v[least(len(v) * 95 // 100, len(v) - 1) + 1] AS p95 FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
@@ -236,7 +236,7 @@ _SCORE = "ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25
 def _found(spark, sf_dir, q, k=None, **how):
     """Hits in the saved index: the best k, or all."""
     i = coverage.index_of(spark, sf_dir)
-    return (i.scores(q, **how) if k is None else i.search(q, k, **how)).select("doc_id", F.round("score", 6).alias("score"))
+    return (i.scores(q, **how) if k is None else i.search(q, k, **how)).select("doc_id", kernels.rounded("score", 6).alias("score"))
 
 
 @query(f"SELECT term, COUNT(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM documents) GROUP BY term")
@@ -302,14 +302,14 @@ def snippet_line(spark, sf_dir):
 @query("SELECT vec_id, label, ROUND(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS sq, ROUND(embedding[1] / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS first_part FROM embeddings")
 def l2_normalize(spark, sf_dir):
     u = vectors.l2_normalize(F.col("embedding"))
-    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("sq"), F.round(F.get(u, 0), 5).alias("first_part"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", "label", kernels.rounded(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("sq"), kernels.rounded(F.get(u, 0), 5).alias("first_part"))
 
 
 @query("SELECT b.vec_id, ROUND(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id LIMIT 20")
 def cosine_topk(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").first()
-    return vectors.VectorIndex(e, "vec_id").search(list(q.embedding), 20).select("vec_id", F.round("score", 6).alias("score"))
+    return vectors.VectorIndex(e, "vec_id").search(list(q.embedding), 20).select("vec_id", kernels.rounded("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- events, history
@@ -353,7 +353,7 @@ def path_type_assoc(spark, sf_dir):
 
 @query("WITH c AS (SELECT 'u' || (user_id % 10) AS p, COUNT(*) AS n FROM events WHERE contains(event_type, 'r') GROUP BY 1) SELECT (SELECT p FROM c ORDER BY n DESC, p LIMIT 1) AS path, COUNT(*) AS count, ROUND(AVG(user_id), 6) AS mean_results FROM events WHERE contains(event_type, 'r')")
 def modal_type(spark, sf_dir):
-    return history.statistics(_searches(spark, sf_dir), "R").select("path", "count", F.round("mean_results", 6).alias("mean_results"))
+    return history.statistics(_searches(spark, sf_dir), "R").select("path", "count", kernels.rounded("mean_results", 6).alias("mean_results"))
 
 
 # ---------------------------------------------------------------- files
