@@ -19,7 +19,10 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import IndexConflict, SearchSyntax
-from lodestone.session import spread
+from lodestone.session import share_code, spread
+
+from .positions import with_positions
 
 #: First and last code points of the ideographs that are written without blanks.
 CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
@@ -39,10 +44,14 @@ _LATIN = re.compile(r"[^\W]+", re.U)
 K1, B = 1.2, 0.75
 #: Folders of postings, at least and at most; words for which there is one more, and documents for which a folder is written by one more task.
 BUCKETS, MOST_BUCKETS, WORDS_EACH, DOCS_EACH = 32, 8192, 20_000_000, 5_000_000
+#: Tasks that write postings, at most.
+TASKS = 10_000
 #: Leading characters of a term whose shortened forms stand for it, and the edits that a typo-tolerant term may have.
-LEAD, EDITS = 8, 2
+LEAD, EDITS = 6, 2
 #: Terms of prefix and typo-tolerant leaves that are looked up by name; more are joined.
 LISTED = 5000
+#: Rows whose contents are fetched at once when pages are read on and on.
+FETCHED = 1000
 
 
 def bigrams(run: str) -> list[str]:
@@ -205,19 +214,51 @@ def damerau(a: str, b: str, most: int) -> int:
 # ---------------------------------------------------------------- index
 
 
-def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(term, doc_id, tf, positions, ...) of each document, positions from 0. A document is one row, so its terms are grouped inside the row: no shuffle."""
-    each = docs.select(F.col(id_col).alias("doc_id"), *keep, F.array_sort(F.transform(tokens(F.col(text_col)), lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s"))
-    other = lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"])
-    starts = F.when(F.size("s") > 0, F.filter(F.sequence(F.lit(0), F.size("s") - 1), other)).otherwise(F.array().cast("array<int>"))
-    each = each.select("doc_id", *keep, "s", starts.alias("starts"))
+#: Rows of an Arrow batch of postings.
+POSTED = 1 << 17
 
-    def entry(a: Column, k: Column) -> Column:
-        n = F.coalesce(F.get("starts", k + 1), F.size("s")) - a
-        return F.struct(F.get("s", a)["t"].alias("term"), n.cast("bigint").alias("tf"), F.transform(F.slice("s", a + 1, n), lambda x: x["i"]).alias("positions"))
 
-    out = each.select("doc_id", *keep, F.explode(F.transform("starts", entry)).alias("e"))
-    return out.select("e.term", "doc_id", "e.tf", "e.positions", *keep)
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, tf, positions, ...) of each document, positions from 0. A document is one row, so its terms are grouped where it lies: no shuffle."""
+    share_code(docs.sparkSession)
+    each = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("tokens"))
+    kinds = {f.name: f.dataType for f in each.schema}
+    out = T.StructType().add("term", T.StringType()).add("doc_id", kinds["doc_id"]).add("tf", T.LongType()).add("positions", T.ArrayType(T.IntegerType()))
+    for c in keep:
+        out = out.add(c, kinds[c])
+    return each.mapInArrow(_posted, out)
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a batch sorted by document, term and place; a run of them is a posting."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        words = lists.flatten()
+        if not len(words):
+            continue
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        words = words.dictionary_encode()
+        code, size = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+        key = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * size + code
+        bits = len(key).bit_length()
+        if (len(counts) * size).bit_length() + bits < 63:  # sorts faster than their places do
+            key = np.sort(key << bits | np.arange(len(key)))
+            place = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            place = np.argsort(key, kind="stable")
+            key = key[place]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        row, term = np.divmod(key[first], size)
+        stop = np.append(first[1:], len(key))
+        place = (place - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)  # keys go by documents, so tokens stay in theirs
+        for at in range(0, len(first), POSTED):
+            to = min(at + POSTED, len(first))
+            offsets = np.append(first[at:to], stop[to - 1])
+            spots = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(place[offsets[0] : offsets[-1]]))
+            rows = pa.array(row[at:to])
+            found = [words.dictionary.take(pa.array(term[at:to])), b.column(0).take(rows), pa.array(stop[at:to] - first[at:to]), spots, *[b.column(k).take(rows) for k in range(1, b.num_columns - 1)]]
+            yield pa.RecordBatch.from_arrays(found, ["term", "doc_id", "tf", "positions", *b.schema.names[1:-1]])
 
 
 def bm25(tf: Column, df: Column, length: Column, docs: Column, average: Column) -> Column:
@@ -239,18 +280,13 @@ def buckets_for(words: float) -> int:
 
 
 def shortened(term: Column) -> Column:
-    """Forms of a term: its first LEAD characters with up to EDITS of them deleted, cut to LEAD - EDITS.
+    """Forms of a term: its first LEAD characters with up to EDITS (two) of them deleted, cut to LEAD - EDITS.
 
-    Two terms within EDITS edits share a form: deleting what the edits touch leaves a common sequence, whose beginning both can be cut to.
+    Two terms within EDITS edits share a form: deleting what the edits touch leaves a common sequence, whose beginning both can be cut to. Two places of LEAD are
+    left out in all ways; a place behind the end of a short term deletes nothing.
     """
-
-    def less(s: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        return F.when(F.length(s) > 0, each).otherwise(F.array().cast("array<string>"))
-
-    lead = F.substring(term, F.lit(1), F.lit(LEAD))
-    one = less(lead)
-    return F.array_distinct(F.transform(F.concat(F.array(lead), one, F.flatten(F.transform(one, less))), lambda x: F.substring(x, F.lit(1), F.lit(LEAD - EDITS))))
+    part = lambda a, b: F.substring(term, F.lit(a + 1), F.lit(max(0, b - a)))
+    return F.array_distinct(F.array(*[F.concat(part(0, i), part(i + 1, j), part(j + 1, LEAD)) for j in range(LEAD) for i in range(j)]))
 
 
 def forms(term: str) -> list[str]:
@@ -277,37 +313,43 @@ def indexed(docs: DataFrame, path_col: str = "path", text_col: str = "content",
 class TextIndex:
     """Search over postings; build() makes the tables in memory, save() and open() keep them in a folder."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stats: tuple[int, float], terms: DataFrame | None = None, near: DataFrame | None = None, fresh: DataFrame | None = None, buckets: int = BUCKETS):
-        """near: the saved forms of terms; fresh: terms (term) that are not in it; buckets: of saved postings."""
-        self.docs, self.postings, self.stats = docs, postings, stats
+    def __init__(self, docs: DataFrame, postings: DataFrame | None = None, stats: tuple[int, float] | None = None, terms: DataFrame | None = None, near: DataFrame | None = None, fresh: DataFrame | None = None, buckets: int = BUCKETS):
+        """postings, stats: those of docs unless given; near: the saved forms of terms; fresh: terms (term) that are not in it; buckets: of saved postings."""
+        self.docs, self._stats, self._derived = docs, stats, postings is None
+        self.postings = postings = _postings(docs) if postings is None else postings
         self.terms = postings.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms
         self.near, self.fresh, self.buckets = near, fresh, buckets
 
     @staticmethod
     def build(docs: DataFrame, path_col: str = "path", text_col: str = "content", type_col: str | None = None, max_bytes: int = 100 << 20) -> TextIndex:
         """docs: one row a document; what is left out: see indexed()."""
-        return TextIndex._of(indexed(spread(docs), path_col, text_col, type_col, max_bytes))
+        return TextIndex(indexed(spread(docs), path_col, text_col, type_col, max_bytes))
 
-    @staticmethod
-    def _of(rows: DataFrame) -> TextIndex:
-        n, average = rows.agg(F.count("*"), F.avg("length")).first()
-        return TextIndex(rows, postings_of(rows, keep=("length", "file_type")), (n, average or 0.0))
+    @property
+    def stats(self) -> tuple[int, float]:
+        """Number of documents and their average length; counted when first asked for."""
+        if self._stats is None:
+            self._stats = _counted(self.docs)
+        return self._stats
 
     def delete(self, paths: DataFrame) -> TextIndex:
         """Without the documents of these paths (path); paths that are not there change nothing."""
         gone = paths.select(F.col("path").alias("gone")).distinct()
         rows = self.docs.join(gone, F.col("path") == F.col("gone"), "left_anti")
-        n, average = rows.agg(F.count("*"), F.avg("length")).first()
-        return TextIndex(rows, self.postings.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"), (n, average or 0.0))
+        return TextIndex(rows, self.postings.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
 
     def save(self, folder: str, name: str | None = None, after: int | None = None) -> str:
         """A new generation beside earlier ones; a pointer names it once it is whole. after: the number of the pointer that this one replaces."""
         spark = self.docs.sparkSession
         name = name or f"gen-{uuid.uuid4().hex}"
         after = pointed(spark, folder)[0] if after is None else after
+        self.docs.write.parquet(f"{folder}/{name}/docs")
+        docs = spark.read.schema(self.docs.schema).parquet(f"{folder}/{name}/docs")
+        if self._stats is None:  # from the lengths that are there now; texts are taken apart once more for postings only
+            self._stats = _counted(docs)
         n, average = self.stats
         buckets = buckets_for(n * average)
-        write_tables(self.docs, self.postings, f"{folder}/{name}", buckets, n)
+        write_postings(_postings(docs) if self._derived else self.postings, f"{folder}/{name}", buckets, n)
         kept = spark.read.schema(placed_schema(self.postings)).parquet(f"{folder}/{name}/postings")
         kept.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms")
         near = spark.read.schema("term string, df bigint").parquet(f"{folder}/{name}/terms").select(F.explode(shortened(F.col("term"))).alias("variant"), "term")
@@ -424,14 +466,23 @@ class TextIndex:
         best = F.broadcast(best) if k <= 10_000 else best
         return best.join(self.docs, "doc_id").select("doc_id", "score", "path", "file_type", "content").orderBy(F.desc("score"), "doc_id")
 
+    def placed(self, query: str | Node, size: int = 50, file_type: str | None = None) -> DataFrame:
+        """(doc_id, score, place, page) of all hits, both from 0, in the order of search(): scored and sorted once, whatever the number of pages."""
+        found = self.scores(query, file_type)
+        if found is None:
+            found = self.docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+        return with_positions(found, [F.desc("score"), "doc_id"], "place").withColumn("page", F.floor(F.col("place") / size))
+
     def pages(self, query: str | Node, size: int = 50, file_type: str | None = None) -> Iterator[list]:
-        """The hits in order, page after page, each asked for when it is wanted; the order is total, so no hit is on two pages."""
-        at = 0
-        while rows := self.search(query, size, file_type, at).collect():
-            yield rows
-            at += size
-            if len(rows) < size:
+        """The hits in order, page after page; the order is total, so no hit is on two pages. Contents are fetched for 1, 2, 4, ... pages at a time, up to FETCHED rows."""
+        hits, page, many = self.placed(query, size, file_type), 0, 1
+        while True:
+            some = F.broadcast(hits.where((F.col("page") >= page) & (F.col("page") < page + many)))
+            rows = some.join(self.docs, "doc_id").orderBy("place").select("doc_id", "score", "path", "file_type", "content").collect()
+            yield from (rows[k : k + size] for k in range(0, len(rows), size))
+            if len(rows) < many * size:
                 return
+            page, many = page + many, max(1, min(2 * many, FETCHED // size))
 
     def _matches(self, node: Node, names: dict[int, int]) -> Column:
         has = F.col("has")
@@ -470,12 +521,20 @@ def _wanted(node: Node) -> list[Node]:
     return [node] if not node.parts else [y for p in node.parts if p.kind != "not" for y in _wanted(p)]
 
 
-def write_tables(docs: DataFrame, postings: DataFrame, folder: str, buckets: int = BUCKETS, n: int = 0) -> None:
+def _postings(docs: DataFrame) -> DataFrame:
+    return postings_of(docs, keep=("length", "file_type"))
+
+
+def _counted(docs: DataFrame) -> tuple[int, float]:
+    n, average = docs.agg(F.count("*"), F.avg("length")).first()
+    return n, average or 0.0
+
+
+def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, n: int = 0) -> None:
     """buckets: folders of postings; n: documents, as a term may be in all of them, so its folder is dealt to as many tasks as that takes."""
-    docs.write.parquet(f"{folder}/docs")
     placed = postings.drop("bucket").withColumn("bucket", bucket(buckets=buckets))
     tasks = max(4, -(-n // DOCS_EACH))
-    placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    placed.repartition(min(buckets * tasks, TASKS), "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def placed_schema(postings: DataFrame) -> T.StructType:
