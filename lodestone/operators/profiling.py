@@ -38,14 +38,15 @@ def missing_values(df: DataFrame, only_missing: bool = True) -> DataFrame:
     return out.where("missing > 0") if only_missing else out
 
 
-#: Digests that come more than once and are broadcast to find their rows; more are met by a shuffle.
+#: Digests that come more than once and are broadcast to find their rows; with more, whole rows are grouped.
 REPEATED = 1_000_000
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(duplicates): rows whose values all occur in another row too, the first of them included; nulls equal nulls.
 
-    Rows are counted by a digest of 128 bits, so 16 bytes a row are shuffled. Only rows whose digest comes again are looked at whole.
+    Rows are counted by a digest of 128 bits, so 16 bytes a row are shuffled. Only rows whose digest comes again are looked at whole; where these are too many to be
+    named to all tasks, all rows are, as a join would shuffle them just so, and the grouping once more.
     """
     columns, digest = [_q(c) for c in df.columns], ["__d1", "__d2"]
     if not columns:
@@ -55,7 +56,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     n = repeated.count()
     if not n:
         return df.sparkSession.createDataFrame([(0,)], "duplicates bigint")
-    whole = marked.join(F.broadcast(repeated) if n <= REPEATED else repeated, digest, "left_semi")
+    whole = marked.join(F.broadcast(repeated), digest, "left_semi") if n <= REPEATED else df
     return whole.groupBy(*columns).count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicates"))
 
 
