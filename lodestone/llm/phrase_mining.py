@@ -1,12 +1,13 @@
 """Operator 13, phrase collocations: word sequences that come more often together than their parts apart let expect, by language.
 
-1. Tasks hash every phrase of their texts into count-min sketches, one for each phrase length, and hand on cells in compressed blocks of 2^16; a block's rows are
+1. Tasks hash every word and phrase of their texts into count-min sketches, one for each phrase length, and hand on cells in compressed blocks of 2^16; a block's rows are
    added up as they stream by, sorted. What is left is a bit a cell: can a phrase of this cell reach min_count? These bit maps are broadcast; their size is fixed by
    the number of cells, at most 2^MAX_BITS a map.
-2. A second pass names the phrases whose cells all allow it and whose shorter parts are named too: the candidates. A sketch only errs upwards, so none is missed.
-3. Candidates and their single words are cut into shards of about SHARD_BYTES, each compiled in the tasks into one automaton per language. Patterns and texts have a
-   blank before and after each word, so matches are whole words; ends of pieces stand between blanks as well. All overlapping matches of a shard are counted over all
-   texts of its languages, in one Spark job a shard; counts are added by key.
+2. In a second pass a task names the words and phrases of its texts whose cells all allow it and whose shorter parts are named too. A sketch only errs upwards, so none is
+   missed. When those of some texts come to about SHARD_BYTES, each language's are compiled into an automaton, a shard, which counts all overlapping matches in the same
+   texts: a text meets the patterns that occur in it and no others, once. Patterns and texts have a blank before and after each word, so matches are whole words; ends of
+   pieces stand between blanks as well.
+3. Counts of shards are handed on in compressed blocks by a hash of the phrase, and a block's rows are added up as they stream by, sorted. Phrases that reach min_count stay.
 4. Thresholds, scores in exact decimals, the rule for parts of longer phrases and ranks are joins, groupings and windows.
 
 Texts are taken as UTF-8 bytes. Long texts come in blocks that repeat the last words of the block before, whose phrases are then counted once.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -29,18 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CHUNK_BYTES, ensure_checkpoint_dir, mix64, small_batches, stored, table, text_bytes, trim, words_of
+from .common import CHUNK_BYTES, mix64, small_batches, stored, table, text_bytes, trim, words_of
 
 MIN_COUNT, MAX_WORDS, TOP, PERCENT = 10, 3, 2000, 50
-#: Bytes of patterns of one scan: an automaton takes some 13 times as much.
+#: Bytes of patterns of one shard: an automaton takes some 13 times as much.
 SHARD_BYTES = 16 << 20
 #: Sketch rows a phrase length; the least and the largest number of cells a row, as a power of two. A bit map has that many bits.
 ROWS, MIN_BITS, MAX_BITS = 2, 16, 27
 BLOCK_BITS = 16
 #: Cells that a task holds before it counts and hands them on.
 HELD = 3 << 20
-#: Distinct phrases that a task remembers as handed on.
+#: Distinct phrases that a shard remembers as its patterns.
 REMEMBERED = 1 << 20
+#: Blocks that a language's phrases are handed on in, a power of two.
+BUCKETS = 512
 
 _CLASS = bytearray(range(256))
 for _c in range(65, 91):
@@ -168,7 +170,7 @@ _SKETCH = "level int, row int, block int, cells binary, counts binary"
 def _sketch_rows(bits: int, most: int, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        held: dict[tuple[int, int], list[np.ndarray]] = {(k, r): [] for k in range(2, words + 1) for r in range(ROWS)}
+        held: dict[tuple[int, int], list[np.ndarray]] = {(k, r): [] for k in range(1, words + 1) for r in range(ROWS)}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (k, r), parts in held.items():
@@ -189,7 +191,7 @@ def _sketch_rows(bits: int, most: int, words: int):
         size = 0
         for lang, data, seen in by_language(batches, words - 1):
             grams = Grams(lang, data, seen)
-            for k in range(2, words + 1):
+            for k in range(1, words + 1):
                 _, h = grams.of(k)
                 if len(h):
                     for r, c in enumerate(cells(h, bits)):
@@ -232,7 +234,7 @@ class Sketch:
 
     def __init__(self, bits: int, words: int):
         self.bits = bits
-        self.maps = {(k, r): np.zeros(1 << (bits - 3), np.uint8) for k in range(2, words + 1) for r in range(ROWS)}
+        self.maps = {(k, r): np.zeros(1 << (bits - 3), np.uint8) for k in range(1, words + 1) for r in range(ROWS)}
 
     def put(self, level: int, row: int, block: int, bits: bytes) -> None:
         size = 1 << (BLOCK_BITS - 3)
@@ -253,107 +255,150 @@ def sketch_of(texts: DataFrame, words: int, least: int) -> Sketch:
     rows = texts.mapInArrow(_sketch_rows(bits, most, words), _SKETCH)
     merged = rows.repartition("level", "row", "block").sortWithinPartitions("level", "row", "block").mapInArrow(_merge_rows(most), "level int, row int, block int, bits binary")
     sketch = Sketch(bits, words)
-    for r in merged.toLocalIterator():  # at most (words - 1) * ROWS * 2^(bits - 16) rows of 8 KB
+    for r in merged.toLocalIterator():  # at most words * ROWS * 2^(bits - 16) rows of 8 KB
         sketch.put(r["level"], r["row"], r["block"], r["bits"])
     return sketch
 
 
-def _candidate_rows(shared, words: int):
+class Shard:
+    """Texts of one language and the patterns of their automaton: each phrase that the sketch names in them, whole words with a blank before and after."""
+
+    def __init__(self):
+        self.blocks: list[tuple[str, int]] = []
+        self.patterns: list[str] = []
+        self.buckets: list[np.ndarray] = []
+        self.met, self.words = Seen(), 0
+
+    def add(self, lang: str, data: bytes, seen: int, sketch: Sketch, words: int) -> int:
+        """Takes a block and names its phrases of 1 to words words; the bytes of the patterns that are new."""
+        grams, text, size = Grams(lang, data, seen), data.decode("latin-1"), 0
+        self.blocks.append((text, seen))
+        self.words += grams.new_words()
+        named = np.ones(len(grams.hash) + 1, bool)  # does the phrase of k - 1 words that begins here stand a chance?
+        for k in range(1, words + 1):
+            at, h = grams.of(k)
+            ok = sketch.allows(h, k)
+            if grams.first == 0:  # at the seam of blocks the shorter parts may lie in what is repeated
+                if k > 1:
+                    ok &= named[at] & named[at + 1]
+                named[:] = False
+                named[at[ok]] = True
+            h, one = np.unique(h[ok], return_index=True)
+            fresh = self.met.new(h)
+            at = at[ok][one][fresh]
+            begin, stop = grams.start[at] - 1, grams.stop[at + k - 1] + 1
+            self.patterns += [text[i:j] for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]
+            self.buckets.append((h[fresh] & np.uint64(BUCKETS - 1)).astype(np.int32))
+            size += int((stop - begin).sum())
+        return size
+
+    def counted(self, lang: str) -> pa.RecordBatch:
+        """All overlapping matches in the texts, added up by pattern: a row for each bucket of phrases, and a row of bucket -1 with the number of words."""
+        counts = np.zeros(len(self.patterns), np.int64)
+        if self.patterns:
+            made = ahocorasick.Automaton()
+            for k in np.argsort(np.array(self.patterns, object), kind="stable").tolist():  # neighbours in the trie then lie together in memory
+                made.add_word(self.patterns[k], k)
+            made.make_automaton()
+            for text, seen in self.blocks:
+                hits = made.iter(text)
+                # a match that ends in what is repeated was counted there
+                which = np.fromiter(map(itemgetter(1), hits) if not seen else (k for end, k in hits if end >= seen), np.int64)
+                counts += np.bincount(which, minlength=len(counts))
+        bucket = np.concatenate([*self.buckets, np.zeros(0, np.int32)])
+        hit = np.flatnonzero(counts)
+        hit = hit[np.argsort(bucket[hit], kind="stable")]
+        phrases = [self.patterns[k][1:-1] for k in hit.tolist()]
+        size = np.fromiter(map(len, phrases), np.int32, len(phrases))
+        data, ends = "".join(phrases).encode("latin-1"), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        names, begin = np.unique(bucket[hit], return_index=True)
+        begin, pack = np.append(begin, len(hit)).tolist(), zstandard.ZstdCompressor(level=1)
+        parts = list(zip(begin[:-1], begin[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * (len(names) + 1), pa.string()), pa.array([*names.tolist(), -1], pa.int32()), pa.array([0] * len(names) + [self.words], pa.int64()),
+             pa.array([pack.compress(data[ends[i] : ends[j]]) for i, j in parts] + [None], pa.binary()),
+             pa.array([pack.compress(size[i:j].tobytes()) for i, j in parts] + [None], pa.binary()),
+             pa.array([pack.compress(counts[hit[i:j]].tobytes()) for i, j in parts] + [None], pa.binary())],
+            ["lang", "bucket", "words", "phrases", "sizes", "counts"])
+
+
+_COUNTED = "lang string, bucket int, words long, phrases binary, sizes binary, counts binary"
+
+
+def _count_rows(shared, words: int, shard_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Sketch = shared.value
-        totals: dict[str, int] = {}
-        seen_before = Seen()
+        shards: dict[str, Shard] = {}
+        patterns = texts = 0
         for lang, data, seen in by_language(batches, words - 1):
-            grams = Grams(lang, data, seen)
-            totals[lang] = totals.get(lang, 0) + grams.new_words()
-            named = np.ones(len(grams.hash) + 1, bool)  # does the phrase of k - 1 words that begins here stand a chance?
-            for k in range(2, words + 1):
-                at, h = grams.of(k)
-                ok = sketch.allows(h, k)
-                if grams.first == 0:  # at the seam of blocks the shorter parts may lie in what is repeated
-                    ok &= named[at] & named[at + 1]
-                    named[:] = False
-                    named[at[ok]] = True
-                h, one = np.unique(h[ok], return_index=True)
-                fresh = seen_before.new(h)
-                found = grams.phrases(at[ok][one][fresh], k)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), found, pa.array(np.zeros(len(found), np.int64))], ["lang", "phrase", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["lang", "phrase", "n"])
+            patterns += shards.setdefault(lang, Shard()).add(lang, data, seen, sketch, words)
+            texts += len(data)
+            if patterns >= shard_bytes or texts >= 4 * shard_bytes:
+                while shards:
+                    name, shard = shards.popitem()
+                    yield shard.counted(name)
+                patterns = texts = 0
+        while shards:
+            name, shard = shards.popitem()
+            yield shard.counted(name)
         trim()
 
     return rows
 
 
-def candidates(texts: DataFrame, words: int, least: int) -> DataFrame:
-    """(lang, phrase, n): distinct phrases of 2 to words words that may reach the count; and for each language a row of a null phrase with the number of its words."""
-    shared = texts.sparkSession.sparkContext.broadcast(sketch_of(texts, words, least))
-    raw = texts.mapInArrow(_candidate_rows(shared, words), "lang string, phrase binary, n long")
-    out = stored(raw.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("n")))
-    shared.destroy()
-    return out
+def _sum_rows(least: int):
+    """Adds up the rows of a bucket of a language, which come one after the other, and yields its phrases that reach least, and the number of words as of a null phrase."""
 
+    def added(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("phrase").aggregate([("f", "sum")]).select(["phrase", "f_sum"]).rename_columns(["phrase", "f"])
 
-def _scan_rows(shared, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: dict[str, tuple[pa.Array, np.ndarray]] = shared.value
-        built: dict[str, tuple[ahocorasick.Automaton, np.ndarray]] = {}
-        for lang, data, seen in by_language(batches, words - 1):
-            if lang not in patterns:
-                continue
-            if lang not in built:
-                made = ahocorasick.Automaton()
-                for k, p in enumerate(patterns[lang][0]):
-                    made.add_word(" " + p.as_py().decode("latin-1") + " ", k)
-                made.make_automaton()
-                built[lang] = made, np.zeros(len(patterns[lang][0]), np.int64)
-            made, counts = built[lang]
-            hits = made.iter(data.decode("latin-1"))
-            # a match that ends in what is repeated was counted there
-            which = np.fromiter(map(itemgetter(1), hits) if not seen else (k for end, k in hits if end >= seen), np.int64)
-            counts += np.bincount(which, minlength=len(counts))
-        for lang, (_, counts) in built.items():
-            hit = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(patterns[lang][1][hit]), pa.array(counts[hit])], ["id", "f"])
-        built.clear()
+        unpack = zstandard.ZstdDecompressor()
+        key, held, n, most, total = None, [], 0, HELD, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = added(held)
+                t = t.filter(pc.greater_equal(t.column("f"), least)).combine_chunks()
+                for x in t.to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(x), pa.string()), x.column(0), x.column(1)], ["lang", "phrase", "f"])
+            if key[1] < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.nulls(1, pa.binary()), pa.array([total], pa.int64())], ["lang", "phrase", "f"])
+
+        for x in batches:
+            for lang, bucket, some, phrases, sizes, counts in zip(*[c.to_pylist() for c in x.columns], strict=True):
+                if (lang, bucket) != key:
+                    if key is not None:
+                        yield from done()
+                    key, held, n, most, total = (lang, bucket), [], 0, HELD, 0
+                if bucket < 0:
+                    total += some
+                    continue
+                f = np.frombuffer(unpack.decompress(counts), np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.frombuffer(unpack.decompress(sizes), np.int32), dtype=np.int64)])
+                names = pa.Array.from_buffers(pa.large_binary(), len(f), [None, pa.py_buffer(offsets), pa.py_buffer(unpack.decompress(phrases))])
+                held.append(pa.table({"phrase": names.cast(pa.binary()), "f": f}))
+                n += len(f)
+                if n >= most:  # what is equal becomes one
+                    held = [added(held)]
+                    n = len(held[0])
+                    most = max(HELD, 2 * n)
+        if key is not None:
+            yield from done()
         trim()
 
     return rows
 
 
-def sharded(found: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(shard, id, lang, phrase) of candidates and their single words. A shard has whole buckets of a language, by hash, up to about shard_bytes."""
-    phrases = found.where("phrase is not null").select("lang", "phrase")
-    parts = phrases.unionByName(phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()).withColumn("size", F.octet_length("phrase") + 2)
-    parts = stored(parts)
-    whole = parts.agg(F.sum("size")).collect()[0][0] or 0
-    buckets = max(8, 8 * -(-whole // shard_bytes))
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
-    # one row a language and bucket: a bounded number, whatever the number of phrases
-    sizes = parts.groupBy("lang", "bucket").agg(F.sum("size").alias("size"))
-    before = F.sum("size").over(Window.orderBy("lang", "bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("lang", "bucket", F.floor(F.coalesce(before, F.lit(0)) / shard_bytes).alias("shard"))
-    return parts.join(sizes, ["lang", "bucket"]).select("shard", F.monotonically_increasing_id().alias("id"), "lang", "phrase")
-
-
-def phrase_counts(texts: DataFrame, found: DataFrame, words: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(lang, phrase, f): exact numbers of occurrences of the candidates and their single words in all texts."""
-    spark = texts.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/phrases-{uuid.uuid4().hex}"
-    sharded(found, shard_bytes).repartition("shard").write.partitionBy("shard").parquet(f"{base}/patterns")
-    schema = "shard long, id long, lang string, phrase string"
-    patterns = spark.read.schema(schema).parquet(f"{base}/patterns")
-    shards = sorted(r["shard"] for r in patterns.select("shard").distinct().collect())
-    for s in shards:
-        rows = patterns.where(F.col("shard") == s).select("lang", "id", F.col("phrase").cast("binary").alias("phrase")).toArrow()  # about shard_bytes
-        names = rows.column("lang").unique().to_pylist()
-        held = {k: rows.filter(pc.equal(rows.column("lang"), k)).select(["phrase", "id"]).combine_chunks() for k in names}
-        shared = spark.sparkContext.broadcast({k: (t.column("phrase").combine_chunks(), t.column("id").to_numpy()) for k, t in held.items()})
-        some = texts.where(F.col("lang").isin(*held)) if len(held) <= 100 else texts
-        some.mapInArrow(_scan_rows(shared, words), "id long, f long").groupBy("id").agg(F.sum("f").alias("f")).write.mode("append").parquet(f"{base}/counts")
-        shared.destroy()
-    counts = spark.read.schema("id long, f long").parquet(f"{base}/counts") if shards else spark.createDataFrame([], "id long, f long")
-    return patterns.join(counts, "id").select("lang", "phrase", "f")
+def phrase_counts(texts: DataFrame, words: int, least: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(lang, phrase, f): exact numbers of occurrences of all phrases of 1 to words words that come least times; and for each language a row of a null phrase with the
+    number of its words."""
+    shared = texts.sparkSession.sparkContext.broadcast(sketch_of(texts, words, least))
+    rows = texts.mapInArrow(_count_rows(shared, words, shard_bytes), _COUNTED)
+    sums = rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_sum_rows(least), "lang string, phrase binary, f long")
+    out = stored(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), "f"))
+    shared.destroy()
+    return out
 
 
 def ranked(counts: DataFrame, totals: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, percent: int = PERCENT) -> DataFrame:
@@ -390,9 +435,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ValueError("phrases have 2 to 16 words, counts begin at 1")
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.octet_length("text") > 0)
-    found = candidates(texts, max_words, min_count)
-    counts = stored(phrase_counts(texts, found, max_words, shard_bytes))
-    return ranked(counts, found.where("phrase is null").select("lang", "n"), min_count, top, percent)
+    counts = phrase_counts(texts, max_words, min_count, shard_bytes)
+    totals = counts.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"))
+    return ranked(counts.where("phrase is not null"), totals, min_count, top, percent)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,22 @@ def test_seen(monkeypatch):
         h = np.unique(r.integers(1, 60_000, 3000, dtype=np.uint64))
         assert seen.new(h).tolist() == [int(x) not in before for x in h]
         before.update(h.tolist())
+
+
+def test_shards_are_counted_in_one_pass(spark):
+    """However many shards the patterns make, the texts are read as often: a shard is no job of its own. Its counts come in blocks, not a row for each phrase."""
+    rows, sc = [(t, "en") for t, _ in texts(5)], spark.sparkContext
+    jobs = []
+    for size in (100, 1 << 24):
+        sc.setJobGroup(f"shards-{size}", "")
+        try:
+            got(spark, rows, shard_bytes=size, min_count=2)
+        finally:
+            sc._jsc.clearJobGroup()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"shards-{size}")))
+    assert 0 < jobs[0] <= jobs[1] + 2
+    shard, sketch = P.Shard(), P.Sketch(P.MIN_BITS, 3)
+    for bits in sketch.maps.values():
+        bits[:] = 255
+    shard.add("en", P.normal(" ".join(f"w{k}" for k in range(5000)).encode()), 0, sketch, 3)
+    assert len(shard.patterns) == 3 * 5000 - 3 and shard.counted("en").num_rows <= P.BUCKETS + 1
