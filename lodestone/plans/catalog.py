@@ -65,7 +65,6 @@ SHARED: dict[str, str] = {
 PAIRS: dict[str, tuple[str, str]] = {
     "integer_sums": ("SELECT p_brand, SUM(p_size) AS s, MEDIAN(p_retailprice) AS m FROM part GROUP BY p_brand", "SELECT p_brand, CAST(SUM(p_size) AS BIGINT) AS s, MEDIAN(p_retailprice) AS m FROM part GROUP BY p_brand"),
     "dispersion": ("SELECT l_linestatus, ROUND(stdev(l_quantity), 6) AS s, ROUND(var(l_quantity), 6) AS v FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus, ROUND(stddev_samp(l_quantity), 6) AS s, ROUND(var_samp(l_quantity), 6) AS v FROM lineitem GROUP BY l_linestatus"),
-    "quantiles": ("SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.25), 4) AS c, quantile_disc(l_extendedprice, 0.9) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.25), 4) AS c, quantile_disc(l_extendedprice, 0.9) AS d FROM lineitem GROUP BY l_returnflag"),
     "array_agg": ("SELECT n_regionkey, array_join(sort_array(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), ',') AS names FROM nation GROUP BY n_regionkey"),
     "distinct_on": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
     "star_except": ("SELECT * EXCLUDE (c_acctbal, c_name) FROM customer", "SELECT * EXCLUDE (c_acctbal, c_name) FROM customer"),
@@ -226,6 +225,12 @@ def percentile_rank(spark, sf_dir):
     return kernels.group_percentile(_t(spark, sf_dir, "events"), ["event_type"], "value", 95, "p95")
 
 
+@query("SELECT l_returnflag, ROUND(quantile_cont(l_extendedprice, 0.25), 4) AS c, quantile_disc(l_extendedprice, 0.9) AS d FROM lineitem GROUP BY l_returnflag")
+def quantiles(spark, sf_dir):
+    q = kernels.group_quantiles(_t(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", c=("cont", 0.25), d=("disc", 0.9))
+    return q.select("l_returnflag", kernels.rounded("c", 4).alias("c"), "d")
+
+
 # ---------------------------------------------------------------- text
 
 _TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"

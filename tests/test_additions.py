@@ -164,3 +164,29 @@ def test_deltas_are_merged_and_old_ones_deleted(spark, tmp_path):
     assert {n[: n.rindex("-")] for n in names} == {"gen-b1", "gen-b3", "delta-b2", "delta-b3"} and index.batch_done() == 3 and index.log().count() == 8
 
 
+
+
+def test_group_quantiles_gather_no_group(spark):
+    """As DuckDB has them, with nulls, infinities, copies and groups of one; no aggregate of the plan keeps a group's values."""
+    import random
+
+    import duckdb
+
+    r = random.Random(4)
+    rows = [(None if k % 17 == 0 else f"g{k % 3}", None if r.random() < 0.1 else r.choice([r.random() * 1e6, 7.0, -0.5, float("inf")])) for k in range(5000)]
+    rows += [("one", 3.5), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    shares = {"a": ("cont", 0.25), "b": ("disc", 0.9), "c": ("cont", 0.0), "d": ("disc", 1.0), "e": ("cont", 0.5), "f": ("disc", 0.0)}
+    out = kernels.group_quantiles(df, ["g"], "v", **shares)
+    got = {x["g"]: tuple(x)[1:] for x in out.collect()}
+    con = duckdb.connect()
+    con.execute("create table t (g varchar, v double)")
+    con.executemany("insert into t values (?, ?)", rows)
+    want = con.execute(f"select g, {', '.join(f'quantile_{k}(v, {p})' for k, p in shares.values())} from t group by g").fetchall()
+    assert set(got) == {x[0] for x in want}
+    for g, *values in want:
+        assert all(a == b or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got[g], values, strict=True)), (g, got[g], values)
+    from lodestone.plans import catalog
+
+    plan = catalog.QUERIES["quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_cont" not in plan and "percentile(" not in plan
