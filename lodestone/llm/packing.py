@@ -2,8 +2,9 @@
 
 1. Tasks turn texts into ids, cut longer documents into pieces, and number the pieces of each length as they come. Pieces are stored.
 2. How many pieces there are of each length (at most capacity rows, whatever the number of documents) is all that a packing depends on. `pack` solves that on the
-   driver: best-fit decreasing gives the first incumbent; bin completion then takes the largest length left, enumerates the undominated fillings of the room beside it,
-   least waste first, applies one as often as the counts allow, and goes on, backtracking where the waste so far rules out a better packing than the incumbent.
+   driver: best-fit decreasing gives the first incumbent; bin completion then takes the largest length left and fills the room beside it until nothing is left, while the
+   waste so far allows a better packing than the incumbent. A few descents draw fillings in proportion to what is left, so that no kind of length is used up before the
+   others; then the undominated fillings are enumerated, least waste first, each applied as often as the counts allow, with backtracking. A packing at the lower bound ends it.
 3. The answer is a list of patterns, each with the number of sequences that follow it. A piece finds its sequence and offset from its length and its number among
    all pieces of that length: its number in its task plus the counts of earlier tasks.
 """
@@ -11,6 +12,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import zlib
 from collections import Counter
@@ -31,6 +33,8 @@ from .common import small_batches, stored, table, trim
 CAPACITY = 2048
 #: Steps of the search for a better packing than best fit's; fillings looked at in a step before the best of them is tried.
 NODES, TRIES = 12_000, 64
+#: Descents by drawn fillings; fillings drawn for a sequence until one is full; the number of times one is applied is such that this many use up all pieces, about.
+DESCENTS, DRAWS, SHARES = 4, 16, 30_000
 #: Characters of a text that are encoded at once, about.
 SEGMENT = 1 << 16
 #: Characters whose class is the same in all versions of Unicode of the last ten years, so that both libraries cut texts alike.
@@ -195,24 +199,18 @@ class _Search:
 
     def dominated(self, filling: tuple[tuple[int, int], ...], waste: int) -> bool:
         """Can something that is left fill more of the room in place of nothing, of one length or of two?"""
-        used = dict(filling)
-
-        def spare(low: int, high: int) -> bool:
-            bits = (self.free >> low) & ((1 << (high - low + 1)) - 1) if high >= low else 0
-            while bits:
-                y = low + (bits & -bits).bit_length() - 1
-                if self.n[y] > used.get(y, 0):
-                    return True
-                bits &= bits - 1
-            return False
-
-        items = [x for x, k in filling for _ in range(min(k, 2))]
-        if spare(1, waste) or (waste and any(spare(x + 1, x + waste) for x in used)):
+        spare = self.free  # lengths of which more are left than the filling has
+        for x, k in filling:
+            if self.n[x] == k:
+                spare &= ~(1 << x)
+        wider = (2 << waste) - 1
+        if spare & (wider - 1) or (waste and any((spare >> x) & (wider - 1) for x, _ in filling)):
             return True
-        return any(spare(a + b, a + b + waste) for i, a in enumerate(items[:8]) for b in items[i + 1 : 8])
+        items = [x for x, k in filling for _ in range(min(k, 2))][:8]
+        return any((spare >> s) & wider for s in {a + b for i, a in enumerate(items) for b in items[i + 1 :]})
 
     def completions(self, first: int) -> Iterator[dict[int, int]]:
-        """Undominated contents of a sequence with a piece of the largest length, in groups of TRIES by waste; a full one is given at once."""
+        """Undominated contents of a sequence with a piece of the largest length, in groups of TRIES by waste; a full one is given at once. {}: a group had none."""
         self.take({first: 1}, 1)
         room = self.capacity - first
         state = list(self.n), self.free
@@ -230,16 +228,109 @@ class _Search:
                 else:
                     held.append((waste, tried, contents))
             if tried % TRIES == TRIES - 1:
-                yield from (c for _, _, c in sorted(held, key=lambda h: h[:2]))
+                yield from [c for _, _, c in sorted(held, key=lambda h: h[:2])] or [{}]
                 held = []
         yield from (c for _, _, c in sorted(held, key=lambda h: h[:2]))
 
 
+class _Drawn:
+    """Bin completion whose fillings are drawn from the pieces left. free, back: lengths with pieces left, as bits from either end; tree: sums of counts (Fenwick)."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.free, self.back = capacity, 0, 0
+        self.n, self.tree = [0] * (capacity + 1), [0] * (capacity + 1)
+        for k, v in counts.items():
+            self.add(k, v)
+
+    def add(self, length: int, pieces: int) -> None:
+        self.n[length] += pieces
+        bit, mirrored = 1 << length, 1 << (self.capacity - length)
+        if self.n[length]:
+            self.free, self.back = self.free | bit, self.back | mirrored
+        else:
+            self.free, self.back = self.free & ~bit, self.back & ~mirrored
+        while length <= self.capacity:
+            self.tree[length] += pieces
+            length += length & -length
+
+    def upto(self, most: int) -> int:
+        """Pieces of lengths up to most."""
+        n = 0
+        while most:
+            n += self.tree[most]
+            most &= most - 1
+        return n
+
+    def length_of(self, nth: int) -> int:
+        """The length of the nth piece, from 0, in order of length."""
+        at, step = 0, 1 << (self.capacity.bit_length() - 1)
+        while step:
+            if at + step <= self.capacity and self.tree[at + step] <= nth:
+                at += step
+                nth -= self.tree[at]
+            step >>= 1
+        return at + 1
+
+    def filling(self, first: int, rng: random.Random) -> tuple[list[int], int]:
+        """Lengths of a sequence with a piece of length first, drawn until one or two pieces fill it or none fits; the room that stays."""
+        held, room = [first], self.capacity - first
+        self.add(first, -1)
+        while room:
+            if self.n[room]:
+                more = [room]
+            elif 2 * room < self.capacity and (pairs := self._pairs(room)):
+                low = rng.randrange(room)
+                high = pairs >> low
+                a = low + (high & -high).bit_length() - 1 if high else (pairs & -pairs).bit_length() - 1
+                more = [a, room - a]
+            elif fit := self.upto(room):
+                more = [self.length_of(rng.randrange(fit))]
+            else:
+                break
+            for x in more:
+                self.add(x, -1)
+            held += more
+            room -= sum(more)
+        for x in held:
+            self.add(x, 1)
+        return held, room
+
+    def _pairs(self, room: int) -> int:
+        """Lengths left that a length left makes up to room, as bits."""
+        both = self.free & (self.back >> (self.capacity - room))
+        return both & ~(1 << (room // 2)) if room % 2 == 0 and self.n[room // 2] == 1 else both
+
+    def descend(self, budget: int, seed: int) -> Patterns | None:
+        """Sequences for all pieces that waste at most budget, or None."""
+        rng, waste, out = random.Random(seed), 0, []
+        share = -(-sum(self.n) // SHARES)
+        while self.free:
+            first, least, best = self.free.bit_length() - 1, self.capacity, []
+            for _ in range(DRAWS):
+                held, room = self.filling(first, rng)
+                if room < least:
+                    least, best = room, held
+                if not room:
+                    break
+            contents = Counter(best)
+            times = min(share, *(self.n[k] // c for k, c in contents.items()))
+            waste += least * times
+            if waste > budget:
+                return None
+            for k, c in contents.items():
+                self.add(k, -c * times)
+            out.append((dict(contents), times))
+        return out
+
+
 def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Patterns:
     """[(contents as length -> copies, number of sequences)] that hold all pieces: counts has the number of pieces of each length from 1 to capacity."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     best = best_fit(counts, capacity)
     used, total, bound = sum(m for _, m in best), sum(k * v for k, v in counts.items()), lower_bound(counts, capacity)
+    for seed in range(DESCENTS):
+        if used > bound and (found := _Drawn(counts, capacity).descend((used - 1) * capacity - total, seed)):
+            best, used = found, sum(m for _, m in found)
     search, path, waste, left = _Search(counts, capacity), [], 0, nodes
     # path: (completions still to try, contents, times, waste)
     descend = True
@@ -255,9 +346,10 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 continue
             path.append([search.completions(first), None, 0, 0])
         step = path[-1]
-        if step[1] is not None:
+        if step[1]:
             search.take(step[1], -step[2])
             waste -= step[3]
+            step[1] = None
         left -= 1
         contents = next(step[0], None)
         if contents is None:
@@ -266,6 +358,9 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 break
             descend = False
             continue
+        if not contents:  # a group of fillings, all dominated
+            descend = False
+            continue
         times = min(search.n[k] // c for k, c in contents.items())
         lost = times * (capacity - sum(k * c for k, c in contents.items()))
         step[1:] = [contents, times, lost]

@@ -76,6 +76,47 @@ def test_counts_of_any_size(counts):
     assert bound <= n <= bound * 1.01 + 1
 
 
+def crowded():
+    """Lengths of which a few neighbours have a third of all pieces, as many copies of one document and its variants make."""
+    r = random.Random(7)
+    counts = Counter(min(2048, max(2, int(r.lognormvariate(5.8, 0.75)))) for _ in range(10_000))
+    counts.update({330: 1700, 331: 250, 329: 220, 332: 190, 328: 190, 333: 150, 327: 110, 334: 100, 326: 90, 335: 80})
+    return counts
+
+
+def test_a_crowd_of_lengths_leaves_no_waste():
+    counts = crowded()
+    bound = P.lower_bound(counts, 2048)
+    assert check(P.best_fit(counts, 2048), counts, 2048) > bound
+    assert check(P.pack(counts, 2048, nodes=200), counts, 2048) == bound
+    many = Counter({k: 1000 * v for k, v in counts.items()})
+    patterns = P.pack(many, 2048, nodes=200)
+    assert check(patterns, many, 2048) <= P.lower_bound(many, 2048) + 1 and len(patterns) < P.SHARES
+
+
+def test_steps_bound_the_fillings_looked_at(monkeypatch):
+    """Also where most fillings are dominated."""
+    counts, looked = {k: v for k, v in crowded().items() if 300 <= k <= 360}, []
+    plain = P._Search.dominated
+    monkeypatch.setattr(P._Search, "dominated", lambda *a: (looked.append(1), plain(*a))[1] if len(looked) < 400 * P.TRIES else pytest.fail("too many fillings"))
+    check(P.pack(counts, 2048, nodes=400), counts, 2048)
+    assert looked
+
+
+def test_dominated_by_what_is_left():
+    """As told by trying each length left in place of nothing, of one length and of two."""
+    r, told = random.Random(4), Counter()
+    for _ in range(2000):
+        counts = Counter(r.randint(1, 30) for _ in range(r.randint(1, 8)))
+        pieces = r.sample(sorted(counts.elements()), r.randint(0, min(4, counts.total())))
+        waste, left = r.randint(0, 6), counts - Counter(pieces)
+        gone = [0, *(pieces if waste else []), *(a + b for i, a in enumerate(pieces) for b in pieces[i + 1 :])]
+        want = any(g < y <= g + waste or (y == g > 0 and g not in pieces) for y in left for g in gone) or any(y == a + b for i, a in enumerate(pieces) for b in pieces[i + 1 :] for y in left)
+        told[want] += 1
+        assert P._Search(counts, 60).dominated(tuple(sorted(Counter(pieces).items(), reverse=True)), waste) == want
+    assert min(told.values()) > 200
+
+
 TEXTS = [
     "", " ", "\n\n  \t x", "Hello world's ISN'T", "  two  blanks ", "<|endoftext|> x<|endoftext|>", "日本語のテキスト 漢字", "emoji 👩‍👩‍👧 ok", "عربى نص", "é   ᠎   x", "\x00\x01 ctl", "ⱯⰯ Ⱟ 𞤀 ꟓ", "１２３ ½ ² x²",
     "a" * 3000, " " * 3000, "ab1 " * 900 + "  " * 50, "\n" * 2000 + "x", "—…–«»",
