@@ -104,3 +104,26 @@ def test_arrow_parts_and_a_failed_task(spark, tmp_path):
     none = str(tmp_path / "none.arrow")
     E.export(df.where("id < 0"), none)
     assert read_arrow(spark, none).count() == 0 and read_arrow(spark, none).columns == df.columns
+
+
+@pytest.mark.parametrize("when", ["before", "during"])
+def test_arrow_task_that_outlives_its_job_leaves_nothing(tmp_path, monkeypatch, when):
+    import pyarrow as pa
+    from lodestone.sources import arrow_sink
+    from pyspark.sql.types import LongType, StructType
+
+    task = type("Task", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 7})()
+    monkeypatch.setattr(arrow_sink.TaskContext, "get", lambda: task)
+    writer = arrow_sink.ArrowWriter(str(tmp_path / "a.arrow"), StructType().add("x", LongType()), False)
+    x = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+
+    def rows():
+        yield x
+        writer.abort([])
+        yield x
+
+    if when == "before":
+        writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([x]) if when == "before" else rows())
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
