@@ -363,19 +363,7 @@ class TextIndex:
         """The generation that the last pointer names, with the deltas that it lists: of a path the rows of its last delta count."""
         base, *deltas = pointed(spark, folder)[1]
         s = spark.read.parquet(f"{folder}/{deltas[-1] if deltas else base}/stats").first()
-        tables = []
-        last = None
-        if deltas:
-            each = [spark.read.parquet(f"{folder}/{d}/ops").select("path", F.lit(n).alias("n")) for n, d in enumerate(deltas)]
-            last = functools.reduce(DataFrame.unionByName, each).groupBy(F.col("path").alias("changed")).agg(F.max("n").alias("last"))
-        for name, key in (("docs", "path"), ("postings", "doc_id")):
-            parts = []
-            if base != NO_BASE:
-                whole = spark.read.parquet(f"{folder}/{base}/{name}")
-                parts.append(whole.join(last, F.col(key) == F.col("changed"), "left_anti") if deltas else whole)
-            for n, d in enumerate(deltas):
-                parts.append(spark.read.parquet(f"{folder}/{d}/{name}").join(last.where(F.col("last") == n), F.col(key) == F.col("changed"), "left_semi"))
-            tables.append(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+        tables = [live(spark, folder, [base, *deltas], name) for name in ("docs", "postings")]
         terms, near, fresh = None, None, None
         kept = [spark.read.schema("term string, df bigint").parquet(f"{folder}/{x}/terms") for x in (base, *deltas) if x != NO_BASE]
         terms = kept[0] if not deltas else functools.reduce(DataFrame.unionByName, kept).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
@@ -546,6 +534,26 @@ def placed_schema(postings: DataFrame) -> T.StructType:
 NO_BASE = "none"
 
 
+def live(spark: SparkSession, folder: str, names: list[str], table: str, newest: DataFrame | None = None) -> DataFrame:
+    """The rows that count of docs or postings of a generation and its deltas: of a path those of its last delta. Nothing is later than the last delta, so its rows
+    are joined with nothing. newest: these rows, where they are not saved."""
+    key = {"docs": "path", "postings": "doc_id"}[table]
+    base, *deltas = names
+    saved = lambda name: spark.read.parquet(f"{folder}/{name}/{table}")
+    if not deltas:
+        return saved(base)
+    parts = []
+    if names[:-1] != [NO_BASE]:
+        each = [spark.read.parquet(f"{folder}/{d}/ops").select("path", F.lit(n).alias("n")) for n, d in enumerate(deltas)]
+        last = functools.reduce(DataFrame.unionByName, each).groupBy(F.col("path").alias("changed")).agg(F.max("n").alias("last"))
+        if base != NO_BASE:
+            parts.append(saved(base).join(last, F.col(key) == F.col("changed"), "left_anti"))
+        for n, d in enumerate(deltas[:-1]):
+            parts.append(saved(d).join(last.where(F.col("last") == n), F.col(key) == F.col("changed"), "left_semi"))
+    parts.append(saved(deltas[-1]) if newest is None else newest)
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 _STATS = "docs bigint, average double, buckets int"
 #: Pointers that are kept; older ones are deleted.
 POINTERS = 20

@@ -1,7 +1,8 @@
 """Incremental indexing: file events are debounced, filtered and applied as idempotent upserts to a folder that TextIndex.open reads.
 
 A micro-batch costs what it changes: it writes a delta (what happened to which paths, the new texts and their postings) and adds its name to the pointer. After
-COMPACT deltas they are merged with the generation below them; what no reader can name any more is deleted then.
+COMPACT deltas they are merged with the generation below them; what no reader can name any more is deleted then. The batch that merges writes its texts and postings
+into the new generation alone: its delta tells what happened.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.text_index import BUCKETS, NO_BASE, TextIndex, bucket, indexed, point, pointed, postings_of
+from lodestone.operators.text_index import BUCKETS, NO_BASE, TextIndex, bucket, indexed, live, point, pointed, postings_of
 from lodestone.sources.files import extension_of, tail_lines
 
 EVENTS = "kind string, path string, to_path string, event_time timestamp"
@@ -116,13 +117,27 @@ class IncrementalIndex:
         latest(operations(events)).write.parquet(f"{at}/ops")
         ops = spark.read.parquet(f"{at}/ops")
         puts = ops.where("op = 'put'").select("path")
-        indexed(self.read(puts)).write.parquet(f"{at}/docs")
+        names = names or [NO_BASE]
+        if len(names) >= self.compact:
+            read = self._merge(batch_id, number, names, name, indexed(self.read(puts)), puts)
+        else:
+            read = self._delta(number, names, name, indexed(self.read(puts)), ops)
+        for r in events.groupBy("kind").count().collect():
+            if r["kind"] in self.stats:
+                self.stats[r["kind"]] += r["count"]
+        self.stats["errors"] += puts.count() - read
+        self.stats["pending"], self.stats["last_update"] = 0, datetime.now()
+        return True
+
+    def _delta(self, number: int, names: list[str], name: str, fresh: DataFrame, ops: DataFrame) -> int:
+        """fresh and their postings beside what is there; the number of documents that could be read."""
+        spark, at = self.spark, f"{self.folder}/{name}"
+        fresh.write.parquet(f"{at}/docs")
         fresh = spark.read.parquet(f"{at}/docs")
         old = self.index()
         buckets = BUCKETS if old is None else old.buckets
         postings_of(fresh, keep=("length", "file_type")).withColumn("bucket", bucket(buckets=buckets)).write.parquet(f"{at}/postings")
-        docs, words = fresh.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        unread = puts.count() - docs
+        docs, words = read, _ = fresh.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         more = spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df"))
         if old is not None:  # only what the batch changes is looked up
             gone = old.docs.join(ops.select(F.col("path").alias("changed")), F.col("path") == F.col("changed"), "left_semi").select("doc_id", "content", "length")
@@ -132,35 +147,28 @@ class IncrementalIndex:
                 more = more.unionByName(postings_of(gone).groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         more.write.parquet(f"{at}/terms")
         spark.createDataFrame([(docs, words / docs if docs else 0.0, buckets)], "docs bigint, average double, buckets int").write.parquet(f"{at}/stats")
-        names = names or [NO_BASE]
         point(spark, self.folder, " ".join([*names, name]), number)
-        for r in events.groupBy("kind").count().collect():
-            if r["kind"] in self.stats:
-                self.stats[r["kind"]] += r["count"]
-        self.stats["errors"] += unread
-        self.stats["pending"], self.stats["last_update"] = 0, datetime.now()
-        if len(names) >= self.compact:
-            self._merge(batch_id)
-        return True
-
-    def _merge(self, batch_id: int) -> None:
-        """One generation of all deltas. Folders older than those that were current until now are deleted."""
-        number, before = pointed(self.spark, self.folder)
-        log, name = self.log().limit(self.keep_log), f"gen-b{batch_id}-{uuid.uuid4().hex}"
-        log.write.parquet(f"{self.folder}/{name}/log")
-        self.index().save(self.folder, name, number)
-        jvm = self.spark._jvm
+        return read
+
+    def _merge(self, batch_id: int, number: int, names: list[str], delta: str, fresh: DataFrame, puts: DataFrame) -> int:
+        """One generation of all deltas and fresh; its postings come from its texts, as joining texts moves less than joining postings. The number of documents that
+        could be read. Folders older than those that were current until now are deleted."""
+        spark, name = self.spark, f"gen-b{batch_id}-{uuid.uuid4().hex}"
+        self.log([*names, delta]).limit(self.keep_log).write.parquet(f"{self.folder}/{name}/log")
+        TextIndex(live(spark, self.folder, [*names, delta], "docs", fresh)).save(self.folder, name, number)
+        jvm = spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         for f in fs.listStatus(folder):
             n = f.getPath().getName()
-            if f.isDirectory() and re.match(r"(gen|delta)-", n) and n not in before and n != name:
+            if f.isDirectory() and re.match(r"(gen|delta)-", n) and n not in (*names, delta, name):
                 fs.delete(f.getPath(), True)
+        return spark.read.parquet(f"{self.folder}/{name}/docs").join(puts, "path", "left_semi").count()
 
-    def log(self) -> DataFrame:
-        """(op, path, event_time), newest first: at most keep_log of them outlive a merge."""
+    def log(self, names: list[str] | None = None) -> DataFrame:
+        """(op, path, event_time), newest first: at most keep_log of them outlive a merge. names: instead of those that the last pointer lists."""
         parts = []
-        for n in self._names():
+        for n in self._names() if names is None else names:
             if n.startswith("gen-"):
                 parts.append(self.spark.read.parquet(f"{self.folder}/{n}/log"))
             elif n != NO_BASE:
