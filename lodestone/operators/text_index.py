@@ -44,6 +44,8 @@ _LATIN = re.compile(r"[^\W]+", re.U)
 K1, B = 1.2, 0.75
 #: Folders of postings, at least and at most; words for which there is one more, and documents for which a folder is written by one more task.
 BUCKETS, MOST_BUCKETS, WORDS_EACH, DOCS_EACH = 32, 8192, 20_000_000, 5_000_000
+#: Columns of a document that its postings have too, and how the tables of an index are compressed.
+KEPT, CODEC = ("length", "file_type"), "zstd"
 #: Tasks that write postings, at most.
 TASKS = 10_000
 #: Leading characters of a term whose shortened forms stand for it, and the edits that a typo-tolerant term may have.
@@ -216,12 +218,13 @@ def damerau(a: str, b: str, most: int) -> int:
 
 #: Rows of an Arrow batch of postings.
 POSTED = 1 << 17
+#: Rows and bytes of postings from which on they are packed for a shuffle.
+PACKED, PACKED_BYTES = 1 << 20, 64 << 20
 
 
 def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
     """(term, doc_id, tf, positions, ...) of each document, positions from 0. A document is one row, so its terms are grouped where it lies: no shuffle."""
-    share_code(docs.sparkSession)
-    each = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("tokens"))
+    each = taken_apart(docs, id_col, text_col, keep)
     kinds = {f.name: f.dataType for f in each.schema}
     out = T.StructType().add("term", T.StringType()).add("doc_id", kinds["doc_id"]).add("tf", T.LongType()).add("positions", T.ArrayType(T.IntegerType()))
     for c in keep:
@@ -229,6 +232,12 @@ def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "conten
     return each.mapInArrow(_posted, out)
 
 
+def taken_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ..., tokens): what _posted takes."""
+    share_code(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(F.col(text_col)).alias("tokens"))
+
+
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens of a batch sorted by document, term and place; a run of them is a posting."""
     for b in batches:
@@ -261,6 +270,59 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(found, ["term", "doc_id", "tf", "positions", *b.schema.names[1:-1]])
 
 
+def _packer(buckets: int, tasks: int, of_tokens: bool):
+    """Batches of postings, or of what _posted takes, -> (bucket, deal, size, rows): what goes to a task of a folder, as one compressed Arrow stream of that many bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in _posted(batches) if of_tokens else batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= PACKED_BYTES or sum(x.num_rows for x in held) >= PACKED:
+                yield from _packed(held, buckets, tasks)
+                held, size = [], 0
+        yield from _packed(held, buckets, tasks)
+
+    return pack
+
+
+def _packed(held: list[pa.RecordBatch], buckets: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    if not sum(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    terms, docs = (table.column(c).chunk(0).dictionary_encode() for c in ("term", "doc_id"))
+    of_term = np.array([bucket_of(t, buckets) for t in terms.dictionary.to_pylist()])
+    of_doc = np.array([xxhash.xxh64_intdigest(str(d)) % tasks for d in docs.dictionary.to_pylist()])
+    place = of_term[terms.indices.to_numpy()] * tasks + of_doc[docs.indices.to_numpy()]
+    place = place.astype(np.uint16) if buckets * tasks <= 1 << 16 else place  # sorts faster
+    order = np.argsort(place, kind="stable")  # documents stay together
+    place = place[order].astype(np.int64)
+    table = table.take(pa.array(order))
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    parts = [_bytes(table.slice(a, b - a)) for a, b in zip(first, np.append(first[1:], len(place)), strict=True)]
+    of, deal = np.divmod(place[first], tasks)
+    found = [pa.array(of.astype(np.int32)), pa.array(deal.astype(np.int32)), pa.array([n for n, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())]
+    yield pa.RecordBatch.from_arrays(found, ["bucket", "deal", "size", "rows"])
+
+
+def _bytes(table: pa.Table) -> tuple[int, bytes]:
+    """Texts as numbers of a dictionary; the size is that before compression."""
+    table = pa.table({c: x.combine_chunks().dictionary_encode() if c == "doc_id" or pa.types.is_string(x.type) else x for c, x in zip(table.column_names, table.columns, strict=True)})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    data = out.getvalue()
+    return data.size, pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for of, size, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "size", "rows")), strict=True):
+            for part in pa.ipc.open_stream(pa.decompress(data, size, "zstd")):
+                columns = [x.dictionary_decode() if pa.types.is_dictionary(x.type) else x for x in part.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(part.num_rows, of, np.int32))], [*part.schema.names, "bucket"])
+
+
 def bm25(tf: Column, df: Column, length: Column, docs: Column, average: Column) -> Column:
     return F.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
@@ -343,17 +405,17 @@ class TextIndex:
         spark = self.docs.sparkSession
         name = name or f"gen-{uuid.uuid4().hex}"
         after = pointed(spark, folder)[0] if after is None else after
-        self.docs.write.parquet(f"{folder}/{name}/docs")
+        self.docs.write.parquet(f"{folder}/{name}/docs", compression=CODEC)
         docs = spark.read.schema(self.docs.schema).parquet(f"{folder}/{name}/docs")
         if self._stats is None:  # from the lengths that are there now; texts are taken apart once more for postings only
             self._stats = _counted(docs)
         n, average = self.stats
         buckets = buckets_for(n * average)
-        write_postings(_postings(docs) if self._derived else self.postings, f"{folder}/{name}", buckets, n)
+        write_postings(self.postings, f"{folder}/{name}", buckets, n, taken_apart(docs, keep=KEPT) if self._derived else None)
         kept = spark.read.schema(placed_schema(self.postings)).parquet(f"{folder}/{name}/postings")
-        kept.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms")
+        kept.groupBy("term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/{name}/terms", compression=CODEC)
         near = spark.read.schema("term string, df bigint").parquet(f"{folder}/{name}/terms").select(F.explode(shortened(F.col("term"))).alias("variant"), "term")
-        near.withColumn("bucket", bucket("variant", buckets)).repartition("bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/{name}/near")
+        near.withColumn("bucket", bucket("variant", buckets)).repartition("bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/{name}/near", compression=CODEC)
         spark.createDataFrame([(*self.stats, buckets)], _STATS).write.parquet(f"{folder}/{name}/stats")
         point(spark, folder, name, after)
         return name
@@ -510,7 +572,7 @@ def _wanted(node: Node) -> list[Node]:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    return postings_of(docs, keep=("length", "file_type"))
+    return postings_of(docs, keep=KEPT)
 
 
 def _counted(docs: DataFrame) -> tuple[int, float]:
@@ -518,11 +580,14 @@ def _counted(docs: DataFrame) -> tuple[int, float]:
     return n, average or 0.0
 
 
-def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, n: int = 0) -> None:
-    """buckets: folders of postings; n: documents, as a term may be in all of them, so its folder is dealt to as many tasks as that takes."""
-    placed = postings.drop("bucket").withColumn("bucket", bucket(buckets=buckets))
+def write_postings(postings: DataFrame, folder: str, buckets: int = BUCKETS, n: int = 0, tokens: DataFrame | None = None) -> None:
+    """buckets: folders of postings; n: documents, as a term may be in all of them, so its folder is dealt to as many tasks as that takes. tokens: what postings_of
+    makes the postings of, which are packed where they are made then."""
     tasks = max(4, -(-n // DOCS_EACH))
-    placed.repartition(min(buckets * tasks, TASKS), "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(tasks))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows = postings.drop("bucket")
+    packed = (rows if tokens is None else tokens).mapInArrow(_packer(buckets, tasks, tokens is not None), "bucket int, deal int, size int, rows binary")
+    placed = packed.repartition(min(buckets * tasks, TASKS), "bucket", "deal").mapInArrow(_unpacked, placed_schema(rows))
+    placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings", compression=CODEC)
 
 
 def placed_schema(postings: DataFrame) -> T.StructType:

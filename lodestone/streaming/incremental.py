@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.text_index import BUCKETS, NO_BASE, TextIndex, bucket, indexed, live, point, pointed, postings_of
+from lodestone.operators.text_index import BUCKETS, CODEC, KEPT, NO_BASE, TextIndex, bucket, indexed, live, point, pointed, postings_of
 from lodestone.sources.files import extension_of, tail_lines
 
 EVENTS = "kind string, path string, to_path string, event_time timestamp"
@@ -132,11 +132,11 @@ class IncrementalIndex:
     def _delta(self, number: int, names: list[str], name: str, fresh: DataFrame, ops: DataFrame) -> int:
         """fresh and their postings beside what is there; the number of documents that could be read."""
         spark, at = self.spark, f"{self.folder}/{name}"
-        fresh.write.parquet(f"{at}/docs")
+        fresh.write.parquet(f"{at}/docs", compression=CODEC)
         fresh = spark.read.parquet(f"{at}/docs")
         old = self.index()
         buckets = BUCKETS if old is None else old.buckets
-        postings_of(fresh, keep=("length", "file_type")).withColumn("bucket", bucket(buckets=buckets)).write.parquet(f"{at}/postings")
+        postings_of(fresh, keep=KEPT).withColumn("bucket", bucket(buckets=buckets)).write.parquet(f"{at}/postings", compression=CODEC)
         docs, words = read, _ = fresh.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         more = spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df"))
         if old is not None:  # only what the batch changes is looked up
@@ -145,7 +145,7 @@ class IncrementalIndex:
             docs, words = docs + old.stats[0] - n, words + round(old.stats[0] * old.stats[1]) - length
             if n:  # their terms leave the counts
                 more = more.unionByName(postings_of(gone).groupBy("term").agg((-F.count("*")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        more.write.parquet(f"{at}/terms")
+        more.write.parquet(f"{at}/terms", compression=CODEC)
         spark.createDataFrame([(docs, words / docs if docs else 0.0, buckets)], "docs bigint, average double, buckets int").write.parquet(f"{at}/stats")
         point(spark, self.folder, " ".join([*names, name]), number)
         return read

@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import text_index as X
@@ -55,3 +56,37 @@ def test_the_last_delta_is_joined_with_nothing(spark, tmp_path):
         index, _ = next(runs)
         i = index.index()
         assert joins(i.docs) == joins(i.postings) == n
+
+
+def test_postings_are_packed_for_the_shuffle(monkeypatch):
+    """Packed and unpacked they are the same rows, each where its term and document belong, in few bytes."""
+    rows = [(f"w{d * k % 97}", f"d{d}" if d else "", 1 + k % 3, list(range(k % 3 + 1)), 40, None if d % 5 == 0 else "en") for d in range(200) for k in range(40)]
+    names = ["term", "doc_id", "tf", "positions", "length", "file_type"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.string()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 900], strict=True), kinds, strict=True)], names) for at in range(0, len(rows), 900)]
+    for most in (1 << 20, 2000):
+        monkeypatch.setattr(X, "PACKED", most)
+        packed = list(X._packer(32, 3, False)(iter(batches)))
+        places = {}
+        back = []
+        for b in packed:
+            for p in b.to_pylist():
+                for part in X._unpacked(iter([pa.RecordBatch.from_pylist([p], b.schema)])):
+                    assert part.schema.names == [*names, "bucket"] and [part.schema.field(c).type for c in names] == kinds
+                    for r in part.to_pylist():
+                        assert r["bucket"] == p["bucket"] == X.bucket_of(r["term"], 32) and places.setdefault(r["doc_id"], p["deal"]) == p["deal"]
+                        back.append(tuple(tuple(v) if isinstance(v, list) else v for v in r.values())[:-1])
+        assert sorted(back, key=str) == sorted(((*r[:3], tuple(r[3]), *r[4:]) for r in rows), key=str) and set(places.values()) == {0, 1, 2}
+    assert list(X._packer(32, 3, False)(iter([]))) == []
+
+
+def test_saved_postings_are_where_their_terms_belong(spark, tmp_path):
+    """Of texts and of given postings: the same rows, numbers as ids as well."""
+    docs = spark.range(60).select("id", F.concat_ws(" ", F.lit("all"), F.concat(F.lit("w"), F.col("id") % 9), F.concat(F.lit("v"), F.col("id"))).alias("content"))
+    made = X.TextIndex.build(docs, "id")
+    made.save(str(tmp_path / "a"))
+    X.TextIndex(made.docs, made.postings).save(str(tmp_path / "b"))
+    want = sorted((r.term, r.doc_id, r.tf, r.positions, r.length, r.file_type, X.bucket_of(r.term)) for r in made.postings.collect())
+    for folder in "ab":
+        got = X.TextIndex.open(spark, str(tmp_path / folder)).postings
+        assert sorted((r.term, r.doc_id, r.tf, r.positions, r.length, r.file_type, r.bucket) for r in got.collect()) == want
