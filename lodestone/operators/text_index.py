@@ -611,14 +611,25 @@ def live(spark: SparkSession, folder: str, names: list[str], table: str, newest:
     if names[:-1] != [NO_BASE]:
         each = [spark.read.parquet(f"{folder}/{d}/ops").select("path", F.lit(n).alias("n")) for n, d in enumerate(deltas)]
         last = functools.reduce(DataFrame.unionByName, each).groupBy(F.col("path").alias("changed")).agg(F.max("n").alias("last"))
-        if base != NO_BASE:
-            parts.append(saved(base).join(last, F.col(key) == F.col("changed"), "left_anti"))
-        for n, d in enumerate(deltas[:-1]):
-            parts.append(saved(d).join(last.where(F.col("last") == n), F.col(key) == F.col("changed"), "left_semi"))
+        for n, d in enumerate([base, *deltas[:-1]], -1):
+            if d != NO_BASE:
+                later = last.where(F.col("last") > n)
+                parts.append(_left(saved(d), later) if table == "docs" else saved(d).join(later, F.col(key) == F.col("changed"), "left_anti"))
     parts.append(saved(deltas[-1]) if newest is None else newest)
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def _left(saved: DataFrame, later: DataFrame) -> DataFrame:
+    """Saved documents without those of the paths (changed). Texts are not shuffled: paths tell the places of the rows to leave out, which go to all tasks as a bit a row."""
+    at = F.col("_metadata.row_index")
+    placed = saved.select("*", F.col("_metadata.file_path").alias("file"), F.shiftright(at, 15).alias("block"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("place"))
+    gone = placed.select("path", "file", "block", "place").join(later, F.col("path") == F.col("changed"), "left_semi")
+    bits = gone.groupBy("file", "block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("place", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    stays = F.col("bits").isNull() | (F.getbit(byte, F.col("place").bitwiseAND(F.lit(7)).cast("int")) == 0)
+    return placed.join(F.broadcast(bits), ["file", "block"], "left").where(stays).select(*saved.columns)
+
+
 _STATS = "docs bigint, average double, buckets int"
 #: Pointers that are kept; older ones are deleted.
 POINTERS = 20
